@@ -1,0 +1,134 @@
+"""Request bodies, streamed answer lines and service log lines as tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trafficlens.plans.slices import ROWS_PER_SLICE, Running, running
+
+BODY_TYPE = (
+    "messages array<struct<role:string,content:string>>, model string, stream boolean, "
+    "max_tokens long, temperature double, top_p double, presence_penalty double, "
+    "frequency_penalty double"
+)
+CHUNK_TYPE = (
+    "id string, type string, model string, message struct<id:string>, "
+    "delta struct<type:string,text:string>, "
+    "choices array<struct<delta:struct<content:string>,finish_reason:string>>"
+)
+LOG_TYPE = "timestamp string, level string, message string, logger string"
+
+# Message templates of the service log, and the kind of fact each one states.
+LOG_TEMPLATES: list[tuple[str, str]] = [
+    ("route", r"^Routing request to (\S+) using model (\S+) \(attempt (\d+)/(\d+)\)$"),
+    ("retry", r"^Transient failure on (\S+) \((.*)\)\. Retrying in (\d+)s\.\.\.$"),
+    ("exhausted", r"^Backend (\S+) failed after (\d+) attempts: (.*)$"),
+    ("stream_open", r"^Opening stream routing to (\S+) using model (\S+)$"),
+    ("stream_failed", r"^Backend stream startup on (\S+) failed: (.*)$"),
+]
+
+
+def parse_chat_bodies(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Messages, typed parameters and all other parameters; ``code`` 400 without messages."""
+    parsed = bodies.withColumn("b", F.from_json(body, BODY_TYPE)).withColumn(
+        "every", F.from_json(body, "map<string,string>")
+    )
+    return parsed.select(
+        *bodies.columns,
+        "b.*",
+        F.map_filter("every", lambda k, v: ~k.isin("messages", "model")).alias("params"),
+        F.when(F.size(F.coalesce("b.messages", F.array())) > 0, 200).otherwise(400).alias("code"),
+    )
+
+
+def parse_sse_chunks(lines: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Content chunks of streamed answers from (stream_id, seq, line).
+
+    Two dialects: completion chunks ended by ``[DONE]``, and typed events where
+    ``message_start`` carries the id, text deltas the content and ``message_stop`` ends. Lines
+    after the end, lines that are not data and broken JSON are left out.
+    """
+    data = lines.select("stream_id", "seq", F.trim("line").alias("line")).where(
+        F.col("line").startswith("data: ")
+    ).select("stream_id", "seq", F.substring("line", 7, 2**31 - 1).alias("data"))
+    parsed = data.withColumn("e", F.from_json("data", CHUNK_TYPE)).select(
+        "stream_id",
+        "seq",
+        (F.col("data") == "[DONE]").alias("closed"),
+        (F.col("e.type") == "message_stop").alias("stopped"),
+        F.when(F.col("e.type") == "message_start", F.col("e.message.id")).alias("started"),
+        F.coalesce(
+            F.get("e.choices", 0)["delta"]["content"],
+            F.when(
+                (F.col("e.type") == "content_block_delta")
+                & (F.col("e.delta.type") == "text_delta"),
+                F.col("e.delta.text"),
+            ),
+        ).alias("content"),
+        F.when(F.col("e.choices").isNotNull(), F.col("e.id")).alias("chunk_id"),
+        F.get("e.choices", 0)["finish_reason"].alias("finish_reason"),
+        (F.col("e.choices").isNotNull() & F.col("e.type").isNull()).alias("plain"),
+    )
+    ended = F.coalesce(F.col("closed"), F.lit(False)) | F.coalesce("stopped", F.lit(False))
+    seen = running(
+        parsed,
+        ["stream_id"],
+        ["seq"],
+        [
+            Running("ends", "sum", ended.cast("long"), prior=True),
+            Running(
+                "start",
+                "max",
+                F.when(F.col("started").isNotNull(), F.struct("seq", "started")),
+            ),
+        ],
+        rows_per_slice,
+    )
+    is_chunk = F.coalesce("plain", F.lit(False)) | F.col("content").isNotNull() | F.coalesce(
+        "stopped", F.lit(False)
+    )
+    return seen.where((F.col("ends") == 0) & is_chunk).select(
+        "stream_id",
+        "seq",
+        F.coalesce("chunk_id", "start.started").alias("id"),
+        "content",
+        F.when(F.col("stopped"), "stop").otherwise(F.col("finish_reason")).alias("finish_reason"),
+    )
+
+
+def parse_service_logs(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Attempt facts from JSON log lines; lines that match no template are left out."""
+    log = lines.withColumn("l", F.from_json(line, LOG_TYPE)).select(
+        *[c for c in lines.columns if c != line],
+        F.col("l.timestamp").alias("logged_at"),
+        F.col("l.level").alias("level"),
+        F.col("l.message").alias("message"),
+    )
+    kind = None
+    for name, pattern in LOG_TEMPLATES:
+        hit = F.col("message").rlike(pattern)
+        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
+    pattern = dict(LOG_TEMPLATES)
+
+    def part(name: str, group: int):
+        return F.when(
+            F.col("kind") == name, F.regexp_extract("message", pattern[name], group)
+        )
+
+    return (
+        log.withColumn("kind", kind)
+        .where(F.col("kind").isNotNull())
+        .select(
+            *[c for c in log.columns if c != "message"],
+            "kind",
+            F.coalesce(*[part(n, 1) for n in pattern]).alias("backend"),
+            F.coalesce(part("route", 2), part("stream_open", 2)).alias("model"),
+            part("route", 3).cast("int").alias("attempt"),
+            F.coalesce(part("route", 4), part("exhausted", 2)).cast("int").alias("max_attempts"),
+            part("retry", 3).cast("int").alias("backoff_s"),
+            F.coalesce(part("retry", 2), part("exhausted", 3), part("stream_failed", 2)).alias(
+                "error"
+            ),
+        )
+    )
