@@ -37,16 +37,19 @@ COMPLEX_WORDS: list[str] = [
 COMPLEX_LENGTH = 120
 
 # What a text must contain for a pattern to have any chance; spares the costly patterns on
-# ordinary prose. Labels without an entry are always tried.
+# ordinary prose. Labels and phrases without an entry are always tried.
 _NEEDS = {
     "EMAIL": lambda t: t.contains("@"),
+    "CREDIT_CARD": lambda t: t.rlike(r"(?:\p{Nd}[ -]*+){13}"),
+    "PHONE": lambda t: t.rlike(r"\p{Nd}{3}[- ]?\p{Nd}{4}"),
+    "SSN": lambda t: t.rlike(r"\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4}"),
     "AWS_KEY": lambda t: t.contains("AKIA") | t.contains("ASIA"),
     "JWT": lambda t: t.contains("eyJ"),
     "BEARER": lambda t: t.contains("Bearer"),
-    "CREDIT_CARD": lambda t: t.rlike(r"\p{Nd}"),
-    "PHONE": lambda t: t.rlike(r"\p{Nd}"),
-    "SSN": lambda t: t.rlike(r"\p{Nd}"),
 }
+# Parts of each phrase in lower case; without i, k and s, which have look-alikes in Unicode that
+# match when case is ignored but do not become the plain letter in lower case.
+_PHRASE_PARTS = dict(zip(INJECTION_PATTERNS, ["nore", "prompt", "developer", "mode", "dan"]))
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
@@ -80,6 +83,8 @@ def first_injection(text: Column, patterns: Sequence[str] = INJECTION_PATTERNS)
     found = None
     for i, pattern in enumerate(patterns):
         hit = text.rlike(java_regex(pattern, ignore_case=True))
+        if pattern in _PHRASE_PARTS:
+            hit = F.lower(text).contains(_PHRASE_PARTS[pattern]) & hit
         found = F.when(hit, i) if found is None else found.when(hit, i)
     return found
 

@@ -118,7 +118,7 @@ def sliding_log(
     runs = materialise(
         roles.withColumn("__run", F.last(start, ignorenulls=True).over(by_key))
         .where(F.col("unsafe") | F.col("opens"))
-        .select(*keys, "__cell", "__run"),
+        .select(*keys, "__cell", "__run", "n"),
         "cells",
     )
     on = [*keys, "__cell"]
@@ -127,6 +127,7 @@ def sliding_log(
     )
     needed = list(dict.fromkeys([*keys, *order, *keep, "__limit", "__run"]))
     tight = celled.join(runs, on).select(*needed)
+    sizes = runs.groupBy(*keys, "__run").agg(F.sum("n").alias("count"))
     walked = ordered_fold(
         tight,
         [*keys, "__run"],
@@ -137,6 +138,7 @@ def sliding_log(
         lambda: SlidingLog(ts, "__limit", window_us),
         max_group_rows,
         rows_per_slice,
+        sizes,
     )
     return free.unionByName(walked)
 
@@ -188,7 +190,7 @@ def rate_utilisation(
     )
     counted = running(
         arrive.unionByName(leave),
-        ["api_key"],
+        "api_key",
         [ts, "__leaves", *order[1:]],
         [Running("prior_calls", "sum", F.col("__d"), prior=True)],
         rows_per_slice,
@@ -271,6 +273,7 @@ def budget_decisions(
         F.sum(cost).alias("spend"),
         F.max(F.greatest(F.col(estimate) - F.col(cost), F.lit(0.0))).alias("ahead"),
         F.min(cost).alias("least"),
+        F.count(F.lit(1)).alias("n"),
         F.first("daily_limit_usd").alias("daily"),
         F.first("monthly_limit_usd").alias("monthly"),
     )
@@ -283,12 +286,14 @@ def budget_decisions(
         ).alias("days_fit"),
         (F.sum("spend") + F.max("ahead")).alias("spend"),
         F.first("monthly").alias("monthly"),
+        F.sum("n").alias("count"),
     )
     tight_months = months.where(
         ~(F.col("days_fit") & fits(F.col("spend"), F.col("monthly")))
-    ).select("api_key", "__month")
+    ).select("api_key", "__month", "count")
     on = ["api_key", "__month"]
-    tight_side = small_side(materialise(tight_months, "months"))
+    tight_months = materialise(tight_months, "months")
+    tight_side = small_side(tight_months.select(*on))
     free = held.join(tight_side, on, "left_anti").select(
         *keep, F.lit("allowed").alias("decision")
     )
@@ -306,6 +311,7 @@ def budget_decisions(
         lambda: Purse(names),
         max_group_rows,
         rows_per_slice,
+        tight_months,
     )
     return free.unionByName(walked).unionByName(none)
 

@@ -13,7 +13,7 @@ from trafficlens.functions.text import (
     is_complex,
     python_strip,
 )
-from trafficlens.plans.slices import ROWS_PER_SLICE, Running, running, slice_bounds
+from trafficlens.plans.slices import ROWS_PER_SLICE, Running, running, slices_of
 
 # Parameters that are part of a cache key, parameters the completion dialect
 # accepts, and the answer length the other dialect assumes when none is given.
@@ -103,8 +103,8 @@ def provider_params(bodies: DataFrame, body: str = "body") -> DataFrame:
     raw = F.from_json(body, "map<string,string>")
     typed = F.from_json(body, "max_tokens long, temperature double, top_p double, "
                               "stop array<string>")
-    plain = F.from_json(body, "stop string")
-    read = bodies.withColumn("__raw", raw).withColumn("__t", typed).withColumn("__p", plain)
+    read = bodies.withColumn("__raw", raw).withColumn("__t", typed)
+    stop = F.col("__raw")["stop"]
     within = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     return read.select(
         *bodies.columns,
@@ -118,7 +118,7 @@ def provider_params(bodies: DataFrame, body: str = "body") -> DataFrame:
         F.when(F.col("__t.top_p").isNotNull(), within(F.col("__t.top_p"))).alias("top_p"),
         F.coalesce(
             "__t.stop",
-            F.when(F.col("__p.stop").isNotNull(), F.array(F.col("__p.stop"))),
+            F.when(stop.isNotNull(), F.array(stop)),
         ).alias("stop_sequences"),
     )
 
@@ -139,13 +139,13 @@ def merge_adjacent_turns(
     kept = turns.where(role.isin("user", "assistant")).select(
         request, position, role.alias("role"), F.coalesce(text, F.lit("")).alias("content")
     )
-    cuts = slice_bounds(kept, [request, position], rows_per_slice)
+    slices = slices_of(kept, request, [position], rows_per_slice)
     before = running(
         kept,
-        [request],
+        request,
         [position],
         [Running("prev", "max", F.struct(position, "role"), prior=True)],
-        bounds=cuts,
+        slices=slices,
     )
     starts = before.withColumn(
         "starts",
@@ -154,7 +154,7 @@ def merge_adjacent_turns(
         ),
     ).drop("prev")
     run = running(
-        starts, [request], [position], [Running("run", "max", F.col("starts"))], bounds=cuts
+        starts, request, [position], [Running("run", "max", F.col("starts"))], slices=slices
     )
     merged = run.groupBy(request, "run").agg(
         F.first("role").alias("role"),

@@ -13,9 +13,8 @@ from trafficlens.plans.scratch import materialise
 from trafficlens.plans.sides import small_side
 from trafficlens.plans.slices import (
     ROWS_PER_SLICE,
-    Running,
-    running,
-    slice_bounds,
+    SLICE,
+    slices_of,
     with_ordinal,
 )
 
@@ -55,7 +54,7 @@ def latency_ema(
     """
     keep = 1.0 - alpha
     block_rows = max(1, math.ceil(60 * math.log(2) / -math.log(keep))) if keep > 0 else 1
-    placed = with_ordinal(calls, [key], order, "__n", rows_per_slice)
+    placed = with_ordinal(calls, key, order, "__n", rows_per_slice)
     pos = (F.col("__n") - 1) % block_rows
     weight = F.when(F.col("__n") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
     blocks = placed.withColumn("__b", F.floor((F.col("__n") - 1) / block_rows)).withColumn(
@@ -74,15 +73,19 @@ def latency_ema(
     ends = blocks.groupBy(key, "__b").agg(
         (grown * F.pow(F.lit(keep), F.lit(block_rows - 1))).alias("__end")
     )
-    # the block before, and the one before that, each moved onto the block that feels it
+    # an end is felt by the next block, and faintly by the one after
     felt = (
-        ends.select(key, (F.col("__b") + 1).alias("__b"), "__end")
-        .unionByName(
-            ends.select(
-                key,
-                (F.col("__b") + 2).alias("__b"),
-                (F.col("__end") * F.pow(F.lit(keep), F.lit(block_rows))).alias("__end"),
-            )
+        ends.select(
+            key,
+            F.inline(
+                F.array(
+                    F.struct((F.col("__b") + 1).alias("__b"), F.col("__end").alias("__end")),
+                    F.struct(
+                        (F.col("__b") + 2).alias("__b"),
+                        (F.col("__end") * keep**block_rows).alias("__end"),
+                    ),
+                )
+            ),
         )
         .groupBy(key, "__b")
         .agg(F.sum("__end").alias("__carry"))
@@ -104,24 +107,67 @@ def failure_streaks(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Failures in a row up to and including each outcome (0 after a success)."""
-    cuts = slice_bounds(outcomes, [key, *order], rows_per_slice)
-    numbered = running(
-        outcomes.withColumn("__ok", ok),
-        [key],
-        order,
-        [Running("__n", "sum", F.lit(1).cast("long"))],
-        bounds=cuts,
-    )
-    reset = running(
-        numbered,
-        [key],
-        order,
-        [Running("__last_ok", "max", F.when(F.col("__ok"), F.col("__n")))],
-        bounds=cuts,
-    )
-    return reset.withColumn(
-        "streak", F.col("__n") - F.coalesce("__last_ok", F.lit(0).cast("long"))
-    ).drop("__n", "__last_ok", "__ok")
+    linked = _linked_streaks(outcomes, ok, key, order, rows_per_slice)
+    return linked.select(*outcomes.columns, "streak")
+
+
+def _linked_streaks(outcomes, ok, key, order, rows_per_slice) -> DataFrame:
+    """Each outcome with its ``streak``, and time and streak of the outcome before it.
+
+    Inside a slice the streak is the distance to the last success, or to the slice's start when
+    there was none yet; then the streak the slice began with is added.
+    """
+    ts = order[0]
+    slices = slices_of(outcomes, key, order, rows_per_slice)
+    w = slices.local()
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = (
+        slices.assign(outcomes.withColumn("__ok", ok))
+        .withColumn("__n", F.row_number().over(w).cast("long"))
+        .withColumn("__ok_at", F.max(F.when(F.col("__ok"), F.col("__n"))).over(upto))
+        .withColumn("__run", F.col("__n") - F.coalesce("__ok_at", F.lit(0).cast("long")))
+        .withColumn(
+            "__prev", F.lag(F.struct(ts, F.col("__run"), F.col("__ok_at").isNull().alias("open")))
+            .over(w)
+        )
+    )
+    zero = F.lit(0).cast("long")
+    if not slices.cuts:
+        return local.select(
+            *outcomes.columns,
+            F.col("__run").alias("streak"),
+            F.col(f"__prev.{ts}").alias("__prev_ts"),
+            F.coalesce("__prev.__run", zero).alias("__prev_streak"),
+        )
+    per_slice = slices.spanning(local).groupBy(*slices.part).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("__ok_at").alias("ok_at"), F.max(ts).alias("last")
+    )
+    upto_here = Window.partitionBy(key).orderBy(SLICE)
+    per_slice = per_slice.withColumn("total", F.sum("rows").over(upto_here)).withColumn(
+        "ok_at", F.col("total") - F.col("rows") + F.col("ok_at")
+    )
+    carried = slices.carry(
+        per_slice,
+        {
+            "__rows_in": F.sum("rows"),
+            "__ok_in": F.max("ok_at"),
+            "__ts_in": F.max("last"),
+        },
+    )
+    streak_in = F.coalesce(F.col("__rows_in") - F.coalesce("__ok_in", zero), zero)
+    first = F.col("__prev").isNull()
+    return slices.bring(local, carried).select(
+        *outcomes.columns,
+        (F.col("__run") + F.when(F.col("__ok_at").isNull(), streak_in).otherwise(zero)).alias(
+            "streak"
+        ),
+        F.when(first, F.col("__ts_in")).otherwise(F.col(f"__prev.{ts}")).alias("__prev_ts"),
+        F.when(first, streak_in)
+        .otherwise(
+            F.col("__prev.__run") + F.when(F.col("__prev.open"), streak_in).otherwise(zero)
+        )
+        .alias("__prev_streak"),
+    )
 
 
 def breaker_trace(
@@ -138,24 +184,16 @@ def breaker_trace(
     The failure count starts over at a success only, so the state after an outcome follows from
     the streak; an open breaker whose cooldown has passed is half open for the next call.
     """
-    ts = order[0]
-    streaks = failure_streaks(outcomes, ok, key, order, rows_per_slice)
-    linked = running(
-        streaks,
-        [key],
-        order,
-        [Running("__prev", "max", F.struct(*order, "streak"), prior=True)],
-        rows_per_slice,
-    )
-    was_open = F.coalesce(F.col("__prev.streak") >= threshold, F.lit(False))
-    cooled = F.col(ts) - F.col(f"__prev.{ts}") >= seconds(cooldown_sec)
-    return (
-        linked.withColumn(
-            "state_before",
-            F.when(~was_open, "CLOSED").when(cooled, "HALF_OPEN").otherwise("OPEN"),
-        )
-        .withColumn("state_after", F.when(F.col("streak") >= threshold, "OPEN").otherwise("CLOSED"))
-        .drop("__prev")
+    linked = _linked_streaks(outcomes, ok, key, order, rows_per_slice)
+    cooled = F.col(order[0]) - F.col("__prev_ts") >= seconds(cooldown_sec)
+    return linked.select(
+        *outcomes.columns,
+        "streak",
+        F.when(F.col("__prev_streak") < threshold, "CLOSED")
+        .when(cooled, "HALF_OPEN")
+        .otherwise("OPEN")
+        .alias("state_before"),
+        F.when(F.col("streak") >= threshold, "OPEN").otherwise("CLOSED").alias("state_after"),
     )
 
 

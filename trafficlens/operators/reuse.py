@@ -18,8 +18,7 @@ from trafficlens.plans.slices import (
     SLICE,
     Running,
     running,
-    slice_bounds,
-    slice_column,
+    slices_of,
 )
 
 # Lifetime and number of cache entries.
@@ -46,14 +45,15 @@ def prompt_reuse(
     window_us = int(ttl_sec * 1_000_000) + 1
     keys, rows = [key], calls
     if capacity is not None:
-        placed = reuse_distance(
-            calls, key, capacity, order, list(dict.fromkeys([*keep, key, *order])),
-            rows_per_slice,
-        )
-        rows = running(
-            placed, [key], order,
-            [Running("__epoch", "sum", (~F.col("resident")).cast("long"))], rows_per_slice,
+        placed = materialise(
+            reuse_distance(
+                calls, key, capacity, order, list(dict.fromkeys([*keep, key, *order])),
+                rows_per_slice,
+            ),
+            "resident",
         )
+        epochs = Running("__epoch", "sum", (~F.col("resident")).cast("long"))
+        rows = materialise(running(placed, key, order, [epochs], rows_per_slice), "epochs")
         keys = [key, "__epoch"]
     kept = list(dict.fromkeys([*keep, key]))
     stored = sliding_log(
@@ -78,14 +78,14 @@ def reuse_distance(
     the slices are walked independently of each other.
     """
     keep, order = list(keep), list(order)
-    cuts = slice_bounds(calls, order, rows_per_slice)
     needed = list(dict.fromkeys([*keep, *order, key]))
-    sliced = calls.select(*needed).withColumn(SLICE, slice_column(calls, order, cuts))
+    slices = slices_of(calls, None, order, rows_per_slice)
+    sliced = slices.assign(calls.select(*needed))
     out_type = T.StructType(
         [calls.schema[c] for c in keep]
         + [T.StructField("distance", T.LongType()), T.StructField("resident", T.BooleanType())]
     )
-    recent = _recent_keys(sliced, key, order, capacity, len(cuts) + 1)
+    recent = _recent_keys(sliced, key, order, capacity, len(slices.cuts) + 1)
 
     def walk(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)

@@ -66,7 +66,7 @@ def request_candidates(requests: DataFrame, backends: DataFrame) -> DataFrame:
 def _with_ranking(requests, backends, strategy, emas, order, rows_per_slice) -> DataFrame:
     rows = catalogue(backends)
     if strategy in ("round_robin", "weighted_round_robin"):
-        turned = with_ordinal(requests, [], order, "__n", rows_per_slice)
+        turned = with_ordinal(requests, None, order, "__n", rows_per_slice)
         shift = ((F.col("__n") - 1) % len(rows)).cast("int")
         every = _ranked(rows, "config")
         return turned.withColumn(
@@ -81,7 +81,7 @@ def _with_ranking(requests, backends, strategy, emas, order, rows_per_slice) ->
     seen = asof(
         requests,
         emas.select(*order, F.col("backend").alias("__b"), F.col("ema").alias("__ema")),
-        [],
+        None,
         order,
         ["__ema"],
         strictly_before=True,
@@ -145,7 +145,7 @@ def round_robin_assign(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Call number i goes to candidate i modulo their number; also the rotation of keys."""
-    placed = with_ordinal(calls, [], order, "__n", rows_per_slice)
+    placed = with_ordinal(calls, None, order, "__n", rows_per_slice)
     turn = ((F.col("__n") - 1) % len(candidates)).cast("int")
     return placed.withColumn(
         "assigned", F.get(F.array(*[F.lit(c) for c in candidates]), turn)
@@ -169,7 +169,7 @@ def latest_ema_asof(
     found = asof(
         requests,
         emas.select("backend", *order, "ema"),
-        ["backend"],
+        "backend",
         order,
         ["ema"],
         strictly_before,
@@ -198,7 +198,7 @@ def key_cooldown_audit(
     ts = order[0]
     until = marks.select(key, *order, (F.col(ts) + seconds_of(rest)).alias("cooldown_until"))
     found = asof(
-        uses, until, [key], order, ["cooldown_until"], True, rows_per_slice
+        uses, until, key, order, ["cooldown_until"], True, rows_per_slice
     )
     return found.where(F.col(ts) < F.col("cooldown_until"))
 

@@ -64,8 +64,10 @@ def pii_vault_mask(
     steps = F.array(state)
     for label, pattern in patterns:
         steps = _mask_step(steps, label, pattern)
+    # a generator is computed once per row; as a plain column the optimizer would repeat it for
+    # each of its fields
     return (
-        docs.withColumn("__m", F.get(steps, 0))
+        docs.select("*", F.explode(F.array(F.get(steps, 0))).alias("__m"))
         .withColumn(text, F.when(F.col(text).isNotNull(), F.col("__m.t")))
         .withColumn("entries", F.col("__m.e"))
         .drop("__m")

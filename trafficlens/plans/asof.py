@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trafficlens.plans.scratch import materialise
 from trafficlens.plans.slices import ROWS_PER_SLICE, Running, running
 
 
 def asof(
     rows: DataFrame,
     facts: DataFrame,
-    keys: Sequence[str],
+    key: str | None,
     order: Sequence[str],
     value: Sequence[str],
     strictly_before: bool = False,
@@ -29,6 +30,8 @@ def asof(
     """
     ts, rest = order[0], list(order[1:])
     side = F.lit(0 if strictly_before else 1)
+    # facts are often the result of a long plan, and the time line is read by several jobs
+    facts = materialise(facts, "facts")
     line = rows.withColumn("__side", side).withColumn("__row", F.lit(True)).unionByName(
         facts.withColumn("__side", F.lit(1) - side).withColumn("__row", F.lit(False)),
         allowMissingColumns=True,
@@ -37,7 +40,7 @@ def asof(
     wanted = pick or {"__at": F.lit(True)}
     seen = running(
         line,
-        keys,
+        key,
         [ts, "__side", *rest],
         [
             Running(name, "max", F.when(~F.col("__row") & cond, carried))

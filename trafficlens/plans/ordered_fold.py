@@ -50,14 +50,17 @@ def ordered_fold(
     walker: Callable[[], Walker],
     max_group_rows: int = MAX_GROUP_ROWS,
     rows_per_slice: int = ROWS_PER_SLICE,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """``keep`` columns of every row plus ``decision``, walked along ``order`` per ``group``."""
-    spark = rows.sparkSession
+    """``keep`` columns of every row plus ``decision``, walked along ``order`` per ``group``.
+
+    ``sizes`` (group columns and ``count``) spares counting the rows when that is known already.
+    """
     group, order, keep = list(group), list(order), list(keep)
     out_type = T.StructType(
         [rows.schema[c] for c in keep] + [T.StructField(decision, decision_type)]
     )
-    sizes = rows.groupBy(*group).count()
+    sizes = rows.groupBy(*group).count() if sizes is None else sizes
     hot = sizes.where(F.col("count") > max_group_rows)
     most = hot.agg(F.max("count")).first()[0]
     if most is None:
@@ -67,14 +70,20 @@ def ordered_fold(
     cold = rows.join(hot_keys, group, "left_anti")
     done_cold = _walk_small(cold, group, order, keep, decision, out_type, walker)
 
+    # one column naming the group; made of the group's values, so different groups stay apart
+    name = F.to_json(F.struct(*group)).alias("__name")
     placed = with_ordinal(
-        rows.join(hot_keys, group, "left_semi"), group, order, "__ord", rows_per_slice
-    )
+        materialise(rows.join(hot_keys, group, "left_semi").select("*", name), "hot-rows"),
+        "__name",
+        order,
+        "__ord",
+        rows_per_slice,
+    ).drop("__name")
     stepped = materialise(
         placed.withColumn(STEP, F.floor((F.col("__ord") - 1) / max_group_rows).cast("int")).drop(
             "__ord"
         ),
-        "hot-rows",
+        "hot-steps",
         STEP,
     )
     steps = -(-most // max_group_rows)
@@ -159,7 +168,7 @@ def _walk_hot(stepped, steps, group, order, keep, decision, out_type, walker) ->
             [f.name for f in full_type]
         ]
 
-    folder = scratch_dir(spark, "hot-steps")
+    folder = scratch_dir(spark, "hot-walk")
     state = spark.createDataFrame([], state_type)
     for step in range(steps):
         here = stepped.where(F.col(STEP) == step).drop(STEP)

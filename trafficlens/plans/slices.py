@@ -1,19 +1,19 @@
 """Running totals over ordered logs whose keys may be few and hot.
 
 ``Window.partitionBy(backend).orderBy(ts)`` puts a whole backend into one task. Here the log is
-cut into slices of about equal row count along (key, order): a hot key spans many slices, a cold
-one lies in one. Each (key, slice) pair is windowed on its own, pairs are summed up (map-side
-combined, about one row per key and slice), and the totals of a key's earlier slices are added to
-the rows of its later ones.
+cut into slices of about equal row count along (key, order): a hot key spans many slices, most
+cold ones lie in one. Each (key, slice) pair is windowed on its own. What a pair needs from
+before its slice comes from a small table: a cut falls inside at most one key, so at most one
+pair per slice has rows before it, and that table has no more rows than there are cuts.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,48 +25,114 @@ _MICROS = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
+_LISTABLE = (T.StringType, T.LongType, T.IntegerType)
 
 
-def slice_bounds(df: DataFrame, order: Sequence[str], rows_per_slice: int) -> list[str]:
-    """Cut points (JSON of the order columns) that split ``df`` into even slices.
+@dataclass
+class Slices:
+    """Where a log is cut: points of (key, order) as JSON, and the keys they fall into."""
 
-    Two narrow jobs: a count, and a sample of the order columns of at most
-    ``SAMPLES_PER_SLICE * MAX_SLICES`` rows in expectation. The sample places the cuts only;
-    every row is kept and lands in exactly one slice.
+    key: str | None
+    order: list[str]
+    cuts: list[str] = field(default_factory=list)
+    cut_keys: set[Any] | None = None
+
+    @property
+    def along(self) -> list[str]:
+        return [*([self.key] if self.key else []), *self.order]
+
+    @property
+    def part(self) -> list[str]:
+        return [*([self.key] if self.key else []), SLICE]
+
+    def assign(self, df: DataFrame) -> DataFrame:
+        """``df`` with the number of each row's slice."""
+        return df.withColumn(SLICE, self._number(df))
+
+    def _number(self, df: DataFrame) -> Column:
+        """How many cuts lie at or before a row, by binary search in the list of cuts."""
+        if not self.cuts:
+            return F.lit(0)
+        point = T.StructType([T.StructField(c, df.schema[c].dataType) for c in self.along])
+        cuts = F.from_json(F.lit("[" + ",".join(self.cuts) + "]"), T.ArrayType(point), _MICROS)
+        row = F.struct(*self.along)
+        size = len(self.cuts)
+        strides = [1 << p for p in reversed(range(size.bit_length()))]
+
+        def advance(pos: Column, stride: Column) -> Column:
+            ahead = pos + stride
+            return F.when((ahead <= size) & (F.get(cuts, ahead - 1) <= row), ahead).otherwise(pos)
+
+        return F.aggregate(F.array(*map(F.lit, strides)), F.lit(0), advance)
+
+    def spanning(self, df: DataFrame) -> DataFrame:
+        """Rows of the keys that are cut, the only ones that carry anything over."""
+        if self.cut_keys is None:
+            return df
+        named = F.col(self.key).isin([k for k in self.cut_keys if k is not None])
+        return df.where(named | F.col(self.key).isNull() if None in self.cut_keys else named)
+
+    def local(self) -> WindowSpec:
+        """Rows of one key in one slice, in order."""
+        return Window.partitionBy(*self.part).orderBy(*self.order)
+
+    def carry(self, per_slice: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        """From one row per (key, slice) to what each slice takes over from the ones before.
+
+        ``columns`` are aggregates over the earlier slices of the key.
+        """
+        keys = [self.key] if self.key else []
+        earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        carried = per_slice.select(
+            *self.part,
+            F.count(F.lit(1)).over(earlier).alias("__before"),
+            *[c.over(earlier).alias(name) for name, c in columns.items()],
+        )
+        return carried.where(F.col("__before") > 0).drop("__before")
+
+    def bring(self, local: DataFrame, carried: DataFrame) -> DataFrame:
+        """Join what was carried over; at most one row per cut, so it is broadcast."""
+        renamed = carried.select(
+            *[F.col(c).alias(f"__at{i}") for i, c in enumerate(self.part)],
+            *[c for c in carried.columns if c not in self.part],
+        )
+        same = F.lit(True)
+        for i, c in enumerate(self.part):
+            same = same & F.col(c).eqNullSafe(F.col(f"__at{i}"))
+        return local.join(F.broadcast(renamed), same, "left").drop(
+            *[f"__at{i}" for i in range(len(self.part))]
+        )
+
+
+def slices_of(
+    df: DataFrame, key: str | None, order: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE
+) -> Slices:
+    """Cut ``df`` into slices of about ``rows_per_slice`` rows.
+
+    Two narrow jobs: a count, and a sample of key and order columns of some
+    ``SAMPLES_PER_SLICE`` rows per slice. The sample only places the cuts; every row is kept and
+    lies in exactly one slice.
     """
-    rows = df.select(*order).count()
+    found = Slices(key, list(order))
+    rows = df.select(*found.along).count()
     n = min(MAX_SLICES, -(-rows // rows_per_slice))
     if n <= 1:
-        return []
-    fraction = min(1.0, n * SAMPLES_PER_SLICE / rows)
+        return found
     picked = (
-        df.select(*order)
-        .sample(fraction, seed=7)
-        .orderBy(*order)
-        .select(F.to_json(F.struct(*order), _MICROS).alias("cut"))
+        df.select(*found.along)
+        .sample(min(1.0, n * SAMPLES_PER_SLICE / rows), seed=7)
+        .orderBy(*found.along)
+        .select(F.to_json(F.struct(*found.along), _MICROS).alias("cut"), *found.along[:1])
         .collect()
     )
     step = max(1, len(picked) // n)
-    return [r.cut for r in picked[step::step]]
-
-
-def slice_column(df: DataFrame, order: Sequence[str], bounds: list[str]) -> Column:
-    """Slice number of a row: how many cuts lie at or before it (a binary search)."""
-    if not bounds:
-        return F.lit(0)
-    point = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
-    cuts = F.from_json(
-        F.lit("[" + ",".join(bounds) + "]"), T.ArrayType(point), _MICROS
-    )
-    row = F.struct(*order)
-    size = len(bounds)
-    strides = [1 << p for p in reversed(range(size.bit_length()))]
-
-    def advance(pos: Column, stride: Column) -> Column:
-        ahead = pos + stride
-        return F.when((ahead <= size) & (F.get(cuts, ahead - 1) <= row), ahead).otherwise(pos)
-
-    return F.aggregate(F.array(*map(F.lit, strides)), F.lit(0), advance)
+    chosen = picked[step::step]
+    found.cuts = [r[0] for r in chosen]
+    if key and isinstance(df.schema[key].dataType, _LISTABLE):
+        found.cut_keys = {r[1] for r in chosen}
+    return found
 
 
 @dataclass(frozen=True)
@@ -85,53 +151,34 @@ class Running:
 
 def running(
     df: DataFrame,
-    keys: Sequence[str],
+    key: str | None,
     order: Sequence[str],
     totals: Sequence[Running],
     rows_per_slice: int = ROWS_PER_SLICE,
-    bounds: list[str] | None = None,
+    slices: Slices | None = None,
 ) -> DataFrame:
-    """Add running totals per ``keys`` along ``order`` (which must be unique per key).
+    """Add running totals per ``key`` along ``order`` (which must be unique per key).
 
     ``kind='max'`` over a struct led by the order columns gives the latest matching row, which
-    is how as-of lookups are built. Empty ``keys`` means one log for the whole table.
+    is how as-of lookups are built. Without a key the whole table is one log. ``df`` is read by
+    several jobs; hand over a table rather than a long plan.
     """
-    along = [*keys, *order]
-    cuts = slice_bounds(df, along, rows_per_slice) if bounds is None else bounds
-    sliced = df.withColumn(SLICE, slice_column(df, along, cuts))
-    part = [*keys, SLICE]
-    upto = Window.partitionBy(*part).orderBy(*order)
-    here = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices or slices_of(df, key, order, rows_per_slice)
+    sliced = slices.assign(df)
+    here = slices.local().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = slices.local().rowsBetween(Window.unboundedPreceding, -1)
     local = sliced.select(
         "*", *[t.fold(t.value).over(before if t.prior else here).alias(t.name) for t in totals]
     )
-    if not cuts:
+    if not slices.cuts:
         return local.select(*df.columns, *[_close(t, F.col(t.name)) for t in totals])
 
-    earlier = Window.partitionBy(*[f"__k_{k}" for k in keys]).orderBy("__s").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carry = (
-        sliced.groupBy(*part)
+    per_slice = (
+        slices.spanning(sliced)
+        .groupBy(*slices.part)
         .agg(*[t.fold(t.value).alias(t.name) for t in totals])
-        .select(
-            *[F.col(k).alias(f"__k_{k}") for k in keys],
-            F.col(SLICE).alias("__s"),
-            *[F.col(t.name).alias(f"__t_{t.name}") for t in totals],
-        )
-        .select(
-            *[f"__k_{k}" for k in keys],
-            "__s",
-            *[t.fold(f"__t_{t.name}").over(earlier).alias(f"__c_{t.name}") for t in totals],
-        )
     )
-    if not keys:
-        carry = F.broadcast(carry)  # one row per slice, at most MAX_SLICES
-    same = F.col(SLICE) == F.col("__s")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    joined = local.join(carry, same, "left")
+    carried = slices.carry(per_slice, {f"__c_{t.name}": t.fold(F.col(t.name)) for t in totals})
     out = []
     for t in totals:
         mine, brought = F.col(t.name), F.col(f"__c_{t.name}")
@@ -141,7 +188,7 @@ def running(
             else F.greatest(brought, mine)
         )
         out.append(_close(t, both))
-    return joined.select(*df.columns, *out)
+    return slices.bring(local, carried).select(*df.columns, *out)
 
 
 def _close(t: Running, value: Column) -> Column:
@@ -151,10 +198,10 @@ def _close(t: Running, value: Column) -> Column:
 
 def with_ordinal(
     df: DataFrame,
-    keys: Sequence[str],
+    key: str | None,
     order: Sequence[str],
     name: str = "ord",
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Dense 1-based position of each row within its key, without a single-task window."""
-    return running(df, keys, order, [Running(name, "sum", F.lit(1).cast("long"))], rows_per_slice)
+    return running(df, key, order, [Running(name, "sum", F.lit(1).cast("long"))], rows_per_slice)

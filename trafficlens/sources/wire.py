@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trafficlens.plans.scratch import materialise
 from trafficlens.plans.slices import ROWS_PER_SLICE, Running, running
 
 BODY_TYPE = (
@@ -71,9 +72,11 @@ def parse_sse_chunks(lines: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) ->
         (F.col("e.choices").isNotNull() & F.col("e.type").isNull()).alias("plain"),
     )
     ended = F.coalesce(F.col("closed"), F.lit(False)) | F.coalesce("stopped", F.lit(False))
+    # parsing is the dear part, and running totals read their input more than once
+    parsed = materialise(parsed, "chunks")
     seen = running(
         parsed,
-        ["stream_id"],
+        "stream_id",
         ["seq"],
         [
             Running("ends", "sum", ended.cast("long"), prior=True),
