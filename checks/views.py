@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.operators.pricing import request_cost
 
 # Small slices and steps, so that the same paths run on the supplied tables as on large ones.
-ROWS_PER_SLICE = 2_500
+ROWS_PER_SLICE = int(os.environ.get("ROWS_PER_SLICE", "2500"))
 
 BACKENDS = [
     ("b0", 0, "m0", 0.0020, 0.00015),

@@ -99,5 +99,9 @@ def is_complex(prompt: Column, words: Sequence[str] = COMPLEX_WORDS,
 
 
 def python_strip(text: Column) -> Column:
-    """Trim Unicode white space on both sides (``trim`` removes plain spaces only)."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    """Trim Unicode white space on both sides (``trim`` removes plain spaces only).
+
+    The four information separators count as white space too.
+    """
+    space = r"[\s\x1c-\x1f]+"
+    return F.regexp_replace(F.regexp_replace(text, rf"(?U)^{space}", ""), rf"(?U){space}$", "")

@@ -25,7 +25,7 @@ DEFAULT_RATE = 60
 
 def known_key_filter(calls: DataFrame, budgets: DataFrame, unknown: bool = False) -> DataFrame:
     """Calls with a key that has a budget row (or, with ``unknown``, those turned away)."""
-    keys = small_side(budgets.select("api_key").distinct())
+    keys = small_side(budgets.select("api_key"))
     return calls.join(keys, "api_key", "left_anti" if unknown else "left_semi")
 
 
