@@ -856,7 +856,7 @@ select backend, round(avg(latency_ms), 6) as avg_latency_ms,
   round(quantile_cont(latency_ms, 0.95), 6) as p95_latency_ms
 from calls group by backend""")
 def latency_per_backend(spark, d):
-    return kpi.latency_per_backend(v.calls(spark, d)).select(
+    return kpi.latency_per_backend(v.calls(spark, d), rows_per_slice=N).select(
         "backend", r6("avg_latency_ms"), r6("p50_latency_ms"), r6("p95_latency_ms")
     )
 

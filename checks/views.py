@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.operators.pricing import request_cost
+from trafficlens.sources.ledger import local_table
 
 # Small slices and steps, so that the same paths run on the supplied tables as on large ones.
 ROWS_PER_SLICE = int(os.environ.get("ROWS_PER_SLICE", "2500"))
@@ -35,8 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def traffic_of(events: DataFrame) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    return events.select(
+    k = F.col("k")
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int")).select(
         "event_id",
         F.concat(F.lit("req-"), F.col("event_id").cast("string")).alias("request_id"),
         "ts",
@@ -47,7 +48,7 @@ def traffic_of(events: DataFrame) -> DataFrame:
         "event_type",
         (F.col("value") * 10).alias("latency_ms"),
         (F.col("value") / 1000).alias("budget_cost_usd"),
-        k.alias("k"),
+        "k",
         (10 + k * 10).alias("prompt_tokens"),
         (F.col("event_id") % 400).cast("int").alias("completion_tokens"),
     )
@@ -58,7 +59,8 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backends(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
+    return local_table(
+        spark,
         BACKENDS,
         "backend string, cfg_idx int, model string, cost_per_1k_prompt double, "
         "cost_per_1k_completion double",
@@ -66,7 +68,8 @@ def backends(spark: SparkSession) -> DataFrame:
 
 
 def budgets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
+    return local_table(
+        spark,
         BUDGETS,
         "api_key string, daily_limit_usd double, monthly_limit_usd double, "
         "requests_per_minute int",

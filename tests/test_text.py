@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from trafficlens.functions.text import INJECTION_PATTERNS, PII_PATTERNS, python_strip
+from trafficlens.functions.text import INJECTION_PATTERNS, PII_PATTERNS, stripped
 from trafficlens.operators import conversations, text_safety
 
 
@@ -193,4 +193,4 @@ def test_answers_replayed_and_put_together(spark):
 @pytest.mark.parametrize("text", ["  a b ", " a ", "\n\ta\x1c", "", "a"])
 def test_strip(spark, text):
     df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(python_strip(F.col("t"))).first()[0] == text.strip()
+    assert df.select(stripped(F.col("t"))).first()[0] == text.strip()

@@ -98,10 +98,13 @@ def is_complex(prompt: Column, words: Sequence[str] = COMPLEX_WORDS,
     return F.coalesce(hit, F.lit(False))
 
 
-def python_strip(text: Column) -> Column:
-    """Trim Unicode white space on both sides (``trim`` removes plain spaces only).
+# The characters that count as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
-    The four information separators count as white space too.
-    """
-    space = r"[\s\x1c-\x1f]+"
-    return F.regexp_replace(F.regexp_replace(text, rf"(?U)^{space}", ""), rf"(?U){space}$", "")
+
+def stripped(text: Column) -> Column:
+    """Trim Unicode white space on both sides (plain ``trim`` removes spaces only)."""
+    return F.btrim(text, F.lit(WHITE_SPACE))

@@ -7,12 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.functions.text import (
-    COMPLEX_LENGTH,
-    COMPLEX_WORDS,
-    is_complex,
-    python_strip,
-)
+from trafficlens.functions.text import COMPLEX_LENGTH, COMPLEX_WORDS, is_complex, stripped
 from trafficlens.plans.slices import ROWS_PER_SLICE, Running, running, slices_of
 
 # Parameters that are part of a cache key, parameters the completion dialect
@@ -34,8 +29,8 @@ def cache_key(messages: Column, params: Column, extra: Sequence[Column] = ()) ->
     said = F.transform(
         messages,
         lambda m: F.struct(
-            python_strip(F.coalesce(m["content"], F.lit(""))).alias("content"),
-            python_strip(F.coalesce(m["role"], F.lit(""))).alias("role"),
+            stripped(F.coalesce(m["content"], F.lit(""))).alias("content"),
+            stripped(F.coalesce(m["role"], F.lit(""))).alias("role"),
         ),
     )
     used = F.array_sort(

@@ -246,7 +246,7 @@ def available_backends(
     cooled = at - F.col("last_failure_time") >= seconds(cooldown_sec)
     allowed = (state == "CLOSED") | ((state == "OPEN") & F.coalesce(cooled, F.lit(True)))
     return (
-        backends.join(small_side(states), "backend", "left")
+        backends.join(small_side(materialise(states, "states")), "backend", "left")
         .withColumn("available", allowed)
         .withColumn(
             "state", F.when((state == "OPEN") & F.col("available"), "HALF_OPEN").otherwise(state)
@@ -262,8 +262,10 @@ def backend_health_board(
     last = probes.groupBy("backend").agg(
         F.max_by("healthy", F.struct(*order)).alias("healthy")
     )
+    states = materialise(states.select("backend", "state"), "states")
+    last = materialise(last, "probes")
     return (
-        backends.join(small_side(states.select("backend", "state")), "backend", "left")
+        backends.join(small_side(states), "backend", "left")
         .join(small_side(last), "backend", "left")
         .withColumn("state", F.coalesce("state", F.lit("CLOSED")))
     )

@@ -8,6 +8,10 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trafficlens.plans.scratch import materialise
+from trafficlens.plans.sides import small_side
+from trafficlens.plans.slices import ROWS_PER_SLICE, Running, running
+
 # How a cache answer is marked, and how many recent calls a listing shows.
 CACHE_BACKEND = "cache"
 RECENT = 50
@@ -31,18 +35,46 @@ def spend_per_backend(calls: DataFrame) -> DataFrame:
     return calls.groupBy("backend").agg(F.sum("cost_usd").alias("spend_usd"))
 
 
-def latency_per_backend(calls: DataFrame, exact: bool = True) -> DataFrame:
-    """Mean, median and 95th percentile; ``exact=False`` keeps a sketch of fixed size instead of
-    a count per distinct latency."""
-    at = (
-        (lambda p: F.percentile("latency_ms", F.lit(p)))
-        if exact
-        else (lambda p: F.percentile_approx("latency_ms", p).cast("double"))
+def latency_per_backend(
+    calls: DataFrame, exact: bool = True, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """Mean, median and 95th percentile (interpolated).
+
+    Exactly: calls are counted per latency, the counts are added up along the latencies in
+    slices, and the values at the wanted positions are picked, so no task holds a backend's
+    values. ``exact=False`` keeps a sketch of fixed size instead and needs a single pass.
+    """
+    if not exact:
+        at = lambda p: F.percentile_approx("latency_ms", p).cast("double")
+        return calls.groupBy("backend").agg(
+            F.avg("latency_ms").alias("avg_latency_ms"),
+            at(0.5).alias("p50_latency_ms"),
+            at(0.95).alias("p95_latency_ms"),
+        )
+    counts = materialise(
+        calls.groupBy("backend", "latency_ms").agg(F.count(F.lit(1)).alias("n")), "latencies"
+    )
+    known = counts.where(F.col("latency_ms").isNotNull())
+    totals = counts.groupBy("backend").agg(
+        F.sum(F.when(F.col("latency_ms").isNotNull(), F.col("n"))).alias("total"),
+        (F.sum(F.col("latency_ms") * F.col("n")) / F.col("total")).alias("avg_latency_ms"),
+    )
+    placed = running(
+        known, "backend", ["latency_ms"], [Running("upto", "sum", F.col("n"))], rows_per_slice
     )
-    return calls.groupBy("backend").agg(
-        F.avg("latency_ms").alias("avg_latency_ms"),
-        at(0.5).alias("p50_latency_ms"),
-        at(0.95).alias("p95_latency_ms"),
+    wanted = {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}
+    held = lambda i: (F.col("upto") > i) & (F.col("upto") - F.col("n") <= i)
+    joined = placed.join(small_side(totals.select("backend", "total")), "backend")
+    picks, values = [], []
+    for name, p in wanted.items():
+        place = (F.col("total") - 1) * p
+        for side, i in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            picks.append(F.max(F.when(held(i), F.col("latency_ms"))).alias(f"{name}_{side}"))
+        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        values.append((lo + (hi - lo) * (place - F.floor(place))).alias(name))
+    picked = joined.groupBy("backend").agg(*picks)
+    return totals.join(small_side(picked), "backend", "left").select(
+        "backend", "avg_latency_ms", *values
     )
 
 

@@ -6,6 +6,7 @@ import os
 from collections.abc import Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +62,15 @@ def load_breakers(states: DataFrame) -> DataFrame:
     return states.select("backend", "state", "consecutive_failures", "last_failure_time")
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Rows of a settings file as a relation kept in the plan, which needs no job to read."""
+    names = [f.name for f in T.StructType.fromDDL(schema)]
+    columns = list(zip(*rows)) or [()] * len(names)
+    return spark.createDataFrame(
+        pa.table({n: pa.array(list(c)) for n, c in zip(names, columns)}), schema
+    )
+
+
 def _read_yaml(path: str) -> dict[str, Any]:
     try:
         import yaml
@@ -81,7 +91,7 @@ def backends_from(spark: SparkSession, entries: Sequence[dict[str, Any]]) -> Dat
         )
         for i, e in enumerate(known)
     ]
-    return spark.createDataFrame(rows, BACKEND_SCHEMA)
+    return local_table(spark, rows, BACKEND_SCHEMA)
 
 
 def load_backends(spark: SparkSession, config_dir: str) -> DataFrame:
@@ -104,7 +114,7 @@ def load_budget_config(spark: SparkSession, config_dir: str) -> DataFrame:
          b.get("requests_per_minute", DEFAULT_RPM))
         for b in entries
     ]
-    return spark.createDataFrame(rows, BUDGET_SCHEMA)
+    return local_table(spark, rows, BUDGET_SCHEMA)
 
 
 def new_ledger_rows(ledger: DataFrame, calls: DataFrame, order: Sequence[str],

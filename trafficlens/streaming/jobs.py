@@ -61,12 +61,15 @@ def stream_ledger_ingest(
     ts: str = "timestamp",
     id_col: str = "id",
     delay: str = "1 hour",
+    repeat_horizon: str | None = None,
     trigger: dict | None = None,
 ):
     """Append calls to the ledger, each id once.
 
     Repeats within ``delay`` are dropped by the stream's own state; older ones by looking at the
-    ledger. A batch has a folder of its own that a retry overwrites, so a lost executor or a
+    ledger. That reads all booked ids, unless the source promises to repeat an id within
+    ``repeat_horizon`` (an interval such as ``7 days``): then files of older calls are skipped by
+    their time statistics. A batch has a folder of its own that a retry overwrites, so a lost executor or a
     restart never books a call twice.
     """
     unique = (
@@ -79,6 +82,11 @@ def stream_ledger_ingest(
     def book(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         booked = _earlier_batches(spark, ledger_path, batch_id)
+        if booked is not None and repeat_horizon is not None:
+            oldest = batch.agg(F.min(ts)).first()[0]
+            if oldest is not None:
+                start = F.lit(oldest).cast(batch.schema[ts].dataType)
+                booked = booked.where(F.col(ts) >= start - F.expr(f"interval {repeat_horizon}"))
         if booked is not None:
             batch = batch.join(booked.select(id_col), id_col, "left_anti").select(*batch.columns)
         batch.write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
