@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Sequence
 
@@ -55,14 +56,25 @@ class SlidingLog:
         return json.dumps(list(self.accepted))
 
     def walk(self, rows: dict[str, list]) -> list[bool]:
-        accepted, window, out = self.accepted, self.window, []
-        for now, limit in zip(rows[self.ts], rows[self.limit]):
+        times, limits = rows[self.ts], rows[self.limit]
+        accepted, window, n = self.accepted, self.window, len(times)
+        out = [False] * n
+        steady = n > 0 and min(limits) == max(limits)
+        i = 0
+        while i < n:
+            now, limit = times[i], limits[i]
             while accepted and now - accepted[0] >= window:
                 accepted.popleft()
-            ok = len(accepted) < limit
-            if ok:
+            if len(accepted) < limit:
                 accepted.append(now)
-            out.append(ok)
+                out[i] = True
+                i += 1
+            elif not steady:
+                i += 1
+            elif accepted:  # nothing is accepted until the oldest leaves the window
+                i = bisect_left(times, accepted[0] + window, i + 1)
+            else:
+                break
         return out
 
 

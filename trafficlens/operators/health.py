@@ -47,55 +47,31 @@ def latency_ema(
     """Exponential moving average after each call: the first value as it is, then
     ``alpha * x + (1 - alpha) * previous``.
 
-    Calls are numbered per key and cut into blocks of so many rows that a whole block scales
-    what came before by less than 2**-60, below what a double can show. Inside a block the
-    average is a weighted running sum, and only the two blocks before can still be felt. A block
-    is the unit of work, so few backends do not mean few tasks.
+    Calls are numbered per key and cut into blocks of so many rows that a whole block scales what
+    came before it by less than 2**-60, below what a double can show. So the average is a
+    weighted sum over a call's own block and the one before. Each row goes to its block and, as
+    context, to the next; a pair of blocks is the unit of work, however few backends there are.
     """
     keep = 1.0 - alpha
-    block_rows = max(1, math.ceil(60 * math.log(2) / -math.log(keep))) if keep > 0 else 1
-    placed = with_ordinal(calls, key, order, "__n", rows_per_slice)
-    pos = (F.col("__n") - 1) % block_rows
-    weight = F.when(F.col("__n") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
-    blocks = placed.withColumn("__b", F.floor((F.col("__n") - 1) / block_rows)).withColumn(
-        "__p", pos
-    )
-    grown = F.sum(weight * F.col(value) * F.pow(F.lit(keep), -F.col("__p")))
-    inside = blocks.withColumn(
-        "__in",
-        grown.over(
-            Window.partitionBy(key, "__b")
-            .orderBy("__p")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        * F.pow(F.lit(keep), F.col("__p")),
-    )
-    ends = blocks.groupBy(key, "__b").agg(
-        (grown * F.pow(F.lit(keep), F.lit(block_rows - 1))).alias("__end")
-    )
-    # an end is felt by the next block, and faintly by the one after
-    felt = (
-        ends.select(
-            key,
-            F.inline(
-                F.array(
-                    F.struct((F.col("__b") + 1).alias("__b"), F.col("__end").alias("__end")),
-                    F.struct(
-                        (F.col("__b") + 2).alias("__b"),
-                        (F.col("__end") * keep**block_rows).alias("__end"),
-                    ),
-                )
-            ),
-        )
-        .groupBy(key, "__b")
-        .agg(F.sum("__end").alias("__carry"))
-    )
-    return inside.join(felt, [key, "__b"], "left").select(
-        *calls.columns,
-        (
-            F.col("__in")
-            + F.coalesce("__carry", F.lit(0.0)) * F.pow(F.lit(keep), F.col("__p") + 1)
-        ).alias("ema"),
+    block = max(1, math.ceil(60 * math.log(2) / -math.log(keep))) if keep > 0 else 1
+    placed = with_ordinal(calls, key, order, "__n", rows_per_slice).withColumn(
+        "__n", F.col("__n") - 1
+    )
+    paired = placed.select(
+        "*", F.explode(F.array(F.lit(False), F.lit(True))).alias("__context")
+    ).withColumn("__b", F.floor(F.col("__n") / block) + F.col("__context").cast("long"))
+    place = F.col("__n") - (F.col("__b") - 1) * block
+    weight = F.when(F.col("__n") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    in_pair = (
+        Window.partitionBy(key, "__b")
+        .orderBy("__n")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    grown = F.sum(weight * F.col(value) * F.pow(F.lit(keep), -place)).over(in_pair)
+    return (
+        paired.withColumn("ema", grown * F.pow(F.lit(keep), place))
+        .where(~F.col("__context"))
+        .select(*calls.columns, "ema")
     )
 
 

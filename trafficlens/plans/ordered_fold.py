@@ -124,8 +124,10 @@ def _lists(frame: pd.DataFrame) -> dict[str, list]:
         col = frame[c]
         if pd.api.types.is_datetime64_any_dtype(col):
             out[c] = col.astype("datetime64[us]").astype("int64").tolist()
-        else:
+        elif col.isna().any():
             out[c] = col.astype(object).where(col.notna(), None).tolist()
+        else:
+            out[c] = col.tolist()
     return out
 
 
