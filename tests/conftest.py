@@ -12,7 +12,13 @@ SF = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    return session("8", **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch"))})
+    return session(
+        "8",
+        **{
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch")),
+            "spark.sql.shuffle.partitions": "4",
+        },
+    )
 
 
 @pytest.fixture(scope="session")
