@@ -194,6 +194,8 @@ def test_prompt_reuse(log, ttl, hot_rows):
 def test_reuse_distance_and_bounded_cache(log, capacity):
     rows, df = log
     found = by_id(reuse.reuse_distance(df, capacity=capacity, **FINE), "distance", "resident")
+    whole = reuse.reuse_distance(df, capacity=capacity)  # one slice
+    assert by_id(whole, "distance", "resident") == found
     hits = by_id(
         reuse.prompt_reuse(df, ttl_sec=400, capacity=capacity, rows_per_slice=70), "hit"
     )

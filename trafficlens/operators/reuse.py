@@ -89,7 +89,9 @@ def reuse_distance(
 
     def walk(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        known = before.sort_values([f"__{c}" for c in order])[key].tolist()
+        known = (
+            before.sort_values([f"__{c}" for c in order])[key].tolist() if len(before) else []
+        )
         # touches are numbered; the list of last touches is in ascending order
         last = {k: i - len(known) for i, k in enumerate(known)}
         owner = {i: k for k, i in last.items()}
