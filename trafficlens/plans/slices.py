@@ -46,28 +46,28 @@ class Slices:
         return [*([self.key] if self.key else []), SLICE]
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """``df`` with the number of each row's slice: how many cuts lie at or before it.
+        """``df`` with the number of each row's slice."""
+        return df.withColumn(SLICE, self._number(df))
 
-        A binary search in the list of cuts, one projection per step. The steps compare plain
-        columns with entries of constant arrays, so they compile into the scan's own stage.
+    def _number(self, df: DataFrame) -> Column:
+        """How many cuts lie at or before a row, by binary search in the list of cuts.
+
+        One expression: a chain of projections runs faster but takes the optimizer far too long
+        to plan under joins.
         """
-        found = df.withColumn(SLICE, F.lit(0))
         if not self.cuts:
-            return found
+            return F.lit(0)
         point = T.StructType([T.StructField(c, df.schema[c].dataType) for c in self.along])
         cuts = F.from_json(F.lit("[" + ",".join(self.cuts) + "]"), T.ArrayType(point), _MICROS)
+        row = F.struct(*self.along)
         size = len(self.cuts)
-        for step in [1 << p for p in reversed(range(size.bit_length()))]:
-            ahead = F.col(SLICE) + step
-            at_or_before = F.lit(True)
-            for c in reversed(self.along):
-                cut, here = F.get(cuts[c], ahead - 1), F.col(c)
-                smaller = F.coalesce(cut < here, cut.isNull() & here.isNotNull())
-                at_or_before = smaller | (cut.eqNullSafe(here) & at_or_before)
-            found = found.withColumn(
-                SLICE, F.when((ahead <= size) & at_or_before, ahead).otherwise(F.col(SLICE))
-            )
-        return found
+        strides = [1 << p for p in reversed(range(size.bit_length()))]
+
+        def advance(pos: Column, stride: Column) -> Column:
+            ahead = pos + stride
+            return F.when((ahead <= size) & (F.get(cuts, ahead - 1) <= row), ahead).otherwise(pos)
+
+        return F.aggregate(F.array(*map(F.lit, strides)), F.lit(0), advance)
 
     def spanning(self, df: DataFrame) -> DataFrame:
         """Rows of the keys that are cut, the only ones that carry anything over."""
