@@ -12,80 +12,180 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trafficlens.llm.columns import named, shared_table, text_of
+from trafficlens.llm.word_arrays import buffer_of, piece_hash, running_hash, slices
 
-#: Words whose ids a task remembers at most.
-CACHE = 400_000
+#: Pieces of texts whose ids a Python worker remembers at most, over all of its tasks.
+CACHE = 2_000_000
+#: Pieces that are given to the tokenizer as one text.
+JOINED = 1000
 SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
-def _encoder(vocabulary: str):
-    """A function from a list of texts to lists of ids.
+def _exotic(raw: np.ndarray) -> np.ndarray:
+    """Where a white-space character beyond space and the controls 9 to 13 may lie."""
+    nxt = np.append(raw[1:], 0)
+    return ((raw >= 0x1C) & (raw <= 0x1F)) | ((raw == 0xC2) & ((nxt == 0x85) | (nxt == 0xA0))) | (
+        (raw == 0xE1) & (nxt == 0x9A)) | ((raw == 0xE2) & ((nxt == 0x80) | (nxt == 0x81))) | (
+        (raw == 0xE3) & (nxt == 0x80))
 
-    A pre-token of this vocabulary never reaches across a space that a visible character follows,
-    so a text can be cut there and the ids of a piece be remembered. Texts with runs of white
-    space go to the tokenizer whole.
+
+class _Encoder:
+    """Ids of texts, by pieces whose ids are remembered.
+
+    A pre-token of this vocabulary never reaches over a space that a visible character follows, so
+    texts are cut before such spaces. Unknown pieces of many texts are encoded as one text and told
+    apart by the lengths of the ids. A text with other white-space characters is one piece. Pieces
+    are known by 64-bit hashes.
     """
-    import os
-    import re
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(vocabulary)
-    tok.encode_special_tokens = True
-    odd = re.compile(r" (?:\s|$)|[\x1c-\x1f\x85]").search
-    known: dict[str, list[int]] = {}
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        cut = []
-        for t in texts:
-            if odd(t):
-                cut.append(None)
-                continue
-            pieces = t.split(" ")
-            cut.append([pieces[0], *[" " + p for p in pieces[1:]]])
-        if len(known) > CACHE:
-            known.clear()
-        new = list({p for pieces in cut if pieces for p in pieces} - known.keys())
-        for k in range(0, len(new), 4096):
-            some = new[k:k + 4096]
-            known.update(zip(some, (e.ids for e in tok.encode_batch_fast(
-                some, add_special_tokens=False))))
-        out = []
-        for t, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(tok.encode_batch_fast([t], add_special_tokens=False)[0].ids)
-            else:
-                ids: list[int] = []
-                for p in pieces:
-                    ids += known[p]
-                out.append(ids)
+
+    def __init__(self, vocabulary: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(vocabulary)
+        self.tok.encode_special_tokens = True
+        names = self.tok.get_vocab()
+        self.width = np.zeros(max(names.values()) + 1, np.int64)  # one character stands for a byte
+        for name, i in names.items():
+            self.width[i] = len(name)
+        none = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.known, self.fresh = none, none  # hashes in order, and the numbers of their pieces
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids = np.zeros(1 << 18, np.int32)
+        self.pieces = self.used = 0
+
+    def _lists(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(
+            [t.decode() for t in texts], add_special_tokens=False)]
+
+    def _store(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, k = self.pieces, len(sizes)
+        while len(self.ids) < self.used + len(flat):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.start) < n + k:
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)])
+                                     for x in (self.start, self.size))
+        self.ids[self.used:self.used + len(flat)] = flat
+        self.start[n:n + k] = self.used + np.cumsum(sizes) - sizes
+        self.size[n:n + k] = sizes
+        self.pieces += k
+        self.used += len(flat)
+
+    def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, joined: np.ndarray
+               ) -> np.ndarray:
+        """Encode pieces; returns their numbers. Those that ``joined`` marks may stand together."""
+        data = raw.tobytes()
+        number = np.empty(len(start), np.int64)
+        for together in (True, False):
+            at = np.flatnonzero(joined == together)
+            number[at] = self.pieces + np.arange(len(at))
+            pieces = [data[i:j] for i, j in zip(start[at].tolist(), end[at].tolist())]
+            if together:
+                groups = [pieces[k:k + JOINED] for k in range(0, len(pieces), JOINED)]
+                for group, flat in zip(groups, self._lists([b"".join(g) for g in groups])):
+                    ends = np.cumsum([len(p) for p in group])
+                    reached = np.cumsum(self.width[flat])
+                    cut = np.searchsorted(reached, ends) + 1
+                    if not (reached[cut - 1] == ends).all():
+                        raise ValueError("an id of this vocabulary reaches over a space")
+                    self._store(flat, np.diff(cut, prepend=0))
+            elif pieces:
+                lists = self._lists(pieces)
+                self._store(np.concatenate(lists), np.array([len(x) for x in lists]))
+        return number
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1, np.int64)
+        for have, number in (self.known, self.fresh):
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = have[at] == keys
+                out[hit] = number[at[hit]]
         return out
 
-    return encode
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids per text), each text followed by ``end_id``."""
+        raw, at = buffer_of(texts)
+        size = len(raw)
+        edge = np.zeros(size + 1, bool)
+        edge[at] = True
+        ink = (raw != 32) & ~((raw >= 9) & (raw <= 13))
+        inside = np.zeros(size, bool)
+        if size:
+            inside[:-1] = (raw[:-1] == 32) & ink[1:] & ~edge[1:-1]
+            odd = _exotic(raw)
+            for r in np.unique(np.searchsorted(at, np.flatnonzero(odd), side="right") - 1):
+                inside[at[r]:at[r + 1]] = False
+        start = np.flatnonzero(inside | edge[:-1])
+        end = np.append(start[1:], size) if len(start) else start
+        keys, first, which = np.unique(piece_hash(running_hash(raw), start, end),
+                                       return_index=True, return_inverse=True)
+        number = self._find(keys)
+        new = number < 0
+        before = self.pieces, self.used
+        if new.any():
+            s = start[first[new]]
+            number[new] = self._learn(raw, s, end[first[new]], inside[s])
+        spot = number[which]
+        begin, length = self.start[spot], self.size[spot]
+        row = np.searchsorted(at, start, side="right") - 1
+        sizes = np.bincount(row, length, len(texts)).astype(np.int64) + 1
+        ends = np.cumsum(sizes)
+        out = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.int32)
+        total = int(length.sum())
+        within = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
+        source = np.repeat(begin, length) + within
+        # an end id for every text before it shifts a piece's place
+        out[np.arange(total) + np.repeat(row, length)] = self.ids[source]
+        if self.pieces > CACHE:
+            self.pieces, self.used = before
+        elif new.any():
+            self._remember(keys[new], number[new])
+        return out, sizes
+
+    def _remember(self, keys: np.ndarray, number: np.ndarray) -> None:
+        def merged(a, b):
+            k = np.concatenate([a[0], b[0]])
+            order = np.argsort(k, kind="stable")
+            return k[order], np.concatenate([a[1], b[1]])[order]
+
+        self.fresh = merged(self.fresh, (keys, number))
+        if len(self.fresh[0]) > 1 << 16:
+            self.known = merged(self.known, self.fresh)
+            self.fresh = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+
+def _encoder(vocabulary: str) -> _Encoder:
+    """The encoder of this Python process, which lives as long as Spark keeps the worker."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_trafficlens_encoders", {})
+    if vocabulary not in kept:
+        kept[vocabulary] = _Encoder(vocabulary)
+    return kept[vocabulary]
 
 
 def _tokens(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start = _encoder(vocabulary), 0
+        encoder, start = _encoder(vocabulary), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                rows = [[*ids, end_id] for ids in encode(part.column(1).to_pylist())]
-                sizes = [len(r) for r in rows]
-                starts = []
-                for n in sizes:
-                    starts.append(start)
-                    start += n
+            for lo, texts in slices(batch.column(1)):
+                ids, sizes = encoder.encode(texts, end_id)
+                ends = np.cumsum(sizes)
+                rows = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()),
-                     pa.array(rows, pa.list_(pa.int32()))],
-                    ["doc_id", "local_start", "n_tokens", "ids"])
+                    [batch.column(0).slice(lo, len(texts)), pa.array(start + ends - sizes),
+                     pa.array(sizes), rows], ["doc_id", "local_start", "n_tokens", "ids"])
+                start += int(ends[-1])
 
     return run
 
@@ -137,8 +237,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
-
     for b in batches:
         ids = b.column(3)
         flat = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
