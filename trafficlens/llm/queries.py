@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import exact_dedup, jaccard_join, mixing, token_orc
+from trafficlens.llm import brown, exact_dedup, jaccard_join, mixing, token_orc, toxicity
+from trafficlens.llm.columns import id_crc
 from trafficlens.plans.scratch import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_brown_lm")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_crc() % 7 == 2
+    model, words = brown.train(docs.where(~held_out))
+    return brown.score(docs, model, words, held_out)
+
+
 @query("op4_jaccard_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents")).select(
@@ -65,6 +74,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learned from labelled documents whose id's crc32 leaves a remainder other than 0 by 5."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    learn = table(spark, sf_dir, "documents").select("doc_id", "text").where(id_crc() % 5 != 0)
+    return toxicity.train(learn.join(labels, "doc_id").select("text", "toxic"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.withColumn("held_out", id_crc() % 5 == 0),
+                            toxicity_model(spark, sf_dir), ["doc_id", "held_out"])
+    return scored.select(F.col("k0").alias("doc_id"), F.col("k1").alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op10_token_orc")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-orc")

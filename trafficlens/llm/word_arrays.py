@@ -49,6 +49,8 @@ def _tables(n: int) -> dict[str, np.ndarray]:
         _state["space"] = (byte == 32) | ((byte >= 9) & (byte <= 13))
         _state["lower"] = np.where((byte >= 65) & (byte <= 90), byte + 32, byte).astype(np.uint8)
         _state["value"] = constants(256, 11)
+        _state["no letter"] = (byte < 128) & ~((byte >= 97) & (byte <= 122)) & ~(
+            (byte >= 65) & (byte <= 90))
     if len(_state.get("power", ())) <= n:
         size = max(n, 2 * WINDOW) + 1
         for name, base in (("power", _POWER), ("inverse", pow(_POWER, -1, 1 << 64))):
@@ -58,6 +60,11 @@ def _tables(n: int) -> dict[str, np.ndarray]:
     return _state
 
 
+def letter_breaks() -> np.ndarray:
+    """Byte values that part words of letters: all of ASCII but its letters."""
+    return _tables(0)["no letter"]
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column without nulls, and the offsets of its rows."""
     wide = pa.types.is_large_string(column.type)
@@ -71,39 +78,56 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
-def word_spans(raw: np.ndarray, at: np.ndarray, lower: bool = True
-               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end, hash) of every word, rows in order. Words end at white space and rows."""
-    tables = _tables(0)
-    starts, ends, hashes = [], [], []
+def windows(raw: np.ndarray, at: np.ndarray, breaks: np.ndarray
+            ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first byte, bytes, word starts, word ends) of windows that end where words do.
+
+    ``breaks`` says which byte values part words; rows part them too.
+    """
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[at] = True
     lo = 0
     while lo < len(raw):
         hi = min(lo + WINDOW, len(raw))
-        while hi < len(raw):  # a window ends where a word does
-            back = np.flatnonzero(tables["space"][raw[lo:hi]] | edge[lo + 1:hi + 1])
+        while hi < len(raw):
+            back = np.flatnonzero(breaks[raw[lo:hi]] | edge[lo + 1:hi + 1])
             if len(back):
                 hi = lo + int(back[-1]) + 1
                 break
             hi = min(hi + WINDOW, len(raw))
         part = raw[lo:hi]
-        tables = _tables(len(part))
-        space = tables["space"][part]
-        ink = ~space
-        first = ink.copy()
-        first[1:] &= space[:-1] | edge[lo + 1:hi]
-        last = ink
-        last[:-1] &= space[1:] | edge[lo + 1:hi]
-        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        values = tables["value"][tables["lower"][part] if lower else part]
-        values *= tables["power"][:len(part)]
-        total = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(values, out=total[1:])
-        hashes.append(mixed((total[e] - total[s]) * tables["inverse"][s]))
+        gap = breaks[part]
+        first = ~gap
+        last = first.copy()
+        first[1:] &= gap[:-1] | edge[lo + 1:hi]
+        last[:-1] &= gap[1:] | edge[lo + 1:hi]
+        yield lo, part, np.flatnonzero(first), np.flatnonzero(last) + 1
+        lo = hi
+
+
+def running_hash(part: np.ndarray) -> np.ndarray:
+    """Running sums from which ``piece_hash`` takes the hash of any piece of ``part``."""
+    tables = _tables(len(part))
+    total = np.zeros(len(part) + 1, dtype=np.uint64)
+    np.cumsum(tables["value"][part] * tables["power"][:len(part)], out=total[1:])
+    return total
+
+
+def piece_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the pieces from start to end, equal for equal bytes wherever they lie."""
+    return mixed((total[end] - total[start]) * _tables(0)["inverse"][start])
+
+
+def word_spans(raw: np.ndarray, at: np.ndarray, lower: bool = True
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, hash) of every word, rows in order. Words end at white space and rows."""
+    tables = _tables(0)
+    starts, ends, hashes = [], [], []
+    for lo, part, s, e in windows(raw, at, tables["space"]):
+        total = running_hash(tables["lower"][part] if lower else part)
+        hashes.append(piece_hash(total, s, e))
         starts.append(s + lo)
         ends.append(e + lo)
-        lo = hi
     if not starts:
         none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, np.uint64)
