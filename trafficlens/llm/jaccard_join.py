@@ -39,6 +39,12 @@ def _signature(s: np.ndarray) -> int:
                           signed=True)
 
 
+def _sketch(s: np.ndarray) -> np.ndarray | None:
+    """How many n-grams fall into each of 256 parts of the hash range; none if a part overflows."""
+    parts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256)
+    return parts.astype(np.int8) if parts.max() < 128 else None
+
+
 def _repeated(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not sets:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -48,7 +54,7 @@ def _repeated(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profile(width: int):
-    """Rows (row, doc_id, n, node, 0), and (-, -, 0, n-gram, count) for those met again in a task."""
+    """Rows (row, doc_id, n, node, 0, sketch); (-, -, 0, n-gram, count, -) for those met again."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[np.ndarray] = []
@@ -59,9 +65,9 @@ def _profile(width: int):
             none = pa.nulls(len(keys), pa.int64())
             return pa.RecordBatch.from_arrays(
                 [none, none, pa.array(np.zeros(len(keys), np.int64)), pa.array(keys),
-                 pa.array(found, pa.int64())], names)
+                 pa.array(found, pa.int64()), pa.nulls(len(keys), pa.list_(pa.int8()))], names)
 
-        names = ["row", "doc_id", "n", "key", "count"]
+        names = ["row", "doc_id", "n", "key", "count", "sketch"]
         for batch in batches:
             for lo, texts in slices(batch.column(2)):
                 sets = shingle_sets(texts, width)
@@ -69,7 +75,8 @@ def _profile(width: int):
                 part = batch.slice(lo, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(list(map(len, sets)), pa.int64()),
-                     pa.array(nodes, pa.int64()), pa.array(np.zeros(len(sets), np.int64))], names)
+                     pa.array(nodes, pa.int64()), pa.array(np.zeros(len(sets), np.int64)),
+                     pa.array([_sketch(s) for s in sets], pa.list_(pa.int8()))], names)
                 for s, node in zip(sets, nodes):
                     if node not in seen:
                         seen.add(node)
@@ -176,7 +183,20 @@ def _pair() -> list[Column]:
 
 def _links(pairs: DataFrame, docs: DataFrame, places: DataFrame, width: int, percent: int
            ) -> DataFrame:
-    """Those of the pairs whose whole sets are similar enough."""
+    """Those of the pairs whose whole sets are similar enough.
+
+    No part of the hash range holds more common n-grams than the smaller of the two counts there,
+    so the counts bound the overlap; only pairs within that bound need the sets themselves.
+    """
+    sketch = places.select("node", "sketch")
+    most = F.aggregate(
+        F.zip_with("sa", "sb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
+    need = percent * (F.col("na") + F.col("nb"))
+    pairs = shared_table(
+        pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
+        .join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+        .where(F.col("sa").isNull() | F.col("sb").isNull() | ((100 + percent) * most >= need))
+        .drop("sa", "sb"), "jaccard-bounded")
     involved = pairs.select(F.col("a").alias("node")).unionByName(
         pairs.select(F.col("b").alias("node"))).distinct()
     rows = shared_table(places.join(involved, "node").select("row"), "jaccard-rows")
@@ -187,8 +207,7 @@ def _links(pairs: DataFrame, docs: DataFrame, places: DataFrame, width: int, per
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     overlap = F.size(F.array_intersect("ga", "gb"))
-    return both.where((100 + percent) * overlap >= percent * (F.col("na") + F.col("nb"))).select(
-        "a", "b")
+    return both.where((100 + percent) * overlap >= need).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -207,9 +226,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = docs.select(F.xxhash64(named(id_col).cast("string"), text).alias("row"),
                       named(id_col).cast("long").alias("doc_id"), text.alias("text"))
     profile = shared_table(
-        own.mapInArrow(_profile(width), "row long, doc_id long, n long, key long, count long"),
+        own.mapInArrow(_profile(width), "row long, doc_id long, n long, key long, count long, "
+                      "sketch array<tinyint>"),
         "jaccard-profile")
-    meta = profile.where("count = 0").select("row", "doc_id", "n", F.col("key").alias("node"))
+    meta = profile.where("count = 0").select(
+        "row", "doc_id", "n", F.col("key").alias("node"), "sketch")
     often = (
         profile.where("count > 0").groupBy("key").agg(F.sum("count").alias("times"))
         .where(F.col("times") >= OFTEN).orderBy(F.desc("times"), "key").limit(MOST_FREQUENT)
@@ -229,9 +250,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "jaccard-columns")
     nodes = shared_table(
         meta.where("n > 0").groupBy("node").agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("top")),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("top"),
+            F.first("sketch").alias("sketch")),
         "jaccard-nodes")
-    places = nodes.select("node", F.col("top.row").alias("row"))
+    places = nodes.select("node", F.col("top.row").alias("row"), "sketch")
 
     # stars: each column's documents against its smallest node
     centres = shared_table(
