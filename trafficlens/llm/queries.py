@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import brown, exact_dedup, jaccard_join, mixing, token_orc, toxicity
-from trafficlens.llm.columns import id_crc
+from trafficlens.llm import brown, crf, exact_dedup, jaccard_join, mixing, token_orc, toxicity
+from trafficlens.llm.columns import id_crc, named
 from trafficlens.plans.scratch import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id")
 
 
+@query("op5_crf_language")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_crc() % 4 == 2
+    model = crf.train(docs.where(~held_out).select("text", "lang"))
+    return crf.predict(docs, model, {"doc_id": named("doc_id"), "held_out": held_out})
+
+
 @query("op6_exact_dedup", r"""
 with base as (
   select doc_id, length(coalesce(text, '')) as size,
