@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import brown, crf, exact_dedup, jaccard_join, mixing, token_orc, toxicity
+from trafficlens.llm import (
+    brown,
+    crf,
+    exact_dedup,
+    feistel,
+    host_trust,
+    jaccard_join,
+    mixing,
+    spaced_seeds,
+    token_orc,
+    toxicity,
+)
 from trafficlens.llm.columns import id_crc, named
 from trafficlens.plans.scratch import scratch_dir
 
@@ -43,6 +54,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(docs, model, words, held_out)
 
 
+@query("op2_spaced_seeds")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).select("doc_id", "item_id", "matched_words", "span_words")
+
+
+#: A secret in production; here a constant, so that reruns agree.
+PSEUDONYM_KEY = "example key"
+
+
+@query("op3_feistel_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return feistel.pseudonymise(docs, PSEUDONYM_KEY)
+
+
 @query("op4_jaccard_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents")).select(
@@ -82,6 +110,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+         ("block", "net/es/"), ("block", "net/fr/"))
+
+
+@query("op8_host_trust")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_trust.judge(table(spark, sf_dir, "pages"), RULES).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Learned from labelled documents whose id's crc32 leaves a remainder other than 0 by 5."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
