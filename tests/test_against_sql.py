@@ -4,8 +4,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import arrow_types, differences
-
-QUERIES, SQL = queries(), oracle_sql()
+from checks.queries import ORACLE as SQL
+from checks.queries import QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -18,6 +18,7 @@ def test_query_matches_sql(name, spark, sf_dir, con):
 
 def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
 
 
 def test_entry(spark):
