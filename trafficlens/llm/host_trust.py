@@ -134,3 +134,66 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "pag
             F.coalesce("distrust", zero) - F.coalesce("trust", zero) > threshold, F.lit("block")
         ).otherwise(F.lit("allow"))).alias("verdict"),
         F.coalesce("trust", zero).alias("trust"), F.coalesce("distrust", zero).alias("distrust"))
+
+
+def judge_sql(rules: Sequence[tuple[str, str]], rounds: int = ROUNDS, damping: float = DAMPING,
+              threshold: float = THRESHOLD) -> str:
+    """The verdicts in DuckDB SQL over a table ``pages``, one common table per round."""
+    def host(url: str) -> str:
+        return (f"translate(coalesce(regexp_extract({url}, '^[\\s\\S]*?://([^/?#]*)', 1), ''), "
+                "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+    def case(pick) -> str:
+        whens = []
+        for verdict, rule in sorted(rules, key=lambda r: -len(r[1])):
+            of, path = rule.split("/", 1)
+            whens.append(f"when (host = '{of}' or ends_with(host, '.{of}')) and "
+                         f"starts_with(path, '/{path}') then '{pick(verdict, rule)}'")
+        return "case " + " ".join(whens) + " end"
+
+    href = HREF.replace("'", "''")
+    steps = "".join(f"""
+s{k + 1} as materialized (
+  select host, kind, sum(score) as score from (
+    select host, kind, seed * {1 - damping!r} as score from seeds
+    union all
+    select e.target, e.kind, s.score * e.share * {damping!r}
+    from s{k} s join shares e on s.host = e.source and s.kind = e.kind) group by host, kind),"""
+                    for k in range(rounds))
+    return f"""
+with own as (
+  select page_id, html, {host('url')} as host,
+         coalesce(regexp_extract(url, '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+ruled as (select *, {case(lambda v, r: r)} as rule, {case(lambda v, r: v)} as verdict from own),
+hrefs as (select host as source, unnest(regexp_extract_all(html, '{href}', 1)) as href from own),
+outward as (
+  select source, {host("case when starts_with(href, '//') then 'x:' || href else href end")} as target
+  from hrefs),
+links as (
+  select source, target, count(*) as links from outward
+  where source <> '' and target <> '' and source <> target group by source, target),
+hosts as (select host from own where host <> '' union select target from links),
+up as (
+  select host as source, regexp_extract(host, '^[^.]+\\.(.+)$', 1) as target from hosts
+  where regexp_extract(host, '^[^.]+\\.(.+)$', 1) in (select host from hosts)),
+all_links as (
+  select source, target, sum(links) as links from (
+    select * from links union all select source, target, 1 from up
+    union all select target, source, 1 from up) group by source, target),
+edges as (
+  select source, target, links, 'trust' as kind from all_links
+  union all select target, source, links, 'distrust' from all_links),
+shares as (
+  select source, target, kind, links / sum(links) over (partition by source, kind) as share from edges),
+seeds as (
+  select host, kind, n / sum(n) over (partition by kind) as seed from (
+    select host, case verdict when 'allow' then 'trust' else 'distrust' end as kind, count(*) as n
+    from ruled where verdict is not null group by 1, 2)),
+s0 as (select host, kind, seed as score from seeds),{steps}
+scores as (
+  select host, coalesce(sum(score) filter (kind = 'trust'), 0) as trust,
+         coalesce(sum(score) filter (kind = 'distrust'), 0) as distrust from s{rounds} group by host)
+select page_id, r.host, path, rule, coalesce(verdict, case
+  when coalesce(distrust, 0) - coalesce(trust, 0) > {threshold!r} then 'block' else 'allow' end) as verdict
+from ruled r left join scores s on r.host = s.host
+"""

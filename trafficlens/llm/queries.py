@@ -114,7 +114,7 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
          ("block", "net/es/"), ("block", "net/fr/"))
 
 
-@query("op8_host_trust")
+@query("op8_host_trust", host_trust.judge_sql(RULES))
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_trust.judge(table(spark, sf_dir, "pages"), RULES).select(
         "page_id", "host", "path", "rule", "verdict")
