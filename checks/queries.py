@@ -917,7 +917,7 @@ def failover_summary(spark, d):
     return routing.failover_summary(v.attempts(spark, d))
 
 
-@query("admission_funnel", "traffic rate screened_reuse missed_budget flagged_docs", """
+@query("admission_funnel", "traffic rate paid5 flagged_docs", """
 select stage, cast(case stage when 'unknown_key' then 401 when 'rate_limited' then 429
     when 'empty' then 400 when 'guardrail' then 400 when 'cache_hit' then 200
     when 'over_budget' then 429 when 'no_backend' then 503 when 'failed' then 500 else 200 end
@@ -929,8 +929,8 @@ from (select case when t.api_key = 'sk-9' then 'unknown_key' when not r.allowed
     when t.status = 'error' and t.event_id % 2 = 0 then 'no_backend'
     when t.status = 'error' then 'failed' else 'served' end as stage
   from traffic t left join rate r on r.event_id = t.event_id
-  left join screened_reuse u on u.event_id = t.event_id
-  left join missed_budget b on b.event_id = t.event_id)
+  left join hit5 u on u.event_id = t.event_id
+  left join paid5 b on b.event_id = t.event_id)
 group by stage""")
 def admission_funnel(spark, d):
     t = v.traffic(spark, d)

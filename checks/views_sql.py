@@ -138,11 +138,11 @@ select * from (
   select event_id, key, ts, hit from walk)"""
 
 
-def _budget(source: str) -> str:
+def _budget(source: str, charge: str = "budget_cost_usd") -> str:
     return f"""
 select * from (
   with recursive num as (
-    select event_id, t.api_key, ts, budget_cost_usd as cost, daily_limit_usd as dl,
+    select event_id, t.api_key, ts, budget_cost_usd as cost, {charge} as charge, daily_limit_usd as dl,
       monthly_limit_usd as ml, b.api_key is not null as known, cast(ts as date) as day,
       date_trunc('month', ts) as month,
       row_number() over (partition by t.api_key order by ts, event_id) as n
@@ -154,8 +154,8 @@ select * from (
     from (select distinct api_key from num)
     union all
     select api_key, n, event_id, ts, day, month,
-      case when decision = 'allowed' then ds + cost else ds end,
-      case when decision = 'allowed' then ms + cost else ms end, decision
+      case when decision = 'allowed' then ds + charge else ds end,
+      case when decision = 'allowed' then ms + charge else ms end, decision
     from (select *, case when not known then 'no_budget'
           when coalesce(dl, 0) <> 0 and ds + cost > dl then 'daily_exceeded'
           when coalesce(ml, 0) <> 0 and ms + cost > ml then 'monthly_exceeded'
@@ -178,10 +178,41 @@ VIEWS["screened"] = """
 select t.* from traffic t join rate r on r.event_id = t.event_id
 where r.allowed and t.api_key <> 'sk-9' and t.event_id % 50 <> 0
   and t.k not in (select doc_id from flagged_docs)"""
-VIEWS["screened_reuse"] = _reuse("screened", "k", 21600)
-VIEWS["missed"] = """
-select s.* from screened s join screened_reuse r on r.event_id = s.event_id where not r.hit"""
-VIEWS["missed_budget"] = _budget("missed")
+
+
+def _stored(source: str, ttl: int) -> str:
+    """Cache lookups by ``k`` where a miss stores its answer only if ``stores`` says so."""
+    return f"""
+select * from (
+  with recursive num as (
+    select event_id, k, ts, stores, row_number() over (partition by k order by ts, event_id) as n
+    from {source}),
+  walk as (
+    select event_id, k, ts, n, case when stores then ts end as stored, false as hit
+    from num where n = 1
+    union all
+    select num.event_id, num.k, num.ts, num.n,
+      case when coalesce(num.ts - walk.stored <= interval {ttl} second, false) then walk.stored
+        when num.stores then num.ts else walk.stored end,
+      coalesce(num.ts - walk.stored <= interval {ttl} second, false)
+    from walk join num on num.k = walk.k and num.n = walk.n + 1)
+  select event_id, hit from walk)"""
+
+
+# cache and budget take turns: a call stores its answer and is charged only when it is served
+FUNNEL_TURNS = 5
+VIEWS["look1"] = "select *, status <> 'error' as stores from screened"
+for turn in range(1, FUNNEL_TURNS + 1):
+    VIEWS[f"hit{turn}"] = _stored(f"look{turn}", 21600)
+    VIEWS[f"miss{turn}"] = (
+        f"select s.* from screened s join hit{turn} r on r.event_id = s.event_id where not r.hit"
+    )
+    VIEWS[f"paid{turn}"] = _budget(
+        f"miss{turn}", "case when status <> 'error' then budget_cost_usd else 0 end"
+    )
+    VIEWS[f"look{turn + 1}"] = f"""
+select s.*, status <> 'error' and coalesce(p.decision, 'allowed') = 'allowed' as stores
+from screened s left join paid{turn} p on p.event_id = s.event_id"""
 VIEWS["resident"] = """
 select event_id, ts, k, case when d < 50 then d end as distance,
   coalesce(d < 50, false) as resident
@@ -224,9 +255,11 @@ NEEDS = {
     "budgeted": ["traffic", "budgets"],
     "flagged_docs": ["docs_injected"],
     "screened": ["traffic", "rate", "flagged_docs"],
-    "screened_reuse": ["screened"],
-    "missed": ["screened", "screened_reuse"],
-    "missed_budget": ["missed", "budgets"],
+    "look1": ["screened"],
+    **{f"hit{t}": [f"look{t}"] for t in range(1, FUNNEL_TURNS + 1)},
+    **{f"miss{t}": [f"hit{t}"] for t in range(1, FUNNEL_TURNS + 1)},
+    **{f"paid{t}": [f"miss{t}", "budgets"] for t in range(1, FUNNEL_TURNS + 1)},
+    **{f"look{t + 1}": [f"paid{t}"] for t in range(1, FUNNEL_TURNS)},
     "resident": ["traffic"],
     "reuse_bounded": ["resident"],
 }

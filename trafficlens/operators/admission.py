@@ -45,8 +45,8 @@ def requests_with_budget(calls: DataFrame, budgets: DataFrame) -> DataFrame:
 class SlidingLog:
     """Accepts a row while fewer than its limit were accepted in the window before it."""
 
-    def __init__(self, ts: str, limit: str, window_us: int):
-        self.ts, self.limit, self.window = ts, limit, window_us
+    def __init__(self, ts: str, limit: str, window_us: int, counts: str | None = None):
+        self.ts, self.limit, self.window, self.counts = ts, limit, window_us, counts
         self.accepted: deque[int] = deque()
 
     def load(self, state: str | None) -> None:
@@ -58,6 +58,7 @@ class SlidingLog:
     def walk(self, rows: dict[str, list]) -> list[bool]:
         times, limits = rows[self.ts], rows[self.limit]
         accepted, window, n = self.accepted, self.window, len(times)
+        counts = rows[self.counts] if self.counts else None
         out = [False] * n
         steady = n > 0 and min(limits) == max(limits)
         i = 0
@@ -66,7 +67,8 @@ class SlidingLog:
             while accepted and now - accepted[0] >= window:
                 accepted.popleft()
             if len(accepted) < limit:
-                accepted.append(now)
+                if counts is None or counts[i]:
+                    accepted.append(now)
                 out[i] = True
                 i += 1
             elif not steady:
@@ -88,9 +90,13 @@ def sliding_log(
     decision: str,
     max_group_rows: int = MAX_GROUP_ROWS,
     rows_per_slice: int = ROWS_PER_SLICE,
+    counts: str | None = None,
 ) -> DataFrame:
     """Decide each row by the rows of its key accepted within ``window_us`` before it.
 
+    Rows whose ``counts`` column is false may be accepted, but do not count against later ones. A
+    row without a time stays undecided (null).
+
     Only accepted rows count, so this is a recurrence. Most rows do not need it: time is cut into
     cells one window long, and where a cell and the one before hold no more rows than the limit,
     every row of the cell is accepted whatever happened earlier. That takes one map-side combined
@@ -100,6 +106,10 @@ def sliding_log(
     ts = order[0]
     width = f"{window_us} microseconds"
     step = F.expr(f"interval {window_us} microsecond")
+    timeless = rows.where(F.col(ts).isNull()).select(
+        *keep, F.lit(None).cast("boolean").alias(decision)
+    )
+    # the window function leaves out rows without a time
     celled = rows.withColumn("__limit", limit.cast("long")).withColumn(
         "__cell", F.window(ts, width)["start"]
     )
@@ -137,7 +147,8 @@ def sliding_log(
     free = celled.join(runs.select(*on), on, "left_anti").select(
         *keep, F.lit(True).alias(decision)
     )
-    needed = list(dict.fromkeys([*keys, *order, *keep, "__limit", "__run"]))
+    extra = [counts] if counts else []
+    needed = list(dict.fromkeys([*keys, *order, *keep, *extra, "__limit", "__run"]))
     tight = celled.join(runs, on).select(*needed)
     sizes = runs.groupBy(*keys, "__run").agg(F.sum("n").alias("count"))
     walked = ordered_fold(
@@ -147,12 +158,12 @@ def sliding_log(
         keep,
         decision,
         T.BooleanType(),
-        lambda: SlidingLog(ts, "__limit", window_us),
+        lambda: SlidingLog(ts, "__limit", window_us, counts),
         max_group_rows,
         rows_per_slice,
         sizes,
     )
-    return free.unionByName(walked)
+    return free.unionByName(walked).unionByName(timeless)
 
 
 def rate_limit_decisions(
@@ -269,6 +280,10 @@ def budget_decisions(
     """
     ts = order[0]
     limits = budgets.select("api_key", "daily_limit_usd", "monthly_limit_usd")
+    # a call without a cost or an estimate costs nothing
+    calls = calls.withColumns(
+        {c: F.coalesce(F.col(c), F.lit(0.0)) for c in dict.fromkeys([estimate, cost])}
+    )
     priced = requests_with_budget(calls, limits).select(
         *dict.fromkeys([*keep, "api_key", *order, estimate, cost]),
         "daily_limit_usd",
@@ -359,18 +374,21 @@ def decide_requests(
 
     ``requests`` has an id (the last column of ``order``), api_key, time, prompt, cost, and the
     flags empty, no_backend and failed; ``prompts`` has the text of each prompt once. A stage sees
-    only what the stages before let through; its narrow answer is joined back by id. A cache
-    lookup that misses is taken to store its answer.
+    only what the stages before let through, and passes the columns of ``requests`` on.
+
+    A call stores its answer in the cache and is charged only when it is served; the budget check
+    sees its cost ahead in any case. So the cache depends on the budget and the budget on the cache.
+    Both are walked in turn until the budget's answers are those that the cache walk had assumed:
+    each turn settles at least one more call in time order, and few turns settle all.
     """
     from trafficlens.operators.reuse import TTL_SEC, prompt_reuse
 
-    id_col = order[-1]
-    keep = (id_col, "api_key", order[0])
+    keep = requests.columns
     walk = {"max_group_rows": max_group_rows, "rows_per_slice": rows_per_slice}
     known = known_key_filter(requests, budgets)
     rates = rate_limit_decisions(
         known, budgets, rate_limit, rate_window_sec, order, keep, **walk
-    ).select(id_col, (~F.col("allowed")).alias("rate_limited"))
+    ).select(*keep, (~F.col("allowed")).alias("rate_limited"))
     flagged = small_side(
         materialise(
             prompts.where(first_injection(F.col("text")).isNotNull())
@@ -379,28 +397,50 @@ def decide_requests(
             "flagged-prompts",
         )
     )
-    screened = (
-        known.join(rates, id_col)
-        .join(flagged, prompt, "left")
-        .withColumn("guardrail", F.coalesce("guardrail", F.lit(False)))
-    )
     # the later stages each read this several times
-    screened = materialise(screened, "screened")
-    looked_up = screened.where(~F.col("rate_limited") & ~F.col("empty") & ~F.col("guardrail"))
-    found = prompt_reuse(
-        looked_up, prompt, TTL_SEC if ttl_sec is None else ttl_sec, None, order, [id_col], **walk
-    ).select(id_col, F.col("hit").alias("cache_hit"))
-    found = materialise(found, "looked-up")
-    missed = looked_up.join(found.where(~F.col("cache_hit")), id_col, "left_semi")
-    charged = budget_decisions(missed, budgets, cost, cost, order, keep, **walk).select(
-        id_col, (F.col("decision") != "allowed").alias("over_budget")
+    screened = materialise(
+        rates.join(flagged, prompt, "left").select(
+            *keep, "rate_limited", F.coalesce("guardrail", F.lit(False)).alias("guardrail")
+        ),
+        "screened",
     )
+    stopped = F.coalesce("rate_limited", F.lit(False)) | F.col("empty") | F.col("guardrail")
+    served = ~(F.col("no_backend") | F.col("failed"))
+    assumed = screened.where(~stopped).select(*keep, F.lit(False).alias("__over"))
+    while True:
+        carry = [*keep, "__over"]
+        found = materialise(
+            prompt_reuse(
+                assumed.withColumn("__stores", served & ~F.col("__over")),
+                prompt, TTL_SEC if ttl_sec is None else ttl_sec, None, order, carry,
+                stores="__stores", **walk,
+            ),
+            "looked-up",
+        )
+        missed = found.where(~F.col("hit")).withColumn(
+            "__charge", F.when(served, F.col(cost)).otherwise(0.0)
+        )
+        charged = budget_decisions(missed, budgets, cost, "__charge", order, carry, **walk).select(
+            *carry,
+            F.lit(False).alias("cache_hit"),
+            (F.col("decision") != "allowed").alias("over_budget"),
+        )
+        hits = found.where("hit").select(
+            *carry, F.lit(True).alias("cache_hit"), F.lit(None).cast("boolean").alias("over_budget")
+        )
+        answered = materialise(hits.unionByName(charged), "answered")
+        if answered.where("over_budget <> __over").isEmpty():
+            break
+        assumed = answered.select(*keep, F.coalesce("over_budget", F.lit(False)).alias("__over"))
     unknown = known_key_filter(requests, budgets, unknown=True).withColumn(
         "unknown_key", F.lit(True)
     )
+    reached = answered.drop("__over").withColumns(
+        {"rate_limited": F.lit(False), "guardrail": F.lit(False)}
+    )
     return (
-        screened.join(found, id_col, "left")
-        .join(charged, id_col, "left")
+        screened.where(stopped)
+        .unionByName(reached, allowMissingColumns=True)
         .withColumn("unknown_key", F.lit(False))
         .unionByName(unknown, allowMissingColumns=True)
     )

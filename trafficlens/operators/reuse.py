@@ -35,9 +35,12 @@ def prompt_reuse(
     keep: Sequence[str] = ("event_id", "ts"),
     max_group_rows: int = MAX_GROUP_ROWS,
     rows_per_slice: int = ROWS_PER_SLICE,
+    stores: str | None = None,
 ) -> DataFrame:
     """``hit`` per call: an entry of the same key was stored at most ``ttl_sec`` ago.
 
+    A call that misses stores an entry; with ``stores``, only if that column is true.
+
     A hit does not renew the entry. So misses of a key are the calls a sliding log with room for
     one would accept, in a window just longer than the lifetime. With ``capacity`` an entry
     pushed out by other keys is gone too, and its key starts over.
@@ -57,7 +60,8 @@ def prompt_reuse(
         keys = [key, "__epoch"]
     kept = list(dict.fromkeys([*keep, key]))
     stored = sliding_log(
-        rows, keys, order, kept, F.lit(1), window_us, "__stored", max_group_rows, rows_per_slice
+        rows, keys, order, kept, F.lit(1), window_us, "__stored", max_group_rows, rows_per_slice,
+        stores,
     )
     return stored.select(*kept, (~F.col("__stored")).alias("hit"))
 
