@@ -8,7 +8,7 @@ if the sizes and the places of the shared n-gram leave room for the overlap that
 needs; overlaps are accumulated per pair and bounded once more; the pairs left are counted exactly.
 
 Copies share one node, the 64-bit hash of their set. Before the product, each column's documents are
-held against its smallest node. Pairs that these links already join need no comparison, so a group
+held against the one that has its n-gram earliest. Pairs that these links already join need no comparison, so a group
 of thousands of near copies costs stars, not all pairs; all other pairs are compared.
 """
 
@@ -255,16 +255,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "jaccard-nodes")
     places = nodes.select("node", F.col("top.row").alias("row"), "sketch")
 
-    # stars: each column's documents against its smallest node
+    # stars: each column's documents against the one that has the n-gram earliest, which has the
+    # fewest rare n-grams and so is the likeliest to be close to all others
     centres = shared_table(
         columns.groupBy("gram").agg(
             F.count("*").alias("thick"),
-            F.min(F.struct("node", "n", "place")).alias("c")).where("thick > 1")
+            F.min(F.struct("place", "node", "n")).alias("c")).where("thick > 1")
         .select("gram", "thick", "c.*"), "jaccard-centres")
     stars = centres.alias("a").join(
         columns.alias("b"),
-        (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") < F.col("b.node")) & _room(percent)
+        (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") != F.col("b.node")) & _room(percent)
     ).select(*_pair())
+    turned = F.col("a") > F.col("b")
+    stars = stars.select(*[
+        F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
+        for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"), ("pa", "pb"), ("pb", "pa"))])
     tried = shared_table(_candidates(stars, percent), "jaccard-stars")
     first = shared_table(_links(tried, own, places, width, percent), "jaccard-links")
     labels = shared_table(components(first), "jaccard-labels")
