@@ -275,10 +275,11 @@ def append_ledger(spark, d):
 
 
 @query("upsert_budgets", "", """
-with base as (select concat('ck-', cast(c_custkey as varchar)) as api_key,
+with base as (select concat(case when c_custkey % 3 = 0 then 'old-' else 'ck-' end,
+    cast(c_custkey as varchar)) as api_key,
     abs(c_acctbal) / 100 as daily, abs(c_acctbal) as monthly,
     cast(case when c_custkey % 4 = 0 then null else c_custkey % 90 end as int) as rpm
-  from customer where c_custkey % 3 <> 0),
+  from customer),
 changes as (select o_orderkey as seq, o_orderkey % 2 = 0 as config,
     concat('ck-', cast(o_custkey as varchar)) as api_key, o_totalprice / 1000 as daily,
     o_totalprice as monthly,
@@ -297,9 +298,10 @@ from base b full outer join (select * from eff where newest = 1) e on e.api_key
 left join rates r on r.api_key = e.api_key""")
 def upsert_budgets(spark, d):
     key = lambda c: F.concat(F.lit("ck-"), F.col(c).cast("string")).alias("api_key")
-    cust = v.table(spark, d, "customer").where(F.col("c_custkey") % 3 != 0)
-    base = cust.select(
-        key("c_custkey"),
+    # a third of the customers has keys of another name, so that changes bring new keys
+    old = F.concat(F.lit("old-"), F.col("c_custkey").cast("string"))
+    base = v.table(spark, d, "customer").select(
+        F.when(F.col("c_custkey") % 3 == 0, old).otherwise(key("c_custkey")).alias("api_key"),
         (F.abs("c_acctbal") / 100).alias("daily_limit_usd"),
         F.abs("c_acctbal").alias("monthly_limit_usd"),
         F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") % 90).cast("int").alias(
@@ -349,11 +351,15 @@ def upsert_breakers(spark, d):
 
 
 @query("request_cost", "traffic backends", """
-select event_id, t.backend, round(prompt_tokens / 1000.0::double * cost_per_1k_prompt
-  + completion_tokens / 1000.0::double * cost_per_1k_completion, 10) as cost_usd
-from traffic t join backends b on b.backend = t.backend""")
+select event_id, backend, round(coalesce(prompt_tokens / 1000.0::double * cost_per_1k_prompt
+  + completion_tokens / 1000.0::double * cost_per_1k_completion, 0), 10) as cost_usd
+from (select t.*, case when event_id % 9 = 4 then 'unknown' else t.backend end as served
+  from traffic t) t left join backends b on b.backend = t.served""".replace(
+    "select event_id, backend", "select event_id, served as backend"))
 def request_cost(spark, d):
-    return pricing.request_cost(v.traffic(spark, d), v.backends(spark)).select(
+    served = F.when(F.col("event_id") % 9 == 4, "unknown").otherwise(F.col("backend"))
+    calls = v.traffic(spark, d).withColumn("backend", served)
+    return pricing.request_cost(calls, v.backends(spark)).select(
         "event_id", "backend", r10("cost_usd")
     )
 
@@ -592,18 +598,18 @@ def provider_params(spark, d):
     )
 
 
-@query("merge_adjacent_turns", "turns_gappy", """
-with kept as (select * from turns_gappy where role in ('user', 'assistant')),
+@query("merge_adjacent_turns", "turns_doubled", """
+with kept as (select * from turns_doubled where role in ('user', 'assistant')),
 flagged as (select *, case when role = lag(role) over (partition by conv_id order by turn)
     then 0 else 1 end as starts from kept),
 runs as (select *, sum(starts) over (partition by conv_id order by turn) as run from flagged)
 select conv_id, min(turn) as start_turn, any_value(role) as role,
   string_agg(text, chr(10) || chr(10) order by turn) as content
 from runs group by conv_id, run
-union all select distinct conv_id, 0, 'user', '.' from turns_gappy
+union all select distinct conv_id, 0, 'user', '.' from turns_doubled
   where conv_id not in (select conv_id from kept)""")
 def merge_adjacent_turns(spark, d):
-    return conversations.merge_adjacent_turns(v.turns_gappy(spark, d), rows_per_slice=N)
+    return conversations.merge_adjacent_turns(v.turns_doubled(spark, d), rows_per_slice=N)
 
 
 @query("system_prompt", "", """
@@ -734,12 +740,12 @@ def available_backends(spark, d):
 
 
 @query("nonempty_messages", "", """
-select distinct conv_id from conversations
-where conv_id in (select conv_id from conversations where role = 'system')""")
+select doc_id from documents where doc_id in (select conv_id from conversations)""")
 def nonempty_messages(spark, d):
-    turns = v.table(spark, d, "conversations")
+    """Documents stand for requests; those that no conversation belongs to have no messages."""
+    turns = v.table(spark, d, "conversations").withColumnRenamed("conv_id", "doc_id")
     return admission.nonempty_messages(
-        turns.select("conv_id").distinct(), turns.where(F.col("role") == "system"), "conv_id"
+        v.table(spark, d, "documents").select("doc_id"), turns, "doc_id"
     )
 
 

@@ -139,9 +139,7 @@ def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = docs.select(
         "doc_id",
         F.lit(0).alias("turn"),
-        F.concat(
-            F.substring("text", F.lit(1), (40 + F.col("doc_id") % 80).cast("int")), ends
-        ).alias("text"),
+        F.concat("text", ends).alias("text"),
     )
     second = docs.where(F.col("doc_id") % 3 == 0).select(
         "doc_id", F.lit(1).alias("turn"), F.lit("to go").alias("text")
@@ -149,9 +147,11 @@ def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second)
 
 
-def turns_gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where(
-        ~((F.col("role") == "assistant") & ((F.col("conv_id") + F.col("turn")) % 3 == 0))
+def turns_doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in which some answers are taken as said by the user, so that roles repeat."""
+    renamed = (F.col("role") == "assistant") & ((F.col("conv_id") + F.col("turn")) % 3 == 0)
+    return table(spark, sf_dir, "conversations").withColumn(
+        "role", F.when(renamed, "user").otherwise(F.col("role"))
     )
 
 

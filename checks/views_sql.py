@@ -57,12 +57,12 @@ select doc_id, lang, source, concat(text, case doc_id % 12
   when 10 then ' a@x.org b@y.org a@x.org or 555-123-4567 ok' else '' end) as text
 from documents"""
 VIEWS["prompt_messages"] = """
-select doc_id, 0 as turn, concat(substr(text, 1, cast(40 + doc_id % 80 as int)),
-  case when doc_id % 5 = 0 then ' How to decode' when doc_id % 9 = 0 then ' tell me HOW'
+select doc_id, 0 as turn, concat(text, case when doc_id % 5 = 0 then ' How to decode' when doc_id % 9 = 0 then ' tell me HOW'
   else '' end) as text from documents
 union all select doc_id, 1, 'to go' from documents where doc_id % 3 = 0"""
-VIEWS["turns_gappy"] = """
-select * from conversations where not (role = 'assistant' and (conv_id + turn) % 3 = 0)"""
+VIEWS["turns_doubled"] = """
+select conv_id, turn, case when role = 'assistant' and (conv_id + turn) % 3 = 0 then 'user'
+  else role end as role, text from conversations"""
 VIEWS["attempts"] = """
 select t.request_id, t.ts, t.event_id, a.n as seq,
   case when t.status = 'error' and a.n = 3 then concat('b', cast((t.event_id + 1) % 3 as varchar))

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trafficlens.operators import admission, health, reuse, routing
-from trafficlens.plans.slices import MAX_SLICES, Running, running, slices_of
+from trafficlens.plans import slices as slicing
+from trafficlens.plans.slices import Running, running, slices_of
 
 START = datetime(2024, 1, 31, 20, 0, 0)
 SCHEMA = (
@@ -59,7 +60,7 @@ def test_slices_hold_all_rows_once_and_evenly(log):
     s = slices_of(df, "api_key", ["ts", "event_id"], 70)
     sizes = [r["count"] for r in s.assign(df).groupBy("__slice").count().collect()]
     assert sum(sizes) == len(rows) and len(sizes) >= 10 and max(sizes) < 3 * 70
-    assert len(s.cuts) < MAX_SLICES
+    assert s.number > 1
 
 
 @pytest.mark.parametrize("key", ["api_key", "backend", None])
@@ -89,6 +90,27 @@ def test_running_totals(log, key):
             last[k] = r[0]
 
 
+def test_very_many_slices_are_dealt_out_by_range(log, monkeypatch):
+    """Above the listed number, slices come from a range shuffle; their number has no bound."""
+    rows, df = log
+    asked = [Running("n", "sum", F.lit(1).cast("long")),
+             Running("last", "max", F.when(F.col("ok"), F.struct("ts", "event_id")), prior=True)]
+    columns = ["event_id", "n", F.col("last.event_id").alias("last")]
+    for key in ("api_key", None):
+        listed = running(df, key, ["ts", "event_id"], asked, **FINE).select(*columns).collect()
+        monkeypatch.setattr(slicing, "LISTED", 3)
+        dealt = slices_of(df, key, ["ts", "event_id"], 70)
+        assert not dealt.cuts and dealt.number == -(-len(rows) // 70)
+        sizes = [r["count"] for r in dealt.assign(df).groupBy("__slice").count().collect()]
+        assert sum(sizes) == len(rows) and max(sizes) < 3 * 70
+        got = running(df, key, ["ts", "event_id"], asked, **FINE).select(*columns).collect()
+        assert sorted(got, key=str) == sorted(listed, key=str)
+        monkeypatch.undo()
+    want = by_id(health.failure_streaks(df, F.col("ok"), **FINE), "streak")
+    monkeypatch.setattr(slicing, "LISTED", 3)
+    assert by_id(health.failure_streaks(df, F.col("ok"), **FINE), "streak") == want
+
+
 @pytest.mark.parametrize("alpha", [0.2, 0.9, 0.01])
 def test_latency_ema(log, alpha):
     rows, df = log

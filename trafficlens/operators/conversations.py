@@ -33,8 +33,9 @@ def cache_key(messages: Column, params: Column, extra: Sequence[Column] = ()) ->
             stripped(F.coalesce(m["role"], F.lit(""))).alias("role"),
         ),
     )
+    given = F.coalesce(params, F.create_map().cast("map<string,string>"))
     used = F.array_sort(
-        F.map_entries(F.map_filter(params, lambda k, v: k.isin(CACHE_KEY_PARAMS)))
+        F.map_entries(F.map_filter(given, lambda k, v: k.isin(CACHE_KEY_PARAMS)))
     )
     more = [c.alias(f"extra{i}") for i, c in enumerate(extra)]
     whole = F.struct(used.alias("kwargs"), said.alias("messages"), *more)
@@ -100,6 +101,10 @@ def provider_params(bodies: DataFrame, body: str = "body") -> DataFrame:
                               "stop array<string>")
     read = bodies.withColumn("__raw", raw).withColumn("__t", typed)
     stop = F.col("__raw")["stop"]
+    # a single string is taken, values of other types are not
+    single = F.schema_of_variant(
+        F.try_variant_get(F.try_parse_json(F.col(body)), "$.stop", "variant")
+    ) == "STRING"
     within = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     return read.select(
         *bodies.columns,
@@ -113,7 +118,7 @@ def provider_params(bodies: DataFrame, body: str = "body") -> DataFrame:
         F.when(F.col("__t.top_p").isNotNull(), within(F.col("__t.top_p"))).alias("top_p"),
         F.coalesce(
             "__t.stop",
-            F.when(stop.isNotNull(), F.array(stop)),
+            F.when(single, F.array(stop)),
         ).alias("stop_sequences"),
     )
 

@@ -108,7 +108,7 @@ def _linked_streaks(outcomes, ok, key, order, rows_per_slice) -> DataFrame:
         )
     )
     zero = F.lit(0).cast("long")
-    if not slices.cuts:
+    if slices.number == 1:
         return local.select(
             *outcomes.columns,
             F.col("__run").alias("streak"),

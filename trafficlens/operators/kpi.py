@@ -105,10 +105,11 @@ def spend_now(calls: DataFrame, as_of: date, ts: str = "ts") -> DataFrame:
     """
     day = F.to_date(ts)
     today = F.lit(as_of)
+    first = as_of.replace(day=1)
+    if "day" in calls.columns:  # of a fact in day folders only those of the month are opened
+        calls = calls.where(F.col("day").cast("date").between(F.lit(first), today))
     return (
-        calls.where(
-            (day >= F.trunc(today, "month")) & (day <= today)
-        )
+        calls.where((day >= F.lit(first)) & (day <= today))
         .groupBy("api_key")
         .agg(
             F.coalesce(F.sum(F.when(day == today, F.col("cost_usd"))), F.lit(0.0)).alias(

@@ -15,19 +15,18 @@ DEFAULT_MAX_TOKENS = 256
 
 
 def requests_with_price(calls: DataFrame, backends: DataFrame) -> DataFrame:
-    """Calls with the prices of the backend that served them."""
+    """Calls with the prices of the backend that served them; null where none is listed."""
     prices = backends.select("backend", "cost_per_1k_prompt", "cost_per_1k_completion")
-    return calls.join(small_side(prices), "backend")
+    return calls.join(small_side(prices), "backend", "left")
 
 
 def request_cost(calls: DataFrame, backends: DataFrame, name: str = "cost_usd") -> DataFrame:
+    """Cost of each call; a call that no listed backend served costs nothing."""
     priced = requests_with_price(calls, backends)
-    return priced.withColumn(
-        name,
-        call_cost(
-            "prompt_tokens", "completion_tokens", "cost_per_1k_prompt", "cost_per_1k_completion"
-        ),
+    cost = call_cost(
+        "prompt_tokens", "completion_tokens", "cost_per_1k_prompt", "cost_per_1k_completion"
     )
+    return priced.withColumn(name, F.coalesce(cost, F.lit(0.0)))
 
 
 def token_estimate(messages: DataFrame, keys: Sequence[str], text: str) -> DataFrame:

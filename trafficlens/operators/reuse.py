@@ -89,7 +89,7 @@ def reuse_distance(
         [calls.schema[c] for c in keep]
         + [T.StructField("distance", T.LongType()), T.StructField("resident", T.BooleanType())]
     )
-    recent = _recent_keys(sliced, key, order, capacity, len(slices.cuts) + 1)
+    recent = _recent_keys(sliced, key, order, capacity, slices.number)
 
     def walk(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)

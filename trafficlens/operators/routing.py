@@ -18,66 +18,56 @@ UNKNOWN_LATENCY_MS = 9999.0
 MAX_RETRIES = 2
 KEY_COOLDOWN_SEC = 60
 STRATEGIES = ("cost_first", "latency_first", "complexity", "round_robin", "weighted_round_robin")
-MAX_BACKENDS = 1000
 
 
-def catalogue(backends: DataFrame) -> list:
-    """The catalogue's rows in configured order. It comes from a settings file; a table of more
-    than ``MAX_BACKENDS`` rows is not a catalogue and is refused."""
-    rows = backends.select(
-        "backend", "cfg_idx", "model", "cost_per_1k_prompt", "cost_per_1k_completion"
-    ).limit(MAX_BACKENDS + 1).collect()
-    if len(rows) > MAX_BACKENDS:
-        raise ValueError(f"more than {MAX_BACKENDS} backends")
-    return sorted(rows, key=lambda r: r.cfg_idx)
-
-
-def _entry(row, ema: Column | None = None) -> Column:
+def _entry(ema: Column | None = None) -> Column:
     return F.struct(
         (F.lit(0.0) if ema is None else ema).alias("sort_by"),
-        F.lit(row.cfg_idx).alias("cfg_idx"),
-        F.lit(row.backend).alias("backend"),
-        F.lit(row.model).alias("model"),
-        F.lit(row.cost_per_1k_prompt).alias("cost_per_1k_prompt"),
-        F.lit(row.cost_per_1k_completion).alias("cost_per_1k_completion"),
+        "cfg_idx", "backend", "model", "cost_per_1k_prompt", "cost_per_1k_completion",
     )
 
 
-def _ranked(rows: list, strategy: str) -> Column:
+def _listed(backends: DataFrame, *by: Column) -> Column:
+    """All backends in order of ``by``, as an array: one small aggregate, evaluated once."""
+    sorted_ = F.array_sort(F.collect_list(F.struct(*by, F.col("cfg_idx"), _entry().alias("e"))))
+    return backends.select(sorted_["e"].alias("every")).scalar()
+
+
+def _ranked(backends: DataFrame, strategy: str) -> Column:
     """Backends of a catalogue in the order of a strategy, best first, as an array column."""
-    asc = sorted(rows, key=lambda r: (r.cost_per_1k_prompt, r.cfg_idx))
-    desc = sorted(rows, key=lambda r: (-r.cost_per_1k_prompt, r.cfg_idx))
-    listed = lambda rs: F.array(*[_entry(r) for r in rs])
+    price = F.col("cost_per_1k_prompt")
     if strategy == "cost_first":
-        return listed(asc)
+        return _listed(backends, price.alias("p"))
     if strategy == "complexity":
-        return F.when(F.coalesce("complex", F.lit(False)), listed(desc)).otherwise(listed(asc))
-    return listed(rows)
+        return F.when(
+            F.coalesce("complex", F.lit(False)), _listed(backends, (-price).alias("p"))
+        ).otherwise(_listed(backends, price.alias("p")))
+    return _listed(backends)
 
 
 def request_candidates(requests: DataFrame, backends: DataFrame) -> DataFrame:
     """Each request with every available backend."""
-    return requests.withColumn("c", F.explode(_ranked(catalogue(backends), "config"))).select(
+    return requests.withColumn("c", F.explode(_ranked(backends, "config"))).select(
         *requests.columns, "c.backend", "c.cfg_idx", "c.cost_per_1k_prompt",
         "c.cost_per_1k_completion",
     )
 
 
 def _with_ranking(requests, backends, strategy, emas, order, rows_per_slice) -> DataFrame:
-    rows = catalogue(backends)
     if strategy in ("round_robin", "weighted_round_robin"):
-        turned = with_ordinal(requests, None, order, "__n", rows_per_slice)
-        shift = ((F.col("__n") - 1) % len(rows)).cast("int")
-        every = _ranked(rows, "config")
+        turned = with_ordinal(requests, None, order, "__n", rows_per_slice).withColumn(
+            "__every", _ranked(backends, "config")
+        )
+        size = F.size("__every")
+        shift = ((F.col("__n") - 1) % size).cast("int")
         return turned.withColumn(
             "ranked",
-            F.concat(
-                F.slice(every, shift + 1, F.lit(len(rows))), F.slice(every, F.lit(1), shift)
-            ),
-        ).drop("__n")
+            F.concat(F.slice("__every", shift + 1, size), F.slice("__every", F.lit(1), shift)),
+        ).drop("__n", "__every")
     if strategy != "latency_first":
-        return requests.withColumn("ranked", _ranked(rows, strategy))
-    names = [f"__ema{r.cfg_idx}" for r in rows]
+        return requests.withColumn("ranked", _ranked(backends, strategy))
+    # one running total per backend of the settings file
+    names = [r.backend for r in backends.select("backend").orderBy("cfg_idx").collect()]
     seen = asof(
         requests,
         emas.select(*order, F.col("backend").alias("__b"), F.col("ema").alias("__ema")),
@@ -86,14 +76,16 @@ def _with_ranking(requests, backends, strategy, emas, order, rows_per_slice) ->
         ["__ema"],
         strictly_before=True,
         rows_per_slice=rows_per_slice,
-        pick={n: F.col("__b") == r.backend for n, r in zip(names, rows)},
+        pick={f"__ema{i}": F.col("__b") == name for i, name in enumerate(names)},
+    )
+    latest = F.array(
+        *[F.coalesce(F.col(f"__ema{i}.__ema"), F.lit(UNKNOWN_LATENCY_MS)) for i in range(len(names))]
     )
-    entries = [
-        _entry(r, F.coalesce(F.col(f"{n}.__ema"), F.lit(UNKNOWN_LATENCY_MS)))
-        for n, r in zip(names, rows)
-    ]
-    return seen.withColumn("ranked", F.array_sort(F.array(*entries))).select(
-        *requests.columns, "ranked"
+    ranked = F.array_sort(F.zip_with(
+        F.col("__every"), latest, lambda e, ema: e.withField("sort_by", ema)
+    ))
+    return seen.withColumn("__every", _ranked(backends, "config")).select(
+        *requests.columns, ranked.alias("ranked")
     )
 
 
@@ -155,7 +147,7 @@ def round_robin_assign(
 def native_model_map(chosen: DataFrame, backends: DataFrame) -> DataFrame:
     """The serving backend's own model beside the one the client asked for."""
     native = backends.select("backend", F.col("model").alias("native_model"))
-    return chosen.join(small_side(native), "backend")
+    return chosen.join(small_side(native), "backend", "left")
 
 
 def latest_ema_asof(

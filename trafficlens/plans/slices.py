@@ -5,6 +5,9 @@ cut into slices of about equal row count along (key, order): a hot key spans man
 cold ones lie in one. Each (key, slice) pair is windowed on its own. What a pair needs from
 before its slice comes from a small table: a cut falls inside at most one key, so at most one
 pair per slice has rows before it, and that table has no more rows than there are cuts.
+
+Up to ``LISTED`` slices the cuts are a list that is searched in the scan, and the rows are shuffled
+once. Of more slices, each is a partition of a range shuffle that is written as a table.
 """
 
 from __future__ import annotations
@@ -17,9 +20,12 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trafficlens.plans.scratch import materialise
+from trafficlens.plans.sides import small_side
+
 SLICE = "__slice"
 ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 4096
+LISTED = 4096
 SAMPLES_PER_SLICE = 60
 _MICROS = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -30,12 +36,18 @@ _LISTABLE = (T.StringType, T.LongType, T.IntegerType)
 
 @dataclass
 class Slices:
-    """Where a log is cut: points of (key, order) as JSON, and the keys they fall into."""
+    """Where a log is cut: points of (key, order) as JSON, and the keys they fall into; or, of very
+    many slices, only their number (``dealt``)."""
 
     key: str | None
     order: list[str]
     cuts: list[str] = field(default_factory=list)
     cut_keys: set[Any] | None = None
+    dealt: int = 0
+
+    @property
+    def number(self) -> int:
+        return self.dealt or len(self.cuts) + 1
 
     @property
     def along(self) -> list[str]:
@@ -47,6 +59,9 @@ class Slices:
 
     def assign(self, df: DataFrame) -> DataFrame:
         """``df`` with the number of each row's slice."""
+        if self.dealt:
+            ranged = df.repartitionByRange(self.dealt, *self.along)
+            return materialise(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
         return df.withColumn(SLICE, self._number(df))
 
     def _number(self, df: DataFrame) -> Column:
@@ -97,7 +112,9 @@ class Slices:
         return carried.where(F.col("__before") > 0).drop("__before")
 
     def bring(self, local: DataFrame, carried: DataFrame) -> DataFrame:
-        """Join what was carried over; at most one row per cut, so it is broadcast."""
+        """Join what was carried over; at most one row per cut, so a listed number is broadcast."""
+        if self.dealt:
+            carried = materialise(carried, "carried")
         renamed = carried.select(
             *[F.col(c).alias(f"__at{i}") for i, c in enumerate(self.part)],
             *[c for c in carried.columns if c not in self.part],
@@ -105,7 +122,8 @@ class Slices:
         same = F.lit(True)
         for i, c in enumerate(self.part):
             same = same & F.col(c).eqNullSafe(F.col(f"__at{i}"))
-        return local.join(F.broadcast(renamed), same, "left").drop(
+        side = small_side(renamed) if self.dealt else F.broadcast(renamed)
+        return local.join(side, same, "left").drop(
             *[f"__at{i}" for i in range(len(self.part))]
         )
 
@@ -117,13 +135,16 @@ def slices_of(
 
     Two narrow jobs: a count, and a sample of key and order columns of some
     ``SAMPLES_PER_SLICE`` rows per slice. The sample only places the cuts; every row is kept and
-    lies in exactly one slice.
+    lies in exactly one slice. The number of slices grows with the rows without a bound.
     """
     found = Slices(key, list(order))
     rows = df.select(*found.along).count()
-    n = min(MAX_SLICES, -(-rows // rows_per_slice))
+    n = -(-rows // rows_per_slice)
     if n <= 1:
         return found
+    if n > LISTED:
+        found.dealt = n
+        return found
     picked = (
         df.select(*found.along)
         .sample(min(1.0, n * SAMPLES_PER_SLICE / rows), seed=7)
@@ -174,7 +195,7 @@ def running(
     local = sliced.select(
         "*", *[t.fold(t.value).over(before if t.prior else here).alias(t.name) for t in totals]
     )
-    if not slices.cuts:
+    if slices.number == 1:
         return local.select(*df.columns, *[_close(t, F.col(t.name)) for t in totals])
 
     per_slice = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trafficlens.functions.text import stripped
 from trafficlens.plans.scratch import materialise
 from trafficlens.plans.slices import ROWS_PER_SLICE, Running, running
 
@@ -48,9 +49,10 @@ def parse_sse_chunks(lines: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) ->
 
     Two dialects: completion chunks ended by ``[DONE]``, and typed events where
     ``message_start`` carries the id, text deltas the content and ``message_stop`` ends. Lines
-    after the end, lines that are not data and broken JSON are left out.
+    after the end, lines that are not data and broken JSON are left out. A chunk without choices (one
+    that carries usage only) is passed on.
     """
-    data = lines.select("stream_id", "seq", F.trim("line").alias("line")).where(
+    data = lines.select("stream_id", "seq", stripped(F.col("line")).alias("line")).where(
         F.col("line").startswith("data: ")
     ).select("stream_id", "seq", F.substring("line", 7, 2**31 - 1).alias("data"))
     parsed = data.withColumn("e", F.from_json("data", CHUNK_TYPE)).select(
@@ -67,9 +69,12 @@ def parse_sse_chunks(lines: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) ->
                 F.col("e.delta.text"),
             ),
         ).alias("content"),
-        F.when(F.col("e.choices").isNotNull(), F.col("e.id")).alias("chunk_id"),
+        F.when(F.col("e.type").isNull(), F.col("e.id")).alias("chunk_id"),
         F.get("e.choices", 0)["finish_reason"].alias("finish_reason"),
-        (F.col("e.choices").isNotNull() & F.col("e.type").isNull()).alias("plain"),
+        (
+            F.col("e.type").isNull() & F.col("data").startswith("{")
+            & (F.col("e.choices").isNotNull() | F.try_parse_json("data").isNotNull())
+        ).alias("plain"),
     )
     ended = F.coalesce(F.col("closed"), F.lit(False)) | F.coalesce("stopped", F.lit(False))
     # parsing is the dear part, and running totals read their input more than once
