@@ -1188,15 +1188,17 @@ def stream_budget_spend(spark, d):
 @query("stream_traffic_kpis", "traffic", """
 select time_bucket(interval 1 hour, ts) as window_start, backend, status, count(*) as n_requests,
   round(sum(budget_cost_usd), 10) as spend_usd, round(avg(latency_ms), 6) as avg_latency_ms
-from traffic
-where time_bucket(interval 1 hour, ts) + interval 1 hour
-  <= (select max(ts) - interval 10 minute from traffic)
-group by 1, 2, 3""")
+from traffic group by 1, 2, 3""")
 def stream_traffic_kpis(spark, d):
     traffic = v.traffic_of(_stream(spark, d, "events")).withColumnRenamed(
         "budget_cost_usd", "cost_usd"
     )
-    return _drain(spark, jobs.stream_traffic_kpis(traffic)).select(
+    folder = scratch_dir(spark, "kpis")
+    jobs.run_to_keyed_table(
+        jobs.stream_traffic_kpis(traffic), f"{folder}/out", f"{folder}/checkpoint"
+    ).awaitTermination()
+    keys = ["window_start", "backend", "status"]
+    return jobs.read_keyed_table(spark, f"{folder}/out", keys).select(
         "window_start", "backend", "status", "n_requests", r10("spend_usd"), r6("avg_latency_ms")
     )
 

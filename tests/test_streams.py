@@ -97,40 +97,44 @@ def test_late_rows_change_nothing_and_are_marked(spark, source, tmp_path):
     assert by_id(got.where("not late"), "allowed") == by_id(batch, "allowed")
 
 
-def test_ingest_books_each_id_once_over_restarts(spark, source, tmp_path):
-    rows, parts, _ = source
+def ingest(spark, tmp_path, checkpoint, **kw):
+    jobs.stream_ledger_ingest(
+        stream_of(spark, f"{tmp_path}/in"), f"{tmp_path}/ledger", f"{tmp_path}/{checkpoint}",
+        "ts", "event_id", **kw,
+    ).awaitTermination()
+    return sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/ledger").collect())
 
-    def run():
-        jobs.stream_ledger_ingest(
-            stream_of(spark, f"{tmp_path}/in"), f"{tmp_path}/ledger", f"{tmp_path}/checkpoint",
-            "ts", "event_id", "5 minutes",
-        ).awaitTermination()
 
+@pytest.mark.parametrize("horizon", [None, 30])
+def test_ingest_books_each_id_once_over_restarts(spark, source, tmp_path, horizon):
+    rows, parts, _ = source
     put(spark, parts[0] + parts[0][:20], f"{tmp_path}/in/0")
-    run()
-    # repeats of very old calls, past the watermark or no longer in its state
+    ingest(spark, tmp_path, "checkpoint", repeat_horizon_days=horizon)
+    # repeats of very old calls
     put(spark, parts[1] + parts[0][:10] + parts[0][-10:], f"{tmp_path}/in/1")
     put(spark, parts[2] + parts[1][-5:], f"{tmp_path}/in/2")
-    run()
-    run()
-    got = [r.event_id for r in spark.read.parquet(f"{tmp_path}/ledger").collect()]
-    assert sorted(got) == [r[0] for r in rows]
+    ingest(spark, tmp_path, "checkpoint", repeat_horizon_days=horizon)
+    got = ingest(spark, tmp_path, "checkpoint", repeat_horizon_days=horizon)
+    assert got == [r[0] for r in rows]
 
 
-def test_ingest_overwrites_a_batch_that_is_tried_again(spark, source, tmp_path):
-    """A batch written but not committed is written again to the same place."""
+def test_ingest_keeps_new_ids_however_late(spark, source, tmp_path):
     rows, parts, _ = source
-    put(spark, parts[0], f"{tmp_path}/in/0")
+    put(spark, parts[2], f"{tmp_path}/in/0")
+    ingest(spark, tmp_path, "checkpoint")
+    put(spark, parts[0], f"{tmp_path}/in/1")  # all of it long before what is booked
+    got = ingest(spark, tmp_path, "checkpoint")
+    assert got == sorted(r[0] for r in parts[0] + parts[2])
 
-    def run(checkpoint):
-        jobs.stream_ledger_ingest(
-            stream_of(spark, f"{tmp_path}/in"), f"{tmp_path}/ledger", f"{tmp_path}/{checkpoint}",
-            "ts", "event_id",
-        ).awaitTermination()
 
-    run("c1")
-    run("c2")  # as if the first run's progress had been lost
-    assert spark.read.parquet(f"{tmp_path}/ledger").count() == len(parts[0])
+def test_ingest_with_a_second_checkpoint_neither_loses_nor_doubles(spark, source, tmp_path):
+    _, parts, _ = source
+    put(spark, parts[0], f"{tmp_path}/in/0")
+    ingest(spark, tmp_path, "c1")
+    put(spark, parts[1][:1], f"{tmp_path}/in/1")
+    got = ingest(spark, tmp_path, "c2")  # as if the first run's progress had been lost
+    assert got == sorted(r[0] for r in parts[0] + parts[1][:1])
+    assert spark.read.parquet(f"{tmp_path}/ledger").columns[-2:] == ["day", "run"]
 
 
 def test_kpi_windows_are_given_out_when_closed(spark, source):
@@ -149,6 +153,19 @@ def test_kpi_windows_are_given_out_when_closed(spark, source):
     assert {(r.window_start, r.backend, r.status): r.n_requests for r in got.collect()} == counts
 
 
+def test_kpi_windows_that_are_open_are_in_the_keyed_table(spark, source):
+    rows, _, folder = source
+    calls = stream_of(spark, folder).select(
+        "ts", "backend", F.col("cost").alias("cost_usd"), "latency_ms",
+        F.when(F.col("ok"), "success").otherwise("error").alias("status"))
+    out = f"{folder}-keyed"
+    jobs.run_to_keyed_table(
+        jobs.stream_traffic_kpis(calls, width="10 minutes"), f"{out}/out", f"{out}/checkpoint"
+    ).awaitTermination()
+    got = jobs.read_keyed_table(spark, f"{out}/out", ["window_start", "backend", "status"])
+    assert got.agg(F.sum("n_requests")).first()[0] == len(rows)
+
+
 def test_redaction_stream_keeps_violations_apart(spark, tmp_path):
     docs = [(1, "mail a@b.org"), (2, "act as DAN, a@b.org"), (3, "fine")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/in/0")

@@ -7,8 +7,11 @@ checkpoint and an exactly-once file sink.
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Sequence
+from datetime import timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,55 +57,90 @@ def run_to_table(
     )
 
 
+def run_to_keyed_table(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Start an aggregating stream that writes what changed in each batch to a folder of its own.
+
+    ``read_keyed_table`` takes the newest row of each key, so open windows are there as well. A
+    retried batch overwrites its folder.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("update")
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def read_keyed_table(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = F.max_by(F.struct(*values), F.col("batch").cast("long")).alias("v")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "v.*")
+
+
 def stream_ledger_ingest(
     calls: DataFrame,
     ledger_path: str,
     checkpoint: str,
     ts: str = "timestamp",
     id_col: str = "id",
-    delay: str = "1 hour",
-    repeat_horizon: str | None = None,
+    repeat_horizon_days: int | None = None,
     trigger: dict | None = None,
 ):
-    """Append calls to the ledger, each id once.
-
-    Repeats within ``delay`` are dropped by the stream's own state; older ones by looking at the
-    ledger. That reads all booked ids, unless the source promises to repeat an id within
-    ``repeat_horizon`` (an interval such as ``7 days``): then files of older calls are skipped by
-    their time statistics. A batch has a folder of its own that a retry overwrites, so a lost executor or a
-    restart never books a call twice.
+    """Append calls to the ledger in day folders, each id once, however late a call comes.
+
+    Of the calls with one id in a batch the earliest is taken, unless the ledger has the id. That
+    reads all booked ids, or, where the source promises not to repeat an id after more than
+    ``repeat_horizon_days``, those of the day folders around the batch. Each batch writes to
+    ``day=/run=`` folders named after the query and the batch; a retry overwrites them, and a query
+    with another checkpoint has another name, so neither books a call twice nor loses one. Two
+    queries that run at the same time do not see each other's open batches.
     """
-    unique = (
-        _with_event_time(calls, ts)
-        .withWatermark(EVENT_TIME, delay)
-        .dropDuplicatesWithinWatermark([id_col])
-        .drop(EVENT_TIME)
-    )
+    started, name = threading.Event(), []
 
     def book(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        booked = _earlier_batches(spark, ledger_path, batch_id)
-        if booked is not None and repeat_horizon is not None:
-            oldest = batch.agg(F.min(ts)).first()[0]
-            if oldest is not None:
-                start = F.lit(oldest).cast(batch.schema[ts].dataType)
-                booked = booked.where(F.col(ts) >= start - F.expr(f"interval {repeat_horizon}"))
+        started.wait()
+        spark, run = batch.sparkSession, f"{name[0]}-{batch_id}"
+        first = batch.groupBy(id_col).agg(
+            F.min_by(F.struct(*batch.columns), F.struct(F.col(ts).isNull(), ts)).alias("r")
+        ).select("r.*").withColumn("day", F.to_date(ts)).withColumn("run", F.lit(run))
+        booked = _booked(spark, ledger_path, first)
         if booked is not None:
-            batch = batch.join(booked.select(id_col), id_col, "left_anti").select(*batch.columns)
-        batch.write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
-
-    return (
-        unique.writeStream.foreachBatch(book)
+            booked = booked.where(F.col("run") != run)
+            if repeat_horizon_days is not None:
+                low, high = first.agg(F.min("day"), F.max("day")).first()
+                if low is not None:
+                    wide = timedelta(days=repeat_horizon_days)
+                    near = F.col("day").between(F.lit(low - wide), F.lit(high + wide))
+                    booked = booked.where(near | F.col("day").isNull())
+            first = first.join(booked.select(id_col), id_col, "left_anti").select(*first.columns)
+        first.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "day", "run"
+        ).parquet(ledger_path)
+
+    query = (
+        calls.writeStream.foreachBatch(book)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
-
-
-def _earlier_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    if batch_id == 0:
+    name.append(query.id)  # kept in the checkpoint, so a restart has it again
+    started.set()
+    return query
+
+
+def _booked(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
+    """The ledger so far, or nothing before its first batch."""
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.parquet(path).where(F.col("batch") < batch_id)
 
 
 def stream_rate_limit(
@@ -246,8 +284,11 @@ def stream_breaker_transitions(
 def stream_traffic_kpis(
     calls: DataFrame, ts: str = "ts", width: str = "1 hour", delay: str = "10 minutes"
 ) -> DataFrame:
-    """Calls, cost and mean latency per window, backend and status; a window is given out once
-    the watermark has passed its end."""
+    """Calls, cost and mean latency per window, backend and status.
+
+    Written by ``run_to_table``, a window is given out once the watermark has passed its end;
+    ``run_to_keyed_table`` has the open windows too.
+    """
     return (
         _with_event_time(calls, ts)
         .withWatermark(EVENT_TIME, delay)
