@@ -1094,6 +1094,37 @@ def rank_latency_first(spark, d):
     return _rank(spark, d, "latency_first", _emas(spark, d))
 
 
+_OPEN = """
+grid as (select t.event_id, t.ts, b.* from traffic t, backends b),
+tried as (select g.* from grid g asof left join trace r on r.backend = g.backend and r.ts < g.ts
+  where not coalesce(r.state_after = 'OPEN' and g.ts < r.ts + interval 900 second, false))"""
+
+
+def _available(spark, d):
+    requests = v.traffic(spark, d).select("event_id", "ts")
+    return routing.request_available_backends(
+        requests, v.backends(spark), _trace(spark, d), 900, rows_per_slice=N
+    )
+
+
+@query("request_available_backends", "trace backends", f"""
+with {_OPEN.strip()}
+select t.event_id, coalesce(string_agg(tried.backend, '|' order by cfg_idx), '') as available
+from traffic t left join tried on tried.event_id = t.event_id group by t.event_id""")
+def request_available_backends(spark, d):
+    return _available(spark, d).select("event_id", F.array_join("available", "|").alias("available"))
+
+
+@query("rank_available_backends", "trace backends", f"""
+with {_OPEN.strip()}
+select event_id, cast(row_number() over (partition by event_id order by cost_per_1k_prompt, cfg_idx)
+  as int) as rank, backend from tried""")
+def rank_available_backends(spark, d):
+    return routing.rank_backends(
+        _available(spark, d), v.backends(spark), "cost_first", available="available"
+    ).select("event_id", "rank", "backend")
+
+
 # --- top-k and sets ------------------------------------------------------------------------------
 
 

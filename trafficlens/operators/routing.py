@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.operators.health import seconds
+from trafficlens.operators.health import COOLDOWN_SEC, seconds
 from trafficlens.plans.asof import asof
 from trafficlens.plans.sides import small_side
 from trafficlens.plans.slices import ROWS_PER_SLICE, with_ordinal
@@ -45,27 +45,70 @@ def _ranked(backends: DataFrame, strategy: str) -> Column:
     return _listed(backends)
 
 
-def request_candidates(requests: DataFrame, backends: DataFrame) -> DataFrame:
-    """Each request with every available backend."""
-    return requests.withColumn("c", F.explode(_ranked(backends, "config"))).select(
+def request_available_backends(
+    requests: DataFrame,
+    backends: DataFrame,
+    trace: DataFrame,
+    cooldown_sec: float = COOLDOWN_SEC,
+    order: Sequence[str] = ("ts", "event_id"),
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Adds ``available``: the names of the backends that a request may try, in configured order.
+
+    ``trace`` is what ``breaker_trace`` makes of the calls. A backend is left out while its newest
+    outcome before the request left the breaker open and the cool-down since has not passed.
+    """
+    ts = order[0]
+    # one running total per backend of the settings file
+    names = [r.backend for r in backends.select("backend").orderBy("cfg_idx").collect()]
+    facts = trace.select(*order, F.col("backend").alias("__b"),
+                         F.col("state_after").alias("__state"), F.col(ts).alias("__since"))
+    seen = asof(
+        requests, facts, None, order, ["__state", "__since"], strictly_before=True,
+        rows_per_slice=rows_per_slice,
+        pick={f"__s{i}": F.col("__b") == name for i, name in enumerate(names)},
+    )
+    may = []
+    for i, name in enumerate(names):
+        open_ = (F.col(f"__s{i}.__state") == "OPEN") & (
+            F.col(ts) < F.col(f"__s{i}.__since") + seconds(cooldown_sec)
+        )
+        may.append(F.when(~F.coalesce(open_, F.lit(False)), F.lit(name)))
+    return seen.select(*requests.columns, F.array_compact(F.array(*may)).alias("available"))
+
+
+def request_candidates(
+    requests: DataFrame, backends: DataFrame, available: str | None = None
+) -> DataFrame:
+    """Each request with every backend, or with those named in its ``available`` column."""
+    listed = requests.withColumn("__every", _ranked(backends, "config"))
+    return listed.withColumn("c", F.explode(_among(F.col("__every"), available))).select(
         *requests.columns, "c.backend", "c.cfg_idx", "c.cost_per_1k_prompt",
         "c.cost_per_1k_completion",
     )
 
 
-def _with_ranking(requests, backends, strategy, emas, order, rows_per_slice) -> DataFrame:
+def _among(ranked: Column, available: str | None) -> Column:
+    if available is None:
+        return ranked
+    return F.filter(ranked, lambda e: F.array_contains(F.col(available), e["backend"]))
+
+
+def _with_ranking(requests, backends, strategy, emas, order, rows_per_slice, available) -> DataFrame:
     if strategy in ("round_robin", "weighted_round_robin"):
         turned = with_ordinal(requests, None, order, "__n", rows_per_slice).withColumn(
             "__every", _ranked(backends, "config")
-        )
+        ).withColumn("__every", _among(F.col("__every"), available))
         size = F.size("__every")
-        shift = ((F.col("__n") - 1) % size).cast("int")
+        shift = ((F.col("__n") - 1) % F.greatest(size, F.lit(1))).cast("int")
         return turned.withColumn(
             "ranked",
             F.concat(F.slice("__every", shift + 1, size), F.slice("__every", F.lit(1), shift)),
         ).drop("__n", "__every")
     if strategy != "latency_first":
-        return requests.withColumn("ranked", _ranked(backends, strategy))
+        return requests.withColumn("ranked", _ranked(backends, strategy)).withColumn(
+            "ranked", _among(F.col("ranked"), available)
+        )
     # one running total per backend of the settings file
     names = [r.backend for r in backends.select("backend").orderBy("cfg_idx").collect()]
     seen = asof(
@@ -85,7 +128,7 @@ def _with_ranking(requests, backends, strategy, emas, order, rows_per_slice) ->
         F.col("__every"), latest, lambda e, ema: e.withField("sort_by", ema)
     ))
     return seen.withColumn("__every", _ranked(backends, "config")).select(
-        *requests.columns, ranked.alias("ranked")
+        *requests.columns, _among(ranked, available).alias("ranked")
     )
 
 
@@ -96,15 +139,17 @@ def rank_backends(
     emas: DataFrame | None = None,
     order: Sequence[str] = ("ts", "event_id"),
     rows_per_slice: int = ROWS_PER_SLICE,
+    available: str | None = None,
 ) -> DataFrame:
     """Every request with its backends ranked from 1.
 
     ``cost_first``: cheapest prompt price; ``latency_first``: lowest moving average of the calls
     before (``emas``); ``complexity``: dearest first for ``complex`` requests, else cheapest;
     ``round_robin``: rotated by one per request; any other name: configured order. Ties keep the
-    configured order.
+    configured order. ``available`` names a column with the backends that a request may try; the
+    others are left out.
     """
-    ranked = _with_ranking(requests, backends, strategy, emas, order, rows_per_slice)
+    ranked = _with_ranking(requests, backends, strategy, emas, order, rows_per_slice, available)
     return ranked.select(*requests.columns, F.posexplode("ranked").alias("p", "c")).select(
         *requests.columns, (F.col("p") + 1).alias("rank"), "c.backend", "c.model"
     )
@@ -117,9 +162,10 @@ def first_backend(
     emas: DataFrame | None = None,
     order: Sequence[str] = ("ts", "event_id"),
     rows_per_slice: int = ROWS_PER_SLICE,
+    available: str | None = None,
 ) -> DataFrame:
     """Only the best backend per request, with its prices; no row is multiplied."""
-    ranked = _with_ranking(requests, backends, strategy, emas, order, rows_per_slice)
+    ranked = _with_ranking(requests, backends, strategy, emas, order, rows_per_slice, available)
     best = F.get("ranked", 0)
     return ranked.select(
         *requests.columns,
