@@ -269,7 +269,7 @@ def test_budget_decisions(log, spark, hot_rows):
         assert got[r[0]] == want
 
 
-def test_budget_of_the_reference_case(spark):
+def test_budget_of_a_small_case(spark):
     """0.6 spent and 0.5 more expected is over a limit of 1.0; nothing spent is not."""
     rows = [(1, START, "a", 0.6), (2, START, "a", 0.5), (3, START, "b", 0.5)]
     calls = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, api_key string, cost double")

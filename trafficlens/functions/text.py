@@ -53,7 +53,7 @@ _PHRASE_PARTS = dict(zip(INJECTION_PATTERNS, ["nore", "prompt", "developer", "mo
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
-    """Classes such as ``\\b``, ``\\s`` and ``\\d`` cover Unicode, as in the reference results."""
+    """Classes such as ``\\b``, ``\\s`` and ``\\d`` cover Unicode."""
     return ("(?iU)" if ignore_case else "(?U)") + pattern
 
 

@@ -34,7 +34,7 @@ def cache_key(messages: Column, params: Column, extra: Sequence[Column] = ()) ->
         ),
     )
     given = F.coalesce(params, F.create_map().cast("map<string,string>"))
-    used = F.array_sort(
+    used = F.sort_array(
         F.map_entries(F.map_filter(given, lambda k, v: k.isin(CACHE_KEY_PARAMS)))
     )
     more = [c.alias(f"extra{i}") for i, c in enumerate(extra)]
