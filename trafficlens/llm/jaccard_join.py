@@ -320,12 +320,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of fully identical rows one stays; rows without words all stay. See ``similar_documents``.
     """
     judged = shared_table(similar_documents(docs, id_col, text_col, width, percent), "jaccard-out")
-    gone = judged.where(~F.col("stays")).select(F.col("row").alias("gone")).distinct()
+    gone = judged.where(~F.col("stays")).select(F.col("row").alias("__gone")).distinct()
     again = judged.where("stays and n_shingles > 0").groupBy("row").count().where("count > 1")
     key = F.xxhash64(named(id_col).cast("string"), text_of(text_col))
-    kept = docs.join(small_side(gone), key == F.col("gone"), "left_anti")
+    kept = docs.join(small_side(gone), key == F.col("__gone"), "left_anti")
     if again.isEmpty():
         return kept
-    again = small_side(again.select(F.col("row").alias("again")))
-    once = kept.join(again, key == F.col("again"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(again, key == F.col("again"), "left_anti").unionByName(once)
+    again = small_side(again.select(F.col("row").alias("__again")))
+    once = kept.join(again, key == F.col("__again"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, key == F.col("__again"), "left_anti").unionByName(once)
