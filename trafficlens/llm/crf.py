@@ -30,6 +30,8 @@ BUCKETS = 1 << 17
 #: Texts of each language that are learned from at most.
 SAMPLE = 250
 BLOCK = 32
+#: Bytes of text whose features are held at once.
+PIECE = 1 << 18
 UNKNOWN = "und"
 
 
@@ -65,10 +67,14 @@ def posteriors(emission: np.ndarray, row: np.ndarray, steps: np.ndarray) -> np.n
     used[spot] = True
     grid, used = grid.reshape(total, BLOCK, k), used.reshape(total, BLOCK)
 
-    # what a block does to the vector before it (rows: language before, columns: after)
+    # what a block does to the vector before it (rows: language before, columns: after); no
+    # transition leads to the first word of a row
     whole = np.broadcast_to(np.eye(k), (total, k, k)).copy()
     for j in range(BLOCK):
-        nxt = (whole.reshape(-1, k) @ t).reshape(total, k, k) * grid[:, j, None, :]
+        nxt = (whole.reshape(-1, k) @ t).reshape(total, k, k)
+        if j == 0:
+            nxt[start] = np.eye(k)
+        nxt *= grid[:, j, None, :]
         nxt /= nxt.max((1, 2), keepdims=True) + 1e-300
         whole = np.where(used[:, j, None, None], nxt, whole)
 
@@ -90,7 +96,10 @@ def posteriors(emission: np.ndarray, row: np.ndarray, steps: np.ndarray) -> np.n
     ahead = np.empty_like(grid)
     v = left
     for j in range(BLOCK):
-        v = (v @ t) * grid[:, j]
+        v = v @ t
+        if j == 0:
+            v[start] = 1.0
+        v *= grid[:, j]
         v /= v.max(1, keepdims=True) + 1e-300
         ahead[:, j] = v
     v = right
@@ -106,7 +115,7 @@ def posteriors(emission: np.ndarray, row: np.ndarray, steps: np.ndarray) -> np.n
 def _features(texts: list[str]):
     """(row of each word, word of each feature, bucket of each feature) of all texts."""
     rows, words, buckets, n = [], [], [], 0
-    for lo, piece in slices(pa.array(texts, pa.large_string())):
+    for lo, piece in slices(pa.array(texts, pa.large_string()), PIECE):
         for row, _, word, bucket in word_features(piece, LENGTHS, EDGES, BUCKETS):
             rows.append(row + lo)
             words.append(word + n)
@@ -220,7 +229,7 @@ def _tagger(langs: list[str], weights: np.ndarray, steps: np.ndarray, carried: i
         for batch in batches:
             texts = batch.column(carried)
             shares = np.zeros((len(texts), k))
-            for lo, piece in slices(texts):
+            for lo, piece in slices(texts, PIECE):
                 for row, _, word, bucket in word_features(piece, LENGTHS, EDGES, BUCKETS):
                     p = posteriors(_sums(word, weights[bucket], len(row)), row, steps)
                     shares[lo:lo + len(piece)] += _sums(row, p, len(piece))
