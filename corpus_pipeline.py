@@ -19,7 +19,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Without the documents whose toxicity is 0.5 or more; learned from labels outside the fold."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     learn = docs.select("doc_id", "text").where(id_crc() % 5 != 0)
-    model = toxicity.train(learn.join(labels, "doc_id").select("text", "toxic"))
+    model = toxicity.train(learn, labels)
     scored = toxicity.score(docs, model, docs.columns).where(F.col("score") < 0.5)
     return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
 

@@ -165,7 +165,8 @@ def test_toxicity_odd_rows(spark):
     docs = odd_frame(spark, rows)
     for label, low, high in (("cast(null as int)", 0.5, 0.5), ("1", 0.9, 1), ("0", 0, 0.1),
                              ("doc_id % 2", 0, 1)):
-        model = toxicity.train(docs.withColumn("toxic", F.expr(label)))
+        labels = docs.select("doc_id", F.expr(label).alias("toxic"))
+        model = toxicity.train(docs, labels)
         got = toxicity.score(docs, model, ["doc_id", "k0"]).collect()
         assert len(got) == 6 and all(low <= r.score <= high for r in got)
     assert toxicity.score(docs.limit(0), model, ["doc_id"]).collect() == []

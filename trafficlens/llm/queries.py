@@ -124,7 +124,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Learned from labelled documents whose id's crc32 leaves a remainder other than 0 by 5."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     learn = table(spark, sf_dir, "documents").select("doc_id", "text").where(id_crc() % 5 != 0)
-    return toxicity.train(learn.join(labels, "doc_id").select("text", "toxic"))
+    return toxicity.train(learn, labels)
 
 
 @query("op9_toxicity")

@@ -17,16 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.columns import named, text_of
+from trafficlens.llm.columns import named, shared_table, text_of
 from trafficlens.llm.subword import word_features
 from trafficlens.llm.word_arrays import slices
 
 LENGTHS, EDGES = (3, 4, 5, 6), (3, 4)
+#: Bytes of text whose features are held at once.
+PIECE = 1 << 18
 BUCKETS, WIDTH = 1 << 18, 8
 #: Words of no meaning that every text is averaged with, so that a few words are not judged rashly.
 BLANKS = 60.0
 #: Rows with label 0 and with label 1 that are learned from at most.
-SAMPLE = (3500, 1500)
+SAMPLE = (3000, 1500)
 #: Texts of the sample that an n-gram must occur in to get a vector.
 LEAST = 5
 
@@ -39,29 +41,39 @@ class Model:
     bias: float
 
 
+def _texts_with(texts: list[str]) -> np.ndarray:
+    """In how many texts each bucket occurs."""
+    seen = np.zeros(BUCKETS, np.int32)
+    for _, piece in slices(pa.array(texts, pa.large_string()), PIECE):
+        for row, _, word, bucket in word_features(piece, LENGTHS, EDGES, BUCKETS, True):
+            seen += np.bincount(
+                np.unique(row[word] * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS
+            ).astype(np.int32)
+    return seen
+
+
 def _bags(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per text the buckets of its n-grams, and their shares of the text's average."""
-    rows, buckets, weights = [], [], []
-    column = pa.array(texts, pa.large_string())
+    """Per text the buckets of its n-grams that enough texts have, and their shares of its average."""
+    often = _texts_with(texts) >= LEAST
+    buckets: list[list[np.ndarray]] = [[] for _ in texts]
+    weights: list[list[np.ndarray]] = [[] for _ in texts]
     counts = np.zeros(len(texts))
-    for lo, piece in slices(column):
+    for lo, piece in slices(pa.array(texts, pa.large_string()), PIECE):
         for row, times, word, bucket in word_features(piece, LENGTHS, EDGES, BUCKETS, True):
             each = np.sqrt(times) / np.bincount(word, minlength=len(row))
             counts += np.bincount(row + lo, np.sqrt(times), len(texts))
-            key, at = np.unique((row[word] + lo) * BUCKETS + bucket, return_inverse=True)
-            rows.append(key // BUCKETS)
-            buckets.append(key % BUCKETS)
-            weights.append(np.bincount(at, each[word]))
-    out_b = [np.empty(0, np.int64)] * len(texts)
-    out_w = [np.empty(0)] * len(texts)
-    if rows:
-        row, bucket, weight = map(np.concatenate, (rows, buckets, weights))
-        order = np.argsort(row, kind="stable")
-        row, bucket, weight = row[order], bucket[order], weight[order]
-        cut = np.searchsorted(row, np.arange(len(texts) + 1))
-        for k in range(len(texts)):
-            out_b[k] = bucket[cut[k]:cut[k + 1]]
-            out_w[k] = weight[cut[k]:cut[k + 1]] / (counts[k] + BLANKS)
+            key, at = np.unique(row[word] * BUCKETS + bucket, return_inverse=True)
+            weight = np.bincount(at, each[word]).astype(np.float32)
+            keep = often[key % BUCKETS]
+            key, weight = key[keep], weight[keep]
+            cut = np.searchsorted(key, np.arange(len(piece) + 1) * BUCKETS)
+            for k in np.unique(row):
+                some = slice(cut[k], cut[k + 1])
+                buckets[lo + k].append((key[some] % BUCKETS).astype(np.int32))
+                weights[lo + k].append(weight[some])
+    out_b = [np.concatenate([np.empty(0, np.int32), *x]) for x in buckets]
+    out_w = [np.concatenate([np.empty(0, np.float32), *x]) / np.float32(n + BLANKS)
+             for x, n in zip(weights, counts)]
     return out_b, out_w
 
 
@@ -71,10 +83,6 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, passes: int = 8, rate
     rng = np.random.default_rng(seed)
     bags, weights = _bags(texts)
     vectors = np.zeros((BUCKETS, WIDTH))  # n-grams that were not learned from say nothing
-    seen = np.bincount(np.concatenate([*bags, np.empty(0, np.int64)]), minlength=BUCKETS)
-    for k, bag in enumerate(bags):
-        often = seen[bag] >= LEAST
-        bags[k], weights[k] = bag[often], weights[k][often]
     soft = rng.uniform(-1, 1, (WIDTH, 2))
     # the sample is even, the table is not: the bias starts at the sample's and is shifted at the end
     bias = np.zeros(2)
@@ -110,28 +118,35 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, passes: int = 8, rate
                  float(bias[1] - bias[0] + shift))
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
-          sample: tuple[int, int] = SAMPLE) -> Model:
-    """Learn from rows with label 0 or 1; rows with another or no label are left out.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Model:
+    """Learn from the texts of ``docs`` that ``labels`` marks 0 or 1, joined by id.
 
-    At most ``sample`` rows of label 0 and 1, those with the smallest hashes of their texts, come to
-    the driver; class shares are counted over all rows. Without any row of one class the model
-    gives every text the same score, next to 0 or 1 (0.5 without any labelled row).
+    Rows with another or no label, or without an id, are left out. At most ``sample`` rows of label
+    0 and 1 are used, those with the smallest hashes of their ids; they are chosen from ids alone, so
+    no text is shuffled. Class shares are counted over all rows. Without any row of one class the
+    model gives every text the same score, next to 0 or 1 (0.5 without any labelled row).
     """
-    rows = labelled.select(F.lower(text_of(text_col)).alias("text"),
-                           named(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    marked = labels.select(named(id_col).alias("id"), named(label_col).cast("int").alias("label"))
+    rows = shared_table(
+        docs.select(named(id_col).alias("id")).join(marked.where("label in (0, 1)"), "id"),
+        "toxicity-labelled")
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(counts.values())
-    texts, labels = [], []
-    for label in (0, 1):
-        some = rows.where(F.col("label") == label).orderBy(F.xxhash64("text"), "text").limit(sample[label])
-        got = [r.text for r in some.collect()]
-        texts += got
-        labels += [label] * len(got)
     if len(counts) < 2:
         even = np.zeros(BUCKETS, np.float32)
         return Model(even, 0.0 if not total else 12.0 if 1 in counts else -12.0)
-    return fit(texts, np.array(labels), counts[1] / total)
+    texts, labels_ = [], []
+    for label in (0, 1):
+        chosen = shared_table(
+            rows.where(F.col("label") == label).select("id").distinct()
+            .orderBy(F.xxhash64("id"), "id").limit(sample[label]), "toxicity-sample")
+        own = docs.select(named(id_col).alias("id"), F.lower(text_of(text_col)).alias("text"))
+        some = own.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "text")
+        got = [r.text for r in some.select("text").limit(sample[label]).collect()]
+        texts += got
+        labels_ += [label] * len(got)
+    return fit(texts, np.array(labels_), counts[1] / total)
 
 
 def _scorer(values: np.ndarray, bias: float, carried: int):
@@ -139,7 +154,7 @@ def _scorer(values: np.ndarray, bias: float, carried: int):
         for batch in batches:
             texts = batch.column(carried)
             scores = np.empty(len(texts))
-            for lo, piece in slices(texts):
+            for lo, piece in slices(texts, PIECE):
                 total, words = np.zeros(len(piece)), np.zeros(len(piece))
                 for row, times, word, bucket in word_features(piece, LENGTHS, EDGES, BUCKETS, True):
                     weight = np.sqrt(times)
