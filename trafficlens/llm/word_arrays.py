@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of a window.
-WINDOW = 1 << 21
+WINDOW = 1 << 19
 _POWER = 0x9E3779B97F4A7C15
 
 
@@ -52,7 +52,7 @@ def _tables(n: int) -> dict[str, np.ndarray]:
         _state["no letter"] = (byte < 128) & ~((byte >= 97) & (byte <= 122)) & ~(
             (byte >= 65) & (byte <= 90))
     if len(_state.get("power", ())) <= n:
-        size = max(n, 2 * WINDOW) + 1
+        size = max(n, WINDOW) + 1
         for name, base in (("power", _POWER), ("inverse", pow(_POWER, -1, 1 << 64))):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
