@@ -59,6 +59,34 @@ def test_the_network_is_a_permutation(spark):
     assert len({t for t, _ in rewritten(spark, days)}) == len(days)
 
 
+#: The phone pattern of the reference (gateway/policy/pii.py).
+REFERENCE_PHONE = re.compile(r"\b(?:\+?\d{1,3}[- ]?)?\(?\d{3}\)?[- ]?\d{3}[- ]?\d{4}\b")
+
+
+def test_phone_numbers_of_any_area_and_layout(spark):
+    texts = ["+1 (017) 555-7713", "+1 (132) 555-1352", "a 0175557713 b", "017.555.7713", "555-123-4567",
+             "+44 017 555 7713", "(017)5557713", "x-017-555-7713", "+490175557713", "017) 555-7713"]
+    out = rewritten(spark, texts)
+    assert all(n == 1 for _, n in out)
+    assert all(re.sub(r"\d", "9", a) == re.sub(r"\d", "9", b) for a, (b, _) in zip(texts, out))
+    digits = [re.sub(r"\D", "", t) for t, _ in out]
+    assert len({d[-10:] for d, a in zip(digits, texts) if "7713" in a}) == 1
+    assert digits[5][:2] == "44" and digits[8][:2] == "49"
+    many = rewritten(spark, [f"{i % 1000:03d} 000 {i:04d}" for i in range(0, 9000, 7)])
+    assert len({t for t, _ in many}) == len(many)
+
+
+def test_supplied_phone_numbers_are_all_rewritten(spark, sf_dir):
+    old = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = 0
+    for r in QUERIES["op3_feistel_pii"](spark, sf_dir).collect():
+        # the reference takes card numbers first
+        for m in REFERENCE_PHONE.finditer(old[r.doc_id]):
+            found += 1
+            assert m[0] not in r.text, m[0]
+    assert found
+
+
 def test_very_long_text_and_empty_table(spark):
     long = "word " * 200_000 + "10.0.0.1" + " word" * 10
     (text, n), = rewritten(spark, [long])

@@ -6,8 +6,8 @@ parts is a permutation of exactly that domain, and different values keep differe
 permutation depends on key and format only: equal values are linked across documents, however they
 are punctuated. Everything is a column expression.
 
-Domains: card numbers of 12 to 19 digits (all but the check digit, which is computed anew), North
-American phone numbers, US social security numbers, IPv4 addresses, and days of the 400 years from
+Domains: card numbers of 12 to 19 digits (all but the check digit, which is computed anew), phone
+numbers of ten digits (a country code stays), US social security numbers, IPv4 addresses, and days of the 400 years from
 1700. In a mail address the letters and digits of the name are permuted within their classes.
 """
 
@@ -21,12 +21,15 @@ from trafficlens.llm.columns import LOWER, UPPER, named
 ROUNDS = 10
 # Fixed formats. A value neither starts nor ends inside a longer run of digits or a word.
 CARD = r"(?<![\w.-])\d(?:[ -]?\d){11,18}(?![\w-])"
-PHONE = r"(?<![\w.-])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]?\d{4}(?![\w-])"
+# Ten digits with a sign or a separator that tells a phone number, and any layout of ten digits.
+TOLD_PHONE = (r"(?<!\w)(?:\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?|(?:\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-]))"
+              r"\d{3}[ .-]?\d{4}(?!\w)")
+PHONE = r"(?<!\w)(?:\+?\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
 SSN = r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IPV4 = r"(?<![\w.-])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w-]|\.\d)"
 DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w-]|\.\d)"
 MAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-ANY = "|".join(f"(?:{p})" for p in (MAIL, DATE, IPV4, SSN, PHONE, CARD))
+ANY = "|".join(f"(?:{p})" for p in (MAIL, DATE, IPV4, SSN, TOLD_PHONE, CARD, PHONE))
 FIRST_DAY = "1700-01-01"
 
 
@@ -70,7 +73,8 @@ def _fill(shape: Column, digits: Column) -> Column:
     return step
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: str, other: Column) -> Column:
+    """The card number's pseudonym; ``other`` if the check digit is wrong."""
     def swap(d: Column) -> Column:
         n = F.length(d)
         body = F.substr(d, F.lit(1), n - 1)
@@ -86,7 +90,7 @@ def _card(m: Column, key: str) -> Column:
         full = _bind(digits, lambda p: F.concat(
             p, ((10 - luhn_sum(F.concat(p, F.lit("0"))) % 10) % 10).cast("string")))
         valid = (luhn_sum(d) % 10 == 0) & body.rlike("[1-9]")
-        return F.when(valid, _fill(m, full)).otherwise(m)
+        return F.when(valid, _fill(m, full)).otherwise(other)
 
     return _bind(F.regexp_replace(m, r"\D", ""), swap)
 
@@ -115,11 +119,9 @@ def _padded(x: Column, n: int) -> Column:
 def _phone(m: Column, key: str) -> Column:
     def swap(d: Column) -> Column:
         ten = F.right(d, F.lit(10))
-        new = permuted_parts(_part(ten, 1, 3) - 200,
-                             (_part(ten, 4, 3) - 200) * 10_000 + _part(ten, 7, 4),
-                             F.lit(800), F.lit(8_000_000), key, F.lit("phone"))
-        out = _bind(new, lambda s: F.concat(
-            (s["l"] + 200).cast("string"), (s["r"] + 2_000_000).cast("string")))
+        new = permuted_parts(_part(ten, 1, 3), _part(ten, 4, 7), F.lit(1000), F.lit(10_000_000),
+                             key, F.lit("phone"))
+        out = _bind(new, lambda s: F.concat(_padded(s["l"], 3), _padded(s["r"], 7)))
         return _fill(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), out))
 
     return _bind(F.regexp_replace(m, r"\D", ""), swap)
@@ -222,6 +224,11 @@ def _mail(m: Column, key: str) -> Column:
     return _bind(F.split(m, "@"), swap)
 
 
+def _card_or_phone(m: Column, key: str) -> Column:
+    phone = F.when(m.rlike(f"^(?:{PHONE})$"), _phone(m, key)).otherwise(m)
+    return F.when(m.rlike(f"^(?:{CARD})$"), _card(m, key, phone)).otherwise(phone)
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match of ``ANY``; a value that fails its check stays as it is."""
     def whole(p: str) -> Column:
@@ -230,7 +237,8 @@ def pseudonym(m: Column, key: str) -> Column:
     return (
         F.when(m.contains("@"), _mail(m, key)).when(whole(DATE), _date(m, key))
         .when(whole(IPV4), _ipv4(m, key)).when(whole(SSN), _ssn(m, key))
-        .when(whole(PHONE), _phone(m, key)).otherwise(_card(m, key))
+        .when(whole(TOLD_PHONE), _phone(m, key))
+        .otherwise(_card_or_phone(m, key))
     )
 
 
