@@ -87,6 +87,24 @@ def test_supplied_phone_numbers_are_all_rewritten(spark, sf_dir):
     assert found
 
 
+def test_card_numbers_among_other_digits(spark):
+    card = "4111 1111 1111 1111"
+    alone = rewritten(spark, [card])[0][0]
+    assert luhn(re.sub(r"\D", "", alone)) and alone != card
+    # none of these has another alignment with a right check digit further left
+    texts = ["a 2020 {} b", "{} {} {}", "7 {}", "{} 2020", "2020  {}", "1980-02-29 {}", "9-{}",
+             "{} 415-555-2671", "2020 123-45-6789 {}", "12 415-555-2671, {}"]
+    out = rewritten(spark, [t.replace("{}", card) for t in texts])
+    for t, (got, n) in zip(texts, out):
+        assert got.count(alone) == t.count("{}") and card not in got, (t, got)
+    assert [n for _, n in out] == [1, 3, 1, 1, 1, 2, 1, 2, 2, 2]
+    amex, short = rewritten(spark, ["5 3782 822463 10005 1", "3056 930902 5904"])
+    assert re.fullmatch(r"5 \d{4} \d{6} \d{5} 1", amex[0]) and luhn(re.sub(r"\D", "", amex[0][2:-2]))
+    assert luhn(re.sub(r"\D", "", short[0])) and short[1] == 1
+    (numbers, _), = rewritten(spark, [" ".join(["4111111111111112"] * 3000)])
+    assert len(numbers) == 17 * 3000 - 1
+
+
 def test_very_long_text_and_empty_table(spark):
     long = "word " * 200_000 + "10.0.0.1" + " word" * 10
     (text, n), = rewritten(spark, [long])

@@ -29,6 +29,11 @@ SSN = r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IPV4 = r"(?<![\w.-])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w-]|\.\d)"
 DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w-]|\.\d)"
 MAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Digits over single or several spaces and hyphens, in which card numbers are looked for.
+RUN = r"(?<![\w.])\d[\d -]{10,}\d(?!\w)"
+#: Formats that are found before card numbers.
+TOLD = "|".join(f"(?:{p})" for p in (MAIL, DATE, IPV4, SSN, TOLD_PHONE))
+#: All of them, without regard to what a run of digit groups holds.
 ANY = "|".join(f"(?:{p})" for p in (MAIL, DATE, IPV4, SSN, TOLD_PHONE, CARD, PHONE))
 FIRST_DAY = "1700-01-01"
 
@@ -73,11 +78,10 @@ def _fill(shape: Column, digits: Column) -> Column:
     return step
 
 
-def _card(m: Column, key: str, other: Column) -> Column:
-    """The card number's pseudonym; ``other`` if the check digit is wrong."""
+def _card(m: Column, key: str) -> Column:
+    """The pseudonym of a card number with a right check digit."""
     def swap(d: Column) -> Column:
         n = F.length(d)
-        body = F.substr(d, F.lit(1), n - 1)
         low = F.floor((n - 1) / 2)
         a, b = F.pow(F.lit(10), low).cast("long"), F.pow(F.lit(10), n - 1 - low).cast("long")
         # the parts are read off the digits, so no division is needed
@@ -89,12 +93,20 @@ def _card(m: Column, key: str, other: Column) -> Column:
             F.lpad(s["l"].cast("string"), low, F.lit("0"))))
         full = _bind(digits, lambda p: F.concat(
             p, ((10 - luhn_sum(F.concat(p, F.lit("0"))) % 10) % 10).cast("string")))
-        valid = (luhn_sum(d) % 10 == 0) & body.rlike("[1-9]")
-        return F.when(valid, _fill(m, full)).otherwise(other)
+        return _fill(m, full)
 
     return _bind(F.regexp_replace(m, r"\D", ""), swap)
 
 
+def _is_card(m: Column) -> Column:
+    """12 to 19 digits over single spaces or hyphens, not all zero, with a right check digit."""
+    return F.when(
+        m.rlike(r"^\d(?:[ -]?\d){11,18}[ -]*$"),
+        _bind(F.regexp_replace(m, r"\D", ""),
+              lambda d: (luhn_sum(d) % 10 == 0) & F.left(d, F.length(d) - 1).rlike("[1-9]")),
+    ).otherwise(False)
+
+
 def permuted_parts(left: Column, right: Column, a: Column, b: Column, key: str, form: Column
                    ) -> Column:
     """The permutation on the pair (left below a, right below b), as struct (l, r)."""
@@ -224,41 +236,97 @@ def _mail(m: Column, key: str) -> Column:
     return _bind(F.split(m, "@"), swap)
 
 
-def _card_or_phone(m: Column, key: str) -> Column:
-    phone = F.when(m.rlike(f"^(?:{PHONE})$"), _phone(m, key)).otherwise(m)
-    return F.when(m.rlike(f"^(?:{CARD})$"), _card(m, key, phone)).otherwise(phone)
+def _plain(piece: Column) -> Column:
+    return F.struct(piece.alias("old"), piece.alias("new"))
+
+
+def _pieces(text: Column, pattern: str, found, between=lambda p: F.array(_plain(p))) -> Column:
+    """The text as an array of (old, new): ``found`` of each match, ``between`` of what is around.
+
+    Both give such arrays. A match starts and ends where no word goes on, so a piece can be looked
+    at without its neighbours.
+    """
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.flatten(F.zip_with(
+        F.split(text, pattern, -1), matches,
+        lambda p, m: F.concat(between(p), F.when(m.isNotNull(), found(m)).otherwise(F.array()))))
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of one match of ``ANY``; a value that fails its check stays as it is."""
+def told(m: Column, key: str) -> Column:
+    """The pseudonym of one match of ``TOLD``; a value that fails its check stays as it is."""
     def whole(p: str) -> Column:
         return m.rlike(f"^(?:{p})$")
 
     return (
         F.when(m.contains("@"), _mail(m, key)).when(whole(DATE), _date(m, key))
-        .when(whole(IPV4), _ipv4(m, key)).when(whole(SSN), _ssn(m, key))
-        .when(whole(TOLD_PHONE), _phone(m, key))
-        .otherwise(_card_or_phone(m, key))
+        .when(whole(IPV4), _ipv4(m, key)).when(whole(SSN), _ssn(m, key)).otherwise(_phone(m, key))
     )
 
 
+def _run(run: Column, key: str) -> Column:
+    """Pieces of a run of digit groups.
+
+    From left to right, the groups from here on whose joint number is a card number (the longest if
+    there are several) are taken as one; what is left is searched for phone numbers.
+    """
+    def cut(groups: Column) -> Column:
+        def joined(at: Column, n: Column) -> Column:
+            return F.array_join(F.slice(groups, at, n), "")
+
+        size = F.size(groups)
+        # per group that starts a card number: its place and the number of groups
+        starts = F.filter(F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(
+            i.alias("at"),
+            F.get(F.filter(F.sequence(F.least(F.lit(19), size - i + 1), F.lit(1), F.lit(-1)),
+                           lambda n: _is_card(joined(i, n))), F.lit(0)).alias("n"))),
+            lambda s: s["n"].isNotNull())
+        none = F.struct(F.lit(1).alias("next"),
+                        F.array().cast("array<struct<at:int,n:int>>").alias("taken"))
+        chosen = F.aggregate(starts, none, lambda c, s: F.when(
+            s["at"] >= c["next"],
+            F.struct((s["at"] + s["n"]).alias("next"),
+                     F.concat(c["taken"], F.array(s)).alias("taken"))).otherwise(c),
+            lambda c: c["taken"])
+
+        def pieces(c: Column) -> Column:
+            # a card number behind the groups since the one before; the last entry is the end
+            ends = F.concat(c, F.array(F.struct((size + 1).alias("at"), F.lit(0).alias("n"))))
+            return F.flatten(F.transform(ends, lambda s, k: _bind(
+                F.when(k == 0, F.lit(1)).otherwise(
+                    F.get(ends, k - 1)["at"] + F.get(ends, k - 1)["n"]),
+                lambda at: F.concat(
+                    _phones(joined(at, s["at"] - at), key),
+                    F.when(s["n"] > 0, _bind(joined(s["at"], s["n"]), lambda m: F.array(
+                        F.struct(m.alias("old"), _card(m, key).alias("new")))))
+                    .otherwise(F.array())))))
+
+        return _bind(chosen, pieces)
+
+    return _bind(F.regexp_extract_all(run, F.lit(r"\d+[ -]*"), F.lit(0)), cut)
+
+
+def _phones(text: Column, key: str) -> Column:
+    return _pieces(text, PHONE, lambda m: F.array(
+        F.struct(m.alias("old"), _phone(m, key).alias("new"))))
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with its text column rewritten, and ``n_pseudonyms``, the number of values changed.
 
     Null text stays null. Values that fail validation (a wrong check digit, an impossible day or
-    octet) stay. A column called ``n_pseudonyms`` is replaced; other columns are not looked at.
+    octet) stay. Groups of digits may be read in several ways: what is told by its layout goes
+    first, then card numbers at any borders of groups, then phone numbers. A column called
+    ``n_pseudonyms`` is replaced; other columns are not looked at.
     """
     text = named(text_col)
     # a value has a digit, or an at sign
     worth = text.rlike("[0-9@]")
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    swapped = F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
-    pieces = F.split(text, ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(
-        pieces, swapped, lambda p, s: F.array(p, F.coalesce(s["new"], F.lit(""))))), "")
-    out = F.when(worth, F.struct(
-        joined.alias("text"),
-        F.size(F.filter(swapped, lambda s: s["old"] != s["new"])).alias("n")))
+    pieces = _pieces(
+        text, TOLD, lambda m: F.array(F.struct(m.alias("old"), told(m, key).alias("new"))),
+        lambda p: _pieces(p, RUN, lambda m: _run(m, key), lambda q: _phones(q, key)))
+    out = F.when(worth, _bind(pieces, lambda all_: F.struct(
+        F.array_join(F.transform(all_, lambda s: s["new"]), "").alias("text"),
+        F.size(F.filter(all_, lambda s: s["old"] != s["new"])).alias("n"))))
     held = docs.withColumn("__feistel", out)
     return held.withColumn(
         text_col, F.coalesce(F.col("__feistel.text"), text)).withColumn(
