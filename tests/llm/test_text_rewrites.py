@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import plain
@@ -176,6 +177,57 @@ def test_passages_with_replaced_words(spark):
     assert sorted(kept) == [7, 8]
 
 
+def all_alignments(docs, items, span=13, percent=80):
+    """Hits by comparing every alignment, without seeds."""
+    out = set()
+    for i, t in docs:
+        w = tokens(t)
+        for k, item in items:
+            q = tokens(item)
+            wide, best = min(span, len(q)), 0
+            for s in range(1 - len(q), len(w)):
+                same = [q[j] == w[j + s] for j in range(len(q)) if 0 <= j + s < len(w)]
+                best = max([best, *(sum(same[x:x + wide]) for x in range(max(1, len(same) - wide + 1)))])
+            if best and 100 * best >= percent * wide:
+                out.add((i, k, best, wide))
+    return out
+
+
+def test_every_passage_above_the_bar_is_found(spark):
+    items, docs = [], []
+    for n in (*range(1, 14), 15, 18):
+        q = [f"q{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(q)))
+        lost = min(n, 13) - -(-80 * min(n, 13) // 100)
+        for gone in (g for size in (lost, lost + 1) for g in itertools.combinations(range(min(n, 13)), size)):
+            text = ["changed" if i in gone or i > 12 else w for i, w in enumerate(q)]
+            if len(gone) == lost or len(docs) % 7 == 0:
+                docs.append((len(docs), " ".join(["pad", *text, "pad"])))
+            else:
+                docs.append((len(docs), " ".join(text[1:])))
+    items += [(100, "pad pad"), (101, None), (102, "..."), (103, "pad"), (104, "a b a b a")]
+    docs += [(len(docs), "a b a b"), (len(docs) + 1, "b a b a"), (len(docs) + 2, "pad pad")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r)[1:] for r in spaced_seeds.contaminated(frame(spark, docs), bench).collect()]
+    assert len(got) == len(set(got)) and set(got) == all_alignments(docs, items)
+    assert {k for _, k, *_ in got} >= {*range(1, 14), 15, 18, 100, 103, 104}
+
+
+def test_supplied_tables_without_seeds(spark, sf_dir):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id", "text").orderBy("doc_id").limit(300).collect()]
+    # passages of the documents themselves, with places 5 and 8 replaced
+    items = []
+    for i, t in docs[::10]:
+        q = tokens(t)[3:16]
+        if len(q) == 13:
+            q[5] = q[8] = "replaced"
+            items.append((i, " ".join(q)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r)[1:] for r in spaced_seeds.contaminated(frame(spark, docs), bench).collect()}
+    assert {i for i, _ in items} <= {i for i, k, *_ in got if i == k}
+
+
 def test_empty_sides(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     docs = frame(spark, [(1, "a b c d e f g")])

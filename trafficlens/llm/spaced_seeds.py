@@ -1,15 +1,20 @@
 """Benchmark passages in training texts, by spaced seeds.
 
 A seed is a fixed mask laid on consecutive words: words under a gap of the mask do not count, so a
-replaced word there leaves the hash as it is. All masks join two runs of three words, with 0, 1 or 2
-words skipped in between; hashes of runs are made once and paired. Hashes of the benchmark are
-joined with those of the texts; every hit fixes an alignment, which is then compared word by word.
+replaced word there leaves the hash as it is. The masks join two runs of three words, with 0 to 4
+words skipped in between; hashes of runs are made once and paired. Where these masks could miss an
+alignment that reaches the bar, as with short items, single runs of three words or less are the
+seeds: as many as must lie between the replaced words. Hashes of the benchmark are joined with those
+of the texts; every hit fixes an alignment, which is then compared word by word.
 An alignment counts if ``span`` consecutive words around agree in ``percent`` of their places.
 Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +23,30 @@ from trafficlens.plans.sides import small_side
 
 RUN = 3
 #: Words skipped between the two runs of a mask.
-SKIPS = (0, 1, 2)
+SKIPS = (0, 1, 2, 3, 4)
 SPAN, PERCENT = 13, 80
+#: Patterns of replaced words up to which it is tried out whether the masks hold them all.
+PATTERNS = 10_000
+
+
+def kinds_of(wide: int, percent: int) -> tuple[int, ...]:
+    """Seeds of which every alignment holds one that agrees in ``percent`` of ``wide`` places.
+
+    A kind is the skip of a mask, or -n for a run of n words.
+    """
+    need = max(1, -(-percent * wide // 100))
+    lost = wide - need
+    if lost < 0:
+        return ()
+
+    def held(gone: tuple[int, ...]) -> bool:
+        run = [all(x not in gone for x in range(a, a + RUN)) for a in range(wide - RUN + 1)]
+        return any(run[a] and run[a + RUN + skip] for skip in SKIPS
+                   for a in range(len(run) - RUN - skip))
+
+    if comb(wide, lost) <= PATTERNS and all(map(held, combinations(range(wide), lost))):
+        return SKIPS
+    return (-min(RUN, -(-need // (lost + 1))),)
 
 
 def word_hashes(text: Column) -> Column:
@@ -32,8 +59,8 @@ def _paired(skip: int):
     return lambda a, b: F.xxhash64(a, b, F.lit(skip))
 
 
-def _with_seeds(rows: DataFrame) -> DataFrame:
-    """Adds ``seeds``: an array per mask, whose i-th hash starts at word i."""
+def _with_seeds(rows: DataFrame, kinds: list[int]) -> DataFrame:
+    """Adds ``seeds``: an array per kind, whose i-th hash starts at word i."""
     def shifted(c: str, by: int, n: Column) -> Column:
         return F.slice(c, by + 1, F.greatest(n, F.lit(0)))
 
@@ -42,12 +69,15 @@ def _with_seeds(rows: DataFrame) -> DataFrame:
                      lambda a, b: F.xxhash64(a, b))
     runs = rows.withColumn("two", two).withColumn(
         "runs", F.zip_with("two", shifted("words", 2, n - 2), lambda a, b: F.xxhash64(a, b)))
-    masks = []
+    pairs = F.zip_with(shifted("words", 0, n - 1), shifted("words", 1, n - 1),
+                       lambda a, b: F.xxhash64(a, b, F.lit(-2)))
+    lists = {-1: F.col("words"), -2: pairs, -RUN: F.col("runs")}
     for skip in SKIPS:
         gap = RUN + skip
         m = F.size("runs") - gap
-        masks.append(F.zip_with(shifted("runs", 0, m), shifted("runs", gap, m), _paired(skip)))
-    return runs.withColumn("seeds", F.array(*masks)).drop("two", "runs")
+        lists[skip] = F.zip_with(shifted("runs", 0, m), shifted("runs", gap, m), _paired(skip))
+    seeds = F.array(*[lists[k] for k in kinds]) if kinds else F.array().cast("array<array<long>>")
+    return runs.withColumn("seeds", seeds).drop("two", "runs")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
@@ -57,14 +87,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     span_words.
 
     ``span_words`` is the span compared (the item's length if that is shorter), ``matched_words``
-    the most places that agree in it. An item needs six words to hold a seed; shorter ones, null
-    texts and empty tables find nothing. ``doc_row`` is a hash of id and text. Fully identical
+    the most places that agree in it. Every alignment that reaches the bar is found, for items of any
+    length; items without a word and empty tables find nothing. ``doc_row`` is a hash of id and text. Fully identical
     documents give one row; several documents with the same or no id give one each.
     """
     items = benchmark.select(named(item_col).alias("item_id"),
                              word_hashes(text_of(item_text_col)).alias("words"))
-    items = shared_table(items.where(F.size("words") >= 2 * RUN), "seed-items")
-    lists = _with_seeds(items).select("item_id", F.posexplode("seeds").alias("mask", "list"))
+    items = shared_table(items.where(F.size("words") > 0), "seed-items")
+    wide = F.least(F.lit(span), F.size("words"))
+    ways = {w: kinds_of(w, percent) for w, in items.select(wide).distinct().collect()}  # <= span rows
+    kinds = sorted({k for own in ways.values() for k in own})
+    asked = F.lit(False)
+    for w, own in ways.items():
+        asked = asked | ((F.col("wide") == w) & F.col("mask").isin([kinds.index(k) for k in own]))
+    lists = _with_seeds(items, kinds).select(
+        "item_id", wide.alias("wide"), F.posexplode("seeds").alias("mask", "list")).where(asked)
     tests = shared_table(
         lists.select("item_id", F.posexplode("list").alias("at", "seed"), "mask").distinct(),
         "seed-tests")
@@ -74,13 +111,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     wanted = small_side(tests.select("seed").distinct())
 
     # which documents have any hit; only they are looked at by place
-    hashed = _with_seeds(own.select("doc_row", word_hashes(F.col("text")).alias("words")))
+    hashed = _with_seeds(own.select("doc_row", word_hashes(F.col("text")).alias("words")), kinds)
     hit = shared_table(
         hashed.select("doc_row", F.explode(F.flatten("seeds")).alias("seed"))
         .join(wanted, "seed", "left_semi").select("doc_row").distinct(), "seed-documents")
     near = _with_seeds(
         own.join(small_side(hit), "doc_row", "left_semi").dropDuplicates(["doc_row"])
-        .select("doc_row", "doc_id", word_hashes(F.col("text")).alias("words")))
+        .select("doc_row", "doc_id", word_hashes(F.col("text")).alias("words")), kinds)
     near = shared_table(near, "seed-near")
     places = near.select("doc_row", F.explode("seeds").alias("list")).select(
         "doc_row", F.posexplode("list").alias("i", "seed"))
