@@ -45,7 +45,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the documents, and their digests read back."""
     path = scratch_dir(spark, "corpus-ids")
-    token_orc.write_tokens(docs.select(named("doc_id"), named("text")), path, vocabulary())
+    token_orc.write_tokens(docs.select(named("doc_id"), named("text")), path, vocabulary(),
+                           added_tokens=True)
     return token_orc.token_digests(spark, path)
 
 

@@ -48,6 +48,21 @@ def test_odd_texts_round_trip(spark, tokenizer, tmp_path):
         [*tokenizer.encode(rows[17][1], add_special_tokens=False).ids, END]]
 
 
+def test_queries_give_the_ids_of_the_library(spark, tmp_path):
+    import corpus_pipeline
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "one two <|endoftext|> three"), (2, "<|endoftext|>"), (3, "a<|endoftext|>b c d"),
+            (4, "one two three"), (5, "<|endoftext |> <|endoftext|><|endoftext|>\u00a0x"), (6, " <|end"),
+            (7, None)]
+    folder = str(tmp_path / "in")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    wanted = digests(rows, plain)
+    for got in (QUERIES["op10_token_orc"](spark, folder), corpus_pipeline.write_ids(spark, docs, folder)):
+        assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == wanted
+
+
 def test_repeated_ids_and_empty_table(spark, tokenizer, tmp_path):
     rows = [(3, "same text")] * 50 + [(2, "x")]
     path = str(tmp_path / "again")

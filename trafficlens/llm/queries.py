@@ -139,5 +139,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_orc")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-orc")
-    token_orc.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary())
+    token_orc.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary(),
+                           added_tokens=True)
     return token_orc.token_digests(spark, path)

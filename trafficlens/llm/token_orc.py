@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,18 +41,19 @@ class _Encoder:
 
     A pre-token of this vocabulary never reaches over a space that a visible character follows, so
     texts are cut before such spaces. Unknown pieces of many texts are encoded as one text and told
-    apart by the lengths of the ids. A text with other white-space characters is one piece. Pieces
-    are known by 64-bit hashes.
+    apart by the lengths of the ids. A text with other white-space characters is one piece, and so is
+    one that holds an added token of the vocabulary. Pieces are known by 64-bit hashes.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, added_tokens: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(vocabulary)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added_tokens
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         names = self.tok.get_vocab()
         self.width = np.zeros(max(names.values()) + 1, np.int64)  # one character stands for a byte
         for name, i in names.items():
@@ -124,6 +126,9 @@ class _Encoder:
             odd = _exotic(raw)
             for r in np.unique(np.searchsorted(at, np.flatnonzero(odd), side="right") - 1):
                 inside[at[r]:at[r + 1]] = False
+            for name in self.added:
+                for r in np.flatnonzero(pc.match_substring(texts, name).to_numpy(False)):
+                    inside[at[r]:at[r + 1]] = False
         start = np.flatnonzero(inside | edge[:-1])
         end = np.append(start[1:], size) if len(start) else start
         keys, first, which = np.unique(piece_hash(running_hash(raw), start, end),
@@ -163,19 +168,20 @@ class _Encoder:
             self.fresh = np.empty(0, np.uint64), np.empty(0, np.int64)
 
 
-def _encoder(vocabulary: str) -> _Encoder:
+def _encoder(vocabulary: str, added_tokens: bool) -> _Encoder:
     """The encoder of this Python process, which lives as long as Spark keeps the worker."""
     import sys
 
     kept = sys.__dict__.setdefault("_trafficlens_encoders", {})
-    if vocabulary not in kept:
-        kept[vocabulary] = _Encoder(vocabulary)
-    return kept[vocabulary]
+    key = vocabulary, added_tokens
+    if key not in kept:
+        kept[key] = _Encoder(*key)
+    return kept[key]
 
 
-def _tokens(vocabulary: str, end_id: int):
+def _tokens(vocabulary: str, end_id: int, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start = _encoder(vocabulary), 0
+        encoder, start = _encoder(vocabulary, added_tokens), 0
         for batch in batches:
             for lo, texts in slices(batch.column(1)):
                 ids, sizes = encoder.encode(texts, end_id)
@@ -192,12 +198,15 @@ def _tokens(vocabulary: str, end_id: int):
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2,
                  id_col: str = "doc_id", text_col: str = "text",
-                 stripe_mb: int = 16, files: int | None = None) -> None:
+                 stripe_mb: int = 16, files: int | None = None,
+                 added_tokens: bool = False) -> None:
     """Write the token files of ``docs`` in ascending id order (null ids first).
 
     Null text is written as an empty document, which has the end id alone. Rows of the same id are
     kept side by side, also when one id fills many rows: ties are dealt by a row number. An empty
     table leaves a folder without rows. ``files`` fixes the number of files.
+    With ``added_tokens`` a special token written in a text is that token, as in the library's own
+    encoding of the vocabulary; without, it is text like any other.
     """
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"),
                        F.monotonically_increasing_id().alias("tie"))
@@ -205,7 +214,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2,
     dealt = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
     (
         dealt.sortWithinPartitions(*keys).select("doc_id", "text")
-        .mapInArrow(_tokens(vocabulary, end_id), SCHEMA)
+        .mapInArrow(_tokens(vocabulary, end_id, added_tokens), SCHEMA)
         .write.mode("errorifexists")
         .option("orc.stripe.size", stripe_mb << 20)
         .option("orc.row.index.stride", 1000)
