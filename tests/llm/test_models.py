@@ -125,6 +125,17 @@ def test_languages_on_the_supplied_table(spark, sf_dir):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def test_language_sample_holds_distinct_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(crf, "fit", lambda texts, labels, langs: seen.update(
+        texts=texts, labels=list(labels), langs=langs))
+    rows = [(f"text {i}", lang) for i in range(30) for lang in ("a", "b") for _ in range(40)]
+    crf.train(spark.createDataFrame(rows, "text string, lang string"), sample=20)
+    for k in range(2):
+        texts = [t for t, i in zip(seen["texts"], seen["labels"]) if i == k]
+        assert len(texts) == len(set(texts)) == 20
+
+
 def test_language_odd_rows_and_no_labels(spark):
     rows = [(1, "the and of"), (1, "the and of"), (None, None), (3, ""), (4, "12 !!"), (5, "é" * 90_000),
             (6, "der und die das der")]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.columns import named, text_of
+from trafficlens.llm.columns import named, shared_table, text_of
 from trafficlens.llm.subword import word_features
 from trafficlens.llm.word_arrays import slices
 
@@ -205,18 +205,25 @@ def _neighbours(emission: np.ndarray, seq: np.ndarray, steps: np.ndarray, p: np.
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
           sample: int = SAMPLE) -> Crf:
-    """Learn from rows with a language; of each, the ``sample`` rows with the smallest text hashes.
+    """Learn from rows with a language; of each, the ``sample`` texts with the smallest hashes.
+
+    Copies of a text count once.
 
     The languages are the distinct labels. Without any labelled row the model has none.
     """
     rows = labelled.select(F.lower(text_of(text_col)).alias("text"),
                            named(lang_col).alias("lang")).where("lang is not null")
     langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    hashes = shared_table(rows.select("lang", "hash").distinct(), "crf-hashes")
+    least = [(r.lang, r.hash) for lang in langs for r in hashes.where(
+        F.col("lang") == lang).orderBy("hash").limit(sample).collect()]
+    chosen = rows.join(F.broadcast(rows.sparkSession.createDataFrame(
+        least, "lang string, hash long")), ["lang", "hash"]).distinct().collect()
     texts, labels = [], []
     for i, lang in enumerate(langs):
-        some = rows.where(F.col("lang") == lang).orderBy(F.xxhash64("text"), "text").limit(sample)
-        got = [r.text for r in some.collect()]
-        texts += got
+        got = sorted((r.hash, r.text) for r in chosen if r.lang == lang)[:sample]
+        texts += [t for _, t in got]
         labels += [i] * len(got)
     if not langs:
         return Crf([], np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 1)))
