@@ -171,6 +171,15 @@ def test_toxicity_learns_misspellings():
     assert scores[0] > 0.5 > scores[1] and 0 <= scores[2] <= 1
 
 
+def test_toxicity_sample_is_the_stated_one(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, *a, **k: seen.append(np.bincount(toxic.astype(int))))
+    rows = [(i, f"text {i}") for i in range(5200)]
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(
+        [(i, int(i >= 3600)) for i in range(5200)], "doc_id long, toxic int"))
+    assert seen[0].tolist() == [3500, 1500]
+
+
 def test_toxicity_odd_rows(spark):
     rows = [(1, "a"), (1, "a"), (None, None), (3, ""), (4, "b " * 50_000), (5, "!! 12")]
     docs = odd_frame(spark, rows)

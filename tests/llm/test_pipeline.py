@@ -32,6 +32,13 @@ def test_toxic_documents_go_and_others_stay(spark, sf_dir, stages):
     assert sum(i in kept for i in clean) >= 0.95 * len(clean)
 
 
+def test_labelled_toxic_documents_go(spark, sf_dir, stages):
+    toxic = [r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").collect()]
+    kept, given = ({r.doc_id for r in stages[k]} for k in (1, 0))
+    toxic = [i for i in toxic if i in given]
+    assert toxic and sum(i in kept for i in toxic) <= 0.2 * len(toxic)
+
+
 def test_one_document_of_each_group_stays(stages):
     rows = [(r.doc_id, r.text) for r in stages[1]]
     want = {i for i, n, c in plain.similar(rows) if i == c or n == 0}
