@@ -18,6 +18,7 @@ from trafficlens.llm import (
     spaced_seeds,
     token_orc,
     toxicity,
+    warc_salvage,
 )
 from trafficlens.llm.columns import id_crc, named
 from trafficlens.plans.scratch import scratch_dir
@@ -142,3 +143,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_orc.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary(),
                            added_tokens=True)
     return token_orc.token_digests(spark, path)
+
+
+@query("op13_warc_salvage", """
+with base as (
+  select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes,
+         sha256(coalesce(html, '')) as payload_digest
+  from pages),
+least as (
+  select *, min(page_id) over (partition by payload_digest) as first from base),
+judged as (
+  select *, payload_bytes >= 100 and first is not null and page_id is distinct from first as again
+  from least)
+select page_id, payload_bytes, payload_digest,
+       case when again then 'revisit' else 'response' end as record_type,
+       case when again then first end as refers_to
+from judged
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "warc")
+    warc_salvage.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc_salvage.read_archives(spark, path).where("kind = 'record'")
+    stated = F.substring_index("payload_digest", ":", -1)
+    return found.select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes",
+        F.when(F.col("record_type") == "revisit", stated).otherwise(F.sha2("payload", 256))
+        .alias("payload_digest"),
+        "record_type", F.col("refers_to").cast("long").alias("refers_to"))
