@@ -19,6 +19,7 @@ from trafficlens.llm import (
     token_orc,
     toxicity,
     warc_salvage,
+    whitening,
 )
 from trafficlens.llm.columns import id_crc, named
 from trafficlens.plans.scratch import scratch_dir
@@ -170,3 +171,13 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("record_type") == "revisit", stated).otherwise(F.sha2("payload", 256))
         .alias("payload_digest"),
         "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op12_qdwh_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows)
+    error = whitening.identity_error(rows, model)
+    return whitening.whiten(rows, model, ["vec_id"]).select(
+        F.col("k0").alias("vec_id"), "component", "n", "deviation", "whitened", "explained",
+        F.lit(error).alias("identity_error"))
