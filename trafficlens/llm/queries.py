@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.llm import (
     brown,
+    collocations,
     crf,
     exact_dedup,
     feistel,
@@ -173,6 +174,54 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+@query("op11_collocations", r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+sequences as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+grams as (
+  select lang, unnest(list_transform(range(1, len(w) - n + 2), lambda i: w[i:i + n - 1])) as g
+  from sequences, (select unnest([1, 2, 3, 4]) as n) where len(w) >= n),
+counts as materialized (
+  select lang, array_to_string(g, ' ') as phrase, any_value(g) as g, len(any_value(g)) as size,
+         count(*) as f
+  from grams group by lang, phrase),
+totals as (select lang, cast(sum(f) as bigint) as n from counts where size = 1 group by lang),
+named as materialized (select lang || ' ' || phrase as name, f from counts where f >= 30),
+candidates as materialized (select * from counts where size >= 2 and f >= 30),
+parts as (
+  select lang || ' ' || array_to_string(g[i:i + k - 1], ' ') as name, f
+  from candidates, (select unnest([2, 3]) as k), (select unnest([1, 2, 3]) as i)
+  where k < size and i + k - 1 <= size),
+inside as materialized (select name, max(f) as most from parts group by name),
+ways as materialized (
+  select *, lang || ' ' || array_to_string(g[1:k], ' ') as head,
+         lang || ' ' || array_to_string(g[k + 1:], ' ') as tail
+  from candidates, (select unnest([1, 2, 3]) as k) where k < size),
+headed as materialized (
+  select ways.*, named.f as l from ways join named on named.name = ways.head),
+cuts as (
+  select headed.*, headed.f as a, named.f as r,
+         (cast(2000000 as hugeint) * headed.f) // (l + named.f) as score
+  from headed join named on named.name = headed.tail),
+lowest as (
+  select *, row_number() over (partition by lang, phrase order by score, k) as place from cuts),
+kept as (
+  select lowest.* from lowest left join inside on inside.name = lang || ' ' || phrase
+  where place = 1 and (inside.most is null or 100 * inside.most < 80 * a)),
+ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select ranked.lang, rank, phrase, a, l, r, n, cast(score as bigint) as score
+from ranked join totals using (lang) where rank <= 2000
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op12_qdwh_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
