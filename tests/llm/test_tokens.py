@@ -33,6 +33,27 @@ def read(spark, path):
     return sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1])
 
 
+def test_positions_over_several_files_of_a_partition(spark, tokenizer, tmp_path):
+    rows = [(i, "some words " * (i % 7)) for i in range(40)]
+    path = str(tmp_path / "ids")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 5)
+    try:
+        token_orc.write_tokens(
+            spark.createDataFrame(rows, "doc_id long, text string"), path, vocabulary(), files=2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert read(spark, path) == digests(rows, tokenizer)
+
+
+def test_a_full_store_changes_nothing(spark, tokenizer, tmp_path, monkeypatch):
+    rows = [(i, f"w{i} x{i % 50} y{i * i}") for i in range(3000)]
+    monkeypatch.setattr(token_orc, "CACHE", 60)
+    path = str(tmp_path / "ids")
+    token_orc.write_tokens(
+        spark.createDataFrame(rows, "doc_id long, text string"), path, vocabulary(), files=1)
+    assert read(spark, path) == digests(rows, tokenizer)
+
+
 def test_odd_texts_round_trip(spark, tokenizer, tmp_path):
     rng = random.Random(1)
     glyphs = ["a", "Bc", "é", " ", "  ", "\n", "\t", "'s", "12", ".", " ", " ", "\x85",

@@ -3,8 +3,8 @@
 Documents are range-partitioned and sorted by id, tokenised in Arrow batches and written as ORC: the
 ids are an integer column, which ORC stores in run lengths; every stripe carries a row index and a
 Bloom filter on ``doc_id``. A reader prunes stripes and row groups by that metadata, and splits a
-file at stripes. Each file counts its tokens from 0; a small table of file totals, made when
-reading, turns that into positions over all files.
+file at stripes. Each range partition counts its tokens from 0; a small table of their totals,
+made when reading, turns that into positions over all files.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from trafficlens.llm.columns import named, shared_table, text_of
 from trafficlens.llm.word_arrays import buffer_of, piece_hash, running_hash, slices
 
-#: Pieces of texts whose ids a Python worker remembers at most, over all of its tasks.
-CACHE = 2_000_000
+#: Pieces of texts whose ids a task remembers at most, and ids of those pieces: some 16 MB.
+CACHE, CACHED_IDS = 300_000, 1_200_000
 #: Pieces that are given to the tokenizer as one text.
 JOINED = 1000
 SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
@@ -150,7 +150,7 @@ class _Encoder:
         source = np.repeat(begin, length) + within
         # an end id for every text before it shifts a piece's place
         out[np.arange(total) + np.repeat(row, length)] = self.ids[source]
-        if self.pieces > CACHE:
+        if self.pieces > CACHE or self.used > CACHED_IDS:
             self.pieces, self.used = before
         elif new.any():
             self._remember(keys[new], number[new])
@@ -168,20 +168,9 @@ class _Encoder:
             self.fresh = np.empty(0, np.uint64), np.empty(0, np.int64)
 
 
-def _encoder(vocabulary: str, added_tokens: bool) -> _Encoder:
-    """The encoder of this Python process, which lives as long as Spark keeps the worker."""
-    import sys
-
-    kept = sys.__dict__.setdefault("_trafficlens_encoders", {})
-    key = vocabulary, added_tokens
-    if key not in kept:
-        kept[key] = _Encoder(*key)
-    return kept[key]
-
-
 def _tokens(vocabulary: str, end_id: int, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start = _encoder(vocabulary, added_tokens), 0
+        encoder, start = _Encoder(vocabulary, added_tokens), 0
         for batch in batches:
             for lo, texts in slices(batch.column(1)):
                 ids, sizes = encoder.encode(texts, end_id)
@@ -225,15 +214,19 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2,
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).orc(path).withColumn("file", F.col("_metadata.file_name"))
+    """The rows of all files, with the number of the range partition that wrote each of them."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    return spark.read.schema(SCHEMA).orc(path).withColumn("part", part)
 
 
 def file_starts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, file_start): one row per file, from the files' own counts."""
-    totals = _files(spark, path).groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
-    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")  # the range partition's
-    upto = Window.partitionBy(F.lit(0)).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select("file", F.coalesce(F.sum("tokens").over(upto), F.lit(0)).alias("file_start"))
+    """(part, part_start): one row per range partition, from the files' own counts.
+
+    A partition may have been written as several files, over which its own positions run on.
+    """
+    totals = _files(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
+    upto = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("part", F.coalesce(F.sum("tokens").over(upto), F.lit(0)).alias("part_start"))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -241,8 +234,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     starts = shared_table(file_starts(spark, path), "token-files")
     from trafficlens.plans.sides import small_side
 
-    return _files(spark, path).join(small_side(starts), "file").select(
-        "doc_id", (F.col("file_start") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return _files(spark, path).join(small_side(starts), "part").select(
+        "doc_id", (F.col("part_start") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
