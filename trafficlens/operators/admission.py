@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from bisect import bisect_left
 from collections import deque
 from collections.abc import Sequence
@@ -18,6 +19,7 @@ from trafficlens.plans.ordered_fold import MAX_GROUP_ROWS, ordered_fold
 from trafficlens.plans.scratch import materialise
 from trafficlens.plans.sides import small_side
 from trafficlens.plans.slices import ROWS_PER_SLICE, Running, running
+from trafficlens.plans.successors import one_at_a_time
 
 # Rate window and default calls per window.
 RATE_WINDOW_SEC = 60
@@ -48,15 +50,30 @@ class SlidingLog:
     def __init__(self, ts: str, limit: str, window_us: int, counts: str | None = None):
         self.ts, self.limit, self.window, self.counts = ts, limit, window_us, counts
         self.accepted: deque[int] = deque()
+        self.first: int | None = None
 
     def load(self, state: str | None) -> None:
-        self.accepted = deque(json.loads(state) if state else [])
+        self.accepted = deque(json.loads(state)["log"] if state else [])
 
     def dump(self) -> str:
-        return json.dumps(list(self.accepted))
+        return json.dumps({"first": self.first, "log": list(self.accepted)})
+
+    def same(self, entry: str | None, used: str | None, left: str) -> bool:
+        """What left the window before the first row does not matter."""
+        first = json.loads(left)["first"]
+
+        def live(state):
+            return [t for t in (json.loads(state)["log"] if state else []) if first - t < self.window]
+
+        return entry == used or first is None or live(entry) == live(used)
+
+    def follow(self, entry: str | None, used: str | None, left: str) -> str:
+        return left
 
     def walk(self, rows: dict[str, list]) -> list[bool]:
         times, limits = rows[self.ts], rows[self.limit]
+        if times and self.first is None:
+            self.first = times[0]
         accepted, window, n = self.accepted, self.window, len(times)
         counts = rows[self.counts] if self.counts else None
         out = [False] * n
@@ -91,6 +108,7 @@ def sliding_log(
     max_group_rows: int = MAX_GROUP_ROWS,
     rows_per_slice: int = ROWS_PER_SLICE,
     counts: str | None = None,
+    single: bool = False,
 ) -> DataFrame:
     """Decide each row by the rows of its key accepted within ``window_us`` before it.
 
@@ -101,7 +119,8 @@ def sliding_log(
     cells one window long, and where a cell and the one before hold no more rows than the limit,
     every row of the cell is accepted whatever happened earlier. That takes one map-side combined
     count per (key, cell). The rest forms runs of neighbouring cells; a run starts at an accepted
-    cell or after an empty one, so it needs nothing from before and is walked on its own.
+    cell or after an empty one, so it needs nothing from before and is walked on its own. With
+    ``single`` (a limit of one) runs of more than ``max_group_rows`` are chains of successors.
     """
     ts = order[0]
     width = f"{window_us} microseconds"
@@ -151,6 +170,18 @@ def sliding_log(
     needed = list(dict.fromkeys([*keys, *order, *keep, *extra, "__limit", "__run"]))
     tight = celled.join(runs, on).select(*needed)
     sizes = runs.groupBy(*keys, "__run").agg(F.sum("n").alias("count"))
+    settled = free.unionByName(timeless)
+    if single:
+        hot = materialise(sizes.where(F.col("count") > max_group_rows), "hot-runs")
+        if not hot.isEmpty():
+            group = [*keys, "__run"]
+            same = [F.col(f"tight.{c}").eqNullSafe(F.col(f"hot.{c}")) for c in group]
+            side = small_side(hot.select(*group)).alias("hot")
+            long = tight.alias("tight").join(side, same, "left_semi")
+            settled = settled.unionByName(one_at_a_time(
+                long, group, order, keep, window_us, decision, counts, rows_per_slice))
+            tight = tight.alias("tight").join(side, same, "left_anti")
+            sizes = sizes.where(F.col("count") <= max_group_rows)
     walked = ordered_fold(
         tight,
         [*keys, "__run"],
@@ -163,7 +194,7 @@ def sliding_log(
         rows_per_slice,
         sizes,
     )
-    return free.unionByName(walked).unionByName(timeless)
+    return settled.unionByName(walked)
 
 
 def rate_limit_decisions(
@@ -228,28 +259,42 @@ def rate_utilisation(
 
 
 class Purse:
-    """Spend of one key in one month; the daily part starts over each day."""
+    """Spend of one key in one month; the daily part starts over each day.
+
+    ``margin`` is how near any comparison with a limit came to equality. While it is well above the
+    difference between two states, both give the same decisions.
+    """
 
     def __init__(self, columns: dict[str, str]):
         self.c = columns
-        self.day, self.day_spend, self.month_spend = None, 0.0, 0.0
+        self.load(None)
 
     def load(self, state: str | None) -> None:
-        if state:
-            self.day, self.day_spend, self.month_spend = json.loads(state)
+        self.day, self.day_spend, self.month_spend, self.charged = (
+            json.loads(state)[:4] if state else (None, 0.0, 0.0, 0))
+        self.first, self.margin = None, None
 
     def dump(self) -> str:
-        return json.dumps([self.day, self.day_spend, self.month_spend])
+        return json.dumps([self.day, self.day_spend, self.month_spend, self.charged, self.first,
+                           self.margin])
 
     def walk(self, rows: dict[str, list]) -> list[str]:
         c, out = self.c, []
         day, spent_day, spent_month = self.day, self.day_spend, self.month_spend
+        near, charged = math.inf if self.margin is None else self.margin, self.charged
+        if self.first is None and rows[c["day"]]:
+            self.first = rows[c["day"]][0]
         for today, ahead, cost, daily, monthly in zip(
             rows[c["day"]], rows[c["estimate"]], rows[c["cost"]], rows[c["daily"]],
             rows[c["monthly"]],
         ):
             if today != day:
                 day, spent_day = today, 0.0
+            over = spent_day + ahead - daily if daily else -math.inf
+            near = min(near, abs(over))
+            if over <= 0:
+                over_month = spent_month + ahead - monthly if monthly else -math.inf
+                near = min(near, abs(over_month))
             if daily and spent_day + ahead > daily:
                 out.append("daily_exceeded")
             elif monthly and spent_month + ahead > monthly:
@@ -258,9 +303,36 @@ class Purse:
                 out.append("allowed")
                 spent_day += cost
                 spent_month += cost
+                charged += 1
         self.day, self.day_spend, self.month_spend = day, spent_day, spent_month
+        self.charged, self.margin = charged, near if near < math.inf else None
         return out
 
+    @staticmethod
+    def _begin(state: str | None, first) -> tuple[float, float, int]:
+        """Spend of the first row's day, of the month, and number of charges."""
+        day, spent_day, spent_month, charged = json.loads(state)[:4] if state else (None, 0.0, 0.0, 0)
+        return spent_day if day == first else 0.0, spent_month, charged
+
+    def same(self, entry: str | None, used: str | None, left: str) -> bool:
+        *_, first, margin = json.loads(left)
+        a, b = self._begin(entry, first), self._begin(used, first)
+        apart = max(abs(a[0] - b[0]), abs(a[1] - b[1]))
+        if apart == 0.0 or margin is None:
+            return True
+        # the sums of a long chain of steps are rounded at other places than one long sum
+        end = json.loads(self.follow(entry, used, left))
+        rounding = (end[3] + 1) * 2.0 ** -51 * max(abs(end[2]), abs(a[1]), abs(b[1]))
+        return margin > 2 * (apart + rounding)
+
+    def follow(self, entry: str | None, used: str | None, left: str) -> str:
+        day, spent_day, spent_month, charged, first, margin = json.loads(left)
+        a, b = self._begin(entry, first), self._begin(used, first)
+        if day == first:
+            spent_day = a[0] + (spent_day - b[0]) if a[0] != b[0] else spent_day
+        spent_month = a[1] + (spent_month - b[1]) if a[1] != b[1] else spent_month
+        return json.dumps([day, spent_day, spent_month, a[2] + charged - b[2], first, margin])
+
 
 def budget_decisions(
     calls: DataFrame,

@@ -61,7 +61,7 @@ def prompt_reuse(
     kept = list(dict.fromkeys([*keep, key]))
     stored = sliding_log(
         rows, keys, order, kept, F.lit(1), window_us, "__stored", max_group_rows, rows_per_slice,
-        stores,
+        stores, single=True,
     )
     return stored.select(*kept, (~F.col("__stored")).alias("hit"))
 

@@ -5,9 +5,15 @@ rows must be walked in order. The walk is a small Python class; Spark places the
 
 * groups of up to ``max_group_rows`` rows are hash-partitioned, sorted and walked in a stream of
   Arrow batches, many groups per task;
-* a larger group is cut by position into steps of that many rows. Steps run one after another as
-  Spark jobs and hand over the walker's compact state through a written table, so no task ever
-  receives more than one step of a hot group.
+* a larger group is cut by position into steps of that many rows, and all steps are walked at
+  once, each from a supposed state (at first the empty one). Then the states are handed on: a step
+  is settled when all before it are and the state they leave gives the decisions it has made
+  already. The others are walked again from their new states, until none is left. What a step
+  leaves rarely depends on what was long before it, so a few rounds settle all steps.
+
+A step that is walked again in vain costs its time. So from the third round on a round takes on at
+most twice as many steps of a group as the round before has settled: however states depend on each
+other, a step is walked four times on average at most, and in the worst case one after another.
 """
 
 from __future__ import annotations
@@ -25,19 +31,23 @@ from trafficlens.plans.sides import small_side
 from trafficlens.plans.slices import ROWS_PER_SLICE, with_ordinal
 
 MAX_GROUP_ROWS = 2_000_000
-STEP = "__step"
-STATE = "__state"
+STEP, ROUND, SETTLED = "__step", "__round", "__settled"
+USED, STATE = "__used", "__state"
 
 
 class Walker(Protocol):
     """Walks the rows of one group, given as plain lists per column (times in microseconds).
 
-    ``state`` is text so that it can be stored in a table.
+    ``state`` is text so that it can be stored in a table. Of a step that was walked from the state
+    ``used`` and left the state ``left``, ``same`` tells whether it surely decides alike from
+    ``entry``, and ``follow`` what it then leaves (a guess where ``same`` is false).
     """
 
     def load(self, state: str | None) -> None: ...
     def walk(self, rows: dict[str, list]) -> list: ...
     def dump(self) -> str: ...
+    def same(self, entry: str | None, used: str | None, left: str) -> bool: ...
+    def follow(self, entry: str | None, used: str | None, left: str) -> str: ...
 
 
 def ordered_fold(
@@ -62,8 +72,7 @@ def ordered_fold(
     )
     sizes = rows.groupBy(*group).count() if sizes is None else sizes
     hot = sizes.where(F.col("count") > max_group_rows)
-    most = hot.agg(F.max("count")).first()[0]
-    if most is None:
+    if hot.isEmpty():
         return _walk_small(rows, group, order, keep, decision, out_type, walker)
 
     hot_keys = small_side(materialise(hot.select(*group), "hot-groups"))
@@ -86,10 +95,7 @@ def ordered_fold(
         "hot-steps",
         STEP,
     )
-    steps = -(-most // max_group_rows)
-    return _walk_hot(stepped, steps, group, order, keep, decision, out_type, walker).unionByName(
-        done_cold
-    )
+    return _walk_hot(stepped, group, order, keep, decision, out_type, walker).unionByName(done_cold)
 
 
 def _walk_small(rows, group, order, keep, decision, out_type, walker) -> DataFrame:
@@ -147,45 +153,79 @@ def _plain(value):
     return None if pd.isna(value) else value
 
 
-def _walk_hot(stepped, steps, group, order, keep, decision, out_type, walker) -> DataFrame:
+def _walk_hot(stepped, group, order, keep, decision, out_type, walker) -> DataFrame:
     spark = stepped.sparkSession
-    key_type = [stepped.schema[c] for c in group]
-    state_type = T.StructType([*key_type, T.StructField(STATE, T.StringType())])
-    # group columns may also be kept, so state rows carry them under names of their own
-    full_type = T.StructType(
-        [T.StructField(f.name, f.dataType) for f in out_type]
-        + [T.StructField(f"__g{i}", f.dataType) for i, f in enumerate(key_type)]
-        + [T.StructField(STATE, T.StringType())]
-    )
-
-    def one_step(part: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    names = [f"__g{i}" for i in range(len(group))]
+    key = [*names, STEP]
+    key_type = [T.StructField(g, stepped.schema[c].dataType) for g, c in zip(names, group)]
+    key_type.append(T.StructField(STEP, T.IntegerType()))
+    text = lambda name: T.StructField(name, T.StringType())
+    # group columns may also be kept, so steps carry them under names of their own
+    full_type = T.StructType([*out_type, *key_type, text(USED), text(STATE)])
+    judged_type = T.StructType([*key_type, text("__entry"), T.StructField("__again", T.BooleanType()),
+                                T.StructField(SETTLED, T.LongType())])
+    rows = stepped.select("*", *[F.col(c).alias(g) for c, g in zip(group, names)])
+
+    def one_step(part: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(entry):
+            return pd.DataFrame(columns=[f.name for f in full_type])
         part = part.sort_values(order, kind="stable")
-        walk = walker()
-        walk.load(state[STATE].iat[0] if len(state) else None)
+        walk, used = walker(), _plain(entry["__entry"].iat[0])
+        walk.load(used)
         out = part[keep].copy()
         out[decision] = walk.walk(_lists(part))
-        out[STATE] = None
-        last = {f"__g{i}": [part[c].iat[0]] for i, c in enumerate(group)}
-        return pd.concat([out, pd.DataFrame({**last, STATE: [walk.dump()]})], ignore_index=True)[
-            [f.name for f in full_type]
-        ]
+        last = pd.DataFrame({USED: [used], STATE: [walk.dump()]})
+        out = pd.concat([out, last], ignore_index=True)
+        for c in key:
+            out[c] = part[c].iat[0]
+        return out[[f.name for f in full_type]]
+
+    def judged(steps: pd.DataFrame) -> pd.DataFrame:
+        """The state each step begins with by what is known now, and whether it is walked again."""
+        steps = steps.sort_values(STEP)
+        walk, state, sure = walker(), None, True
+        entries, again, settled = [], [], 0
+        for used, left in zip(map(_plain, steps[USED]), steps[STATE]):
+            alike = walk.same(state, used, left)
+            sure = sure and alike
+            settled += sure
+            entries.append(state)
+            again.append(not alike)
+            state = walk.follow(state, used, left)
+        before = _plain(steps[SETTLED].iat[0])
+        room = len(again) if before is None else max(1, 2 * (settled - int(before)))
+        for i, yes in enumerate(again):
+            again[i] = yes and room > 0
+            room -= yes
+        out = steps[key].copy()
+        out["__entry"], out["__again"], out[SETTLED] = entries, again, settled
+        return out
 
     folder = scratch_dir(spark, "hot-walk")
-    state = spark.createDataFrame([], state_type)
-    for step in range(steps):
-        here = stepped.where(F.col(STEP) == step).drop(STEP)
-        (
-            here.groupBy(*group)
-            .cogroup(state.groupBy(*group))
-            .applyInPandas(lambda part, st: one_step(part, st) if len(part) else
-                           pd.DataFrame(columns=[f.name for f in full_type]), full_type)
-            .write.parquet(f"{folder}/{STEP}={step}")
-        )
-        state = (
-            spark.read.schema(full_type)
-            .parquet(f"{folder}/{STEP}={step}")
-            .where(F.col(STATE).isNotNull())
-            .select(*[F.col(f"__g{i}").alias(c) for i, c in enumerate(group)], STATE)
-        )
-    walked = spark.read.schema(full_type).parquet(*[f"{folder}/{STEP}={s}" for s in range(steps)])
-    return walked.where(F.col(STATE).isNull()).select(*[f.name for f in out_type])
+    todo = rows.select(*key).distinct().withColumn("__entry", F.lit(None).cast("string"))
+    done, walked_rounds = None, 0
+    while True:
+        here = rows
+        if done is not None:
+            lo, hi = todo.agg(F.min(STEP), F.max(STEP)).first()  # prunes the folders of other steps
+            here = rows.where(F.col(STEP).between(lo, hi)).join(
+                small_side(todo.select(*key)), key, "left_semi")
+        here.groupBy(*key).cogroup(todo.groupBy(*key)).applyInPandas(one_step, full_type).write.parquet(
+            f"{folder}/{ROUND}={walked_rounds}")
+        walked = spark.read.schema(T.StructType([*full_type, T.StructField(ROUND, T.IntegerType())])
+                                   ).option("basePath", folder).parquet(folder)
+        walked_rounds += 1
+        left = walked.where(F.col(STATE).isNotNull())
+        latest = left.groupBy(*key).agg(F.max_by(F.struct(USED, STATE, ROUND), ROUND).alias("s"))
+        steps = latest.select(*key, "s.*")
+        steps = steps.join(done, key) if done is not None else steps.withColumn(
+            SETTLED, F.lit(None).cast("long"))
+        judgement = materialise(
+            steps.groupBy(*names).applyInPandas(judged, judged_type), "judged-steps")
+        done = judgement.select(*key, SETTLED)
+        todo = judgement.where("__again").select(*key, "__entry")
+        if todo.isEmpty():
+            break
+    final = materialise(latest.select(*key, F.col(f"s.{ROUND}").alias(ROUND)), "last-rounds")
+    return walked.where(F.col(STATE).isNull()).join(small_side(final), [*key, ROUND], "left_semi"
+                                                    ).select(*[f.name for f in out_type])
