@@ -111,17 +111,29 @@ def test_very_many_slices_are_dealt_out_by_range(log, monkeypatch):
     assert by_id(health.failure_streaks(df, F.col("ok"), **FINE), "streak") == want
 
 
-@pytest.mark.parametrize("alpha", [0.2, 0.9, 0.01])
-def test_latency_ema(log, alpha):
+@pytest.mark.parametrize(
+    "alpha, block",
+    [(0.2, 4096), (0.9, 4096), (0.01, 16), (0.0, 8), (1e-9, 8), (1.0, 4096), (1 - 2.0**-53, 4096)],
+)
+def test_latency_ema(log, alpha, block):
     rows, df = log
-    got = by_id(health.latency_ema(df, alpha=alpha, **FINE), "ema")
+    df = df.withColumn("latency_ms", F.when(F.col("event_id") % 7 != 1, F.col("latency_ms")))
+    got = by_id(health.latency_ema(df, alpha=alpha, block=block, **FINE), "ema")
+    assert len(got) == len(rows)
     ema = {}
     for r in sorted(rows, key=lambda r: (r[1], r[0])):
-        if r[3] is None:
-            continue
         prev = ema.get(r[3])
-        ema[r[3]] = r[5] if prev is None else alpha * r[5] + (1 - alpha) * prev
-        assert got[r[0]] == pytest.approx(ema[r[3]], rel=1e-12)
+        if r[0] % 7 != 1:
+            ema[r[3]] = r[5] if prev is None else alpha * r[5] + (1 - alpha) * prev
+        want = ema.get(r[3])
+        assert got[r[0]] is None if want is None else got[r[0]] == pytest.approx(want, rel=1e-12)
+
+
+def test_latency_ema_of_no_rows_and_wrong_alpha(log):
+    _, df = log
+    assert health.latency_ema(df.limit(0)).isEmpty()
+    with pytest.raises(ValueError):
+        health.latency_ema(df, alpha=1.5)
 
 
 def test_breaker_trace(log):

@@ -14,8 +14,9 @@ from trafficlens.plans.sides import small_side
 from trafficlens.plans.slices import (
     ROWS_PER_SLICE,
     SLICE,
+    Running,
+    running,
     slices_of,
-    with_ordinal,
 )
 
 # Smoothing weight, breaker settings, and the gauge code of each state.
@@ -36,6 +37,10 @@ def breaker_state_code(state: Column) -> Column:
     return code
 
 
+#: Rows of a block of a moving average at most.
+EMA_BLOCK = 4096
+
+
 def latency_ema(
     calls: DataFrame,
     key: str = "backend",
@@ -43,36 +48,82 @@ def latency_ema(
     value: str = "latency_ms",
     alpha: float = EMA_ALPHA,
     rows_per_slice: int = ROWS_PER_SLICE,
+    block: int = EMA_BLOCK,
 ) -> DataFrame:
     """Exponential moving average after each call: the first value as it is, then
-    ``alpha * x + (1 - alpha) * previous``.
+    ``alpha * x + (1 - alpha) * previous``, for any alpha from 0 to 1.
+
+    A call without a value leaves the average as it is (null before the first value). Calls are
+    numbered per key and cut into blocks; see ``_decayed``.
+    """
+    if not 0.0 <= alpha <= 1.0:
+        raise ValueError("alpha lies between 0 and 1")
+    x = F.col(value)
+    sizes = calls.groupBy(key).agg(F.count(x).alias("n"), F.count_if(x.isNull()).alias("none"))
+    longest, none = sizes.agg(F.max("n"), F.sum("none")).first()
+    placed = running(
+        calls, key, order, [Running("__n", "sum", x.isNotNull().cast("long"))], rows_per_slice
+    ).withColumn("__n", F.col("__n") - 1)
+    weighed = placed.where(x.isNotNull()).withColumn(
+        "__v", F.when(F.col("__n") == 0, x).otherwise(alpha * x)
+    )
+    averaged = _decayed(weighed, key, 1.0 - alpha, longest or 0, block)
+    out = averaged.select(*calls.columns, F.col("__e").alias("ema"))
+    if none:
+        known = averaged.select(F.col(key).alias("__k"), F.col("__n").alias("__m"), "__e")
+        same = F.col(key).eqNullSafe(F.col("__k")) & (F.col("__n") == F.col("__m"))
+        silent = placed.where(x.isNull()).join(known, same, "left")
+        out = out.unionByName(silent.select(*calls.columns, F.col("__e").alias("ema")))
+    return out
+
 
-    Calls are numbered per key and cut into blocks of so many rows that a whole block scales what
-    came before it by less than 2**-60, below what a double can show. So the average is a
-    weighted sum over a call's own block and the one before. Each row goes to its block and, as
-    context, to the next; a pair of blocks is the unit of work, however few backends there are.
+def _decayed(rows: DataFrame, key: str, keep: float, longest: int, block: int) -> DataFrame:
+    """``rows`` (key, __n from 0, __v) with ``__e``: the sum of keep**(n - i) * v over all i <= n.
+
+    A block of rows is an affine map of the sum before it: (keep**length, own weighted sum). Rows are
+    summed within their block, and what a block takes over is the same sum over the blocks before,
+    with keep**length instead of keep. So it is found by the same step over a table that is a block's
+    length shorter, until a block weighs what lies two blocks back below what a double can show, or
+    all lies in one block. Blocks are short enough for keep**-length to be a number, and every one
+    is a unit of work, however few keys there are.
     """
-    keep = 1.0 - alpha
-    block = max(1, math.ceil(60 * math.log(2) / -math.log(keep))) if keep > 0 else 1
-    placed = with_ordinal(calls, key, order, "__n", rows_per_slice).withColumn(
-        "__n", F.col("__n") - 1
-    )
-    paired = placed.select(
-        "*", F.explode(F.array(F.lit(False), F.lit(True))).alias("__context")
-    ).withColumn("__b", F.floor(F.col("__n") / block) + F.col("__context").cast("long"))
-    place = F.col("__n") - (F.col("__b") - 1) * block
-    weight = F.when(F.col("__n") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-    in_pair = (
+    if keep == 0.0 or longest <= 1:
+        return rows.withColumn("__e", F.col("__v"))
+    same = F.col(key).eqNullSafe(F.col("__k"))
+    if keep < 2.0**-55:
+        before = rows.select(
+            F.col(key).alias("__k"), (F.col("__n") + 1).alias("__m"), F.col("__v").alias("__p")
+        )
+        near = rows.join(before, same & (F.col("__n") == F.col("__m")), "left")
+        return near.withColumn(
+            "__e", F.col("__v") + F.coalesce(F.col("__p") * keep, F.lit(0.0))
+        ).drop("__k", "__m", "__p")
+    size = block if keep == 1.0 else max(2, min(block, int(60 * math.log(2) / -math.log(keep))))
+    place = F.col("__n") % size
+    placed = rows.withColumn("__b", F.floor(F.col("__n") / size))
+    power = lambda n: F.pow(F.lit(keep), n)
+    upto = (
         Window.partitionBy(key, "__b")
         .orderBy("__n")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    grown = F.sum(weight * F.col(value) * F.pow(F.lit(keep), -place)).over(in_pair)
-    return (
-        paired.withColumn("ema", grown * F.pow(F.lit(keep), place))
-        .where(~F.col("__context"))
-        .select(*calls.columns, "ema")
+    local = placed.withColumn(
+        "__e", F.sum(F.col("__v") * power(-place)).over(upto) * power(place)
+    )
+    if longest <= size:
+        return local.drop("__b")
+    whole = placed.groupBy(key, "__b").agg(
+        F.sum(F.col("__v") * power(size - 1 - place)).alias("__v"), F.count(F.lit(1)).alias("__rows")
+    )
+    whole = materialise(
+        whole.where(F.col("__rows") == size).select(key, F.col("__b").alias("__n"), "__v"), "blocks"
+    )
+    entered = _decayed(whole, key, keep**size, longest // size, block).select(
+        F.col(key).alias("__k"), (F.col("__n") + 1).alias("__m"), F.col("__e").alias("__in")
     )
+    joined = local.join(entered, same & (F.col("__b") == F.col("__m")), "left")
+    carried = F.coalesce(F.col("__in") * power(place + 1), F.lit(0.0))
+    return joined.withColumn("__e", F.col("__e") + carried).drop("__b", "__k", "__m", "__in")
 
 
 def failure_streaks(
