@@ -4,6 +4,7 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,14 @@ def test_chain_rounds_grow_with_the_logarithm(spark, monkeypatch):
             i = nxt.get((n, i))
     assert got == want and len(want) > 2000
     assert written.count("strides") <= 12
+
+
+def test_distinct_between_against_sets():
+    rnd = random.Random(9)
+    for n, kinds in ((0, 1), (1, 1), (50, 3), (300, 40), (257, 300)):
+        codes = [rnd.randrange(kinds) for _ in range(n)]
+        want = []
+        for i, c in enumerate(codes):
+            seen = [j for j in range(i) if codes[j] == c]
+            want.append(len(set(codes[seen[-1] + 1:i])) if seen else -1)
+        assert reuse.distinct_between(np.array(codes, dtype=np.int64)).tolist() == want

@@ -59,69 +59,71 @@ def latency_ema(
     if not 0.0 <= alpha <= 1.0:
         raise ValueError("alpha lies between 0 and 1")
     x = F.col(value)
-    sizes = calls.groupBy(key).agg(F.count(x).alias("n"), F.count_if(x.isNull()).alias("none"))
-    longest, none = sizes.agg(F.max("n"), F.sum("none")).first()
     placed = running(
         calls, key, order, [Running("__n", "sum", x.isNotNull().cast("long"))], rows_per_slice
     ).withColumn("__n", F.col("__n") - 1)
-    weighed = placed.where(x.isNotNull()).withColumn(
-        "__v", F.when(F.col("__n") == 0, x).otherwise(alpha * x)
+    # a call without a value has the number of the one before it, and adds nothing
+    weighed = placed.withColumn("__silent", x.isNull()).withColumn(
+        "__v", F.when(x.isNull(), 0.0).when(F.col("__n") == 0, x).otherwise(alpha * x)
     )
-    averaged = _decayed(weighed, key, 1.0 - alpha, longest or 0, block)
-    out = averaged.select(*calls.columns, F.col("__e").alias("ema"))
-    if none:
-        known = averaged.select(F.col(key).alias("__k"), F.col("__n").alias("__m"), "__e")
-        same = F.col(key).eqNullSafe(F.col("__k")) & (F.col("__n") == F.col("__m"))
-        silent = placed.where(x.isNull()).join(known, same, "left")
-        out = out.unionByName(silent.select(*calls.columns, F.col("__e").alias("ema")))
-    return out
-
-
-def _decayed(rows: DataFrame, key: str, keep: float, longest: int, block: int) -> DataFrame:
-    """``rows`` (key, __n from 0, __v) with ``__e``: the sum of keep**(n - i) * v over all i <= n.
-
-    A block of rows is an affine map of the sum before it: (keep**length, own weighted sum). Rows are
-    summed within their block, and what a block takes over is the same sum over the blocks before,
-    with keep**length instead of keep. So it is found by the same step over a table that is a block's
-    length shorter, until a block weighs what lies two blocks back below what a double can show, or
-    all lies in one block. Blocks are short enough for keep**-length to be a number, and every one
-    is a unit of work, however few keys there are.
+    averaged = _decayed(weighed, key, 1.0 - alpha, block)
+    return averaged.select(
+        *calls.columns, F.when(F.col("__n") >= 0, F.col("__e")).alias("ema")
+    )
+
+
+def _decayed(rows: DataFrame, key: str, keep: float, block: int) -> DataFrame:
+    """``rows`` (key, __n from 0, __silent, __v) with ``__e``: the sum of keep**(n - i) * v, i <= n.
+
+    Rows are cut into blocks, each a unit of work, however few keys there are. If a block scales what
+    came before it below what a double can show, the sum goes over a row's own block and the one
+    before: each row goes to its block and, as context, to the next. Otherwise a block is an affine map
+    of the sum before it: (keep**length, own weighted sum). What it takes over is the same sum over
+    the blocks before, with keep**length instead of keep, found in the same way over a table that
+    is a block's length shorter.
     """
-    if keep == 0.0 or longest <= 1:
-        return rows.withColumn("__e", F.col("__v"))
-    same = F.col(key).eqNullSafe(F.col("__k"))
-    if keep < 2.0**-55:
-        before = rows.select(
-            F.col(key).alias("__k"), (F.col("__n") + 1).alias("__m"), F.col("__v").alias("__p")
-        )
-        near = rows.join(before, same & (F.col("__n") == F.col("__m")), "left")
-        return near.withColumn(
-            "__e", F.col("__v") + F.coalesce(F.col("__p") * keep, F.lit(0.0))
-        ).drop("__k", "__m", "__p")
-    size = block if keep == 1.0 else max(2, min(block, int(60 * math.log(2) / -math.log(keep))))
-    place = F.col("__n") % size
-    placed = rows.withColumn("__b", F.floor(F.col("__n") / size))
     power = lambda n: F.pow(F.lit(keep), n)
-    upto = (
-        Window.partitionBy(key, "__b")
-        .orderBy("__n")
+    upto = lambda part: (
+        Window.partitionBy(key, part)
+        .orderBy("__n", "__silent")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    enough = math.inf if keep == 1.0 else 1
+    if 0.0 < keep < 1.0:
+        enough = max(1, math.ceil(60 * math.log(2) / -math.log(keep)))
+    if enough <= block:
+        paired = rows.select(
+            "*", F.explode(F.array(F.lit(False), F.lit(True))).alias("__context")
+        ).withColumn("__b", F.floor(F.col("__n") / enough) + F.col("__context").cast("long"))
+        place = F.col("__n") - (F.col("__b") - 1) * enough
+        if keep:
+            grown = F.sum(F.col("__v") * power(-place)).over(upto("__b")) * power(place)
+        else:
+            own = F.when(~F.col("__silent"), F.col("__v"))
+            grown = F.last(own, ignorenulls=True).over(upto("__b"))
+        return paired.withColumn("__e", grown).where(~F.col("__context")).drop("__context", "__b")
+    place = F.pmod(F.col("__n"), F.lit(block))
+    placed = rows.withColumn("__b", F.floor(F.col("__n") / block))
     local = placed.withColumn(
-        "__e", F.sum(F.col("__v") * power(-place)).over(upto) * power(place)
+        "__e", F.sum(F.col("__v") * power(-place)).over(upto("__b")) * power(place)
     )
-    if longest <= size:
-        return local.drop("__b")
     whole = placed.groupBy(key, "__b").agg(
-        F.sum(F.col("__v") * power(size - 1 - place)).alias("__v"), F.count(F.lit(1)).alias("__rows")
+        F.sum(F.col("__v") * power(block - 1 - place)).alias("__v"),
+        F.count_if(~F.col("__silent")).alias("__rows"),
     )
     whole = materialise(
-        whole.where(F.col("__rows") == size).select(key, F.col("__b").alias("__n"), "__v"), "blocks"
+        whole.where((F.col("__rows") == block) & (F.col("__b") >= 0)).select(
+            key, F.col("__b").alias("__n"), F.lit(False).alias("__silent"), "__v"
+        ),
+        "blocks",
     )
-    entered = _decayed(whole, key, keep**size, longest // size, block).select(
+    if whole.isEmpty():
+        return local.drop("__b")
+    entered = _decayed(whole, key, keep**block, block).select(
         F.col(key).alias("__k"), (F.col("__n") + 1).alias("__m"), F.col("__e").alias("__in")
     )
-    joined = local.join(entered, same & (F.col("__b") == F.col("__m")), "left")
+    same = F.col(key).eqNullSafe(F.col("__k")) & (F.col("__b") == F.col("__m"))
+    joined = local.join(entered, same, "left")
     carried = F.coalesce(F.col("__in") * power(place + 1), F.lit(0.0))
     return joined.withColumn("__e", F.col("__e") + carried).drop("__b", "__k", "__m", "__in")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,8 +78,13 @@ def reuse_distance(
 
     ``resident`` tells whether the key's entry survived; otherwise ``distance`` is null. All that
     earlier calls can matter for is the ``capacity`` keys touched last, in order. That list is
-    made for every slice start by merging lists of neighbouring slices in doubling strides; then
-    the slices are walked independently of each other.
+    made for every slice start by merging lists of neighbouring slices in doubling strides. Put
+    before the slice's own touches it makes each slice a log of its own.
+
+    Touches of a slice are numbered. Of the calls between a touch and the last touch of its key, a key
+    counts once: those are left out that were touched again before the touch, so whose own pair of
+    touches lies inside. Pairs inside ended earlier and began later; ``later_starts`` counts them
+    for all touches of a slice together.
     """
     keep, order = list(keep), list(order)
     needed = list(dict.fromkeys([*keep, *order, key]))
@@ -91,38 +96,55 @@ def reuse_distance(
     )
     recent = _recent_keys(sliced, key, order, capacity, slices.number)
 
-    def walk(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        known = (
-            before.sort_values([f"__{c}" for c in order])[key].tolist() if len(before) else []
-        )
-        # touches are numbered; the list of last touches is in ascending order
-        last = {k: i - len(known) for i, k in enumerate(known)}
-        owner = {i: k for k, i in last.items()}
-        touches = sorted(owner)
-        found = []
-        for now, k in enumerate(rows[key].tolist()):
-            before_it = last.get(k)
-            if before_it is None:
-                found.append(None)
-                if len(touches) == capacity:
-                    del last[owner.pop(touches.pop(0))]
-            else:
-                at = bisect_left(touches, before_it)
-                found.append(len(touches) - 1 - at)
-                del touches[at], owner[before_it]
-            last[k], owner[now] = now, k
-            touches.append(now)
-        out = rows[keep].copy()
-        out["distance"] = pd.array(found, dtype="Int64")
-        out["resident"] = [d is not None for d in found]
-        return out
-
-    return sliced.groupBy(SLICE).cogroup(recent.groupBy(SLICE)).applyInPandas(
-        lambda rows, before: walk(rows, before) if len(rows) else
-        pd.DataFrame(columns=[f.name for f in out_type]),
-        out_type,
-    )
+    def settle(rows: pa.Table, before: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in order])
+        before = before.sort_by([(f"__{c}", "ascending") for c in order])
+        keys = pa.chunked_array(
+            [*before.column(key).chunks, *rows.column(key).chunks], rows.schema.field(key).type
+        ).combine_chunks()
+        codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(False)
+        distance = distinct_between(codes)[len(before):]
+        near = (distance >= 0) & (distance < capacity)
+        found = pa.array(distance, pa.int64(), mask=~near)
+        columns = {c: rows.column(c) for c in keep} | {"distance": found, "resident": pa.array(near)}
+        return pa.table(list(columns.values()), list(columns))
+
+    return sliced.groupBy(SLICE).cogroup(recent.groupBy(SLICE)).applyInArrow(settle, out_type)
+
+
+def distinct_between(codes: np.ndarray) -> np.ndarray:
+    """Per touch how many other keys were touched since the last touch of its key; -1 at first."""
+    n = len(codes)
+    by_key = np.argsort(codes, kind="stable")
+    last = np.full(n, -1)
+    again = codes[by_key[1:]] == codes[by_key[:-1]]
+    last[by_key[1:][again]] = by_key[:-1][again]
+    at = np.flatnonzero(last >= 0)
+    out = np.full(n, -1)
+    out[at] = at - last[at] - 1 - later_starts(last[at])
+    return out
+
+
+def later_starts(starts: np.ndarray) -> np.ndarray:
+    """Per element (all differ) how many before it are larger.
+
+    Two numbers differ first in one bit. Per bit, highest to lowest, the elements alike in all higher
+    ones stand together in their order, and those with the bit unset count those with it before them.
+    """
+    m = len(starts)
+    rank = np.empty(m, np.int64)
+    rank[np.argsort(starts)] = np.arange(m)
+    place, out = np.arange(m), np.zeros(m, np.int64)
+    for bit in reversed(range(max(m - 1, 0).bit_length())):
+        value = rank[place]
+        one = (value >> bit) & 1
+        before = np.cumsum(one) - one
+        group = value >> (bit + 1)
+        first = np.searchsorted(group, group)  # groups stand in order
+        zero = one == 0
+        out[place[zero]] += (before - before[first])[zero]
+        place = place[np.argsort(value >> bit, kind="stable")]
+    return out
 
 
 def _recent_keys(sliced, key, order, capacity, n_slices) -> DataFrame:
