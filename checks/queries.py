@@ -1012,6 +1012,31 @@ def rate_limit_decisions(spark, d):
     )
 
 
+@query("rate_limit_per_key", "rate_keyed", "select event_id, api_key, ts, allowed from rate_keyed")
+def rate_limit_per_key(spark, d):
+    """Each key's own limit; groups of more than 250 calls are walked in steps."""
+    own = v.budgets(spark).withColumn(
+        "requests_per_minute", F.floor(F.col("requests_per_minute") / 30).cast("int"))
+    return admission.rate_limit_decisions(
+        v.traffic(spark, d), own, window_sec=3600, max_group_rows=250, rows_per_slice=N
+    )
+
+
+@query("budget_decisions_stepwise", "budgeted", "select event_id, api_key, ts, decision from budgeted")
+def budget_decisions_stepwise(spark, d):
+    return admission.budget_decisions(
+        v.traffic(spark, d), v.budgets(spark), max_group_rows=100, rows_per_slice=N
+    )
+
+
+@query("prompt_reuse_chains", "reuse", "select event_id, ts, key as k, hit from reuse")
+def prompt_reuse_chains(spark, d):
+    """Runs of more than 20 calls are chains of successors."""
+    return reuse.prompt_reuse(
+        v.traffic(spark, d), "k", 21600, max_group_rows=20, rows_per_slice=N
+    )
+
+
 @query("rate_utilisation", "traffic", """
 select a.event_id, a.api_key, a.ts, count(*) over w - 1 as prior_calls,
   (count(*) over w - 1) / 2.0::double as utilisation
@@ -1096,8 +1121,12 @@ def rank_latency_first(spark, d):
 
 _OPEN = """
 grid as (select t.event_id, t.ts, b.* from traffic t, backends b),
-tried as (select g.* from grid g asof left join trace r on r.backend = g.backend and r.ts < g.ts
-  where not coalesce(r.state_after = 'OPEN' and g.ts < r.ts + interval 900 second, false))"""
+known as (select g.*, r.ts as since, r.state_after = 'OPEN' as open,
+    g.ts >= r.ts + interval 900 second as cooled
+  from grid g asof left join trace r on r.backend = g.backend and r.ts < g.ts),
+probes as (select *, row_number() over (partition by backend, since, cooled order by ts, event_id) as nth
+  from known),
+tried as (select * from probes where not coalesce(open and (not cooled or nth > 1), false))"""
 
 
 def _available(spark, d):

@@ -122,6 +122,24 @@ select * from (
   select event_id, api_key, ts, allowed from walk where n > 0)"""
 
 
+VIEWS["rate_keyed"] = """
+select * from (
+  with recursive num as (
+    select event_id, t.api_key, ts, coalesce(b.requests_per_minute // 30, 60) as lim,
+      row_number() over (partition by t.api_key order by ts, event_id) as n
+    from traffic t left join budgets b on b.api_key = t.api_key),
+  walk as (
+    select api_key, 0::bigint as n, null::bigint as event_id, null::timestamp as ts,
+      []::timestamp[] as log, false as allowed
+    from (select distinct api_key from num)
+    union all
+    select api_key, n, event_id, ts,
+      case when len(live) < lim then list_append(live, ts) else live end, len(live) < lim
+    from (select num.*, list_filter(walk.log, lambda x: num.ts - x < interval 3600 second) as live
+      from walk join num on num.api_key = walk.api_key and num.n = walk.n + 1))
+  select event_id, api_key, ts, allowed from walk where n > 0)"""
+
+
 def _reuse(source: str, key: str, ttl: int) -> str:
     return f"""
 select * from (
@@ -251,6 +269,7 @@ NEEDS = {
     "breakers": ["streaks"],
     "ema": ["traffic"],
     "rate": ["traffic"],
+    "rate_keyed": ["traffic", "budgets"],
     "reuse": ["traffic"],
     "budgeted": ["traffic", "budgets"],
     "flagged_docs": ["docs_injected"],

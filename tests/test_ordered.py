@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from trafficlens.operators import admission, health, reuse, routing
+from trafficlens.operators import admission, health, pricing, reuse, routing
 from trafficlens.plans import slices as slicing
 from trafficlens.plans.slices import Running, running, slices_of
 
@@ -353,3 +353,71 @@ def test_latency_first_ranking(log, spark):
         for f in facts[: bisect_left(times, r[1])]:
             latest[f[3]] = f[2]
         assert got[r[0]] == min(latest, key=lambda b: (latest[b], b))
+
+
+def test_one_probe_at_a_time(spark):
+    """After the cool-down one request may try the backend; others wait for that probe's outcome."""
+    at = lambda s: START + timedelta(seconds=s)
+    outcomes = [(i, at(t), "b0", ok) for i, (t, ok) in enumerate(
+        [(1, False), (2, False), (3, False), (60, False), (95, True)])]
+    trace = health.breaker_trace(
+        spark.createDataFrame(outcomes, "event_id long, ts timestamp_ntz, backend string, ok boolean"),
+        F.col("ok"), cooldown_sec=30)
+    backends = spark.createDataFrame([("b0", 0), ("b1", 1)], "backend string, cfg_idx int")
+    asked = [2.5, 4, 33, 40, 41, 42, 61, 90, 90, 91, 96, 97]
+    requests = spark.createDataFrame(
+        [(100 + i, at(t)) for i, t in enumerate(asked)], "event_id long, ts timestamp_ntz")
+    got = by_id(routing.request_available_backends(requests, backends, trace, 30), "available")
+    may = ["b0" in got[100 + i] for i in range(len(asked))]
+    assert may == [True, False, True, False, False, False, False, True, False, False, True, True]
+    assert all("b1" in a for a in got.values())
+
+
+def test_availability_against_plain_loop(log, spark):
+    rows, df = log
+    trace = health.breaker_trace(df.where("backend is not null"), F.col("ok"), threshold=2,
+                                 cooldown_sec=100, **FINE)
+    names = ["b0", "b1", "b2"]
+    backends = spark.createDataFrame([(b, i) for i, b in enumerate(names)], "backend string, cfg_idx int")
+    requests = df.select((F.col("event_id") + 10_000).alias("event_id"),
+                         (F.col("ts") + F.expr("interval 7 seconds")).alias("ts"))
+    got = by_id(routing.request_available_backends(requests, backends, trace, 100, **FINE), "available")
+    facts = [(r[1], 1, r[0], r[3], r[4]) for r in rows if r[3] is not None]
+    asks = [(r[1] + timedelta(seconds=7), 0, r[0] + 10_000, None, None) for r in rows]
+    state = {b: ("CLOSED", 0, None) for b in names}
+    for now, kind, i, b, ok in sorted(facts + asks, key=lambda e: e[:3]):
+        if kind:
+            now_state, fails, _ = state[b]
+            fails = 0 if ok else fails + 1
+            state[b] = ("OPEN" if fails >= 2 else "CLOSED", fails, now)
+            continue
+        may = []
+        for name in names:
+            s, fails, failed = state[name]
+            if s == "OPEN" and (now - failed).total_seconds() >= 100:
+                state[name] = ("HALF_OPEN", fails, failed)
+                may.append(name)
+            elif s == "CLOSED":
+                may.append(name)
+        assert got[i] == may
+
+
+def test_utc_keys_in_another_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        calls = spark.sql("""select 1 as event_id, 'a' as api_key, 0.6 as cost,
+          timestamp '2024-01-01 02:00:00 UTC' as ts, timestamp_ntz '2024-01-01 02:00:00' as wall
+          union all select 2, 'a', 0.6, timestamp '2023-12-31 23:00:00 UTC', timestamp_ntz '2023-12-31 23:00:00'
+          union all select 3, 'a', 0.6, timestamp '1969-12-31 23:59:59.5 UTC', null""")
+        for ts in ("ts", "wall"):
+            got = {r.event_id: (r.day, r.month) for r in pricing.utc_period_keys(calls, ts).collect()}
+            assert got[1] == ("2024-01-01", "2024-01") and got[2] == ("2023-12-31", "2023-12")
+        assert pricing.utc_period_keys(calls).where("event_id = 3").first().day == "1969-12-31"
+        budgets = spark.createDataFrame([("a", 1.0, None)],
+                                        "api_key string, daily_limit_usd double, monthly_limit_usd double")
+        calls = calls.withColumn("cost", F.col("cost").cast("double"))
+        assert set(by_id(admission.budget_decisions(calls, budgets, "cost", "cost"), "decision").values()
+                   ) == {"allowed"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trafficlens.functions.money import has_limit
+from trafficlens.functions.money import has_limit, utc_date
 from trafficlens.functions.text import first_injection
 from trafficlens.operators.health import seconds
 from trafficlens.plans.ordered_fold import MAX_GROUP_ROWS, ordered_fold
@@ -361,8 +361,8 @@ def budget_decisions(
         "daily_limit_usd",
         "monthly_limit_usd",
         "has_budget",
-        F.to_date(ts).alias("__day"),
-        F.trunc(F.to_date(ts), "month").alias("__month"),
+        utc_date(ts).alias("__day"),
+        F.trunc(utc_date(ts), "month").alias("__month"),
     )
     none = priced.where(~F.col("has_budget")).select(*keep, F.lit("no_budget").alias("decision"))
     held = priced.where(F.col("has_budget"))

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trafficlens.functions.money import utc_date, utc_day, utc_month
 from trafficlens.plans.scratch import materialise
 from trafficlens.plans.sides import small_side
 from trafficlens.plans.slices import ROWS_PER_SLICE, Running, running
@@ -83,8 +84,8 @@ def spend_by_period(calls: DataFrame, ts: str = "ts") -> DataFrame:
     return (
         calls.select(
             "api_key",
-            F.date_format(ts, "yyyy-MM").alias("month"),
-            F.date_format(ts, "yyyy-MM-dd").alias("day"),
+            utc_month(ts).alias("month"),
+            utc_day(ts).alias("day"),
             "cost_usd",
         )
         .groupingSets(
@@ -103,7 +104,7 @@ def spend_now(calls: DataFrame, as_of: date, ts: str = "ts") -> DataFrame:
     Only that month is read; a period without calls is simply not summed, so nothing needs to be
     reset.
     """
-    day = F.to_date(ts)
+    day = utc_date(ts)
     today = F.lit(as_of)
     first = as_of.replace(day=1)
     if "day" in calls.columns:  # of a fact in day folders only those of the month are opened

@@ -56,7 +56,9 @@ def request_available_backends(
     """Adds ``available``: the names of the backends that a request may try, in configured order.
 
     ``trace`` is what ``breaker_trace`` makes of the calls. A backend is left out while its newest
-    outcome before the request left the breaker open and the cool-down since has not passed.
+    outcome before the request left the breaker open and the cool-down since has not passed. The first
+    request after the cool-down is the probe, whichever backend it is sent to in the end: it leaves
+    the breaker half open, and later requests are refused until the next outcome is known.
     """
     ts = order[0]
     # one running total per backend of the settings file
@@ -67,11 +69,16 @@ def request_available_backends(
         requests, facts, None, order, ["__state", "__since"], strictly_before=True,
         rows_per_slice=rows_per_slice,
         pick={f"__s{i}": F.col("__b") == name for i, name in enumerate(names)},
+        previous="__previous",
     )
     may = []
     for i, name in enumerate(names):
+        since = F.col(f"__s{i}.__since")
+        cooled = since + seconds(cooldown_sec)
+        # requests are in order, so a probe is out if the one before came after the cool-down too
+        probed = (F.col("__previous") > since) & (F.col("__previous") >= cooled)
         open_ = (F.col(f"__s{i}.__state") == "OPEN") & (
-            F.col(ts) < F.col(f"__s{i}.__since") + seconds(cooldown_sec)
+            (F.col(ts) < cooled) | F.coalesce(probed, F.lit(False))
         )
         may.append(F.when(~F.coalesce(open_, F.lit(False)), F.lit(name)))
     return seen.select(*requests.columns, F.array_compact(F.array(*may)).alias("available"))

@@ -20,13 +20,14 @@ def asof(
     strictly_before: bool = False,
     rows_per_slice: int = ROWS_PER_SLICE,
     pick: dict[str, Column] | None = None,
+    previous: str | None = None,
 ) -> DataFrame:
     """Rows with ``value`` columns of the newest fact at (or strictly before) their time.
 
     Both sides are laid on one time line and the newest fact is a running maximum, so a key with
     many rows or many facts is spread over slices. ``order`` is (time, id) and present in both.
     ``pick`` names several lookups on one line instead (name -> condition on the facts); each
-    yields a struct of the value columns.
+    yields a struct of the value columns. ``previous`` names a column for the time of the row before.
     """
     ts, rest = order[0], list(order[1:])
     side = F.lit(0 if strictly_before else 1)
@@ -45,10 +46,11 @@ def asof(
         [
             Running(name, "max", F.when(~F.col("__row") & cond, carried))
             for name, cond in wanted.items()
-        ],
+        ]
+        + ([Running(previous, "max", F.when(F.col("__row"), F.col(ts)), prior=True)] if previous else []),
         rows_per_slice,
     ).where("__row")
-    kept = [c for c in rows.columns if c not in value]
+    kept = [c for c in rows.columns if c not in value] + ([previous] if previous else [])
     if pick:
         return seen.select(*kept, *[F.col(f"{name}.v").alias(name) for name in pick])
     return seen.select(*kept, *[F.col(f"__at.v.{c}").alias(c) for c in value])

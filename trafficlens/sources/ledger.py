@@ -9,6 +9,8 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from trafficlens.functions.money import utc_date
 from pyspark.sql import types as T
 
 REQUEST_SCHEMA = T.StructType(
@@ -37,7 +39,7 @@ def load_requests(spark: SparkSession, path: str) -> DataFrame:
 
 def write_requests(calls: DataFrame, path: str) -> None:
     """Append to the fact. Rows are gathered by day for few files; a busy day is split."""
-    calls.withColumn("day", F.to_date("timestamp")).hint("rebalance", "day").write.mode(
+    calls.withColumn("day", utc_date("timestamp")).hint("rebalance", "day").write.mode(
         "append"
     ).partitionBy("day").parquet(path)
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trafficlens.functions.money import utc_date, utc_day
 from trafficlens.functions.text import first_injection, redacted
 from trafficlens.operators.admission import DEFAULT_RATE, RATE_WINDOW_SEC, Purse, SlidingLog
 from trafficlens.operators.health import COOLDOWN_SEC, FAILURE_THRESHOLD
@@ -107,7 +108,7 @@ def stream_ledger_ingest(
         spark, run = batch.sparkSession, f"{name[0]}-{batch_id}"
         first = batch.groupBy(id_col).agg(
             F.min_by(F.struct(*batch.columns), F.struct(F.col(ts).isNull(), ts)).alias("r")
-        ).select("r.*").withColumn("day", F.to_date(ts)).withColumn("run", F.lit(run))
+        ).select("r.*").withColumn("day", utc_date(ts)).withColumn("run", F.lit(run))
         booked = _booked(spark, ledger_path, first)
         if booked is not None:
             booked = booked.where(F.col("run") != run)
@@ -198,7 +199,7 @@ def stream_budget_spend(
         *dict.fromkeys([*keep, "api_key", *order, estimate, cost]),
         F.coalesce("daily_limit_usd", F.lit(0.0)).alias("daily"),
         F.coalesce("monthly_limit_usd", F.lit(0.0)).alias("monthly"),
-        F.date_format(ts, "yyyy-MM-dd").alias("day_"),
+        F.coalesce(utc_day(ts), F.lit("")).alias("day_"),
         F.coalesce("known_", F.lit(False)).alias("known_"),
     )
     names = {"day": "day_", "estimate": estimate, "cost": cost,
