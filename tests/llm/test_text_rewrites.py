@@ -4,6 +4,7 @@ import re
 import plain
 import pytest
 
+from trafficlens.functions.text import PII_PATTERNS
 from trafficlens.llm import feistel, spaced_seeds
 from trafficlens.llm.queries import QUERIES
 
@@ -60,8 +61,7 @@ def test_the_network_is_a_permutation(spark):
     assert len({t for t, _ in rewritten(spark, days)}) == len(days)
 
 
-#: The phone pattern of the reference (gateway/policy/pii.py).
-REFERENCE_PHONE = re.compile(r"\b(?:\+?\d{1,3}[- ]?)?\(?\d{3}\)?[- ]?\d{3}[- ]?\d{4}\b")
+PHONE = re.compile(dict(PII_PATTERNS)["PHONE"])
 
 
 def test_phone_numbers_of_any_area_and_layout(spark):
@@ -82,7 +82,7 @@ def test_supplied_phone_numbers_are_all_rewritten(spark, sf_dir):
     found = 0
     for r in QUERIES["op3_feistel_pii"](spark, sf_dir).collect():
         # the reference takes card numbers first
-        for m in REFERENCE_PHONE.finditer(old[r.doc_id]):
+        for m in PHONE.finditer(old[r.doc_id]):
             found += 1
             assert m[0] not in r.text, m[0]
     assert found

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.columns import LOWER, UPPER, named
+from trafficlens.llm.columns import LOWER, UPPER, named, unique_name
 
 ROUNDS = 10
 # Fixed formats. A value neither starts nor ends inside a longer run of digits or a word.
@@ -327,7 +327,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     out = F.when(worth, _bind(pieces, lambda all_: F.struct(
         F.array_join(F.transform(all_, lambda s: s["new"]), "").alias("text"),
         F.size(F.filter(all_, lambda s: s["old"] != s["new"])).alias("n"))))
-    held = docs.withColumn("__feistel", out)
+    made = unique_name("made")
+    held = docs.withColumn(made, out)
     return held.withColumn(
-        text_col, F.coalesce(F.col("__feistel.text"), text)).withColumn(
-        "n_pseudonyms", F.coalesce(F.col("__feistel.n"), F.lit(0)).cast("long")).drop("__feistel")
+        text_col, F.coalesce(F.col(f"{made}.text"), text)).withColumn(
+        "n_pseudonyms", F.coalesce(F.col(f"{made}.n"), F.lit(0)).cast("long")).drop(made)

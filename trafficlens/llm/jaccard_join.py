@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.columns import named, shared_table, text_of
+from trafficlens.llm.columns import named, shared_table, text_of, unique_name
 from trafficlens.llm.components import components
 from trafficlens.llm.word_arrays import shingle_sets, slices
 from trafficlens.plans.sides import small_side
@@ -320,12 +320,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of fully identical rows one stays; rows without words all stay. See ``similar_documents``.
     """
     judged = shared_table(similar_documents(docs, id_col, text_col, width, percent), "jaccard-out")
-    gone = judged.where(~F.col("stays")).select(F.col("row").alias("__gone")).distinct()
+    lost, twice = unique_name("gone"), unique_name("again")
+    gone = judged.where(~F.col("stays")).select(F.col("row").alias(lost)).distinct()
     again = judged.where("stays and n_shingles > 0").groupBy("row").count().where("count > 1")
     key = F.xxhash64(named(id_col).cast("string"), text_of(text_col))
-    kept = docs.join(small_side(gone), key == F.col("__gone"), "left_anti")
+    kept = docs.join(small_side(gone), key == F.col(lost), "left_anti")
     if again.isEmpty():
         return kept
-    again = small_side(again.select(F.col("row").alias("__again")))
-    once = kept.join(again, key == F.col("__again"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(again, key == F.col("__again"), "left_anti").unionByName(once)
+    again = small_side(again.select(F.col("row").alias(twice)))
+    once = kept.join(again, key == F.col(twice), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, key == F.col(twice), "left_anti").unionByName(once)

@@ -18,7 +18,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.columns import named, shared_table, text_of
+from trafficlens.llm.columns import named, shared_table, text_of, unique_name
 from trafficlens.plans.sides import small_side
 
 RUN = 3
@@ -150,6 +150,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                     text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, in which no benchmark item was found."""
     found = contaminated(docs, benchmark, id_col, text_col)
-    dirty = shared_table(found.select(F.col("doc_row").alias("__row")).distinct(), "seed-dirty")
+    row = unique_name("row")
+    dirty = shared_table(found.select(F.col("doc_row").alias(row)).distinct(), "seed-dirty")
     key = F.xxhash64(named(id_col).cast("string"), text_of(text_col))
-    return docs.join(small_side(dirty), key == F.col("__row"), "left_anti")
+    return docs.join(small_side(dirty), key == F.col(row), "left_anti")
