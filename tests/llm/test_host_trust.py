@@ -44,7 +44,7 @@ def test_trust_and_distrust_follow_links(spark):
     for kind, seeds in (("trust", {"good.com": 1.0}), ("distrust", {"bad.net": 1.0})):
         flow = edges if kind == "trust" else {(b, a): n for (a, b), n in edges.items()}
         score = dict(seeds)
-        for _ in range(host_trust.ROUNDS):
+        for _ in range(300):
             new = {h: s * (1 - host_trust.DAMPING) for h, s in seeds.items()}
             for (a, b), n in flow.items():
                 total = sum(m for (x, _), m in flow.items() if x == a)
@@ -56,3 +56,25 @@ def test_trust_and_distrust_follow_links(spark):
 
 def test_empty_table(spark):
     assert judged(spark, []) == {}
+
+
+def test_distrust_reaches_along_a_chain(spark):
+    """Thirty hosts lead to a blocked one; what little arrives at the far end is enough."""
+    rows = [(i, f"http://h{i}.x{i}/", f"<a href='http://h{i + 1}.x{i + 1}/'>") for i in range(30)]
+    rows += [(30, "http://h30.x30/", "<a href='http://bad.net/'>"), (31, "http://bad.net/es/", None),
+             (32, "http://alone.org/", None)]
+    got = judged(spark, rows)
+    assert [got[i].verdict for i in range(33)] == ["block"] * 32 + ["allow"]
+    assert got[0].distrust == pytest.approx(0.15 * 0.85 ** 31, rel=1e-9)
+
+
+def test_sql_of_the_chain(spark):
+    import duckdb
+
+    rows = [(i, f"http://h{i}.x{i}/", f"<a href='http://h{i + 1}.x{i + 1}/'>") for i in range(20)]
+    rows += [(20, "http://h20.x20/", "<a href='http://bad.net/'>"), (21, "http://bad.net/es/", None)]
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    want = {r[0]: r[4] for r in con.execute(host_trust.judge_sql(RULES)).fetchall()}
+    assert {i: r.verdict for i, r in judged(spark, rows).items()} == want

@@ -8,7 +8,9 @@ blocked if its distrust exceeds its trust by more than a threshold.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 from trafficlens.llm.columns import lower_ascii, named, shared_table
 from trafficlens.plans.sides import small_side
 
-ROUNDS, DAMPING, THRESHOLD = 12, 0.85, 1e-12
+DAMPING, THRESHOLD = 0.85, 1e-12
+#: What may be outstanding, over all hosts, when the spreading ends.
+TOLERANCE = 1e-13
 HREF = r"""<[aA]\s[^>]*?[hH][rR][eE][fF]\s*=\s*["']([^"'>]*)["']"""
 
 
@@ -42,22 +46,44 @@ def _ruled(hosts: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
         "host").agg(F.collect_list(F.struct("rule", "start", "verdict")).alias("rules"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING
-           ) -> DataFrame:
-    """(host, kind, score) after ``rounds`` of score = (1 - damping) seed + damping * inflow.
+def most_rounds(tolerance: float = TOLERANCE, damping: float = DAMPING) -> int:
+    """After so many rounds no more than ``tolerance`` is outstanding in any graph."""
+    return math.ceil(math.log(tolerance) / math.log(damping))
 
-    ``edges`` (source, target, kind, share): what part of a host's score of a kind goes where.
+
+def spread(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
+           damping: float = DAMPING) -> DataFrame:
+    """(host, kind, score) with score = (1 - damping) seed + damping * inflow, to ``tolerance``.
+
+    ``edges`` (source, target, kind, share): what part of a host's score of a kind goes where. What
+    the seeds give walks along the edges; each host keeps 1 - damping of what reaches it and passes the
+    rest on, until what is still under way, summed over all hosts of a kind, is within the tolerance.
     """
-    score = shared_table(seeds.withColumnRenamed("seed", "score"), "trust")
-    for _ in range(rounds):
-        inflow = score.withColumnRenamed("host", "source").join(edges, ["source", "kind"]).select(
-            F.col("target").alias("host"), "kind", (F.col("score") * F.col("share") * damping)
-            .alias("score"))
-        base = seeds.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score"))
-        score = shared_table(
-            base.unionByName(inflow).groupBy("host", "kind").agg(F.sum("score").alias("score")),
-            "trust")
-    return score
+    edges = small_side(edges)
+    walk = shared_table(seeds.withColumnRenamed("seed", "score"), "trust")
+    reached, rounds = [walk], 0
+    while rounds < most_rounds(tolerance, damping):
+        steps = [walk]
+        for _ in range(TOGETHER):
+            steps.append(
+                steps[-1].withColumnRenamed("host", "source").join(edges, ["source", "kind"])
+                .groupBy(F.col("target").alias("host"), "kind")
+                .agg(F.sum(F.col("score") * F.col("share") * damping).alias("score")))
+        # the exchanges of one step are used again by the next
+        tagged = [s.withColumn("step", F.lit(k)) for k, s in enumerate(steps[1:])]
+        table = shared_table(reduce(DataFrame.unionByName, tagged), "trust")
+        walk = table.where(F.col("step") == TOGETHER - 1).drop("step")
+        reached.append(table.drop("step"))
+        rounds += TOGETHER
+        under_way = walk.groupBy("kind").agg(F.sum("score").alias("s")).agg(F.max("s")).first()[0]
+        if (under_way or 0.0) <= tolerance:
+            break
+    return reduce(DataFrame.unionByName, reached).groupBy("host", "kind").agg(
+        (F.sum("score") * (1 - damping)).alias("score"))
+
+
+#: Rounds of one job.
+TOGETHER = 6
 
 
 def host_edges(pages: DataFrame, hosts: DataFrame, url_col: str = "url", html_col: str = "html"
@@ -86,7 +112,7 @@ def host_edges(pages: DataFrame, hosts: DataFrame, url_col: str = "url", html_co
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id",
-          url_col: str = "url", html_col: str = "html", rounds: int = ROUNDS,
+          url_col: str = "url", html_col: str = "html", tolerance: float = TOLERANCE,
           threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``pages``: page_id, host, path, rule, verdict, trust, distrust.
 
@@ -122,7 +148,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "pag
     out = edges.groupBy("source", "kind").agg(F.sum("links").alias("all"))
     edges = shared_table(edges.join(out, ["source", "kind"]).select(
         "source", "target", "kind", (F.col("links") / F.col("all")).alias("share")), "host-shares")
-    score = spread(edges, seeds, rounds)
+    score = spread(edges, seeds, tolerance)
     per_host = shared_table(
         score.groupBy("host").agg(
             *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k)
@@ -136,9 +162,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "pag
         F.coalesce("trust", zero).alias("trust"), F.coalesce("distrust", zero).alias("distrust"))
 
 
-def judge_sql(rules: Sequence[tuple[str, str]], rounds: int = ROUNDS, damping: float = DAMPING,
-              threshold: float = THRESHOLD) -> str:
-    """The verdicts in DuckDB SQL over a table ``pages``, one common table per round."""
+def judge_sql(rules: Sequence[tuple[str, str]], tolerance: float = TOLERANCE,
+              damping: float = DAMPING, threshold: float = THRESHOLD) -> str:
+    """The verdicts in DuckDB SQL over a table ``pages``, by a recursion to the same tolerance."""
     def host(url: str) -> str:
         return (f"translate(coalesce(regexp_extract({url}, '^[\\s\\S]*?://([^/?#]*)', 1), ''), "
                 "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
@@ -152,16 +178,9 @@ def judge_sql(rules: Sequence[tuple[str, str]], rounds: int = ROUNDS, damping: f
         return "case " + " ".join(whens) + " end"
 
     href = HREF.replace("'", "''")
-    steps = "".join(f"""
-s{k + 1} as materialized (
-  select host, kind, sum(score) as score from (
-    select host, kind, seed * {1 - damping!r} as score from seeds
-    union all
-    select e.target, e.kind, s.score * e.share * {damping!r}
-    from s{k} s join shares e on s.host = e.source and s.kind = e.kind) group by host, kind),"""
-                    for k in range(rounds))
+    rounds = most_rounds(tolerance, damping)
     return f"""
-with own as (
+with recursive own as (
   select page_id, html, {host('url')} as host,
          coalesce(regexp_extract(url, '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
 ruled as (select *, {case(lambda v, r: r)} as rule, {case(lambda v, r: v)} as verdict from own),
@@ -189,10 +208,16 @@ seeds as (
   select host, kind, n / sum(n) over (partition by kind) as seed from (
     select host, case verdict when 'allow' then 'trust' else 'distrust' end as kind, count(*) as n
     from ruled where verdict is not null group by 1, 2)),
-s0 as (select host, kind, seed as score from seeds),{steps}
+walk as (
+  select 0 as round, host, kind, seed as score from seeds
+  union all
+  select w.round + 1, e.target, e.kind, sum(w.score * e.share) * {damping!r}
+  from walk w join shares e on w.host = e.source and w.kind = e.kind
+  where w.round < {rounds} group by w.round, e.target, e.kind),
+kept as (select host, kind, {1 - damping!r} * sum(score) as score from walk group by host, kind),
 scores as (
   select host, coalesce(sum(score) filter (kind = 'trust'), 0) as trust,
-         coalesce(sum(score) filter (kind = 'distrust'), 0) as distrust from s{rounds} group by host)
+         coalesce(sum(score) filter (kind = 'distrust'), 0) as distrust from kept group by host)
 select page_id, r.host, path, rule, coalesce(verdict, case
   when coalesce(distrust, 0) - coalesce(trust, 0) > {threshold!r} then 'block' else 'allow' end) as verdict
 from ruled r left join scores s on r.host = s.host
