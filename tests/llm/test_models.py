@@ -203,3 +203,12 @@ def test_toxicity_on_a_supplied_table(spark):
            if r.held_out and r.doc_id in toxic]
     hits = sum(p and t for p, t in got)
     assert hits >= 0.6 * sum(t for _, t in got) and hits >= 0.7 * sum(p for p, _ in got)
+
+
+def test_toxicity_learns_from_a_few_rows(spark):
+    rows = [(1, "you rotten scum"), (2, "rotten filthy scum"), (3, "filthy rotten liar"),
+            (4, "a pleasant walk"), (5, "the pleasant garden"), (6, "garden walk today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 4)) for i, _ in rows], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, labels), ["doc_id"]).collect()
+    assert {r.k0: r.score >= 0.5 for r in got} == {i: i < 4 for i, _ in rows}

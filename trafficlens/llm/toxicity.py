@@ -29,8 +29,8 @@ BUCKETS, WIDTH = 1 << 18, 8
 BLANKS = 60.0
 #: Rows with label 0 and with label 1 that are learned from at most.
 SAMPLE = (3500, 1500)
-#: Texts of the sample that an n-gram must occur in to get a vector.
-LEAST = 5
+#: n-grams of fewer texts of the sample have no vector of their own; they share these buckets.
+LEAST, SHARED = 5, 1 << 10
 
 
 @dataclass(frozen=True)
@@ -52,9 +52,17 @@ def _texts_with(texts: list[str]) -> np.ndarray:
     return seen
 
 
-def _bags(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per text the buckets of its n-grams that enough texts have, and their shares of its average."""
-    often = _texts_with(texts) >= LEAST
+def _homes(texts: list[str]) -> np.ndarray:
+    """Per bucket the bucket whose vector its n-grams use, -1 where the sample has none of them."""
+    seen = _texts_with(texts)
+    own = np.arange(BUCKETS, dtype=np.int64)
+    shared = BUCKETS + ((own * 0x9E3779B1) >> 7) % SHARED
+    return np.where(seen >= LEAST, own, np.where(seen > 0, shared, -1))
+
+
+def _bags(texts: list[str], homes: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per text the buckets of its n-grams' vectors, and their shares of its average."""
+    size = BUCKETS + SHARED
     buckets: list[list[np.ndarray]] = [[] for _ in texts]
     weights: list[list[np.ndarray]] = [[] for _ in texts]
     counts = np.zeros(len(texts))
@@ -62,14 +70,12 @@ def _bags(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         for row, times, word, bucket in word_features(piece, LENGTHS, EDGES, BUCKETS, True):
             each = np.sqrt(times) / np.bincount(word, minlength=len(row))
             counts += np.bincount(row + lo, np.sqrt(times), len(texts))
-            key, at = np.unique(row[word] * BUCKETS + bucket, return_inverse=True)
+            key, at = np.unique(row[word] * size + homes[bucket], return_inverse=True)
             weight = np.bincount(at, each[word]).astype(np.float32)
-            keep = often[key % BUCKETS]
-            key, weight = key[keep], weight[keep]
-            cut = np.searchsorted(key, np.arange(len(piece) + 1) * BUCKETS)
+            cut = np.searchsorted(key, np.arange(len(piece) + 1) * size)
             for k in np.unique(row):
                 some = slice(cut[k], cut[k + 1])
-                buckets[lo + k].append((key[some] % BUCKETS).astype(np.int32))
+                buckets[lo + k].append((key[some] % size).astype(np.int32))
                 weights[lo + k].append(weight[some])
     out_b = [np.concatenate([np.empty(0, np.int32), *x]) for x in buckets]
     out_w = [np.concatenate([np.empty(0, np.float32), *x]) / np.float32(n + BLANKS)
@@ -81,12 +87,13 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, passes: int = 8, rate
         batch: int = 32, seed: int = 7) -> Model:
     """Train on texts in lower case; ``share`` is the share of toxic rows among all labelled ones."""
     rng = np.random.default_rng(seed)
-    bags, weights = _bags(texts)
-    vectors = np.zeros((BUCKETS, WIDTH))  # n-grams that were not learned from say nothing
+    homes = _homes(texts)
+    bags, weights = _bags(texts, homes)
+    vectors = np.zeros((BUCKETS + SHARED, WIDTH))  # n-grams that were not learned from say nothing
     soft = rng.uniform(-1, 1, (WIDTH, 2))
     # the sample is even, the table is not: the bias starts at the sample's and is shifted at the end
     bias = np.zeros(2)
-    squares = [np.full(BUCKETS, 1e-8), np.full(soft.shape, 1e-8), np.full(2, 1e-8)]
+    squares = [np.full(BUCKETS + SHARED, 1e-8), np.full(soft.shape, 1e-8), np.full(2, 1e-8)]
     target = np.eye(2)[toxic.astype(int)]
     for _ in range(passes):
         for part in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
@@ -114,7 +121,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, passes: int = 8, rate
     mean = float(np.clip(toxic.mean(), 1e-6, 1 - 1e-6)) if len(toxic) else 0.5
     share = float(np.clip(share, 1e-6, 1 - 1e-6))
     shift = np.log(share / (1 - share)) - np.log(mean / (1 - mean))
-    return Model((vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float32),
+    values = vectors @ (soft[:, 1] - soft[:, 0])
+    return Model(np.where(homes >= 0, values[homes], 0.0).astype(np.float32),
                  float(bias[1] - bias[0] + shift))
 
 
