@@ -3,7 +3,7 @@
 *Counting* goes by length. Words are counted first; of longer n-grams only those are looked at whose
 two shorter parts are frequent, which a bit table of fixed size tells (a bit set by chance costs
 work and changes nothing). n-grams are known by 64-bit hashes and counted in numpy per task, then in
-Spark; their texts are fetched once they are frequent.
+Spark; the texts of those up to three words are fetched with the last count, once they are frequent.
 
 *Estimation* lays the frequent n-grams of all lengths out as one stream in prefix order: every n-gram
 comes right after its own beginnings, so one pass in step hands each the counts of its left parts. The
@@ -16,6 +16,7 @@ looked up by hash, and a word that begins a third of all phrases fills many slic
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ TOP = 2000
 #: The bit tables have 2**BITS bits (8 MB) at any size of the corpus.
 BITS = 26
 #: Bytes of text worked on at once, and n-grams held before they are handed to Spark.
-PIECE, HELD = 4 << 20, 1 << 21
+PIECE, HELD = 2 << 20, 1 << 20
 UNKNOWN = "und"
 ROWS_PER_SLICE = 20_000
 
@@ -84,6 +85,22 @@ class _Words:
             out += self.h[j:m + j] * factor
         return mixed(out)
 
+    def whole(self, n: int) -> np.ndarray:
+        """Whether the n words from each word on lie in one piece."""
+        m = max(0, len(self.h) - n + 1)
+        out = np.ones(m, bool)
+        for j in range(1, n):
+            out &= self.joined[j:m + j]
+        return out
+
+    def places(self, n: int, tables: dict[int, np.ndarray]) -> np.ndarray:
+        """The words where an n-gram begins whose two shorter parts may both be frequent."""
+        ok = self.whole(n)
+        if n > 1 and len(ok):
+            part = _frequent(tables[n - 1], self.keys(n - 1))
+            ok &= part[:-1] & part[1:]
+        return np.flatnonzero(ok)
+
     def phrases(self, first: np.ndarray, n: int) -> pa.Array:
         """The texts of the n words from each of ``first`` on, joined by single spaces."""
         gap = len(self.raw) - 1
@@ -118,75 +135,83 @@ def _frequent(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _hashed(n: int, bits):
-    """(lang, key, n) of single words or pairs; rows with a language count all of its words."""
+class _Counter:
+    """Counts of 64-bit keys; what grows too long is handed on."""
+
+    def __init__(self):
+        self.keys, self.counts, self.held = [], [], 0
+
+    def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key, count = np.unique(keys, return_counts=True)
+        self.keys.append(key)
+        self.counts.append(count)
+        self.held += len(key)
+        if self.held > HELD:
+            key, count = self.merged()
+            if len(key) > HELD // 2:
+                yield key, count
+                key, count = key[:0], count[:0]
+            self.keys, self.counts, self.held = [key], [count], len(key)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.keys:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+        return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _hashed(n: int, sent):
+    """(lang, key, n): counts of n-grams by key; of single words also one of all words by language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+        counter, tables = _Counter(), sent and sent.value
 
         def rows(key, count, lang=None):
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(len(key), pa.string()) if lang is None else lang,
                  pa.array(key.view(np.int64)), pa.array(count, pa.int64())], ["lang", "key", "n"])
 
-        def merged():
-            k, which = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(which, np.concatenate(counts)).astype(np.int64)
-
         for words in _batches(batches):
-            key = words.keys(n)
             if n == 1:
                 row, many = np.unique(words.row, return_counts=True)
                 total = pa.table([words.langs.take(pa.array(row)), pa.array(many)], ["lang", "n"]
                                  ).group_by("lang").aggregate([("n", "sum")])
                 yield rows(np.zeros(len(total), np.uint64), total["n_sum"].to_numpy(),
                            total["lang"].combine_chunks())
-            else:
-                ok = _frequent(bits.value, words.keys(1))
-                key = key[ok[:-1] & ok[1:] & words.joined[1:]]
-            key, count = np.unique(key, return_counts=True)
-            keys.append(key)
-            counts.append(count)
-            held += len(key)
-            if held > HELD:
-                key, count = merged()
-                keys, counts, held = [key], [count], len(key)
-                if held > HELD // 2:
-                    yield rows(key, count)
-                    keys, counts, held = [], [], 0
-        if keys:
-            yield rows(*merged())
+            for full in counter.add(words.keys(n)[words.places(n, tables)]):
+                yield rows(*full)
+        yield rows(*counter.merged())
 
     return run
 
 
-def _named(n: int, bits):
-    """(lang, key, phrase, n): n-grams with their counts, shorter frequent ones with n = 0.
+def _named(sent):
+    """(lang, key, phrase, n): the longest n-grams with counts, shorter frequent ones with n = 0.
 
-    ``bits`` has the tables of the lengths below n; the texts of lengths 1 and 2 come with length 3.
+    A task names a shorter one once, or again when it has named very many.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = bits.value
+        tables = sent.value
+        known = {n: np.empty(0, np.uint64) for n in tables}
         for words in _batches(batches):
-            m = len(words.h)
-            shorter = words.keys(n - 1)
-            ok = _frequent(tables[n - 1], shorter)
-            for j in range(1, n - 1):
-                ok &= words.joined[j:m - n + 2 + j]
-            places = {}
-            if n == 3:
-                one = words.keys(1)
-                places[1] = one, _frequent(tables[1], one), 0
-                places[2] = shorter, ok, 0
-            whole = words.keys(n)
-            places[n] = whole, ok[:len(whole)] & ok[1:len(whole) + 1] if len(whole) else whole > 0, 1
-            for size, (key, here, counted) in places.items():
-                at = np.flatnonzero(here)
-                key, first, many = np.unique(key[at], return_index=True, return_counts=True)
+            for n in range(1, WORDS + 1):
+                keys, at = words.keys(n), words.places(n, tables)
+                if n < WORDS:
+                    at = at[_frequent(tables[n], keys[at])]
+                key, first, many = np.unique(keys[at], return_index=True, return_counts=True)
+                if n < WORDS:
+                    have = known[n]
+                    spot = np.minimum(np.searchsorted(have, key), max(len(have) - 1, 0))
+                    new = have[spot] != key if len(have) else np.ones(len(key), bool)
+                    key, first, many = key[new], first[new], many[new] * 0
+                    both = np.concatenate([have, key]) if len(have) < HELD else key
+                    known[n] = np.sort(both)
                 first = at[first]
                 yield pa.RecordBatch.from_arrays(
                     [words.langs.take(pa.array(words.row[first])), pa.array(key.view(np.int64)),
-                     words.phrases(first, size), pa.array(many * counted, pa.int64())],
-                    ["lang", "key", "phrase", "n"])
+                     words.phrases(first, n), pa.array(many)], ["lang", "key", "phrase", "n"])
 
     return run
 
@@ -213,32 +238,28 @@ def frequent_ngrams(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     f counts all occurrences within pieces of text, overlaps included; n counts all words. Null
     languages are ``und``, null texts are empty. ``least`` is 1 or more.
     """
-    spark = docs.sparkSession
+    send = docs.sparkSession.sparkContext.broadcast
     rows = docs.select(F.coalesce(named(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"),
                        text_of(text_col).alias("text"))
-    send = spark.sparkContext.broadcast
-    counted = lambda n, sent: rows.mapInArrow(_hashed(n, sent), "lang string, key long, n long")
-    one = shared_table(counted(1, None).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-                       .where((F.col("n") >= least) | F.col("lang").isNotNull()), "words")
-    totals = one.where("lang is not null").select("lang", "n")
-    one = one.where("lang is null").select("key", "n")
-    tables = {1: _bits(one)}
-    two = shared_table(counted(2, send(tables[1])).groupBy("key").agg(F.sum("n").alias("n"))
-                       .where(F.col("n") >= least), "pairs")
-    tables[2] = _bits(two)
-    found = {}
-    for n in range(3, WORDS + 1):
-        found[n] = shared_table(
-            rows.mapInArrow(_named(n, send(dict(tables))),
-                            "lang string, key long, phrase string, n long")
-            .groupBy("lang", "key", "phrase").agg(F.sum("n").alias("n"))
-            .where((F.col("n") >= least) | (F.col("n") == 0)), "ngrams")
-        tables[n] = _bits(found[n].where("n > 0"))
-    short = found[3].where("n = 0").drop("n").join(one.unionByName(two), "key")
-    out = short.select("lang", "phrase", F.col("n").alias("f"))
-    for n in found:
-        out = out.unionByName(found[n].where("n > 0").select("lang", "phrase", F.col("n").alias("f")))
-    return out, totals
+    often = F.col("n") >= least
+    tables: dict[int, np.ndarray] = {}
+    counted, totals = [], None
+    for n in range(1, WORDS):
+        found = rows.mapInArrow(_hashed(n, send({n - 1: tables[n - 1]}) if n > 1 else None),
+                                "lang string, key long, n long")
+        found = shared_table(found.groupBy("lang", "key").agg(F.sum("n").alias("n")).where(
+            often | F.col("lang").isNotNull()), "counts-by-key")
+        totals = totals or found.where("lang is not null").select("lang", "n")
+        counted.append(found.where("lang is null").select("key", "n"))
+        tables[n] = _bits(counted[-1])
+    names = shared_table(
+        rows.mapInArrow(_named(send(tables)), "lang string, key long, phrase string, n long")
+        .groupBy("lang", "key", "phrase").agg(F.sum("n").alias("n")).where(often | (F.col("n") == 0)),
+        "ngrams")
+    shorter = reduce(DataFrame.unionByName, counted)
+    short = names.where("n = 0").drop("n").join(shorter, "key")
+    out = short.unionByName(names.where("n > 0"), allowMissingColumns=True)
+    return out.select("lang", "phrase", F.col("n").alias("f")), totals
 
 
 def with_parts(ngrams: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
