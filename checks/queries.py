@@ -20,12 +20,14 @@ from trafficlens.operators import (
     pricing,
     reuse,
     routing,
+    settlement,
     text_safety,
 )
 from trafficlens.plans.scratch import materialise, scratch_dir
+from trafficlens.plans.slices import Running, running
 from trafficlens.sources import ledger as store
 from trafficlens.sources import wire
-from trafficlens.streaming import jobs
+from trafficlens.streaming import jobs, settling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -155,14 +157,22 @@ def parse_chat_bodies(spark, d):
 
 
 def _answers(spark, d):
-    return v.table(spark, d, "conversations").where(F.col("role") == "assistant").select(
+    return _answers_of(v.table(spark, d, "conversations"))
+
+
+def _answers_of(turns):
+    return turns.where(F.col("role") == "assistant").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), "text"
     )
 
 
 def _sse_lines(spark, d):
+    return _lines_of(_answers(spark, d))
+
+
+def _lines_of(answers):
     """Stored answers as streamed lines: two dialects, with noise and lines after the end."""
-    deltas = conversations.split_stream_deltas(_answers(spark, d), ["stream_id"])
+    deltas = conversations.split_stream_deltas(answers, ["stream_id"])
     plain = F.col("stream_id") % 2 == 0
     sid = F.concat(F.lit("s-"), F.col("stream_id").cast("string"))
     chunk = F.to_json(
@@ -193,7 +203,7 @@ def _sse_lines(spark, d):
         (F.col("seq") * 10 + 100).alias("seq"),
         data(F.when(plain, chunk).otherwise(event)).alias("line"),
     )
-    heads = _answers(spark, d).select("stream_id")
+    heads = answers.select("stream_id")
     noise = [
         (0, F.when(plain, ": hello").otherwise(data(F.to_json(F.struct(
             F.lit("message_start").alias("type"), F.struct(sid.alias("id")).alias("message")))))),
@@ -220,6 +230,63 @@ def parse_sse_chunks(spark, d):
     return wire.parse_sse_chunks(_sse_lines(spark, d), N * 20)
 
 
+_CATALOGUE_PROVIDERS = {"b0": "openai", "b1": "local_vllm", "b2": "anthropic"}
+
+
+def _catalogue(spark):
+    named = F.create_map(*[F.lit(x) for kv in _CATALOGUE_PROVIDERS.items() for x in kv])
+    return v.backends(spark).withColumn("provider", named[F.col("backend")])
+
+
+def _answer_documents(spark, d):
+    """Answers to the calls as documents of both dialects: some broken, some without usage."""
+    calls = v.traffic(spark, d).withColumn("bare", F.col("event_id") % 13 == 4)
+    given = lambda c: F.when(~F.col("bare"), F.col(c))
+    said = F.concat(F.lit("to "), "api_key")
+    choices = F.to_json(F.struct(
+        F.col("request_id").alias("id"),
+        F.array(F.struct(F.struct(F.lit("assistant").alias("role"), F.when(
+            ~F.col("bare"), said).alias("content")).alias("message"))).alias("choices"),
+        F.struct(given("prompt_tokens").alias("prompt_tokens"),
+                 given("completion_tokens").alias("completion_tokens")).alias("usage")))
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    blocks = F.to_json(F.struct(
+        given("request_id").alias("id"),
+        F.array(block("text", F.lit("to ")), block("tool_use", F.lit("x")),
+                block("text", F.col("api_key"))).alias("content"),
+        F.struct(given("prompt_tokens").alias("input_tokens"),
+                 given("completion_tokens").alias("output_tokens")).alias("usage")))
+    whole = F.when(F.col("backend") == "b2", blocks).otherwise(choices)
+    body = F.when(F.col("event_id") % 17 == 3, "{broken").otherwise(whole)
+    return calls.select("request_id", "backend", "latency_ms", body.alias("body"))
+
+
+@query("parse_provider_answers", "traffic backends", """
+with a as (select *, event_id % 17 = 3 as broken, event_id % 13 = 4 as bare, backend = 'b2' as typed
+  from traffic),
+t as (select *, case when not broken then case when bare then 0 else prompt_tokens end end as pt,
+    case when not broken then case when bare then 0 else completion_tokens end end as ct from a)
+select request_id, t.backend, not broken as ok,
+  case when not broken then case when bare and typed then '' else request_id end end as id,
+  b.model, case when not broken then 1 end as n_messages,
+  case when not broken then 'assistant' end as role,
+  case when not broken then case when bare and not typed then '' else concat('to ', api_key) end end
+    as content,
+  cast(pt as bigint) as prompt_tokens, cast(ct as bigint) as completion_tokens,
+  round(pt / 1000.0 * b.cost_per_1k_prompt + ct / 1000.0 * b.cost_per_1k_completion, 10) as cost_usd,
+  latency_ms
+from t join backends b on b.backend = t.backend""")
+def parse_provider_answers(spark, d):
+    parsed = wire.parse_provider_answers(_answer_documents(spark, d), _catalogue(spark))
+    first = F.get("messages", F.lit(0))
+    return parsed.select(
+        "request_id", "backend", "ok", "id", "model",
+        F.when(F.col("ok"), F.size("messages")).alias("n_messages"),
+        first["role"].alias("role"), first["content"].alias("content"),
+        "prompt_tokens", "completion_tokens", r10("cost_usd"), "latency_ms",
+    )
+
+
 def _log_lines(spark, d):
     a = v.attempts(spark, d).withColumn("model", F.concat(F.lit("m"), F.substring("backend", 2, 9)))
     line = lambda level, text: F.to_json(
@@ -639,6 +706,52 @@ def assemble_stream(spark, d):
     return conversations.assemble_stream(chunks, ["stream_id"], with_ids=True).drop("model")
 
 
+def _opened(spark, d):
+    """The opened streams, with the characters of all turns before the answer."""
+    turns = v.table(spark, d, "conversations")
+    before = running(
+        turns.withColumn("chars", F.length("text").cast("long")), "conv_id", ["turn"],
+        [Running("prompt_chars", "sum", F.col("chars"), prior=True)], N * 20,
+    )
+    return before.where(F.col("role") == "assistant").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"),
+        F.concat(F.lit("sk-"), (F.col("conv_id") % 10).cast("string")).alias("api_key"),
+        F.concat(F.lit("b"), ((F.col("conv_id") + F.col("turn")) % 3).cast("string")).alias("backend"),
+        "prompt_chars",
+        F.col("turn").cast("double").alias("latency_ms"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id")).cast("timestamp_ntz").alias(
+            "timestamp"),
+    )
+
+
+SETTLED_SQL = """
+with turns as (
+  select conv_id, turn, role, length(text) as n,
+    coalesce(sum(length(text)) over (partition by conv_id order by turn
+      rows between unbounded preceding and 1 preceding), 0) as chars from conversations),
+s as (
+  select concat('s-', cast(conv_id * 1000 + turn as varchar)) as id,
+    concat('sk-', cast(conv_id % 10 as varchar)) as api_key,
+    concat('b', cast((conv_id + turn) % 3 as varchar)) as backend,
+    cast(greatest(1, floor(chars / 4.0)) as bigint) as pt,
+    cast(greatest(1, floor(n / 4.0)) as bigint) as ct
+  from turns where role = 'assistant')
+select id, api_key, s.backend, model, pt as prompt_tokens, ct as completion_tokens,
+  round(pt / 1000.0 * cost_per_1k_prompt + ct / 1000.0 * cost_per_1k_completion, 10) as cost_usd
+from s join backends b on b.backend = s.backend"""
+
+
+def _settled_columns(rows):
+    return rows.select("id", "api_key", "backend", "model", "prompt_tokens", "completion_tokens",
+                       r10("cost_usd"))
+
+
+@query("settle_streams", "backends", SETTLED_SQL)
+def settle_streams(spark, d):
+    return _settled_columns(settlement.settle_streams(
+        _sse_lines(spark, d), _opened(spark, d), v.backends(spark), v.ledger(spark, d), N * 20))
+
+
 @query("response_envelope", "ledger", """
 select id, to_json({'id': id, 'object': 'chat.completion', 'created': 1704067200, 'model': model,
   'choices': [{'index': 0, 'message': {'role': 'assistant', 'content': concat('to ', api_key)},
@@ -1269,6 +1382,15 @@ def stream_prompt_reuse(spark, d):
     return _drain(spark, found).drop("late")
 
 
+@query("stream_settle_answers", "backends", SETTLED_SQL)
+def stream_settle_answers(spark, d):
+    answers = _answers_of(_stream(spark, d, "conversations"))
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("stream_id"))
+    settled = settling.stream_settle_answers(
+        _lines_of(answers).withColumn("ts", at), _opened(spark, d), v.backends(spark))
+    return _settled_columns(_drain(spark, settled))
+
+
 @query("stream_redact", "docs_injected", f"""
 select doc_id, {_redact_sql('text')} as text, {_phrase_sql()} is not null as quarantined
 from docs_injected""")
