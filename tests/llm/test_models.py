@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trafficlens.llm import brown, crf, toxicity
 from trafficlens.llm.columns import id_crc, named
 from trafficlens.llm.queries import QUERIES
+from trafficlens.llm.word_arrays import word_spans
 
 EXTRA = "doc_id long, text string, row string, words int, score int, k0 int, label int"
 
@@ -71,17 +72,94 @@ def test_brown_on_the_supplied_table(spark, sf_dir):
 def test_brown_odd_tables(spark, rows):
     docs = odd_frame(spark, rows)
     held = id_crc() % 7 == 2
-    model, words = brown.train(docs.where(~held), exchanged=2, classed=3, counted=4, classes=2)
-    check_base(brown.score(docs, model, words, held).collect(), rows)
+    model, words = brown.train(docs.where(~held), exchanged=2, least=2, counted=4, classes=2)
+    got = brown.score(docs, model, words, held).collect()
+    check_base(got, rows)
+    check_scores(got, rows, model, words)
+
+
+def hash_of(word):
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return int(word_spans(raw, np.array([0, len(raw)]))[3].view(np.int64)[0])
+
+
+def check_scores(got, rows, model, words):
+    """Every score again, token by token, from the model's tables."""
+    table = {r.word: r for r in words.collect()}
+    unseen = math.log10((brown.DISCOUNT * model.rare_types + 1) / (model.rare_tokens + 1))
+    want = []
+    for i, t in rows:
+        before, score = model.end, 0.0
+        for w in [*plain.words(t), None]:
+            row = table.get(0 if w is None else hash_of(w))
+            cls = model.end if w is None else row.cls if row else model.rare
+            score += model.step[before, cls] + (row.emit if row else 0.0 if w is None else unseen)
+            before = cls
+        want.append((str(i), round(score, 6)))
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted(want)
+
+
+def test_brown_without_training_rows_gives_every_token_one_half(spark):
+    docs = odd_frame(spark, [(1, "a b c"), (2, None)])
+    model, words = brown.train(docs.limit(0))
+    got = {r.doc_id: r.score for r in brown.score(docs, model, words, F.lit(True)).collect()}
+    assert got == {1: pytest.approx(4 * math.log10(0.5)), 2: pytest.approx(math.log10(0.5))}
+
+
+def language(seed, n, kinds=3, size=40):
+    """Sentences that step from one kind of words to the next; words of a kind are alike."""
+    rng = np.random.default_rng(seed)
+    rank = lambda: int(min(rng.pareto(1.0) * 3, size - 1))
+    return [(i, " ".join(f"w{(k + int(rng.random() < .1)) % kinds}x{rank()}"
+                         for k in range(int(rng.integers(6, 30))))) for i in range(n)]
+
+
+@pytest.fixture(scope="module")
+def kinds(spark):
+    return language(3, 400)
+
+
+def test_brown_words_beyond_the_seeds_find_their_class(spark, kinds):
+    """Most classed words are no seeds; the sweeps put words of a kind together."""
+    docs = odd_frame(spark, kinds)
+    model, words = brown.train(docs, exchanged=9, least=5, classes=3)
+    table = {r.word: r for r in words.collect()}
+    classed = {w: table[hash_of(w)].cls for _, t in kinds for w in t.split()
+               if table[hash_of(w)].cls < model.rare}
+    assert len(classed) > 40
+    right = sum(max(collections.Counter(c for w, c in classed.items() if w[1] == k).values())
+                for k in "012")
+    assert right > 0.9 * len(classed)
+    counts = collections.Counter(w for _, t in kinds for w in t.split())
+    assert {w for w, n in counts.items() if n >= 5} == set(classed)
+
+
+def test_brown_scores_do_not_depend_on_what_is_sent(spark, kinds):
+    docs = odd_frame(spark, kinds)
+    held = id_crc() % 7 == 2
+    scores = []
+    for counted in (1000, 7):  # with 7, the classes of most words are joined
+        model, words = brown.train(docs.where(~held), exchanged=9, least=5, classes=3,
+                                   counted=counted)
+        assert model.all_classed == (counted == 1000)
+        got = brown.score(docs, model, words, held).collect()
+        check_base(got, kinds)
+        check_scores(got, kinds, model, words)
+        scores.append({r.doc_id: round(r.score, 6) for r in got})
+    assert scores[0] == scores[1]
 
 
 def test_brown_probabilities_sum_to_one(spark):
     docs = odd_frame(spark, [(i, "a b c d a b e f") for i in range(5)] + [(9, "g h")])
-    model, _ = brown.train(docs, exchanged=3, classed=4, counted=5, classes=2)
-    assert np.allclose((10 ** model.step).sum(1), 1, atol=0.05)
-    known = model.cls < model.rare
-    for c in set(model.cls[known]):
-        assert (10 ** model.emit[known & (model.cls == c)]).sum() == pytest.approx(1)
+    model, words = brown.train(docs, exchanged=3, least=4, counted=5, classes=2)
+    assert np.allclose((10 ** model.step).sum(1), 1)
+    rows = words.collect()
+    for c in range(model.rare):
+        emits = [r.emit for r in rows if r.cls == c]
+        assert not emits or sum(10 ** e for e in emits) == pytest.approx(1)
+    rare = sum(10 ** r.emit for r in rows if r.cls == model.rare)
+    unseen = (brown.DISCOUNT * model.rare_types + 1) / (model.rare_tokens + 1)
+    assert rare + unseen == pytest.approx(1)
 
 
 # --- languages -----------------------------------------------------------------------------------

@@ -1,37 +1,50 @@
 """Language-model scores from Brown classes: P(word | previous) = P(class | previous class) P(word | class).
 
-Words are counted over the whole training corpus, by 64-bit hashes. The most frequent ones are put
-into classes by exchange: word by word, a word moves to the class that raises the likelihood of the
-class bigrams most, until sweeps change little. Further frequent words join the class that explains
-their neighbours best, all others share one class of rare words. Transitions and emissions are
-smoothed, so every text has a probability; a word that was never seen is one event of the rare class.
-
-Tables that are sent out hold at most ``COUNTED`` words. Counts of words beyond are joined by
-shuffle, and every count is taken over all documents.
+Words are counted over the whole training corpus, by 64-bit hashes. Every word that occurs ``LEAST``
+times or more has a class; how many there are, and how many classes, grows with the corpus. The exchange
+has two steps. The most frequent words seed the classes: word by word, one moves to the class that raises
+the likelihood of the class bigrams most. Then all others move at once in sweeps over a Spark table of
+bigram counts, each to the class that explains its neighbours' classes best, for as long as the
+likelihood rises. Words below ``LEAST`` share one class of rare words.
+Transitions and emissions are smoothed, so every text has a probability; a word that was never seen is
+one event of the rare class.
+
+Tables that are sent out hold at most ``COUNTED`` words, the most frequent ones. Counts and classes of
+words beyond are joined by shuffle, and every count is taken over all documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from trafficlens.llm.collocations import _bits as bits_of
+from trafficlens.llm.collocations import _frequent as has_bit
 from trafficlens.llm.columns import named, shared_table, text_of
 from trafficlens.llm.word_arrays import buffer_of, slices, word_spans
+from trafficlens.plans.sides import small_side
 
-#: Words that the exchange moves, further words that get a class, words with counts sent to tasks.
-EXCHANGED, CLASSED, COUNTED = 1500, 16_384, 1 << 18
-CLASSES, SWEEPS = 40, 6
+#: Occurrences that give a word a class; words that seed the classes; words sent to all tasks.
+LEAST, EXCHANGED, COUNTED = 100, 1500, 1 << 18
+#: Classes at least, and sweeps of the seeds and of all other words.
+CLASSES, SWEEPS, MOVES = 40, 6, 3
 #: The end of a text is a token of its own; no word has this hash by construction of the tables.
 END = np.uint64(0)
+#: Stands for words without a class in the table of bigrams.
+OTHER = np.uint64(1)
 #: What is taken from a rare word's count, for words never seen.
 DISCOUNT = 0.6
+#: Bigrams of a task that are counted together.
+_HELD = 1 << 22
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int):
@@ -65,34 +78,30 @@ def _numbers(sorted_keys: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)[which]
 
 
-def _pairs(sent):
-    """Rows (left, right, n): how often class ``right`` follows class ``left`` within a text.
+def _bigrams(sent):
+    """Rows (left, right, n) within texts; words without a bit are ``OTHER``.
 
-    ``sent`` holds words in order of hash with a left class and a right class each; the last class
-    is that of all other words. An end stands before each text's first word.
+    An end stands before each text's first word and after its last.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, left, right, others = sent.value
-        held: list[np.ndarray] = []
+        bits = sent.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
-            pair, n = np.unique(np.concatenate(held), return_counts=True)
+            left, right = (np.concatenate(x) for x in zip(*held))
+            key = left * np.uint64(0x9E3779B97F4A7C15) + right
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array(pair // (others + 1)), pa.array(pair % (others + 1)),
+                [pa.array(left[first].view(np.int64)), pa.array(right[first].view(np.int64)),
                  pa.array(n, pa.int64())], ["left", "right", "n"])
 
         size = 0
-        for _, _, _, rows, tokens in _chunks(batches, 0):
-            at = _numbers(keys, tokens)
-            lefts = np.where(at >= 0, left[at], others)
-            rights = np.where(at >= 0, right[at], others)
+        for _, _, _, _, tokens in _chunks(batches, 0):
+            shown = np.where(has_bit(bits, tokens) | (tokens == END), tokens, OTHER)
             # the token before the first one of a text is the end of the text before it
-            before = np.concatenate([[left[np.searchsorted(keys, END)]], lefts[:-1]])
-            pair = before * (others + 1) + rights
-            skip = (before < 0) | (rights < 0)  # -1: not asked for
-            held.append(pair[~skip])
-            size += len(pair)
-            if size > 1 << 22:
+            held.append((np.concatenate([[END], shown[:-1]]), shown))
+            size += len(shown)
+            if size > _HELD:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -101,17 +110,6 @@ def _pairs(sent):
     return run
 
 
-def _table(texts: DataFrame, keys: np.ndarray, left: np.ndarray, right: np.ndarray, others: int
-           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pair counts of the corpus; at most (classes + 1)**2 rows, which come to the driver."""
-    order = np.argsort(keys)
-    sent = texts.sparkSession.sparkContext.broadcast(
-        (keys[order], left[order], right[order], others))
-    got = texts.mapInArrow(_pairs(sent), "left long, right long, n long").groupBy(
-        "left", "right").agg(F.sum("n").alias("n")).toArrow()
-    return tuple(got.column(k).to_numpy() for k in range(3))
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -166,7 +164,10 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
 
 @dataclass(frozen=True)
 class Brown:
-    """``keys`` (in order): words with known counts; ``cls``: their classes, the rare class included."""
+    """``keys`` (in order): the most frequent words, with counts, classes and emissions.
+
+    ``all_classed`` tells whether every word that has a class is among them.
+    """
 
     keys: np.ndarray
     count: np.ndarray
@@ -179,101 +180,176 @@ class Brown:
     rare_types: float
     tokens: int
     types: int
+    all_classed: bool
+
+
+def _signed(keys: np.ndarray) -> pa.Array:
+    return pa.array(np.asarray(keys, np.uint64).view(np.int64))
+
+
+def _class_of(bigrams: DataFrame, classes: DataFrame, rare: int) -> DataFrame:
+    """``bigrams`` with the classes ``cl`` and ``cr`` of both words."""
+    for side, name in (("left", "cl"), ("right", "cr")):
+        own = classes.select(F.col("word").alias(side), F.col("cls").alias(name))
+        bigrams = bigrams.join(own, side, "left").withColumn(
+            name, F.coalesce(name, F.lit(rare)).cast("int"))
+    return bigrams
+
+
+def _joint(classed: DataFrame, rare: int) -> np.ndarray:
+    """Class bigrams of the corpus: (classes + 2)**2 sums, which come to the driver."""
+    got = classed.groupBy("cl", "cr").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((rare + 1, rare + 1))
+    out[got.column(0).to_numpy(), got.column(1).to_numpy()] = got.column(2).to_numpy()
+    return out
+
 
+def _likelihood(joint: np.ndarray) -> float:
+    return float(_xlogx(joint).sum() - _xlogx(joint.sum(0)).sum() - _xlogx(joint.sum(1)).sum())
 
-def train(texts: DataFrame, text_col: str = "text", classes: int = CLASSES,
-          exchanged: int = EXCHANGED, classed: int = CLASSED, counted: int = COUNTED
-          ) -> tuple[Brown, DataFrame]:
-    """The model, and the table (word, n) of all words' counts in the training texts.
 
-    Null texts count as empty (one end each). Without any text the model knows no word, and every
-    token has probability one half.
+def _best(weights: np.ndarray):
+    """(word, cls): the class under which a word's neighbours are likeliest.
+
+    ``seen`` lists (place, n): what follows a word by class, then what precedes it.
     """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                seen = part.column(1)
+                rows = np.repeat(np.arange(len(part)), pc.list_value_length(seen))
+                flat = seen.flatten()
+                table = np.zeros((len(part), len(weights)))
+                np.add.at(table, (rows, flat.field(0).to_numpy()), flat.field(1).to_numpy())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.argmax(table @ weights, axis=1), pa.int32())],
+                    ["word", "cls"])
+
+    return run
+
+
+def _moved(classed: DataFrame, moving: DataFrame, joint: np.ndarray, end: int) -> DataFrame:
+    """(word, cls) of the words of ``moving``, each moved to the class that suits it best."""
+    base = len(joint)
+    side = lambda word, other, shift: classed.groupBy(F.col(word).alias("word"), (
+        F.col(other) + shift).alias("place")).agg(F.sum("n").alias("n"))
+    around = side("left", "cr", 0).unionByName(side("right", "cl", base))
+    seen = around.join(moving, "word", "left_semi").groupBy("word").agg(
+        F.collect_list(F.struct("place", F.col("n").cast("double").alias("n"))).alias("seen"))
+    held = joint + 0.5
+    weights = np.concatenate([np.log(held / held.sum(1, keepdims=True)).T,
+                              np.log(held / held.sum(0, keepdims=True))])[:, :end]
+    return seen.mapInArrow(_best(weights), "word long, cls int")
+
+
+def _seeded(bigrams: DataFrame, keys: np.ndarray, classes: int) -> np.ndarray:
+    """Classes of the seeds ``keys`` by exchange; ends and all other words are one fixed class."""
+    k = len(keys)
+    if not k:
+        return np.empty(0, np.int64)
+    spark = bigrams.sparkSession
+    ids = spark.createDataFrame(pa.table(
+        {"word": _signed(keys), "cls": pa.array(np.arange(k), pa.int32())}))
+    pairs = _joint(_class_of(bigrams, F.broadcast(ids), k), k)
+    return exchange(pairs, classes)
+
+
+def train(texts: DataFrame, text_col: str = "text", classes: int | None = None,
+          exchanged: int = EXCHANGED, least: int = LEAST, counted: int = COUNTED,
+          moves: int = MOVES) -> tuple[Brown, DataFrame]:
+    """The model, and the table (word, n, cls, emit) of all words of the training texts.
+
+    Every word with ``least`` occurrences or as many as the last seed gets a class. Unless their
+    number is given, classes grow with the root of the words that have one. Null texts count as
+    empty (one end each). Without any text the model knows no word, and every token has
+    probability one half.
+    """
+    spark = texts.sparkSession
     own = texts.select(text_of(text_col).alias("text"))
     vocabulary = shared_table(
         own.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")),
-        "brown-words")
+        "brown-counts")
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    end_key = int(END)
-    top = vocabulary.where(F.col("word") != end_key).orderBy(F.desc("n"), "word").limit(
-        counted).toArrow()
-    keys, count = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
-    ends = vocabulary.where(F.col("word") == end_key).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = vocabulary.where(F.col("word") != int(END))
+    seeds = words.orderBy(F.desc("n"), "word").limit(exchanged).toArrow()
+    keys, count = seeds.column(0).to_numpy().view(np.uint64), seeds.column(1).to_numpy()
+    floor = min(least, int(count.min())) if len(count) else least
+    frequent = words.where(F.col("n") >= floor)
+    many = frequent.count()
+    if classes is None:
+        classes = max(CLASSES, math.ceil(math.sqrt(many) / 4))
     # the end is a class of its own, number `classes`; the rare words' class is the one after
     end, rare = classes, classes + 1
-    k = min(exchanged, len(keys))
-    cls = np.full(len(keys), rare)
-    if k:
-        # the exchanged words, the end, and all others
-        ids = np.append(np.arange(k), k)
-        left, right, n = _table(own, np.append(keys[:k], END), ids, ids, k + 1)
-        pairs = np.zeros((k + 2, k + 2))
-        pairs[left, right] = n
-        # the end takes part as a word that does not move: it is merged with all others here
-        folded = pairs[:k + 1, :k + 1].copy()
-        folded[k] += pairs[k + 1, :k + 1]
-        folded[:, k] += pairs[:k + 1, k + 1]
-        folded[k, k] += pairs[k + 1, k + 1]
-        cls[:k] = exchange(folded, classes)
-        m = min(classed, len(keys))
-        if m > k:
-            cls[k:m] = _fit_in(own, keys, cls, k, m, end, rare)
-    all_keys, all_cls = np.append(keys, END), np.append(cls, end)
-    all_count = np.append(count, ends)
-    known = all_cls < rare  # rare words are the default
-    left, right, n = _table(own, all_keys[known], all_cls[known], all_cls[known], rare)
-    joint = np.zeros((rare + 1, rare + 1))
-    joint[left, right] = n
-    single = joint.sum(0) + 0.5
+    bits = spark.sparkContext.broadcast(bits_of(frequent.select(F.col("word").alias("key"))))
+    bigrams = shared_table(
+        own.mapInArrow(_bigrams(bits), "left long, right long, n long")
+        .groupBy("left", "right").agg(F.sum("n").alias("n")), "brown-bigrams")
+    fixed = spark.createDataFrame(pa.table({
+        "word": _signed(np.append(keys, END)),
+        "cls": pa.array(np.append(_seeded(bigrams, keys, classes), end), pa.int32())}))
+    chosen = fixed
+    moving = frequent.join(F.broadcast(fixed), "word", "left_anti").select("word")
+    joint = _joint(_class_of(bigrams, chosen, rare), rare)
+    if many > len(keys):
+        for move in range(moves):
+            after = shared_table(fixed.unionByName(
+                _moved(_class_of(bigrams, chosen, rare), moving, joint, end)), "brown-classes")
+            next_ = _joint(_class_of(bigrams, after, rare), rare)
+            gain = _likelihood(next_) - _likelihood(joint)
+            if move and gain <= 0:
+                break
+            chosen, joint = after, next_
+            if move and gain <= 1e-3 * abs(_likelihood(joint)):
+                break
+    mass = joint.sum(0)
+    usable = (mass > 0) | (np.arange(rare + 1) >= end)
+    single = np.where(usable, mass + 0.5, 0.0)
     single /= single.sum()
-    step = np.log10((joint + 2.0 * single) / (joint.sum(1, keepdims=True) + 2.0))
-    mass = np.bincount(all_cls, all_count, rare + 1)
-    rare_tokens = float(total[0] - mass[:rare].sum())
-    rare_types = float(total[1] - (known & (all_count > 0)).sum())
     with np.errstate(divide="ignore"):
-        emit = np.where(all_cls < rare, np.log10(all_count / np.maximum(mass[all_cls], 1)),
-                        _rare(all_count, rare_tokens, rare_types))
-    order = np.argsort(all_keys)
-    return Brown(all_keys[order], all_count[order], all_cls[order],
-                 np.maximum(emit[order], -30.0), step, end, rare, rare_tokens, rare_types,
-                 int(total[0]), int(total[1])), vocabulary
-
-
-def _rare(count, tokens: float, types: float):
-    """log10 P(word | rare class); a count of 0 stands for all words never seen."""
-    none = DISCOUNT * types + 1.0
-    return np.log10(np.where(np.asarray(count) > 0, np.maximum(count - DISCOUNT, 0.1), none)
-                    / (tokens + 1.0))
-
-
-def _fit_in(own: DataFrame, keys: np.ndarray, cls: np.ndarray, k: int, m: int, end: int, rare: int
-            ) -> np.ndarray:
-    """Classes of the words k .. m-1: the one that makes their neighbours' classes likeliest."""
-    some, extra = np.append(keys[:k], END), keys[k:m]
-    base = rare + 1
-    joined = np.concatenate([some, extra])
-    # as context a word shows its class, as subject its number beyond the classes
-    context = np.concatenate([cls[:k], [end], np.full(m - k, rare)])
-    subject = np.concatenate([np.full(k + 1, -1), base + np.arange(m - k)])
-    others = base + m - k
-    after = np.zeros((m - k, base))
-    before = np.zeros((m - k, base))
-    for a, b, into in ((context, subject, before), (subject, context, after)):
-        left, right, n = _table(own, joined, a, b, others)
-        inner, outer = (right, left) if into is before else (left, right)
-        outer = np.where(outer == others, rare, outer)
-        ok = (inner >= base) & (inner < others)
-        np.add.at(into, (inner[ok] - base, outer[ok]), n[ok])
-    left, right, n = _table(own, some, context[:k + 1], context[:k + 1], rare)
-    joint = np.zeros((base, base))
-    joint[left, right] = n
-    follow = np.log((joint + 0.5) / (joint + 0.5).sum(1, keepdims=True))
-    precede = np.log((joint + 0.5) / (joint + 0.5).sum(0, keepdims=True))
-    score = after @ follow.T + before @ precede
-    return np.argmax(score[:, :end], axis=1)
+        step = np.maximum(np.log10((joint + 2.0 * single) / (joint.sum(1, keepdims=True) + 2.0)),
+                          -30.0)
+    rare_tokens = float(mass[rare])
+    rare_types = float(total[1] - many - (mass[end] > 0))
+    masses = spark.createDataFrame(pa.table({
+        "cls": pa.array(np.arange(rare + 1), pa.int32()), "mass": pa.array(mass)}))
+    emit = F.when(F.col("cls") == rare, _rare(F.col("n"), rare_tokens)).otherwise(
+        F.log10(F.col("n") / F.col("mass")))
+    table = shared_table(
+        vocabulary.join(chosen, "word", "left")
+        .withColumn("cls", F.coalesce("cls", F.lit(rare)).cast("int"))
+        .join(F.broadcast(masses), "cls")
+        .select("word", "n", "cls", emit.alias("emit")), "brown-words")
+    sent = table.where(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(
+        counted).unionByName(table.where(F.col("word") == int(END))).toArrow()
+    got = [sent.column(i).to_numpy() for i in range(4)]
+    if not total[0]:
+        got = [np.append(x, y) for x, y in zip(got, (0, 0, end, 0.0))]
+    known = got[0].astype(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return Brown(known[order], got[1][order], got[2][order].astype(np.int64), got[3][order], step,
+                 end, rare, rare_tokens, rare_types, int(total[0]), int(total[1]),
+                 many <= counted), table
+
+
+def _rare(n: Column, tokens: float) -> Column:
+    """log10 P(word | rare class) of a word seen n times."""
+    return F.log10(F.greatest(n - DISCOUNT, F.lit(0.1)) / (tokens + 1.0))
+
+
+def _unseen(model: Brown) -> float:
+    """log10 of the probability, in the rare class, of all words never seen."""
+    return math.log10((DISCOUNT * model.rare_types + 1.0) / (model.rare_tokens + 1.0))
+
+
+def _lists(rows: np.ndarray, n: int, values: np.ndarray) -> pa.ListArray:
+    cut = np.searchsorted(rows, np.arange(n + 1))
+    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values.view(np.int64)))
 
 
 def _score(sent, unit: float):
+    """Scores from the words sent; ``tail`` lists the others, ``left`` and ``right`` the steps to
+    or from those, unless such words are known to be rare."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = SimpleNamespace(**sent.value)
         base = np.log10((m.count + 1) / unit)
@@ -282,24 +358,44 @@ def _score(sent, unit: float):
             known = at >= 0
             cls = np.where(known, m.cls[at], m.rare)
             before = np.concatenate([[m.end], cls[:-1]])
-            score = m.step[before, cls] + np.where(known, m.emit[at], 0.0)
-            part = batch.slice(lo, n)
+            step = m.step[before, cls]
             far = np.flatnonzero(~known)
-            cut = np.searchsorted(rows[far], np.arange(n + 1))
-            tail = pa.ListArray.from_arrays(pa.array(cut, pa.int32()),
-                                            pa.array(tokens[far].view(np.int64)))
+            open_ = np.empty(0, np.int64)
+            if not m.all_classed:
+                sure = known & np.concatenate([[True], known[:-1]])
+                step, open_ = np.where(sure, step, 0.0), np.flatnonzero(~sure)
+            score = step + np.where(known, m.emit[at], 0.0)
+            part = batch.slice(lo, n)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1),
                  pa.array(np.bincount(rows, minlength=n), pa.int64()),
                  pa.array(np.bincount(rows, known & (m.count[at] > 0), n).astype(np.int64)),
                  pa.array(np.bincount(rows, np.where(known, base[at], 0.0), n)),
-                 pa.array(np.bincount(rows, score, n)), tail],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"])
+                 pa.array(np.bincount(rows, score, n)),
+                 _lists(rows[far], n, tokens[far]),
+                 _lists(rows[open_], n, np.concatenate([[END], tokens[:-1]])[open_]),
+                 _lists(rows[open_], n, tokens[open_])],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail",
+                 "left", "right"])
 
     return run
 
 
-def score(docs: DataFrame, model: Brown, vocabulary: DataFrame, held_out, id_col: str = "doc_id",
+def _open_steps(near: DataFrame, model: Brown, words: DataFrame) -> DataFrame:
+    """(row, far_score): the steps to or from words whose classes were not sent."""
+    pairs = near.select("row", F.explode(F.arrays_zip("left", "right")).alias("p")).groupBy(
+        "row", F.col("p.left").alias("left"), F.col("p.right").alias("right")).agg(
+        F.count("*").alias("n"))
+    size = model.rare + 1
+    steps = near.sparkSession.createDataFrame(pa.table({
+        "cl": pa.array(np.repeat(np.arange(size), size), pa.int32()),
+        "cr": pa.array(np.tile(np.arange(size), size), pa.int32()),
+        "step": pa.array(model.step.reshape(-1))}))
+    return _class_of(pairs, words, model.rare).join(small_side(steps), ["cl", "cr"]).groupBy(
+        "row").agg(F.sum(F.col("n") * F.col("step")).alias("far_score"))
+
+
+def score(docs: DataFrame, model: Brown, words: DataFrame, held_out, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -310,26 +406,28 @@ def score(docs: DataFrame, model: Brown, vocabulary: DataFrame, held_out, id_col
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
     rows = docs.select(named(id_col).alias("doc_id"), held_out.alias("held_out"),
                        text_of(text_col).alias("text"))
+    schema = rows.drop("text").schema.add("n_tokens", "long").add("n_known", "long").add(
+        "base_score", "double").add("score", "double")
+    for name in ("tail", "left", "right"):
+        schema = schema.add(name, ArrayType(LongType()))
     near = shared_table(
-        rows.mapInArrow(
-            _score(sent, unit),
-            rows.drop("text").schema.add("n_tokens", "long").add("n_known", "long")
-            .add("base_score", "double").add("score", "double")
-            .add("tail", ArrayType(LongType())))
+        rows.mapInArrow(_score(sent, unit), schema)
         .withColumn("row", F.monotonically_increasing_id()), "brown-near")
     tail = near.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(
         F.count("*").alias("times"))
     n = F.coalesce("n", F.lit(0))
-    rare = F.when(n > 0, F.greatest(n - DISCOUNT, F.lit(0.1))).otherwise(
-        DISCOUNT * model.rare_types + 1.0) / (model.rare_tokens + 1.0)
+    emit = F.coalesce("emit", F.lit(_unseen(model)))
     far = (
-        tail.join(vocabulary, "word", "left").groupBy("row")
+        tail.join(words.drop("cls"), "word", "left").groupBy("row")
         .agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("far_known"),
              F.sum(F.col("times") * F.log10((n + 1) / unit)).alias("far_base"),
-             F.sum(F.col("times") * F.log10(rare)).alias("far_score"))
+             F.sum(F.col("times") * emit).alias("far_score"))
     )
+    if not model.all_classed:
+        far = far.unionByName(_open_steps(near, model, words), allowMissingColumns=True).groupBy(
+            "row").agg(*[F.sum(c).alias(c) for c in ("far_known", "far_base", "far_score")])
     plus = {"n_known": "far_known", "base_score": "far_base", "score": "far_score"}
-    joined = near.drop("tail").join(far, "row", "left")
+    joined = near.drop("tail", "left", "right").join(far, "row", "left")
     return joined.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("far_known", F.lit(0))).cast("long").alias("n_known"),
