@@ -34,7 +34,7 @@ from trafficlens.llm.word_arrays import buffer_of, slices, word_spans
 from trafficlens.plans.sides import small_side
 
 #: Occurrences that give a word a class; words that seed the classes; words sent to all tasks.
-LEAST, EXCHANGED, COUNTED = 100, 1500, 1 << 18
+LEAST, EXCHANGED, COUNTED = 20, 1500, 1 << 18
 #: Classes at least, and sweeps of the seeds and of all other words.
 CLASSES, SWEEPS, MOVES = 40, 6, 3
 #: The end of a text is a token of its own; no word has this hash by construction of the tables.
