@@ -72,7 +72,7 @@ def test_brown_on_the_supplied_table(spark, sf_dir):
 def test_brown_odd_tables(spark, rows):
     docs = odd_frame(spark, rows)
     held = id_crc() % 7 == 2
-    model, words = brown.train(docs.where(~held), exchanged=2, least=2, counted=4, classes=2)
+    model, words = brown.train(docs.where(~held), exchanged=2, least=2, classed=2, counted=4, classes=2)
     got = brown.score(docs, model, words, held).collect()
     check_base(got, rows)
     check_scores(got, rows, model, words)
@@ -122,7 +122,7 @@ def kinds(spark):
 def test_brown_words_beyond_the_seeds_find_their_class(spark, kinds):
     """Most classed words are no seeds; the sweeps put words of a kind together."""
     docs = odd_frame(spark, kinds)
-    model, words = brown.train(docs, exchanged=9, least=5, classes=3)
+    model, words = brown.train(docs, exchanged=9, least=5, classed=9, classes=3)
     table = {r.word: r for r in words.collect()}
     classed = {w: table[hash_of(w)].cls for _, t in kinds for w in t.split()
                if table[hash_of(w)].cls < model.rare}
@@ -139,7 +139,7 @@ def test_brown_scores_do_not_depend_on_what_is_sent(spark, kinds):
     held = id_crc() % 7 == 2
     scores = []
     for counted in (1000, 7):  # with 7, the classes of most words are joined
-        model, words = brown.train(docs.where(~held), exchanged=9, least=5, classes=3,
+        model, words = brown.train(docs.where(~held), exchanged=9, least=5, classed=9, classes=3,
                                    counted=counted)
         assert model.all_classed == (counted == 1000)
         got = brown.score(docs, model, words, held).collect()
@@ -151,7 +151,7 @@ def test_brown_scores_do_not_depend_on_what_is_sent(spark, kinds):
 
 def test_brown_probabilities_sum_to_one(spark):
     docs = odd_frame(spark, [(i, "a b c d a b e f") for i in range(5)] + [(9, "g h")])
-    model, words = brown.train(docs, exchanged=3, least=4, counted=5, classes=2)
+    model, words = brown.train(docs, exchanged=3, least=4, classed=3, counted=5, classes=2)
     assert np.allclose((10 ** model.step).sum(1), 1)
     rows = words.collect()
     for c in range(model.rare):

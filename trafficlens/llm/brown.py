@@ -1,11 +1,11 @@
 """Language-model scores from Brown classes: P(word | previous) = P(class | previous class) P(word | class).
 
 Words are counted over the whole training corpus, by 64-bit hashes. Every word that occurs ``LEAST``
-times or more has a class; how many there are, and how many classes, grows with the corpus. The exchange
+times or more, or is among the ``CLASSED`` most frequent, has a class; how many there are, and how many classes, grows with the corpus. The exchange
 has two steps. The most frequent words seed the classes: word by word, one moves to the class that raises
 the likelihood of the class bigrams most. Then all others move at once in sweeps over a Spark table of
 bigram counts, each to the class that explains its neighbours' classes best, for as long as the
-likelihood rises. Words below ``LEAST`` share one class of rare words.
+likelihood rises. All other words share one class of rare words.
 Transitions and emissions are smoothed, so every text has a probability; a word that was never seen is
 one event of the rare class.
 
@@ -33,10 +33,11 @@ from trafficlens.llm.columns import named, shared_table, text_of
 from trafficlens.llm.word_arrays import buffer_of, slices, word_spans
 from trafficlens.plans.sides import small_side
 
-#: Occurrences that give a word a class; words that seed the classes; words sent to all tasks.
-LEAST, EXCHANGED, COUNTED = 20, 1500, 1 << 18
+#: Occurrences that give a word a class, and words that have one however rare they are; words that
+#: seed the classes; words sent to all tasks.
+LEAST, CLASSED, EXCHANGED, COUNTED = 100, 16_384, 1500, 1 << 18
 #: Classes at least, and sweeps of the seeds and of all other words.
-CLASSES, SWEEPS, MOVES = 40, 6, 3
+CLASSES, SWEEPS, MOVES = 40, 6, 2
 #: The end of a text is a token of its own; no word has this hash by construction of the tables.
 END = np.uint64(0)
 #: Stands for words without a class in the table of bigrams.
@@ -188,11 +189,17 @@ def _signed(keys: np.ndarray) -> pa.Array:
 
 
 def _class_of(bigrams: DataFrame, classes: DataFrame, rare: int) -> DataFrame:
-    """``bigrams`` with the classes ``cl`` and ``cr`` of both words."""
-    for side, name in (("left", "cl"), ("right", "cr")):
-        own = classes.select(F.col("word").alias(side), F.col("cls").alias(name))
-        bigrams = bigrams.join(own, side, "left").withColumn(
-            name, F.coalesce(name, F.lit(rare)).cast("int"))
+    """``bigrams`` with the classes ``cl`` and ``cr`` of both words.
+
+    If ``classes`` has a column ``moves``, so have the results, as ``ml`` and ``mr``.
+    """
+    moves = "moves" in classes.columns
+    classes = small_side(classes)
+    for side, cls, move in (("left", "cl", "ml"), ("right", "cr", "mr")):
+        own = [F.col("word").alias(side), F.col("cls").alias(cls)]
+        bigrams = bigrams.join(
+            classes.select(*own, *([F.col("moves").alias(move)] if moves else [])), side, "left"
+        ).withColumn(cls, F.coalesce(cls, F.lit(rare)).cast("int"))
     return bigrams
 
 
@@ -229,14 +236,19 @@ def _best(weights: np.ndarray):
     return run
 
 
-def _moved(classed: DataFrame, moving: DataFrame, joint: np.ndarray, end: int) -> DataFrame:
-    """(word, cls) of the words of ``moving``, each moved to the class that suits it best."""
-    base = len(joint)
-    side = lambda word, other, shift: classed.groupBy(F.col(word).alias("word"), (
-        F.col(other) + shift).alias("place")).agg(F.sum("n").alias("n"))
-    around = side("left", "cr", 0).unionByName(side("right", "cl", base))
-    seen = around.join(moving, "word", "left_semi").groupBy("word").agg(
-        F.collect_list(F.struct("place", F.col("n").cast("double").alias("n"))).alias("seen"))
+def _moved(classed: DataFrame, joint: np.ndarray, end: int) -> DataFrame:
+    """(word, cls) of the words that move, each moved to the class that suits it best.
+
+    Rows are dealt by word at once: bigrams are distinct already, so there is little to combine
+    before. No such word is hot, since the most frequent ones are seeds and stay.
+    """
+    after = classed.where("ml").select(
+        F.col("left").alias("word"), F.col("cr").alias("place"), "n")
+    before = classed.where("mr").select(
+        F.col("right").alias("word"), (F.col("cl") + len(joint)).alias("place"), "n")
+    seen = after.unionByName(before).repartition("word").groupBy("word", "place").agg(
+        F.sum("n").cast("double").alias("n")).groupBy("word").agg(
+        F.collect_list(F.struct("place", "n")).alias("seen"))
     held = joint + 0.5
     weights = np.concatenate([np.log(held / held.sum(1, keepdims=True)).T,
                               np.log(held / held.sum(0, keepdims=True))])[:, :end]
@@ -257,11 +269,11 @@ def _seeded(bigrams: DataFrame, keys: np.ndarray, classes: int) -> np.ndarray:
 
 def train(texts: DataFrame, text_col: str = "text", classes: int | None = None,
           exchanged: int = EXCHANGED, least: int = LEAST, counted: int = COUNTED,
-          moves: int = MOVES) -> tuple[Brown, DataFrame]:
+          moves: int = MOVES, classed: int = CLASSED) -> tuple[Brown, DataFrame]:
     """The model, and the table (word, n, cls, emit) of all words of the training texts.
 
-    Every word with ``least`` occurrences or as many as the last seed gets a class. Unless their
-    number is given, classes grow with the root of the words that have one. Null texts count as
+    Every word with ``least`` occurrences gets a class, and in a small corpus at least the
+    ``classed`` most frequent words and the seeds. Unless their number is given, classes grow with the root of the words that have one. Null texts count as
     empty (one end each). Without any text the model knows no word, and every token has
     probability one half.
     """
@@ -274,7 +286,8 @@ def train(texts: DataFrame, text_col: str = "text", classes: int | None = None,
     words = vocabulary.where(F.col("word") != int(END))
     seeds = words.orderBy(F.desc("n"), "word").limit(exchanged).toArrow()
     keys, count = seeds.column(0).to_numpy().view(np.uint64), seeds.column(1).to_numpy()
-    floor = min(least, int(count.min())) if len(count) else least
+    ranked = words.orderBy(F.desc("n"), "word").limit(max(exchanged, classed))
+    floor = min(least, ranked.agg(F.coalesce(F.min("n"), F.lit(least))).first()[0])
     frequent = words.where(F.col("n") >= floor)
     many = frequent.count()
     if classes is None:
@@ -288,14 +301,19 @@ def train(texts: DataFrame, text_col: str = "text", classes: int | None = None,
     fixed = spark.createDataFrame(pa.table({
         "word": _signed(np.append(keys, END)),
         "cls": pa.array(np.append(_seeded(bigrams, keys, classes), end), pa.int32())}))
-    chosen = fixed
-    moving = frequent.join(F.broadcast(fixed), "word", "left_anti").select("word")
-    joint = _joint(_class_of(bigrams, chosen, rare), rare)
+    # all but the seeds begin as rare words
+    stay = F.lit(False).alias("moves")
+    others = frequent.join(F.broadcast(fixed), "word", "left_anti").select(
+        "word", F.lit(rare).alias("cls"), F.lit(True).alias("moves"))
+    chosen = shared_table(fixed.select("*", stay).unionByName(others), "brown-classes")
+    classed_ = _class_of(bigrams, chosen, rare)
+    joint = _joint(classed_, rare)
     if many > len(keys):
         for move in range(moves):
-            after = shared_table(fixed.unionByName(
-                _moved(_class_of(bigrams, chosen, rare), moving, joint, end)), "brown-classes")
-            next_ = _joint(_class_of(bigrams, after, rare), rare)
+            after = shared_table(fixed.select("*", stay).unionByName(
+                _moved(classed_, joint, end).withColumn("moves", F.lit(True))), "brown-classes")
+            classed_ = _class_of(bigrams, after, rare)
+            next_ = _joint(classed_, rare)
             gain = _likelihood(next_) - _likelihood(joint)
             if move and gain <= 0:
                 break
@@ -316,7 +334,7 @@ def train(texts: DataFrame, text_col: str = "text", classes: int | None = None,
     emit = F.when(F.col("cls") == rare, _rare(F.col("n"), rare_tokens)).otherwise(
         F.log10(F.col("n") / F.col("mass")))
     table = shared_table(
-        vocabulary.join(chosen, "word", "left")
+        vocabulary.join(small_side(chosen.drop("moves")), "word", "left")
         .withColumn("cls", F.coalesce("cls", F.lit(rare)).cast("int"))
         .join(F.broadcast(masses), "cls")
         .select("word", "n", "cls", emit.alias("emit")), "brown-words")
