@@ -1358,6 +1358,36 @@ def stream_budget_spend(spark, d):
     return _drain(spark, decided).drop("late")
 
 
+def _out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in four micro-batches dealt by hash, so that each has calls of all times, and then
+    one call so late that the watermark passes all others."""
+    events = v.table(spark, sf_dir, "events")
+    folder = scratch_dir(spark, "out-of-order")
+    for part in range(4):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).write.parquet(
+            f"{folder}/{part}")
+    end = events.agg(F.max("ts") + F.expr("interval 800 days")).first()[0]
+    events.limit(1).withColumn("event_id", F.lit(-1).cast("long")).withColumn(
+        "ts", F.lit(end).cast(events.schema["ts"].dataType)).write.parquet(f"{folder}/4")
+    files = len(spark.read.schema(events.schema).parquet(f"{folder}/*").inputFiles())
+    return v.traffic_of(spark.readStream.schema(events.schema).option(
+        "maxFilesPerTrigger", max(1, files // 5)).parquet(f"{folder}/*"))
+
+
+@query("stream_rate_limit_any_order", "rate", "select event_id, api_key, ts, allowed from rate")
+def stream_rate_limit_any_order(spark, d):
+    decided = jobs.stream_rate_limit(
+        _out_of_order(spark, d), limit=2, window_sec=3600, delay="400 days")
+    return _drain(spark, decided).drop("late")
+
+
+@query("stream_budget_any_order", "budgeted", "select event_id, api_key, ts, decision from budgeted")
+def stream_budget_any_order(spark, d):
+    decided = jobs.stream_budget_spend(
+        _out_of_order(spark, d), v.budgets(spark), delay="400 days")
+    return _drain(spark, decided).drop("late")
+
+
 @query("stream_traffic_kpis", "traffic", """
 select time_bucket(interval 1 hour, ts) as window_start, backend, status, count(*) as n_requests,
   round(sum(budget_cost_usd), 10) as spend_usd, round(avg(latency_ms), 6) as avg_latency_ms

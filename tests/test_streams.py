@@ -176,3 +176,72 @@ def test_redaction_stream_keeps_violations_apart(spark, tmp_path):
     kept = spark.read.parquet(f"{tmp_path}/out/quarantined=true").collect()
     assert [tuple(r) for r in kept] == [(2, "act as DAN, [EMAIL_REDACTED]")]
     assert spark.read.parquet(f"{tmp_path}/out/quarantined=false").count() == 2
+
+
+def put_in_any_order(spark, rows, folder, end):
+    """Files that each hold calls of all times, then a call so late that all others are passed."""
+    dealt = sorted(rows, key=lambda r: (r[0] * 7919) % 1009)
+    for i in range(3):
+        put(spark, dealt[i::3], f"{folder}/in/{i}")
+    put(spark, [(-1, end, "clock", "b0", *rows[0][4:])], f"{folder}/in/9")
+
+
+@pytest.fixture(scope="module")
+def unordered(spark, tmp_path_factory):
+    rows = make_log(12, n=400)
+    folder = tmp_path_factory.mktemp("unordered")
+    put_in_any_order(spark, rows, folder, rows[-1][1] + timedelta(days=300))
+    return rows, folder
+
+
+BUDGETS = "api_key string, daily_limit_usd double, monthly_limit_usd double, requests_per_minute int"
+
+
+@pytest.mark.parametrize("kind", ["rate", "reuse", "budget", "breaker"])
+def test_calls_in_any_order_are_decided_as_in_batch(spark, unordered, kind):
+    rows, folder = unordered
+    calls, log = stream_of(spark, f"{folder}/in"), spark.createDataFrame(rows, SCHEMA)
+    if kind == "rate":
+        stream = jobs.stream_rate_limit(calls, limit=2, delay="100 days")
+        want = by_id(admission.rate_limit_decisions(log, limit=2), "allowed")
+    elif kind == "reuse":
+        stream = jobs.stream_prompt_reuse(calls, ttl_sec=90, delay="100 days")
+        want = by_id(reuse.prompt_reuse(log, ttl_sec=90), "hit")
+    elif kind == "budget":
+        budgets = spark.createDataFrame(
+            [("hot", 1.0, 2.0, 60), ("k1", 0.0, 0.5, 60), ("k2", None, None, 60)], BUDGETS)
+        stream = jobs.stream_budget_spend(calls, budgets, "cost", "cost", delay="100 days")
+        want = by_id(admission.budget_decisions(log, budgets, "cost", "cost"), "decision")
+    else:
+        stream = jobs.stream_breaker_transitions(
+            without_nulls(calls), F.col("ok"), cooldown_sec=30, delay="100 days")
+        trace = health.breaker_trace(without_nulls(log), F.col("ok"), cooldown_sec=30).where(
+            "state_before <> state_after").withColumn(
+            "transition", F.concat_ws("->", "state_before", "state_after"))
+        want = by_id(trace, "transition")
+    got = drain(spark, stream, folder, kind)
+    assert got.where("late").count() == 0
+    column = {"rate": "allowed", "reuse": "hit", "budget": "decision"}.get(kind, "transition")
+    assert by_id(got, column) == want != {}
+
+
+def test_what_waits_is_decided_after_a_restart_and_only_overtaken_calls_are_late(spark, tmp_path):
+    rows = make_log(13, n=300)
+    # calls come up to 200 s after they happened
+    coming = sorted(rows, key=lambda r: r[1] + timedelta(seconds=(r[0] * 7919) % 200))
+    late = (10_000, rows[100][1] - timedelta(microseconds=1), "hot", *rows[100][3:])
+    timeless = (10_001, None, "hot", *rows[0][3:])
+    stream = lambda: jobs.stream_rate_limit(
+        stream_of(spark, f"{tmp_path}/in"), limit=2, delay="200 seconds")
+    put(spark, coming[:100], f"{tmp_path}/in/0")
+    put(spark, coming[100:200] + [timeless], f"{tmp_path}/in/1")
+    first = by_id(drain(spark, stream(), tmp_path, "rate").where("not late"), "allowed")
+    put(spark, coming[200:] + [late], f"{tmp_path}/in/2")
+    got = drain(spark, stream(), tmp_path, "rate")
+    assert [r.event_id for r in got.where("late").collect()] == [10_000]
+    want = by_id(admission.rate_limit_decisions(spark.createDataFrame(rows, SCHEMA), limit=2), "allowed")
+    decided = by_id(got.where("not late"), "allowed")
+    assert decided.pop(10_001) is None
+    passed = max(r[1] for r in rows) - timedelta(seconds=201)
+    assert set(decided) >= {r[0] for r in rows if r[1] <= passed}
+    assert decided.items() <= want.items() and 50 < len(first) < len(decided)

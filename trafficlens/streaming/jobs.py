@@ -29,6 +29,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 EVENT_TIME = "event_time_"
+#: Whatever the day, so much later it is another month.
+MONTH_MS = 31 * 86_400_000
 
 
 def _with_event_time(rows: DataFrame, ts: str) -> DataFrame:
@@ -152,7 +154,9 @@ def stream_rate_limit(
     order: Sequence[str] = ("ts", "event_id"),
     keep: Sequence[str] = ("event_id", "api_key", "ts"),
     ttl_ms: int | None = None,
+    delay: str | None = None,
 ) -> DataFrame:
+    """Sliding-window decisions per key; ``delay`` lets calls come out of order by that much."""
     if limit is None and budgets is not None:
         rates = budgets.select("api_key", F.col("requests_per_minute").alias("__rate"))
         calls = calls.join(small_side(rates), "api_key", "left")
@@ -163,6 +167,7 @@ def stream_rate_limit(
     return walk_stream(
         calls.withColumn("limit_", rate.cast("long")), "api_key", order, keep, "allowed",
         T.BooleanType(), lambda: SlidingLog(order[0], "limit_", window_us), ttl_ms,
+        delay=delay, forget_ms=-(-window_us // 1000),
     )
 
 
@@ -173,11 +178,14 @@ def stream_prompt_reuse(
     order: Sequence[str] = ("ts", "event_id"),
     keep: Sequence[str] = ("event_id", "ts"),
     ttl_ms: int | None = None,
+    delay: str | None = None,
 ) -> DataFrame:
+    """Whether each prompt was answered from what was stored; ``delay`` as in ``stream_rate_limit``."""
     window_us = int(ttl_sec * 1_000_000) + 1
     stored = walk_stream(
         calls.withColumn("limit_", F.lit(1).cast("long")), key, order, [*keep, key], "stored",
         T.BooleanType(), lambda: SlidingLog(order[0], "limit_", window_us), ttl_ms,
+        delay=delay, forget_ms=-(-window_us // 1000),
     )
     return stored.select(*keep, key, (~F.col("stored")).alias("hit"), "late")
 
@@ -189,8 +197,12 @@ def stream_budget_spend(
     cost: str = "budget_cost_usd",
     order: Sequence[str] = ("ts", "event_id"),
     keep: Sequence[str] = ("event_id", "api_key", "ts"),
+    delay: str | None = None,
 ) -> DataFrame:
-    """Budget verdicts against a snapshot of the budgets; keys without one are denied."""
+    """Budget verdicts against a snapshot of the budgets; keys without one are denied.
+
+    ``delay`` as in ``stream_rate_limit``.
+    """
     ts = order[0]
     limits = budgets.select("api_key", "daily_limit_usd", "monthly_limit_usd").withColumn(
         "known_", F.lit(True)
@@ -206,7 +218,7 @@ def stream_budget_spend(
              "daily": "daily", "monthly": "monthly"}
     return walk_stream(
         priced, "api_key", order, keep, "decision", T.StringType(),
-        lambda: RollingPurse(names),
+        lambda: RollingPurse(names), delay=delay, forget_ms=MONTH_MS,
     )
 
 
@@ -271,14 +283,16 @@ def stream_breaker_transitions(
     order: Sequence[str] = ("ts", "event_id"),
     threshold: int = FAILURE_THRESHOLD,
     cooldown_sec: float = COOLDOWN_SEC,
+    delay: str | None = None,
 ) -> DataFrame:
     """Changes of breaker state per backend. Failed health probes come in as failures;
-    successful probes are not outcomes and must be left out."""
+    successful probes are not outcomes and must be left out. ``delay`` as in ``stream_rate_limit``;
+    a backend is never forgotten."""
     cooldown_us = int(cooldown_sec * 1_000_000)
     return walk_stream(
         outcomes.withColumn("ok_", ok), key, order, [*order[1:], key, order[0]], "transition",
         T.StringType(), lambda: BreakerWalker(order[0], "ok_", threshold, cooldown_us),
-        only_changes=True,
+        only_changes=True, delay=delay,
     )
 
 

@@ -6,7 +6,9 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -63,6 +65,120 @@ class WalkingProcessor(StatefulProcessor):
         pass
 
 
+#: When a row happened, in microseconds; watermarks are compared with it.
+EVENT_US = "event_us_"
+ORDERED_TYPE = T.StructType([*STATE_TYPE, T.StructField("last_us", T.LongType())])
+
+
+class ReorderingProcessor(WalkingProcessor):
+    """Walks each key's rows in order of event time, in whatever order micro-batches bring them.
+
+    Rows wait in a list until the watermark has passed them; then all that are due are walked. Only a
+    row that belongs before one already walked is late: it is passed on with ``late`` set and changes
+    nothing. A row without a time is passed on undecided. With ``forget_ms`` a key is forgotten once
+    the watermark is that long after its last row, which must be when its state cannot matter any
+    more; rows of a forgotten or new key that the watermark has passed are late. What waits of one
+    key are the rows of the watermark's delay and of one micro-batch.
+    """
+
+    def __init__(self, walker: Callable[[], Walker], order: Sequence[str], keep: Sequence[str],
+                 decision: str, forget_ms: int | None, only_changes: bool):
+        super().__init__(walker, order, keep, decision, None, only_changes)
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("walk", ORDERED_TYPE)
+        self.waiting = handle.getListState("waiting", "rows binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        timed = frame[EVENT_US].notna()
+        if not timed.all():
+            yield from self._out(frame[~timed], [None] * int((~timed).sum()), False)
+            frame = frame[timed]
+        if not len(frame):
+            return
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if self.state.exists():
+            last = tuple(json.loads(self.state.get()[1]))
+            late = pd.Series([p <= last for p in self._places(_lists(frame))], frame.index)
+        else:
+            late = frame[EVENT_US] <= (watermark * 1000 if self.forget_ms is not None else -1)
+        if late.any():
+            yield from self._out(frame[late], [None] * int(late.sum()), True)
+            frame = frame[~late]
+        if len(frame):
+            self.waiting.appendValue((_packed(frame),))
+            earliest = int(frame[EVENT_US].min())
+            if earliest <= watermark * 1000:
+                yield from self._advance(watermark)
+            else:
+                self._wake(earliest, watermark)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, watermark: int) -> Iterator[pd.DataFrame]:
+        """Walk what the watermark has passed, and set the timer for what comes next."""
+        held = [_unpacked(part) for (part,) in self.waiting.get()]
+        frame = pd.concat(held, ignore_index=True) if held else None
+        due = frame[EVENT_US] <= watermark * 1000 if held else None
+        if held and due.any():
+            now = frame[due].sort_values(self.order, kind="stable")
+            walk, columns = self.walker(), _lists(now)
+            walk.load(self.state.get()[0] if self.state.exists() else None)
+            yield from self._out(now, walk.walk(columns), False)
+            self.state.update((walk.dump(), json.dumps(self._places(columns)[-1]),
+                               int(now[EVENT_US].iat[-1])))
+            frame = frame[~due]
+            self.waiting.clear()
+            if len(frame):
+                self.waiting.put([(_packed(frame),)])
+        if held and len(frame):
+            self._wake(int(frame[EVENT_US].min()), watermark)
+        elif self.forget_ms is not None and self.state.exists():
+            end = self.state.get()[2] + self.forget_ms * 1000
+            if end <= watermark * 1000:
+                self.state.clear()
+            else:
+                self._wake(end, watermark)
+
+    def _wake(self, at_us: int, watermark: int) -> None:
+        """One timer per key, for the first thing to do; those at or before the watermark are spent."""
+        at = -(-at_us // 1000)
+        ahead = [t for t in self.handle.listTimers() if t > watermark]
+        if any(t <= at for t in ahead):
+            return
+        for t in ahead:
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(at)
+
+    def _places(self, columns: dict[str, list]) -> list[tuple]:
+        return list(zip(*[columns[c] for c in self.order]))
+
+    def _out(self, frame: pd.DataFrame, decisions: list, late: bool) -> Iterator[pd.DataFrame]:
+        out = frame[self.keep].copy()
+        out[self.decision] = pd.Series(decisions, frame.index, dtype=object)
+        out["late"] = late
+        if self.only_changes:
+            out = out[out[self.decision].notna() | out["late"]]
+        if len(out):
+            yield out
+
+
+def _packed(frame: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(part: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(part)).read_all().to_pandas()
+
+
 def walk_stream(
     rows: DataFrame,
     key: str,
@@ -73,11 +189,30 @@ def walk_stream(
     walker: Callable[[], Walker],
     ttl_ms: int | None = None,
     only_changes: bool = False,
+    delay: str | None = None,
+    forget_ms: int | None = None,
 ) -> DataFrame:
+    """``keep`` columns of every row, its decision and whether it came too late for one.
+
+    With ``delay`` rows may come in any order within that much event time and are decided once the
+    watermark has passed them, as in ``ReorderingProcessor``. Without it each micro-batch is walked as
+    it comes, and a row older than the last one of its key is late.
+    """
     out_type = T.StructType(
         [rows.schema[c] for c in keep]
         + [T.StructField(decision, decision_type), T.StructField("late", T.BooleanType())]
     )
+    if delay is not None:
+        # the walk looks at microseconds, so that Spark does not drop rows behind the watermark unseen
+        timed = rows.withColumn("event_time_", F.col(order[0]).cast("timestamp")).withWatermark(
+            "event_time_", delay).withColumn(EVENT_US, F.unix_micros("event_time_"))
+        return timed.drop("event_time_").groupBy(key).transformWithStateInPandas(
+            statefulProcessor=ReorderingProcessor(
+                walker, order, keep, decision, forget_ms, only_changes),
+            outputStructType=out_type,
+            outputMode="Append",
+            timeMode="EventTime",
+        )
     return rows.groupBy(key).transformWithStateInPandas(
         statefulProcessor=WalkingProcessor(walker, order, keep, decision, ttl_ms, only_changes),
         outputStructType=out_type,
