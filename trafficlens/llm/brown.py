@@ -40,8 +40,10 @@ LEAST, CLASSED, EXCHANGED, COUNTED = 100, 16_384, 1500, 1 << 18
 CLASSES, SWEEPS, MOVES = 40, 6, 2
 #: The end of a text is a token of its own; no word has this hash by construction of the tables.
 END = np.uint64(0)
-#: Stands for words without a class in the table of bigrams.
-OTHER = np.uint64(1)
+#: Stands for words without a class in the table of bigrams. There the ``COUNTED`` most frequent words
+#: go by their rank, from ``RANKED`` on, since small numbers in order take little room in a shuffle;
+#: words beyond go by their hash.
+OTHER, RANKED = np.uint64(1), 2
 #: What is taken from a rare word's count, for words never seen.
 DISCOUNT = 0.6
 #: Bigrams of a task that are counted together.
@@ -80,25 +82,35 @@ def _numbers(sorted_keys: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def _bigrams(sent):
-    """Rows (left, right, n) within texts; words without a bit are ``OTHER``.
+    """Rows (left, right, n) within texts; words without a class are ``OTHER``.
 
-    An end stands before each text's first word and after its last.
+    An end stands before each text's first word and after its last. ``sent`` has the hashes of the ranked
+    words in order, their ranks, and bits for classed words beyond, if there are any.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        keys, ranks, bits = sent.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
             left, right = (np.concatenate(x) for x in zip(*held))
-            key = left * np.uint64(0x9E3779B97F4A7C15) + right
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            if bits is None:  # two ranks fit into one number
+                pairs, n = np.unique(left << np.uint64(32) | right, return_counts=True)
+                left, right = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
+            else:
+                key = left * np.uint64(0x9E3779B97F4A7C15) + right
+                _, first, n = np.unique(key, return_index=True, return_counts=True)
+                left, right = left[first], right[first]
             return pa.RecordBatch.from_arrays(
-                [pa.array(left[first].view(np.int64)), pa.array(right[first].view(np.int64)),
+                [pa.array(left.view(np.int64)), pa.array(right.view(np.int64)),
                  pa.array(n, pa.int64())], ["left", "right", "n"])
 
         size = 0
         for _, _, _, _, tokens in _chunks(batches, 0):
-            shown = np.where(has_bit(bits, tokens) | (tokens == END), tokens, OTHER)
+            at = _numbers(keys, tokens)
+            shown = OTHER if bits is None else np.where(has_bit(bits, tokens), tokens, OTHER)
+            shown = np.where(tokens == END, END, shown)
+            if len(keys):
+                shown = np.where(at >= 0, ranks[at], shown)
             # the token before the first one of a text is the end of the text before it
             held.append((np.concatenate([[END], shown[:-1]]), shown))
             size += len(shown)
@@ -284,8 +296,6 @@ def train(texts: DataFrame, text_col: str = "text", classes: int | None = None,
         "brown-counts")
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words = vocabulary.where(F.col("word") != int(END))
-    seeds = words.orderBy(F.desc("n"), "word").limit(exchanged).toArrow()
-    keys, count = seeds.column(0).to_numpy().view(np.uint64), seeds.column(1).to_numpy()
     ranked = words.orderBy(F.desc("n"), "word").limit(max(exchanged, classed))
     floor = min(least, ranked.agg(F.coalesce(F.min("n"), F.lit(least))).first()[0])
     frequent = words.where(F.col("n") >= floor)
@@ -294,21 +304,34 @@ def train(texts: DataFrame, text_col: str = "text", classes: int | None = None,
         classes = max(CLASSES, math.ceil(math.sqrt(many) / 4))
     # the end is a class of its own, number `classes`; the rare words' class is the one after
     end, rare = classes, classes + 1
-    bits = spark.sparkContext.broadcast(bits_of(frequent.select(F.col("word").alias("key"))))
+    top = frequent.orderBy(F.desc("n"), "word").limit(max(exchanged, counted)).select("word").toArrow()
+    hashes = top.column(0).to_numpy().view(np.uint64)
+    ranks = np.arange(RANKED, RANKED + len(hashes), dtype=np.uint64)
+    seeds, names = ranks[:exchanged], spark.createDataFrame(pa.table(
+        {"word": _signed(ranks), "hash": _signed(hashes)}))
+    beyond = None
+    if many > len(hashes):
+        ranked_ = F.broadcast(names.select(F.col("hash").alias("word")))
+        beyond = frequent.join(ranked_, "word", "left_anti").select("word")
+    by_hash = np.argsort(hashes)
+    sent = spark.sparkContext.broadcast((
+        hashes[by_hash], ranks[by_hash],
+        None if beyond is None else bits_of(beyond.select(F.col("word").alias("key")))))
     bigrams = shared_table(
-        own.mapInArrow(_bigrams(bits), "left long, right long, n long")
+        own.mapInArrow(_bigrams(sent), "left long, right long, n long")
         .groupBy("left", "right").agg(F.sum("n").alias("n")), "brown-bigrams")
     fixed = spark.createDataFrame(pa.table({
-        "word": _signed(np.append(keys, END)),
-        "cls": pa.array(np.append(_seeded(bigrams, keys, classes), end), pa.int32())}))
+        "word": _signed(np.append(seeds, END)),
+        "cls": pa.array(np.append(_seeded(bigrams, seeds, classes), end), pa.int32())}))
     # all but the seeds begin as rare words
     stay = F.lit(False).alias("moves")
-    others = frequent.join(F.broadcast(fixed), "word", "left_anti").select(
+    others = spark.range(RANKED + len(seeds), RANKED + len(ranks)).select(F.col("id").alias("word"))
+    others = (others if beyond is None else others.unionByName(beyond)).select(
         "word", F.lit(rare).alias("cls"), F.lit(True).alias("moves"))
     chosen = shared_table(fixed.select("*", stay).unionByName(others), "brown-classes")
     classed_ = _class_of(bigrams, chosen, rare)
     joint = _joint(classed_, rare)
-    if many > len(keys):
+    if many > len(seeds):
         for move in range(moves):
             after = shared_table(fixed.select("*", stay).unionByName(
                 _moved(classed_, joint, end).withColumn("moves", F.lit(True))), "brown-classes")
@@ -333,14 +356,16 @@ def train(texts: DataFrame, text_col: str = "text", classes: int | None = None,
         "cls": pa.array(np.arange(rare + 1), pa.int32()), "mass": pa.array(mass)}))
     emit = F.when(F.col("cls") == rare, _rare(F.col("n"), rare_tokens)).otherwise(
         F.log10(F.col("n") / F.col("mass")))
+    named_ = chosen.join(F.broadcast(names), "word", "left").select(
+        F.coalesce("hash", "word").alias("word"), "cls")
     table = shared_table(
-        vocabulary.join(small_side(chosen.drop("moves")), "word", "left")
+        vocabulary.join(small_side(named_), "word", "left")
         .withColumn("cls", F.coalesce("cls", F.lit(rare)).cast("int"))
         .join(F.broadcast(masses), "cls")
         .select("word", "n", "cls", emit.alias("emit")), "brown-words")
-    sent = table.where(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(
+    model = table.where(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(
         counted).unionByName(table.where(F.col("word") == int(END))).toArrow()
-    got = [sent.column(i).to_numpy() for i in range(4)]
+    got = [model.column(i).to_numpy() for i in range(4)]
     if not total[0]:
         got = [np.append(x, y) for x, y in zip(got, (0, 0, end, 0.0))]
     known = got[0].astype(np.int64).view(np.uint64)
