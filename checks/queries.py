@@ -27,7 +27,7 @@ from trafficlens.plans.scratch import materialise, scratch_dir
 from trafficlens.plans.slices import Running, running
 from trafficlens.sources import ledger as store
 from trafficlens.sources import wire
-from trafficlens.streaming import jobs, settling
+from trafficlens.streaming import jobs, settling, sliced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1388,6 +1388,38 @@ def stream_budget_any_order(spark, d):
     return _drain(spark, decided).drop("late")
 
 
+def _in_runs(spark: SparkSession, sf_dir: str, start: Callable) -> str:
+    """Run a stream over each quarter of the events' time, from its checkpoint; where it writes to."""
+    events = v.table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(micros, [0.25, 0.5, 0.75])).first()[0] or []
+    quarter = F.lit(0)
+    for cut in cuts:
+        quarter = quarter + F.coalesce((micros > cut).cast("int"), F.lit(0))
+    folder = scratch_dir(spark, "runs")
+    for part in range(len(cuts) + 1):
+        events.where(quarter == part).write.parquet(f"{folder}/in/{part}")
+        stream = v.traffic_of(spark.readStream.schema(events.schema).parquet(f"{folder}/in/*"))
+        start(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/out"
+
+
+@query("stream_rate_limit_sliced", "rate", "select event_id, api_key, ts, allowed from rate")
+def stream_rate_limit_sliced(spark, d):
+    out = _in_runs(spark, d, lambda calls, path, checkpoint: sliced.sliced_rate_limit(
+        calls, path, checkpoint, limit=2, window_sec=3600))
+    return sliced.read_decided(spark, out).select("event_id", "api_key", "ts", "allowed")
+
+
+@query("stream_breaker_sliced", "trace", """
+select event_id, backend, ts, state_before, state_after from trace""")
+def stream_breaker_sliced(spark, d):
+    out = _in_runs(spark, d, lambda calls, path, checkpoint: sliced.sliced_breaker_transitions(
+        calls, OK(), path, checkpoint, cooldown_sec=900))
+    return sliced.read_decided(spark, out).select(
+        "event_id", "backend", "ts", "state_before", "state_after")
+
+
 @query("stream_traffic_kpis", "traffic", """
 select time_bucket(interval 1 hour, ts) as window_start, backend, status, count(*) as n_requests,
   round(sum(budget_cost_usd), 10) as spend_usd, round(avg(latency_ms), 6) as avg_latency_ms
