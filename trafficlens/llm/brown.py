@@ -46,8 +46,8 @@ END = np.uint64(0)
 OTHER, RANKED = np.uint64(1), 2
 #: What is taken from a rare word's count, for words never seen.
 DISCOUNT = 0.6
-#: Bigrams of a task that are counted together.
-_HELD = 1 << 22
+#: Bigrams of a task that are counted together; Spark adds up what is left before it shuffles.
+_HELD = 1 << 20
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int):
@@ -89,17 +89,17 @@ def _bigrams(sent):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks, bits = sent.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
 
         def flush():
-            left, right = (np.concatenate(x) for x in zip(*held))
             if bits is None:  # two ranks fit into one number
-                pairs, n = np.unique(left << np.uint64(32) | right, return_counts=True)
+                pairs, n = np.unique(np.concatenate(held), return_counts=True)
                 left, right = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
             else:
-                key = left * np.uint64(0x9E3779B97F4A7C15) + right
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                left, right = left[first], right[first]
+                both = np.concatenate(held, axis=1)
+                _, first, n = np.unique(both[0] * np.uint64(0x9E3779B97F4A7C15) + both[1],
+                                        return_index=True, return_counts=True)
+                left, right = both[:, first]
             return pa.RecordBatch.from_arrays(
                 [pa.array(left.view(np.int64)), pa.array(right.view(np.int64)),
                  pa.array(n, pa.int64())], ["left", "right", "n"])
@@ -112,7 +112,8 @@ def _bigrams(sent):
             if len(keys):
                 shown = np.where(at >= 0, ranks[at], shown)
             # the token before the first one of a text is the end of the text before it
-            held.append((np.concatenate([[END], shown[:-1]]), shown))
+            before = np.concatenate([[END], shown[:-1]])
+            held.append(before << np.uint64(32) | shown if bits is None else np.stack([before, shown]))
             size += len(shown)
             if size > _HELD:
                 yield flush()
