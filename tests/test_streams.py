@@ -137,6 +137,31 @@ def test_ingest_with_a_second_checkpoint_neither_loses_nor_doubles(spark, source
     assert spark.read.parquet(f"{tmp_path}/ledger").columns[-2:] == ["day", "run"]
 
 
+def test_ingest_opens_the_id_buckets_of_a_batch_and_not_the_ledger(spark, source, tmp_path):
+    _, parts, _ = source
+    put(spark, parts[0], f"{tmp_path}/in/0")
+    ingest(spark, tmp_path, "c")
+    few = spark.createDataFrame(parts[0][:2] + parts[1][:1], SCHEMA)
+    known = jobs.booked_ids(spark, f"{tmp_path}/ledger", few, "event_id")
+    files = known.inputFiles()
+    here = {r[0] for r in few.select(F.pmod(F.xxhash64("event_id"), F.lit(jobs.ID_BUCKETS))).collect()}
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "/ledger]" not in plan and files
+    assert {r.bucket for r in known.collect()} <= here
+    assert {r.event_id for r in known.collect()} >= {r[0] for r in parts[0][:2]}
+
+
+def test_ingest_makes_up_for_ids_that_were_not_indexed(spark, source, tmp_path):
+    _, parts, _ = source
+    put(spark, parts[0], f"{tmp_path}/in/0")
+    # a ledger that was written before there was an index
+    first = spark.createDataFrame(parts[0][:40], SCHEMA).withColumn(
+        "day", F.to_date("ts")).withColumn("run", F.lit("old-0"))
+    first.write.partitionBy("day", "run").parquet(f"{tmp_path}/ledger")
+    assert ingest(spark, tmp_path, "c") == [r[0] for r in parts[0]]
+    assert spark.read.parquet(f"{tmp_path}/ledger-ids").count() == len(parts[0])
+
+
 def test_kpi_windows_are_given_out_when_closed(spark, source):
     rows, _, folder = source
     calls = stream_of(spark, folder).select(

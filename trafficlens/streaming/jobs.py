@@ -85,6 +85,10 @@ def read_keyed_table(spark: SparkSession, path: str, keys: Sequence[str]) -> Dat
     return rows.groupBy(*keys).agg(newest).select(*keys, "v.*")
 
 
+#: Parts of the ids of a ledger.
+ID_BUCKETS = 64
+
+
 def stream_ledger_ingest(
     calls: DataFrame,
     ledger_path: str,
@@ -93,17 +97,28 @@ def stream_ledger_ingest(
     id_col: str = "id",
     repeat_horizon_days: int | None = None,
     trigger: dict | None = None,
+    buckets: int = ID_BUCKETS,
 ):
     """Append calls to the ledger in day folders, each id once, however late a call comes.
 
-    Of the calls with one id in a batch the earliest is taken, unless the ledger has the id. That
-    reads all booked ids, or, where the source promises not to repeat an id after more than
-    ``repeat_horizon_days``, those of the day folders around the batch. Each batch writes to
-    ``day=/run=`` folders named after the query and the batch; a retry overwrites them, and a query
-    with another checkpoint has another name, so neither books a call twice nor loses one. Two
-    queries that run at the same time do not see each other's open batches.
+    Of the calls with one id in a batch the earliest is taken, unless the ledger has the id. Booked ids
+    are looked up in an index beside the ledger, ``<ledger>-ids``: ids alone, in ``bucket=/run=`` folders by
+    their hash, of which a batch opens those its own ids fall into. Where the source promises not to
+    repeat an id after more than ``repeat_horizon_days``, the day folders around the batch are read
+    instead. Each batch writes to folders named after the query and the batch; a retry overwrites them,
+    and a query with another checkpoint has another name, so neither books a call twice nor loses one.
+    Ids are booked after their calls; what a query that was stopped in between has left out is made up
+    for when the next one starts, as is the index of a ledger that has none. Two queries that run at the
+    same time do not see each other's open batches. The index gets a file per bucket and batch.
     """
     started, name = threading.Event(), []
+    index_path = ledger_path.rstrip("/") + "-ids"
+    bucket = F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int")
+
+    def index(rows: DataFrame) -> None:
+        rows.select(id_col, "run", bucket.alias("bucket")).repartition("bucket").write.mode(
+            "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "bucket", "run").parquet(index_path)
 
     def book(batch: DataFrame, batch_id: int) -> None:
         started.wait()
@@ -111,19 +126,35 @@ def stream_ledger_ingest(
         first = batch.groupBy(id_col).agg(
             F.min_by(F.struct(*batch.columns), F.struct(F.col(ts).isNull(), ts)).alias("r")
         ).select("r.*").withColumn("day", utc_date(ts)).withColumn("run", F.lit(run))
-        booked = _booked(spark, ledger_path, first)
+        if repeat_horizon_days is not None:
+            booked = _booked(spark, ledger_path, first.schema)
+            low, high = first.agg(F.min("day"), F.max("day")).first()
+            if booked is not None and low is not None:
+                wide = timedelta(days=repeat_horizon_days)
+                near = F.col("day").between(F.lit(low - wide), F.lit(high + wide))
+                booked = booked.where(near | F.col("day").isNull())
+        else:
+            booked = booked_ids(spark, ledger_path, batch, id_col, buckets)
         if booked is not None:
-            booked = booked.where(F.col("run") != run)
-            if repeat_horizon_days is not None:
-                low, high = first.agg(F.min("day"), F.max("day")).first()
-                if low is not None:
-                    wide = timedelta(days=repeat_horizon_days)
-                    near = F.col("day").between(F.lit(low - wide), F.lit(high + wide))
-                    booked = booked.where(near | F.col("day").isNull())
-            first = first.join(booked.select(id_col), id_col, "left_anti").select(*first.columns)
+            known = booked.where(F.col("run") != run).select(id_col)
+            first = first.join(known, id_col, "left_anti").select(*first.columns)
         first.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "day", "run"
         ).parquet(ledger_path)
+        rows = _booked(spark, ledger_path, first.schema)
+        if rows is not None:
+            index(rows.where(F.col("run") == run))
+
+    spark = calls.sparkSession
+    rows = _booked(spark, ledger_path, T.StructType(
+        [calls.schema[id_col], T.StructField("run", T.StringType())]))
+    if rows is not None:
+        runs = rows.select("run").distinct()
+        ids = _booked(spark, index_path, T.StructType(
+            [calls.schema[id_col], T.StructField("run", T.StringType())]))
+        left = runs if ids is None else runs.join(ids.select("run").distinct(), "run", "left_anti")
+        if not left.isEmpty():
+            index(rows.join(small_side(left), "run", "left_semi"))
 
     query = (
         calls.writeStream.foreachBatch(book)
@@ -136,10 +167,23 @@ def stream_ledger_ingest(
     return query
 
 
-def _booked(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
-    """The ledger so far, or nothing before its first batch."""
+def booked_ids(spark: SparkSession, ledger_path: str, rows: DataFrame, id_col: str,
+               buckets: int = ID_BUCKETS) -> DataFrame | None:
+    """(id, run, bucket) of the ledger's index, from the buckets that ids of ``rows`` fall into."""
+    schema = T.StructType([rows.schema[id_col], T.StructField("run", T.StringType()),
+                           T.StructField("bucket", T.IntegerType())])
+    ids = _booked(spark, ledger_path.rstrip("/") + "-ids", schema)
+    if ids is None:
+        return None
+    bucket = F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int")
+    here = [r[0] for r in rows.select(bucket).distinct().collect()]  # as many as there are buckets
+    return ids.where(F.col("bucket").isin(here))
+
+
+def _booked(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """What a table has so far, or nothing before its first batch."""
     try:
-        return spark.read.schema(like.schema).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
