@@ -24,7 +24,10 @@ from trafficlens.llm.word_arrays import buffer_of, piece_hash, running_hash, sli
 #: Pieces of texts whose ids a task remembers at most, and ids of those pieces: some 16 MB.
 CACHE, CACHED_IDS = 300_000, 1_200_000
 #: Pieces that are given to the tokenizer as one text.
-JOINED = 1000
+JOINED = 300
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b",.;:!?")] = True
+_LETTER[list(range(65, 91)) + list(range(97, 123))] = True
 SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
@@ -39,8 +42,9 @@ def _exotic(raw: np.ndarray) -> np.ndarray:
 class _Encoder:
     """Ids of texts, by pieces whose ids are remembered.
 
-    A pre-token of this vocabulary never reaches over a space that a visible character follows, so
-    texts are cut before such spaces. Unknown pieces of many texts are encoded as one text and told
+    A pre-token of this vocabulary never reaches over a space that a visible character follows, nor
+    from a letter into a punctuation mark, so texts are cut before such spaces and marks: a word is
+    the same piece whatever mark follows it. Unknown pieces of many texts are encoded as one text and told
     apart by the lengths of the ids. A text with other white-space characters is one piece, and so is
     one that holds an added token of the vocabulary. Pieces are known by 64-bit hashes.
     """
@@ -123,6 +127,7 @@ class _Encoder:
         inside = np.zeros(size, bool)
         if size:
             inside[:-1] = (raw[:-1] == 32) & ink[1:] & ~edge[1:-1]
+            inside[1:] |= _MARK.take(raw[1:]) & _LETTER.take(raw[:-1]) & ~edge[1:-1]
             odd = _exotic(raw)
             for r in np.unique(np.searchsorted(at, np.flatnonzero(odd), side="right") - 1):
                 inside[at[r]:at[r + 1]] = False
@@ -138,7 +143,7 @@ class _Encoder:
         before = self.pieces, self.used
         if new.any():
             s = start[first[new]]
-            number[new] = self._learn(raw, s, end[first[new]], inside[s])
+            number[new] = self._learn(raw, s, end[first[new]], inside[s] & (raw[s] == 32))
         spot = number[which]
         begin, length = self.start[spot], self.size[spot]
         row = np.searchsorted(at, start, side="right") - 1
