@@ -9,8 +9,10 @@ made when reading, turns that into positions over all files.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,27 @@ SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
 def _exotic(raw: np.ndarray) -> np.ndarray:
-    """Where a white-space character beyond space and the controls 9 to 13 may lie."""
-    nxt = np.append(raw[1:], 0)
-    return ((raw >= 0x1C) & (raw <= 0x1F)) | ((raw == 0xC2) & ((nxt == 0x85) | (nxt == 0xA0))) | (
-        (raw == 0xE1) & (nxt == 0x9A)) | ((raw == 0xE2) & ((nxt == 0x80) | (nxt == 0x81))) | (
-        (raw == 0xE3) & (nxt == 0x80))
+    """Places where a white-space character beyond space and the controls 9 to 13 may lie."""
+    at = np.flatnonzero((raw >= 0xC2) | ((raw >= 0x1C) & (raw <= 0x1F)))
+    here, nxt = raw[at], np.append(raw, 0)[at + 1]
+    return at[(here <= 0x1F) | ((here == 0xC2) & ((nxt == 0x85) | (nxt == 0xA0))) | (
+        (here == 0xE1) & (nxt == 0x9A)) | ((here == 0xE2) & ((nxt == 0x80) | (nxt == 0x81))) | (
+        (here == 0xE3) & (nxt == 0x80))]
+
+
+@lru_cache(maxsize=1)
+def _vocabulary(path: str, added_tokens: bool):
+    """(tokenizer, its added tokens, characters of each id); a worker reads its vocabulary once."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = not added_tokens
+    names = tok.get_vocab()
+    width = np.zeros(max(names.values()) + 1, np.int64)  # one character stands for a byte
+    for name, i in names.items():
+        width[i] = len(name)
+    return tok, [t.content for t in tok.get_added_tokens_decoder().values()], width
 
 
 class _Encoder:
@@ -50,18 +68,7 @@ class _Encoder:
     """
 
     def __init__(self, vocabulary: str, added_tokens: bool):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(vocabulary)
-        self.tok.encode_special_tokens = not added_tokens
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        names = self.tok.get_vocab()
-        self.width = np.zeros(max(names.values()) + 1, np.int64)  # one character stands for a byte
-        for name, i in names.items():
-            self.width[i] = len(name)
+        self.tok, self.added, self.width = _vocabulary(vocabulary, added_tokens)
         none = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.known, self.fresh = none, none  # hashes in order, and the numbers of their pieces
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -129,7 +136,7 @@ class _Encoder:
             inside[:-1] = (raw[:-1] == 32) & ink[1:] & ~edge[1:-1]
             inside[1:] |= _MARK.take(raw[1:]) & _LETTER.take(raw[:-1]) & ~edge[1:-1]
             odd = _exotic(raw)
-            for r in np.unique(np.searchsorted(at, np.flatnonzero(odd), side="right") - 1):
+            for r in np.unique(np.searchsorted(at, odd, side="right") - 1):
                 inside[at[r]:at[r + 1]] = False
             for name in self.added:
                 for r in np.flatnonzero(pc.match_substring(texts, name).to_numpy(False)):
