@@ -62,6 +62,25 @@ def test_steps_that_never_agree_are_walked_in_order(spark, rounds):
     assert got == limiter(rows, 7, 60)
 
 
+def test_a_steady_overload_takes_few_rounds(spark, rounds):
+    """States depend on each other for ever, and a group could be cut into some 300 steps."""
+    rows, df = calls_of(spark, [1] * 400)
+    got = by_id(admission.rate_limit_decisions(df, limit=7, max_group_rows=1, rows_per_slice=100),
+                "allowed")
+    assert got == limiter(rows, 7, 60)
+    assert rounds() <= 4
+
+
+def test_segments_of_some_steps_hand_their_states_on(spark, rounds, monkeypatch):
+    """Three steps to a segment, and fewer than the group has."""
+    monkeypatch.setattr(ordered_fold, "SEGMENT_ROWS", 75)
+    rows, df = calls_of(spark, [1] * 400)
+    got = by_id(admission.rate_limit_decisions(df, limit=7, max_group_rows=5, rows_per_slice=100),
+                "allowed")
+    assert got == limiter(rows, 7, 60)
+    assert 3 <= rounds() <= 8
+
+
 @pytest.mark.parametrize("daily, monthly", [(1.0, 2.5), (0.5, 100.0), (1000.0, 9.0), (0.3, None)])
 def test_budget_steps(spark, rounds, daily, monthly):
     rnd = random.Random(2)

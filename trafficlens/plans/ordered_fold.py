@@ -5,15 +5,18 @@ rows must be walked in order. The walk is a small Python class; Spark places the
 
 * groups of up to ``max_group_rows`` rows are hash-partitioned, sorted and walked in a stream of
   Arrow batches, many groups per task;
-* a larger group is cut by position into steps of that many rows, and all steps are walked at
-  once, each from a supposed state (at first the empty one). Then the states are handed on: a step
-  is settled when all before it are and the state they leave gives the decisions it has made
-  already. The others are walked again from their new states, until none is left. What a step
-  leaves rarely depends on what was long before it, so a few rounds settle all steps.
-
-A step that is walked again in vain costs its time. So from the third round on a round takes on at
-most twice as many steps of a group as the round before has settled: however states depend on each
-other, a step is walked four times on average at most, and in the worst case one after another.
+* a larger group is cut by position into steps of that many rows, or of more where it would be cut
+  into very many, and all steps are walked at once, each from a supposed state (at first the empty
+  one). Then the states are handed on: a step is settled when all before it are and the state they
+  leave gives the decisions it has made already. The others are walked again from their new states,
+  until none is left. What a step leaves rarely depends on what was long before it, so a few rounds
+  settle all steps.
+
+A step that is walked again in vain costs its time. So from the third round on steps are walked in
+segments of up to ``SEGMENT_ROWS`` rows: one task hands the state on from step to step and walks
+those that it may change, so a round settles a segment at least. A round takes on a segment, or
+twice as many steps of a group as the round before has settled: however states depend on each other,
+a step is walked four times on average at most, and in the worst case segments one after another.
 """
 
 from __future__ import annotations
@@ -31,7 +34,11 @@ from trafficlens.plans.sides import small_side
 from trafficlens.plans.slices import ROWS_PER_SLICE, with_ordinal
 
 MAX_GROUP_ROWS = 2_000_000
-STEP, ROUND, SETTLED = "__step", "__round", "__settled"
+#: A group has no more steps than that while they are of fewer than ``MAX_GROUP_ROWS`` rows.
+MANY_STEPS = 16
+#: How many rows one task walks, step by step, once states have proved to depend on each other.
+SEGMENT_ROWS = 500_000
+STEP, ROUND, SETTLED, SEGMENT = "__step", "__round", "__settled", "__segment"
 USED, STATE = "__used", "__state"
 
 
@@ -71,11 +78,13 @@ def ordered_fold(
         [rows.schema[c] for c in keep] + [T.StructField(decision, decision_type)]
     )
     sizes = rows.groupBy(*group).count() if sizes is None else sizes
-    hot = sizes.where(F.col("count") > max_group_rows)
-    if hot.isEmpty():
+    hot = materialise(sizes.where(F.col("count") > max_group_rows).select(*group, "count"), "hot-groups")
+    largest = hot.agg(F.max("count")).first()[0]
+    if largest is None:
         return _walk_small(rows, group, order, keep, decision, out_type, walker)
 
-    hot_keys = small_side(materialise(hot.select(*group), "hot-groups"))
+    step_rows = max(max_group_rows, min(MAX_GROUP_ROWS, -(-largest // MANY_STEPS)))
+    hot_keys = small_side(hot.select(*group))
     cold = rows.join(hot_keys, group, "left_anti")
     done_cold = _walk_small(cold, group, order, keep, decision, out_type, walker)
 
@@ -89,13 +98,16 @@ def ordered_fold(
         rows_per_slice,
     ).drop("__name")
     stepped = materialise(
-        placed.withColumn(STEP, F.floor((F.col("__ord") - 1) / max_group_rows).cast("int")).drop(
+        placed.withColumn(STEP, F.floor((F.col("__ord") - 1) / step_rows).cast("int")).drop(
             "__ord"
-        ),
+        ).repartition(STEP),
         "hot-steps",
         STEP,
     )
-    return _walk_hot(stepped, group, order, keep, decision, out_type, walker).unionByName(done_cold)
+    per_segment = max(1, SEGMENT_ROWS // step_rows)
+    return _walk_hot(
+        stepped, group, order, keep, decision, out_type, walker, per_segment
+    ).unionByName(done_cold)
 
 
 def _walk_small(rows, group, order, keep, decision, out_type, walker) -> DataFrame:
@@ -153,7 +165,7 @@ def _plain(value):
     return None if pd.isna(value) else value
 
 
-def _walk_hot(stepped, group, order, keep, decision, out_type, walker) -> DataFrame:
+def _walk_hot(stepped, group, order, keep, decision, out_type, walker, per_segment) -> DataFrame:
     spark = stepped.sparkSession
     names = [f"__g{i}" for i in range(len(group))]
     key = [*names, STEP]
@@ -162,26 +174,37 @@ def _walk_hot(stepped, group, order, keep, decision, out_type, walker) -> DataFr
     text = lambda name: T.StructField(name, T.StringType())
     # group columns may also be kept, so steps carry them under names of their own
     full_type = T.StructType([*out_type, *key_type, text(USED), text(STATE)])
-    judged_type = T.StructType([*key_type, text("__entry"), T.StructField("__again", T.BooleanType()),
+    judged_type = T.StructType([*key_type, text("__entry"), text(USED), text(STATE),
+                                T.StructField(SEGMENT, T.IntegerType()),
                                 T.StructField(SETTLED, T.LongType())])
     rows = stepped.select("*", *[F.col(c).alias(g) for c, g in zip(group, names)])
 
-    def one_step(part: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if not len(part) or not len(entry):
-            return pd.DataFrame(columns=[f.name for f in full_type])
-        part = part.sort_values(order, kind="stable")
-        walk, used = walker(), _plain(entry["__entry"].iat[0])
-        walk.load(used)
-        out = part[keep].copy()
-        out[decision] = walk.walk(_lists(part))
-        last = pd.DataFrame({USED: [used], STATE: [walk.dump()]})
-        out = pd.concat([out, last], ignore_index=True)
-        for c in key:
-            out[c] = part[c].iat[0]
-        return out[[f.name for f in full_type]]
+    def one_segment(part: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        """Steps in a row: each from the state the one before leaves, unless it has decided alike."""
+        columns, done = [f.name for f in full_type], []
+        if not len(part) or not len(steps):
+            return pd.DataFrame(columns=columns)
+        steps = steps.sort_values(STEP)
+        parts = {step: rows for step, rows in part.groupby(STEP)}
+        state = _plain(steps["__entry"].iat[0])
+        for step, used, left in zip(steps[STEP], map(_plain, steps[USED]), map(_plain, steps[STATE])):
+            walk, mine = walker(), parts.pop(step).sort_values(order, kind="stable")
+            if left is not None and walk.same(state, used, left):
+                state = walk.follow(state, used, left)
+                continue
+            walk.load(state)
+            out = mine[keep].copy()
+            out[decision] = walk.walk(_lists(mine))
+            last = pd.DataFrame({USED: [state], STATE: [walk.dump()]})
+            state = last[STATE].iat[0]
+            out = pd.concat([out, last], ignore_index=True)
+            for c in key:
+                out[c] = mine[c].iat[0]
+            done.append(out[columns])
+        return pd.concat(done, ignore_index=True) if done else pd.DataFrame(columns=columns)
 
     def judged(steps: pd.DataFrame) -> pd.DataFrame:
-        """The state each step begins with by what is known now, and whether it is walked again."""
+        """The state each step begins with by what is known now, and where it is walked again."""
         steps = steps.sort_values(STEP)
         walk, state, sure = walker(), None, True
         entries, again, settled = [], [], 0
@@ -193,25 +216,35 @@ def _walk_hot(stepped, group, order, keep, decision, out_type, walker) -> DataFr
             again.append(not alike)
             state = walk.follow(state, used, left)
         before = _plain(steps[SETTLED].iat[0])
-        room = len(again) if before is None else max(1, 2 * (settled - int(before)))
-        for i, yes in enumerate(again):
-            again[i] = yes and room > 0
-            room -= yes
-        out = steps[key].copy()
-        out["__entry"], out["__again"], out[SETTLED] = entries, again, settled
-        return out
+        segments: list[int | None] = []
+        if before is None:
+            segments = [step if yes else None for step, yes in zip(steps[STEP], again)]
+        else:
+            room = max(per_segment, 2 * (settled - int(before)))
+            for step, yes in zip(steps[STEP], again):
+                begun = segments and segments[-1] == step // per_segment
+                segments.append(step // per_segment if begun or (yes and room > 0) else None)
+                room -= segments[-1] is not None
+        out = steps[[*key, USED, STATE]].copy()
+        out["__entry"], out[SETTLED] = entries, settled
+        out[SEGMENT] = pd.array(segments, "Int32")
+        return out[[f.name for f in judged_type]]
 
     folder = scratch_dir(spark, "hot-walk")
-    todo = rows.select(*key).distinct().withColumn("__entry", F.lit(None).cast("string"))
+    todo = rows.select(*key).distinct().select(
+        *key, *[F.lit(None).cast("string").alias(c) for c in ("__entry", USED, STATE)],
+        F.col(STEP).alias(SEGMENT))
     done, walked_rounds = None, 0
+    unit = [*names, "__unit"]
     while True:
-        here = rows
-        if done is not None:
+        if done is None:
+            here = rows.withColumn("__unit", F.col(STEP))
+        else:
             lo, hi = todo.agg(F.min(STEP), F.max(STEP)).first()  # prunes the folders of other steps
             here = rows.where(F.col(STEP).between(lo, hi)).join(
-                small_side(todo.select(*key)), key, "left_semi")
-        here.groupBy(*key).cogroup(todo.groupBy(*key)).applyInPandas(one_step, full_type).write.parquet(
-            f"{folder}/{ROUND}={walked_rounds}")
+                small_side(todo.select(*key, F.col(SEGMENT).alias("__unit"))), key)
+        here.groupBy(*unit).cogroup(todo.groupBy(*names, SEGMENT)).applyInPandas(
+            one_segment, full_type).write.parquet(f"{folder}/{ROUND}={walked_rounds}")
         walked = spark.read.schema(T.StructType([*full_type, T.StructField(ROUND, T.IntegerType())])
                                    ).option("basePath", folder).parquet(folder)
         walked_rounds += 1
@@ -223,7 +256,7 @@ def _walk_hot(stepped, group, order, keep, decision, out_type, walker) -> DataFr
         judgement = materialise(
             steps.groupBy(*names).applyInPandas(judged, judged_type), "judged-steps")
         done = judgement.select(*key, SETTLED)
-        todo = judgement.where("__again").select(*key, "__entry")
+        todo = judgement.where(F.col(SEGMENT).isNotNull()).drop(SETTLED)
         if todo.isEmpty():
             break
     final = materialise(latest.select(*key, F.col(f"s.{ROUND}").alias(ROUND)), "last-rounds")
