@@ -1303,11 +1303,14 @@ def budget_key_drift(spark, d):
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return (
-        spark.readStream.schema(v.table(spark, sf_dir, name).schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(sf_dir)
-    )
+    """A table as a stream, whether it is one file or a folder of files."""
+    table = v.table(spark, sf_dir, name)
+    reader = spark.readStream.schema(table.schema)
+    path = f"{sf_dir}/{name}.parquet"
+    if any(f"/{name}.parquet/" in file for file in table.inputFiles()):
+        return reader.parquet(path)
+    # a stream is read from a folder, so of a single file it is the one with that name
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _drain(spark: SparkSession, stream: DataFrame, partition_by=()) -> DataFrame:
