@@ -1,15 +1,17 @@
 """Streams in several micro-batches, with restarts, repeats and late rows, against batch twins."""
 
 import os
+import random
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from checks.queries import QUERIES
 from tests.test_ordered import SCHEMA, by_id, make_log
 from trafficlens.operators import admission, health, reuse
-from trafficlens.streaming import jobs
+from trafficlens.streaming import jobs, stateful
 
 TYPED = "event_id long, ts timestamp_ntz, api_key string, backend string, ok boolean, " \
         "latency_ms double, cost double, prompt_key string"
@@ -283,3 +285,37 @@ def test_streamed_tables_may_be_folders_of_files(spark, sf_dir, tmp_path, name):
             os.symlink(f"{sf_dir}/{file}", f"{tmp_path}/{file}")
     got, want = (QUERIES[name](spark, str(d)).collect() for d in (tmp_path, sf_dir))
     assert len(got) > 0 and sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("order", [["ts", "event_id"], ["event_id"]])
+def test_rows_are_sorted_in_frames_of_bounded_size(monkeypatch, order):
+    monkeypatch.setattr(stateful, "SORTED_ROWS", 100)
+    monkeypatch.setattr(stateful, "BLOCK_ROWS", 10)
+    rnd = random.Random(3)
+    rows = [(i, pd.Timestamp(rnd.randrange(200), unit="s") if i % 50 else pd.NaT, f"x{i}")
+            for i in rnd.sample(range(1500), 1500)]
+    frame = pd.DataFrame(rows, columns=["event_id", "ts", "text"])
+    got = list(stateful.in_order((frame[i:i + 40] for i in range(0, 1500, 40)), order))
+    assert max(map(len, got)) <= 250 and len(got) > 10  # 15 pieces with a block of each read
+    assert pd.concat(got, ignore_index=True).equals(frame.sort_values(order, ignore_index=True))
+
+
+@pytest.mark.parametrize("delay", [None, "400 days"])
+def test_a_key_with_many_rows_is_walked_part_by_part(spark, tmp_path, monkeypatch, delay):
+    rows = make_log(12, n=400)
+    parts = [rows[i::3] for i in range(3)] if delay else [rows[:250], rows[250:]]
+    end = max(r[1] for r in rows if r[1]) + timedelta(days=800)
+    for i, part in enumerate([*parts, [(9_999, end, "end", *rows[0][3:])]]):
+        put(spark, part, f"{tmp_path}/in/{i}")
+
+    class Small(stateful.ReorderingProcessor if delay else stateful.WalkingProcessor):
+        def handleInputRows(self, key, frames, timers):
+            stateful.SORTED_ROWS, stateful.BLOCK_ROWS, stateful.PART_ROWS = 20, 3, 7
+            yield from super().handleInputRows(key, (f[i:i + 15] for f in frames
+                                                     for i in range(0, len(f), 15)), timers)
+
+    monkeypatch.setattr(stateful, Small.__mro__[1].__name__, Small)
+    calls = jobs.stream_rate_limit(stream_of(spark, f"{tmp_path}/in"), limit=2, delay=delay)
+    got = drain(spark, calls, tmp_path, "parts").where("event_id <> 9999")
+    log = spark.createDataFrame(rows, SCHEMA)
+    assert by_id(got, "allowed") == by_id(admission.rate_limit_decisions(log, limit=2), "allowed")
