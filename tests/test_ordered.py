@@ -90,6 +90,19 @@ def test_running_totals(log, key):
             last[k] = r[0]
 
 
+def test_small_slices_grow_before_there_are_very_many(log, monkeypatch):
+    """What is collected to place the cuts grows with their number, so it has a bound."""
+    rows, df = log
+    monkeypatch.setattr(slicing, "MANY_SLICES", 4)
+    s = slices_of(df, "api_key", ["ts", "event_id"], 7)
+    sizes = [r["count"] for r in s.assign(df).groupBy("__slice").count().collect()]
+    assert 2 <= s.number <= 5 and sum(sizes) == len(rows)
+    n = [Running("n", "sum", F.lit(1).cast("long"))]
+    got = running(df, "api_key", ["ts", "event_id"], n, 7)
+    monkeypatch.undo()
+    assert by_id(got, "n") == by_id(running(df, "api_key", ["ts", "event_id"], n), "n")
+
+
 def test_very_many_slices_are_dealt_out_by_range(log, monkeypatch):
     """Above the listed number, slices come from a range shuffle; their number has no bound."""
     rows, df = log

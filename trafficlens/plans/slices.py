@@ -6,7 +6,8 @@ cold ones lie in one. Each (key, slice) pair is windowed on its own. What a pair
 before its slice comes from a small table: a cut falls inside at most one key, so at most one
 pair per slice has rows before it, and that table has no more rows than there are cuts.
 
-Up to ``LISTED`` slices the cuts are a list that is searched in the scan, and the rows are shuffled
+Small slices are made larger before there are more than ``MANY_SLICES``, so that what is sent to the
+driver to place the cuts has a bound. Up to ``LISTED`` slices the cuts are a list that is searched in the scan, and the rows are shuffled
 once. Of more slices, each is a partition of a range shuffle that is written as a table.
 """
 
@@ -25,6 +26,8 @@ from trafficlens.plans.sides import small_side
 
 SLICE = "__slice"
 ROWS_PER_SLICE = 1_000_000
+#: There are no more slices than that while they are of fewer than ``ROWS_PER_SLICE`` rows.
+MANY_SLICES = 512
 LISTED = 4096
 SAMPLES_PER_SLICE = 60
 _MICROS = {
@@ -131,7 +134,8 @@ class Slices:
 def slices_of(
     df: DataFrame, key: str | None, order: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE
 ) -> Slices:
-    """Cut ``df`` into slices of about ``rows_per_slice`` rows.
+    """Cut ``df`` into slices of about ``rows_per_slice`` rows, or of up to ``ROWS_PER_SLICE`` rows
+    where that would be more than ``MANY_SLICES``.
 
     Two narrow jobs: a count, and a sample of key and order columns of some
     ``SAMPLES_PER_SLICE`` rows per slice. The sample only places the cuts; every row is kept and
@@ -139,7 +143,7 @@ def slices_of(
     """
     found = Slices(key, list(order))
     rows = df.select(*found.along).count()
-    n = -(-rows // rows_per_slice)
+    n = min(-(-rows // rows_per_slice), max(MANY_SLICES, -(-rows // ROWS_PER_SLICE)))
     if n <= 1:
         return found
     if n > LISTED:
