@@ -94,6 +94,50 @@ def test_words_of_a_batch(monkeypatch):
     assert w.phrases(np.array([0]), 3).to_pylist() == ["ab cd e"]
 
 
+def test_tasks_hand_on_small_batches():
+    rows = [" ".join(f"w{i}" for i in range(lo, lo + 50_000)) for lo in range(0, 200_000, 50_000)]
+    texts = pa.RecordBatch.from_pydict({"lang": ["en", "de"] * 2, "text": rows})
+    got = list(co._hashed(1, {})([texts]))
+    assert max(b.num_rows for b in got) <= 1 << 16
+    words = [b for b in got if b.column(0).null_count]
+    assert sum(b.num_rows for b in words) == 200_000
+    assert sum(sum(b.column(2).to_pylist()) for b in got if not b.column(0).null_count) == 200_000
+
+
+def test_tasks_hold_no_second_copy_of_their_ngrams(spark, monkeypatch):
+    plans, write = {}, co.shared_table
+
+    def kept(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(co, "shared_table", kept)
+    docs = spark.createDataFrame([("en", "a b c d e")] * 30, "lang string, text string")
+    grams, totals = co.frequent_ngrams(docs)
+    assert sorted(r[1] for r in grams.collect()) == sorted(
+        "abcde"[i:i + n].replace("", " ").strip() for n in range(1, 5) for i in range(6 - n))
+    assert {r[2] for r in grams.collect()} == {30} and [tuple(r) for r in totals.collect()] == [("en", 150)]
+    for plan in [*plans["counts-by-key"], *plans["ngrams"]]:
+        assert "Aggregate" not in plan.split("Exchange", 1)[1]
+    assert len(plans["counts-by-key"]) == co.WORDS
+
+
+def test_a_phrase_is_named_about_once_in_many_tasks(spark, monkeypatch):
+    handed, names = [], co._names_by_key
+
+    def kept(rows, sent):
+        handed.append(rows.mapInArrow(co._named(sent), "lang string, key long, phrase string").count())
+        return names(rows, sent)
+
+    monkeypatch.setattr(co, "_names_by_key", kept)
+    rng = random.Random(5)
+    rows = [("en", " ".join(f"w{i}" for i in rng.sample(range(500), 200))) for _ in range(600)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(40)
+    want = {(lang, " ".join(p), a) for (lang, p), a in counts(rows)[0].items() if a >= 30}
+    assert set(map(tuple, co.frequent_ngrams(docs)[0].collect())) == want
+    assert len(want) == 500 and handed[0] < 2 * len(want)
+
+
 @pytest.mark.parametrize("least", [30])
 def test_query_against_sql(spark, sf_dir, con, least):
     got = result(QUERIES["op11_collocations"](spark, sf_dir))

@@ -3,7 +3,10 @@
 *Counting* goes by length. Words are counted first; of longer n-grams only those are looked at whose
 two shorter parts are frequent, which a bit table of fixed size tells (a bit set by chance costs
 work and changes nothing). n-grams are known by 64-bit hashes and counted in numpy per task, then in
-Spark; the texts of those up to three words are fetched with the last count, once they are frequent.
+Spark. A task hands on what numpy has combined as it is, in small batches: Spark adds up only where
+all rows of a key come together. Texts of frequent n-grams are fetched last. A count comes with the
+least tag, a short hash, of the documents its n-gram lies in; only documents of that tag name it, which
+another bit table tells, so an n-gram is named about once at any number of tasks.
 
 *Estimation* lays the frequent n-grams of all lengths out as one stream in prefix order: every n-gram
 comes right after its own beginnings, so one pass in step hands each the counts of its left parts. The
@@ -43,6 +46,10 @@ TOP = 2000
 BITS = 26
 #: Bytes of text worked on at once, and n-grams held before they are handed to Spark.
 PIECE, HELD = 2 << 20, 1 << 20
+#: Rows of a batch that is handed to Spark; it lies in memory on both sides.
+GIVEN = 1 << 16
+#: Bits of a document's tag.
+TAG = 15
 UNKNOWN = "und"
 ROWS_PER_SLICE = 20_000
 
@@ -76,6 +83,11 @@ class _Words:
         codes = langs.dictionary_encode()
         names = np.array([_lang_hash(x) for x in codes.dictionary.to_pylist()], np.uint64)
         self.lang = names[codes.indices.to_numpy()][self.row] if len(names) else self.h
+        self.tag = np.empty(0, np.uint16)  # of the word's document, the same wherever that is read
+        if len(self.h):
+            first = np.flatnonzero(np.concatenate([[True], self.row[1:] != self.row[:-1]]))
+            tags = mixed(np.add.reduceat(self.h, first)) >> np.uint64(64 - TAG)
+            self.tag = np.repeat(tags.astype(np.uint16), np.diff(np.append(first, len(self.h))))
 
     def keys(self, n: int) -> np.ndarray:
         """The hash of the n words from each word on, language included; some cross pieces."""
@@ -130,103 +142,140 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
             yield _Words(batch.column(0).slice(lo, len(texts)), texts)
 
 
-def _frequent(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys >> np.uint64(64 - BITS)
+def _has(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
+def _frequent(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return _has(bits, keys >> np.uint64(64 - BITS))
+
+
 class _Counter:
-    """Counts of 64-bit keys; what grows too long is handed on."""
+    """Counts and least tags of 64-bit keys; what grows too long is handed on."""
 
     def __init__(self):
-        self.keys, self.counts, self.held = [], [], 0
+        self.parts, self.held = [], 0
 
-    def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        key, count = np.unique(keys, return_counts=True)
-        self.keys.append(key)
-        self.counts.append(count)
-        self.held += len(key)
+    def add(self, keys: np.ndarray, tags: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        self.parts.append(self._summed(keys, None, tags))
+        self.held += len(self.parts[-1][0])
         if self.held > HELD:
-            key, count = self.merged()
-            if len(key) > HELD // 2:
-                yield key, count
-                key, count = key[:0], count[:0]
-            self.keys, self.counts, self.held = [key], [count], len(key)
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+            full = self.merged()
+            if len(full[0]) > HELD // 2:
+                yield full
+                full = tuple(x[:0] for x in full)
+            self.parts, self.held = [full], len(full[0])
+
+    def merged(self) -> tuple[np.ndarray, ...]:
+        if not self.parts:
+            return self._summed(np.empty(0, np.uint64), None, np.empty(0, np.uint16))
+        return self._summed(*map(np.concatenate, zip(*self.parts)))
+
+    @staticmethod
+    def _summed(keys, counts, tags):
         order = np.argsort(keys)
-        keys = keys[order]
+        keys, tags = keys[order], tags[order]
         first = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
-        return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+        if not len(first):
+            return keys, np.empty(0, np.int64), tags
+        many = (np.diff(np.append(first, len(keys))) if counts is None
+                else np.add.reduceat(counts[order], first))
+        return keys[first], many, np.minimum.reduceat(tags, first)
+
+
+def _shares(rows: int) -> Iterator[slice]:
+    return (slice(lo, lo + GIVEN) for lo in range(0, rows, GIVEN))
 
 
 def _hashed(n: int, sent):
-    """(lang, key, n): counts of n-grams by key; of single words also one of all words by language."""
+    """(lang, key, n, tag) of n-grams by key; of single words also counts of all words by language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, tables = _Counter(), sent and sent.value
+        counter, tables = _Counter(), {k: t.value for k, t in sent.items()}
 
-        def rows(key, count, lang=None):
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(len(key), pa.string()) if lang is None else lang,
-                 pa.array(key.view(np.int64)), pa.array(count, pa.int64())], ["lang", "key", "n"])
+        def rows(key, count, tag, lang=None):
+            for part in _shares(len(key)):
+                few = key[part]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(few), pa.string()) if lang is None else lang[part],
+                     pa.array(few.view(np.int64)), pa.array(count[part], pa.int64()),
+                     pa.array(tag[part].astype(np.int16))], ["lang", "key", "n", "tag"])
 
         for words in _batches(batches):
             if n == 1:
                 row, many = np.unique(words.row, return_counts=True)
                 total = pa.table([words.langs.take(pa.array(row)), pa.array(many)], ["lang", "n"]
                                  ).group_by("lang").aggregate([("n", "sum")])
-                yield rows(np.zeros(len(total), np.uint64), total["n_sum"].to_numpy(),
-                           total["lang"].combine_chunks())
-            for full in counter.add(words.keys(n)[words.places(n, tables)]):
-                yield rows(*full)
-        yield rows(*counter.merged())
+                none = np.zeros(len(total), np.uint64)
+                yield from rows(none, total["n_sum"].to_numpy(), none, total["lang"].combine_chunks())
+            at = words.places(n, tables)
+            for full in counter.add(words.keys(n)[at], words.tag[at]):
+                yield from rows(*full)
+        yield from rows(*counter.merged())
 
     return run
 
 
 def _named(sent):
-    """(lang, key, phrase, n): the longest n-grams with counts, shorter frequent ones with n = 0.
+    """(lang, key, phrase) of the n-grams that lie in documents of the tag that names them.
 
-    A task names a shorter one once, or again when it has named very many.
+    Some others are among them by chance. A task names one once, or again when it has named very many.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = sent.value
+        tables = {n: t.value for n, t in sent.items()}
         known = {n: np.empty(0, np.uint64) for n in tables}
         for words in _batches(batches):
-            for n in range(1, WORDS + 1):
-                keys, at = words.keys(n), words.places(n, tables)
-                if n < WORDS:
-                    at = at[_frequent(tables[n], keys[at])]
-                key, first, many = np.unique(keys[at], return_index=True, return_counts=True)
-                if n < WORDS:
-                    have = known[n]
-                    spot = np.minimum(np.searchsorted(have, key), max(len(have) - 1, 0))
-                    new = have[spot] != key if len(have) else np.ones(len(key), bool)
-                    key, first, many = key[new], first[new], many[new] * 0
-                    both = np.concatenate([have, key]) if len(have) < HELD else key
-                    known[n] = np.sort(both)
-                first = at[first]
-                yield pa.RecordBatch.from_arrays(
-                    [words.langs.take(pa.array(words.row[first])), pa.array(key.view(np.int64)),
-                     words.phrases(first, n), pa.array(many)], ["lang", "key", "phrase", "n"])
+            for n, table in tables.items():
+                keys, own = words.keys(n), words.whole(n)
+                tag = words.tag[:len(keys)].astype(np.uint64) << np.uint64(BITS - TAG)
+                for part in (keys >> np.uint64(64 - BITS), keys & np.uint64((1 << BITS) - 1)):
+                    own &= _has(table, part ^ tag)
+                at = np.flatnonzero(own)
+                key, first = np.unique(keys[at], return_index=True)
+                have = known[n]
+                spot = np.minimum(np.searchsorted(have, key), max(len(have) - 1, 0))
+                new = have[spot] != key if len(have) else np.ones(len(key), bool)
+                key, first = key[new], at[first[new]]
+                known[n] = np.sort(np.concatenate([have, key]) if len(have) < HELD else key)
+                for part in _shares(len(key)):
+                    yield pa.RecordBatch.from_arrays(
+                        [words.langs.take(pa.array(words.row[first[part]])),
+                         pa.array(key[part].view(np.int64)), words.phrases(first[part], n)],
+                        ["lang", "key", "phrase"])
 
     return run
 
 
-def _bits(frequent: DataFrame) -> np.ndarray:
-    """The bit table of a column ``key``; at most 2**(BITS - 6) numbers come to the driver."""
-    slot = F.shiftrightunsigned("key", 64 - BITS)
-    got = frequent.select(F.shiftright(slot, 6).alias("word"), (slot % 64).cast("int").alias("bit")
-                          ).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+def _bits(found: DataFrame, *slots: Column) -> np.ndarray:
+    """The bit table of a column ``key``, or of ``slots``.
+
+    At most 2**(BITS - 6) numbers come to the driver.
+    """
+    slot = F.explode(F.array(*slots)) if slots else F.shiftrightunsigned("key", 64 - BITS)
+    got = found.select(slot.alias("slot")).select(
+        F.shiftright("slot", 6).alias("word"), (F.col("slot") % 64).cast("int").alias("bit")
+    ).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
     table = got.toArrow()
     out = np.zeros(1 << (BITS - 6), np.uint64)
     out[table.column(0).to_numpy()] = table.column(1).to_numpy().view(np.uint64)
     return out
 
 
+def _counts_by_key(rows: DataFrame, n: int, sent) -> DataFrame:
+    """(lang, key, n, tag) of all n-grams; the rows of a key meet before Spark adds them up.
+
+    Adding up map-side as well would hold all of a task's n-grams once more and combine next to none.
+    """
+    found = rows.mapInArrow(_hashed(n, sent), "lang string, key long, n long, tag short")
+    return found.repartition("lang", "key").groupBy("lang", "key").agg(
+        F.sum("n").alias("n"), F.min("tag").alias("tag"))
+
+
+def _names_by_key(rows: DataFrame, sent) -> DataFrame:
+    """(lang, key, phrase) of the n-grams in the bit tables ``sent``, each once."""
+    found = rows.mapInArrow(_named(sent), "lang string, key long, phrase string")
+    return found.repartition("key").distinct()
+
+
 def _cut(words: str, first: Column, length: Column) -> Column:
     return F.slice(F.col(words), first, length)
 
@@ -241,25 +290,27 @@ def frequent_ngrams(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     send = docs.sparkSession.sparkContext.broadcast
     rows = docs.select(F.coalesce(named(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"),
                        text_of(text_col).alias("text"))
-    often = F.col("n") >= least
-    tables: dict[int, np.ndarray] = {}
-    counted, totals = [], None
-    for n in range(1, WORDS):
-        found = rows.mapInArrow(_hashed(n, send({n - 1: tables[n - 1]}) if n > 1 else None),
-                                "lang string, key long, n long")
-        found = shared_table(found.groupBy("lang", "key").agg(F.sum("n").alias("n")).where(
-            often | F.col("lang").isNotNull()), "counts-by-key")
+    high, low = F.shiftrightunsigned("key", 64 - BITS), F.col("key").bitwiseAND((1 << BITS) - 1)
+    tag = F.shiftleft(F.col("tag").cast("long"), BITS - TAG)
+    counted, totals, frequent, naming = [], None, {}, {}
+    for n in range(1, WORDS + 1):
+        found = shared_table(_counts_by_key(rows, n, frequent).where(
+            (F.col("n") >= least) | F.col("lang").isNotNull()), "counts-by-key")
         totals = totals or found.where("lang is not null").select("lang", "n")
-        counted.append(found.where("lang is null").select("key", "n"))
-        tables[n] = _bits(counted[-1])
-    names = shared_table(
-        rows.mapInArrow(_named(send(tables)), "lang string, key long, phrase string, n long")
-        .groupBy("lang", "key", "phrase").agg(F.sum("n").alias("n")).where(often | (F.col("n") == 0)),
-        "ngrams")
-    shorter = reduce(DataFrame.unionByName, counted)
-    short = names.where("n = 0").drop("n").join(shorter, "key")
-    out = short.unionByName(names.where("n > 0"), allowMissingColumns=True)
-    return out.select("lang", "phrase", F.col("n").alias("f")), totals
+        kept = found.where("lang is null")
+        counted.append(kept.select("key", F.col("n").alias("f")))
+        _free(frequent)
+        frequent = {n: send(_bits(kept))} if n < WORDS else {}
+        naming[n] = send(_bits(kept, high.bitwiseXOR(tag), low.bitwiseXOR(tag)))
+    names = shared_table(_names_by_key(rows, naming), "ngrams")
+    _free(naming)
+    out = names.join(reduce(DataFrame.unionByName, counted), "key")
+    return out.select("lang", "phrase", "f"), totals
+
+
+def _free(sent) -> None:
+    for table in sent.values():
+        table.destroy()
 
 
 def with_parts(ngrams: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
