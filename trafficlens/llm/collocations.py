@@ -245,15 +245,11 @@ def _named(sent):
     return run
 
 
-def _bits(found: DataFrame, *slots: Column) -> np.ndarray:
-    """The bit table of a column ``key``, or of ``slots``.
-
-    At most 2**(BITS - 6) numbers come to the driver.
-    """
-    slot = F.explode(F.array(*slots)) if slots else F.shiftrightunsigned("key", 64 - BITS)
-    got = found.select(slot.alias("slot")).select(
-        F.shiftright("slot", 6).alias("word"), (F.col("slot") % 64).cast("int").alias("bit")
-    ).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+def _bits(frequent: DataFrame) -> np.ndarray:
+    """The bit table of a column ``key``; at most 2**(BITS - 6) numbers come to the driver."""
+    slot = F.shiftrightunsigned("key", 64 - BITS)
+    got = frequent.select(F.shiftright(slot, 6).alias("word"), (slot % 64).cast("int").alias("bit")
+                          ).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
     table = got.toArrow()
     out = np.zeros(1 << (BITS - 6), np.uint64)
     out[table.column(0).to_numpy()] = table.column(1).to_numpy().view(np.uint64)
@@ -301,7 +297,8 @@ def frequent_ngrams(docs: DataFrame, text_col: str = "text", lang_col: str = "la
         counted.append(kept.select("key", F.col("n").alias("f")))
         _free(frequent)
         frequent = {n: send(_bits(kept))} if n < WORDS else {}
-        naming[n] = send(_bits(kept, high.bitwiseXOR(tag), low.bitwiseXOR(tag)))
+        slots = kept.select(F.explode(F.array(high.bitwiseXOR(tag), low.bitwiseXOR(tag))).alias("slot"))
+        naming[n] = send(_bits(slots.select(F.shiftleft("slot", 64 - BITS).alias("key"))))
     names = shared_table(_names_by_key(rows, naming), "ngrams")
     _free(naming)
     out = names.join(reduce(DataFrame.unionByName, counted), "key")
