@@ -2,6 +2,9 @@
 
 Each stage takes all that the one before kept and returns the columns of documents; the last writes
 the token files and returns what they hold: doc_id, start, n_tokens, ids_crc32.
+
+What a stage returns is not run yet, so the first one bounds the batches that Python gets for the
+session that runs the job.
 """
 
 from __future__ import annotations
@@ -10,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.llm import jaccard_join, mixing, spaced_seeds, token_orc, toxicity
-from trafficlens.llm.columns import id_crc, named, shared_table
+from trafficlens.llm.columns import bound_batches, id_crc, named, shared_table
 from trafficlens.llm.queries import table, vocabulary
 from trafficlens.plans.scratch import scratch_dir
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose toxicity is 0.5 or more; learned from labels outside the fold."""
+    bound_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     learn = docs.select("doc_id", "text").where(id_crc() % 5 != 0)
     model = toxicity.train(learn, labels)

@@ -54,6 +54,33 @@ def test_a_full_store_changes_nothing(spark, tokenizer, tmp_path, monkeypatch):
     assert read(spark, path) == digests(rows, tokenizer)
 
 
+def test_python_gets_bounded_batches_of_long_rows(spark, tokenizer, tmp_path, monkeypatch):
+    rows = [(i, f"{i} seven words of a text " * 800) for i in range(400)]  # 8 MB in one partition
+    sizes, path = str(tmp_path / "sizes"), str(tmp_path / "ids")
+    tokens, crc = token_orc._tokens, token_orc._crc
+
+    def noted(run, what):
+        def noting(batches):
+            for b in batches:
+                with open(f"{sizes}-{what}", "a") as f:
+                    f.write(f"{b.nbytes}\n")
+                yield b
+
+        return lambda batches: run(noting(batches))
+
+    monkeypatch.setattr(token_orc, "_tokens", lambda *a: noted(tokens(*a), "texts"))
+    monkeypatch.setattr(token_orc, "_crc", noted(crc, "ids"))
+    before = dict(spark.conf.getAll)
+    token_orc.write_tokens(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(1), path, vocabulary(),
+        files=1)
+    assert read(spark, path) == digests(rows, tokenizer)
+    for what in ("texts", "ids"):
+        seen = [int(x) for x in open(f"{sizes}-{what}")]
+        assert len(seen) > 1 and max(seen) < 3 << 20
+    assert dict(spark.conf.getAll) == before
+
+
 def test_odd_texts_round_trip(spark, tokenizer, tmp_path):
     rng = random.Random(1)
     glyphs = ["a", "Bc", "é", " ", "  ", "\n", "\t", "'s", "12", ".", " ", " ", "\x85",

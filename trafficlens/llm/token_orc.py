@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trafficlens.llm.columns import named, shared_table, text_of
+from trafficlens.llm.columns import bounded_batches, named, shared_table, text_of
 from trafficlens.llm.word_arrays import buffer_of, piece_hash, running_hash, slices
 
 #: Pieces of texts whose ids a task remembers at most, and ids of those pieces: some 16 MB.
@@ -213,16 +213,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2,
                        F.monotonically_increasing_id().alias("tie"))
     keys = ("doc_id", "tie")
     dealt = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
-    (
-        dealt.sortWithinPartitions(*keys).select("doc_id", "text")
-        .mapInArrow(_tokens(vocabulary, end_id, added_tokens), SCHEMA)
-        .write.mode("errorifexists")
-        .option("orc.stripe.size", stripe_mb << 20)
-        .option("orc.row.index.stride", 1000)
-        .option("orc.bloom.filter.columns", "doc_id")
-        .option("orc.bloom.filter.fpp", 0.01)
-        .orc(path)
-    )
+    ids = dealt.sortWithinPartitions(*keys).select("doc_id", "text").mapInArrow(
+        _tokens(vocabulary, end_id, added_tokens), SCHEMA)
+    with bounded_batches(docs.sparkSession):
+        (
+            ids.write.mode("errorifexists")
+            .option("orc.stripe.size", stripe_mb << 20)
+            .option("orc.row.index.stride", 1000)
+            .option("orc.bloom.filter.columns", "doc_id")
+            .option("orc.bloom.filter.fpp", 0.01)
+            .orc(path)
+        )
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -253,7 +254,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids = b.column(3)
-        flat = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False)
         at = ids.offsets.to_numpy() - ids.offsets[0].as_py()
         crc = [zlib.crc32(flat[i:j]) for i, j in zip(at[:-1], at[1:])]
         yield pa.RecordBatch.from_arrays(
@@ -262,6 +263,10 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, read back from the files: doc_id, start, n_tokens, ids_crc32."""
-    return read_tokens(spark, path).mapInArrow(
-        _crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """Per document, read back from the files: doc_id, start, n_tokens, ids_crc32.
+
+    The digests are written to a table at once, so that the ids come to Python in bounded batches.
+    """
+    with bounded_batches(spark):
+        return shared_table(read_tokens(spark, path).mapInArrow(
+            _crc, "doc_id long, start long, n_tokens long, ids_crc32 long"), "token-digests")
