@@ -1,9 +1,11 @@
 import collections
 import itertools
 import math
+import re
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +151,20 @@ def test_brown_scores_do_not_depend_on_what_is_sent(spark, kinds):
     assert scores[0] == scores[1]
 
 
+def test_brown_shuffles_little(spark):
+    """Ranks of a bigram go as one number, and words not sent are counted per text before they go."""
+    texts = [f"a b c w{i} w{i} w{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, words = brown.train(docs, counted=3, exchanged=3, classed=3)
+    scored = brown.score(docs, model, words, F.lit(True))
+    assert all(r.n_known == 7 for r in scored.collect())
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(row#\w+, word#", plan)
+    sent = spark.sparkContext.broadcast((np.array([7], np.uint64), np.array([2], np.uint64), None))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    assert [b.schema.names for b in brown._bigrams(sent)(iter([batch]))] == [["pair", "n"]]
+
+
 def test_brown_probabilities_sum_to_one(spark):
     docs = odd_frame(spark, [(i, "a b c d a b e f") for i in range(5)] + [(9, "g h")])
     model, words = brown.train(docs, exchanged=3, least=4, classed=3, counted=5, classes=2)

@@ -82,7 +82,8 @@ def _numbers(sorted_keys: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def _bigrams(sent):
-    """Rows (left, right, n) within texts; words without a class are ``OTHER``.
+    """Rows (left, right, n) within texts, or (pair, n), left in the high half of ``pair``, if ranks
+    are all that is sent; words without a class are ``OTHER``.
 
     An end stands before each text's first word and after its last. ``sent`` has the hashes of the ranked
     words in order, their ranks, and bits for classed words beyond, if there are any.
@@ -92,14 +93,14 @@ def _bigrams(sent):
         held: list[np.ndarray] = []
 
         def flush():
-            if bits is None:  # two ranks fit into one number
+            if bits is None:  # two ranks fit into one number, which takes less room in a shuffle
                 pairs, n = np.unique(np.concatenate(held), return_counts=True)
-                left, right = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
-            else:
-                both = np.concatenate(held, axis=1)
-                _, first, n = np.unique(both[0] * np.uint64(0x9E3779B97F4A7C15) + both[1],
-                                        return_index=True, return_counts=True)
-                left, right = both[:, first]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(pairs.view(np.int64)), pa.array(n, pa.int64())], ["pair", "n"])
+            both = np.concatenate(held, axis=1)
+            _, first, n = np.unique(both[0] * np.uint64(0x9E3779B97F4A7C15) + both[1],
+                                    return_index=True, return_counts=True)
+            left, right = both[:, first]
             return pa.RecordBatch.from_arrays(
                 [pa.array(left.view(np.int64)), pa.array(right.view(np.int64)),
                  pa.array(n, pa.int64())], ["left", "right", "n"])
@@ -318,9 +319,16 @@ def train(texts: DataFrame, text_col: str = "text", classes: int | None = None,
     sent = spark.sparkContext.broadcast((
         hashes[by_hash], ranks[by_hash],
         None if beyond is None else bits_of(beyond.select(F.col("word").alias("key")))))
-    bigrams = shared_table(
-        own.mapInArrow(_bigrams(sent), "left long, right long, n long")
-        .groupBy("left", "right").agg(F.sum("n").alias("n")), "brown-bigrams")
+    found = own.mapInArrow(
+        _bigrams(sent), "pair long, n long" if beyond is None else "left long, right long, n long")
+    if beyond is None:
+        counted_ = found.groupBy("pair").agg(F.sum("n").alias("n")).select(
+            F.shiftrightunsigned("pair", 32).alias("left"),
+            F.col("pair").bitwiseAND(0xFFFFFFFF).alias("right"), "n")
+    else:
+        counted_ = found.groupBy("left", "right").agg(F.sum("n").alias("n"))
+    # in order, rows of a word are alike and take less room in the shuffles of every sweep
+    bigrams = shared_table(counted_.sortWithinPartitions("left"), "brown-bigrams")
     fixed = spark.createDataFrame(pa.table({
         "word": _signed(np.append(seeds, END)),
         "cls": pa.array(np.append(_seeded(bigrams, seeds, classes), end), pa.int32())}))
@@ -392,8 +400,8 @@ def _lists(rows: np.ndarray, n: int, values: np.ndarray) -> pa.ListArray:
 
 
 def _score(sent, unit: float):
-    """Scores from the words sent; ``tail`` lists the others, ``left`` and ``right`` the steps to
-    or from those, unless such words are known to be rare."""
+    """Scores from the words sent; ``tail`` lists the others, each once and how many ``times`` it
+    comes, ``left`` and ``right`` the steps to or from those, unless such words are known to be rare."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = SimpleNamespace(**sent.value)
         base = np.log10((m.count + 1) / unit)
@@ -409,6 +417,12 @@ def _score(sent, unit: float):
                 sure = known & np.concatenate([[True], known[:-1]])
                 step, open_ = np.where(sure, step, 0.0), np.flatnonzero(~sure)
             score = step + np.where(known, m.emit[at], 0.0)
+            order = far[np.lexsort((tokens[far], rows[far]))]
+            r, w = rows[order], tokens[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
+            first = np.flatnonzero(new)
+            times, far = np.diff(first, append=len(order)), order[first]
             part = batch.slice(lo, n)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1),
@@ -416,11 +430,11 @@ def _score(sent, unit: float):
                  pa.array(np.bincount(rows, known & (m.count[at] > 0), n).astype(np.int64)),
                  pa.array(np.bincount(rows, np.where(known, base[at], 0.0), n)),
                  pa.array(np.bincount(rows, score, n)),
-                 _lists(rows[far], n, tokens[far]),
+                 _lists(rows[far], n, tokens[far]), _lists(rows[far], n, times),
                  _lists(rows[open_], n, np.concatenate([[END], tokens[:-1]])[open_]),
                  _lists(rows[open_], n, tokens[open_])],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail",
-                 "left", "right"])
+                 "times", "left", "right"])
 
     return run
 
@@ -452,13 +466,13 @@ def score(docs: DataFrame, model: Brown, words: DataFrame, held_out, id_col: str
                        text_of(text_col).alias("text"))
     schema = rows.drop("text").schema.add("n_tokens", "long").add("n_known", "long").add(
         "base_score", "double").add("score", "double")
-    for name in ("tail", "left", "right"):
+    for name in ("tail", "times", "left", "right"):
         schema = schema.add(name, ArrayType(LongType()))
     near = shared_table(
         rows.mapInArrow(_score(sent, unit), schema)
         .withColumn("row", F.monotonically_increasing_id()), "brown-near")
-    tail = near.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(
-        F.count("*").alias("times"))
+    tail = near.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select(
+        "row", F.col("t.tail").alias("word"), "t.times")
     n = F.coalesce("n", F.lit(0))
     emit = F.coalesce("emit", F.lit(_unseen(model)))
     far = (
@@ -471,7 +485,7 @@ def score(docs: DataFrame, model: Brown, words: DataFrame, held_out, id_col: str
         far = far.unionByName(_open_steps(near, model, words), allowMissingColumns=True).groupBy(
             "row").agg(*[F.sum(c).alias(c) for c in ("far_known", "far_base", "far_score")])
     plus = {"n_known": "far_known", "base_score": "far_base", "score": "far_score"}
-    joined = near.drop("tail", "left", "right").join(far, "row", "left")
+    joined = near.drop("tail", "times", "left", "right").join(far, "row", "left")
     return joined.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("far_known", F.lit(0))).cast("long").alias("n_known"),
