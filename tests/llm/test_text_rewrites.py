@@ -1,4 +1,5 @@
 import itertools
+import pathlib
 import re
 
 import plain
@@ -213,6 +214,26 @@ def test_every_passage_above_the_bar_is_found(spark):
     assert {k for _, k, *_ in got} >= {*range(1, 14), 15, 18, 100, 103, 104}
 
 
+def test_few_rows_are_not_dealt_over_many_files(spark):
+    items = [(n, " ".join(f"q{n}x{i}" for i in range(13))) for n in range(20)] + [(20, "p q")]
+    docs = [(n, f"pad {t} pad") for n, t in items] + [(100 + n, "no hit in it") for n in range(20)]
+    scratch = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, old = {k: spark.conf.get(k) for k in held}, set(scratch.glob("seed-*"))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        bench = spark.createDataFrame(items + items[:5], "item_id long, text string").coalesce(2)
+        got = spaced_seeds.contaminated(frame(spark, docs + docs[:5]).coalesce(2), bench).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = [tuple(r)[1:] for r in got]
+    assert len(got) == len(set(got)) and set(got) == all_alignments(docs, items)
+    made = set(scratch.glob("seed-*")) - old
+    assert made and all(len(list(d.glob("part-*"))) <= 2 for d in made)
+
+
 def test_supplied_tables_without_seeds(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id", "text").orderBy("doc_id").limit(300).collect()]

@@ -102,27 +102,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         asked = asked | ((F.col("wide") == w) & F.col("mask").isin([kinds.index(k) for k in own]))
     lists = _with_seeds(items, kinds).select(
         "item_id", wide.alias("wide"), F.posexplode("seeds").alias("mask", "list")).where(asked)
+    # tables are written as their input is dealt: after a shuffle, a few rows would lie in a file per partition
     tests = shared_table(
-        lists.select("item_id", F.posexplode("list").alias("at", "seed"), "mask").distinct(),
-        "seed-tests")
+        lists.select("item_id", F.posexplode("list").alias("at", "seed")), "seed-tests")
     text = text_of(text_col)
     own = docs.select(F.xxhash64(named(id_col).cast("string"), text).alias("doc_row"),
                       named(id_col).alias("doc_id"), text.alias("text"))
     wanted = small_side(tests.select("seed").distinct())
 
-    # which documents have any hit; only they are looked at by place
     hashed = _with_seeds(own.select("doc_row", word_hashes(F.col("text")).alias("words")), kinds)
-    hit = shared_table(
-        hashed.select("doc_row", F.explode(F.flatten("seeds")).alias("seed"))
-        .join(wanted, "seed", "left_semi").select("doc_row").distinct(), "seed-documents")
-    near = _with_seeds(
-        own.join(small_side(hit), "doc_row", "left_semi").dropDuplicates(["doc_row"])
-        .select("doc_row", "doc_id", word_hashes(F.col("text")).alias("words")), kinds)
-    near = shared_table(near, "seed-near")
-    places = near.select("doc_row", F.explode("seeds").alias("list")).select(
+    # outer: else Spark filters by the size of "seeds" first, and computes them once more for that
+    places = hashed.select("doc_row", F.explode_outer("seeds").alias("list")).select(
         "doc_row", F.posexplode("list").alias("i", "seed"))
-    alignments = places.join(small_side(tests.select("seed", "item_id", "at")), "seed").select(
+    hits = shared_table(places.join(wanted, "seed", "left_semi"), "seed-hits")
+    alignments = hits.join(
+        small_side(tests.select("seed", "item_id", "at").distinct()), "seed").select(
         "doc_row", "item_id", (F.col("i") - F.col("at")).alias("shift")).distinct()
+    # only documents with a hit are compared
+    hit = small_side(hits.select("doc_row").distinct())
+    near = own.join(hit, "doc_row", "left_semi").dropDuplicates(["doc_row"]).select(
+        "doc_row", "doc_id", word_hashes(F.col("text")).alias("words"))
 
     length = F.size("item_words")
     first = F.greatest(-F.col("shift"), F.lit(0))  # the item's first word that lies in the text
@@ -136,7 +135,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.slice("same", s + 1, wide), F.lit(0), lambda t, x: t + x)))
     compared = (
         alignments
-        .join(near.select("doc_row", "doc_id", "words"), "doc_row")
+        .join(near, "doc_row")
         .join(small_side(items.select("item_id", F.col("words").alias("item_words"))), "item_id")
         .withColumn("same", same)
         .select("doc_row", "doc_id", "item_id", best.alias("matched_words"), wide.alias("span_words"))
